@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode_decode
+from .quality_rules import fit_ratios, trusted_target, with_quality
+from .secrets import fit_limits, spans_text, with_secrets
 from .shared import read
 from .sharding import shard_by_bytes
 from .urls import judge_urls
@@ -20,11 +22,25 @@ def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), URL_RULES, hosts)
 
 
+def op4_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    ratios = fit_ratios(trusted_target(docs, read(spark, sf_dir, "labels")), docs)
+    return with_quality(docs, ratios).select("doc_id", "_quality.*")
+
+
 def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_by_bytes(read(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_secrets(docs, fit_limits(docs)).select("doc_id", "_secrets")
+    count = lambda k: F.size(F.filter("_secrets", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("_secrets", lambda s: s["kind"] < 3)
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("_secrets")).alias("spans"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,5 +48,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op3_url_cascade": op3_url_cascade, "op6_histogram_shards": op6_histogram_shards, "op10_bpe": op10_bpe}
+QUERIES = {"op3_url_cascade": op3_url_cascade, "op4_ngram_ratio_rules": op4_ngram_ratio_rules, "op8_randomness_battery": op8_randomness_battery, "op6_histogram_shards": op6_histogram_shards, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {}

@@ -45,6 +45,13 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def array_literal(values: list[int], kind: str = "bigint"):
+    """values as a constant array column; it goes to the JVM as one string, which the optimizer folds into an array once."""
+    if not values:
+        return F.expr(f"cast(array() as array<{kind}>)")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def words_column(text):
     """The words of a text column as an array; none for a null or blank text."""
     trimmed = F.btrim(text, F.lit(SPACES.decode()))
