@@ -10,6 +10,7 @@ from .quality_rules import fit_ratios, trusted_target, with_quality
 from .secrets import fit_limits, spans_text, with_secrets
 from .shared import read
 from .sharding import shard_by_bytes
+from .simhash import near_duplicates
 from .urls import judge_urls
 
 #: Rules of the url query, and the hosts it blocks where no rule fits.
@@ -17,6 +18,10 @@ URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("bloc
 BLOCKED_HOSTS = [f"{name}.example.{top}" for name in ("spam-farm", "adult-x", "casino-y", "malware-z") for top in ("com", "net", "org")]
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "key string")
     return judge_urls(read(spark, sf_dir, "pages"), URL_RULES, hosts)
@@ -48,5 +53,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op3_url_cascade": op3_url_cascade, "op4_ngram_ratio_rules": op4_ngram_ratio_rules, "op8_randomness_battery": op8_randomness_battery, "op6_histogram_shards": op6_histogram_shards, "op10_bpe": op10_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op3_url_cascade": op3_url_cascade, "op4_ngram_ratio_rules": op4_ngram_ratio_rules, "op8_randomness_battery": op8_randomness_battery, "op6_histogram_shards": op6_histogram_shards, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {}

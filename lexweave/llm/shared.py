@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def words_column(text):
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about limit bytes of text each; a longer text stands alone."""
-    sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(column).to_numpy(zero_copy_only=False), dtype=float)).astype(np.int64)
+    sizes = np.nan_to_num(np.asarray(pyarrow.compute.binary_length(column).to_numpy(zero_copy_only=False), dtype=float)).astype(np.int64)
     start, total = 0, 0
     for k, n in enumerate(sizes):
         if k > start and total + n > limit:
