@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import let
+
 #: The base patterns, and the length a match needs.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -35,11 +37,6 @@ FALSE_DISCOVERY, STEPS, LAST_STEP, LENGTH_CLASSES = 0.05, 20, 400, 12
 BLOCK = 256
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def sums_before(lengths: Column) -> Column:
     """For each position of an int array the sum of those before it, by way of sums of blocks, so that long arrays stay cheap."""
     add = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)

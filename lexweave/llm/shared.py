@@ -53,6 +53,11 @@ def array_literal(values: list[int], kind: str = "bigint"):
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
+def let(value, body):
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words_column(text):
     """The words of a text column as an array; none for a null or blank text."""
     trimmed = F.btrim(text, F.lit(SPACES.decode()))
