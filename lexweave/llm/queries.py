@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode_decode
 from .decontaminate import find_benchmark_passages
+from .language import fit_language, predict_language
+from .passages import fit_quality, score_quality
 from .quality_rules import fit_ratios, trusted_target, with_quality
 from .secrets import fit_limits, spans_text, with_secrets
 from .shared import read
@@ -24,6 +26,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def held_out(column: str = "doc_id"):
+    """Whether a document is kept out of learning: one in five, by its id's hash."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op2_bidirectional_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = predict_language(docs, fit_language(docs.where(~held_out())))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "key string")
     return judge_urls(read(spark, sf_dir, "pages"), URL_RULES, hosts)
@@ -58,6 +71,12 @@ def op8_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("_secrets")).alias("spans"))
 
 
+def op9_attention_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels").where(~held_out())))
+    return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,5 +84,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op7_block_anchors": op7_block_anchors, "op1_simhash": op1_simhash, "op3_url_cascade": op3_url_cascade, "op4_ngram_ratio_rules": op4_ngram_ratio_rules, "op8_randomness_battery": op8_randomness_battery, "op6_histogram_shards": op6_histogram_shards, "op10_bpe": op10_bpe}
+QUERIES = {"op2_bidirectional_gru": op2_bidirectional_gru, "op9_attention_passages": op9_attention_passages, "op5_decontaminate": op5_decontaminate, "op7_block_anchors": op7_block_anchors, "op1_simhash": op1_simhash, "op3_url_cascade": op3_url_cascade, "op4_ngram_ratio_rules": op4_ngram_ratio_rules, "op8_randomness_battery": op8_randomness_battery, "op6_histogram_shards": op6_histogram_shards, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACES, np.uint8))
 #: One batch of texts is worked on in slices of about this many bytes, so that memory stays level.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _rng = np.random.default_rng(20240117)
 #: A random odd 64-bit multiplier, its inverse modulo 2**64 and a random value for each byte.
