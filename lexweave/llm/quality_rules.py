@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import array_literal, words_column
+from .shared import array_literal, let, words_column
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
@@ -60,22 +60,23 @@ def trusted_target(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     return docs.join(F.broadcast(good), docs[id_column] == F.col("_target"), "left_semi")
 
 
-def repeated_words(words: Column, size: int = 5) -> tuple[Column, Column]:
-    """Hashes of all windows of size words; and, given those as the column _windows, how many words lie in a window that occurs twice or more."""
+def window_hashes(words: Column, size: int = 5) -> Column:
+    """Hashes of all windows of size words."""
     windows = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
-    windows = F.when(F.size(words) >= size, windows).otherwise(F.expr("cast(array() as array<bigint>)"))
-    held = F.col("_windows")
-    ordered = F.array_sort(F.transform(held, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(words) >= size, windows).otherwise(F.expr("cast(array() as array<bigint>)"))
 
-    def count(s: Column) -> Column:
-        twice = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
+
+def repeated_words(windows: Column, size: int = 5) -> Column:
+    """How many words lie in a window that occurs twice or more. The windows are sorted only if some do."""
+
+    def count(ordered: Column) -> Column:
+        twice = F.filter(ordered, lambda x, k: (F.get(ordered, k - 1)["h"] == x["h"]) | (F.get(ordered, k + 1)["h"] == x["h"]))
         starts = F.array_sort(F.transform(twice, lambda x: x["i"]))
         start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
         return F.aggregate(starts, start, lambda a, p: F.struct((p + size).alias("end"), (a["n"] + p + size - F.greatest(p, a["end"])).alias("n")), lambda a: a["n"])
 
-    # the sorted windows are bound once; a text without repeats skips all that
-    counted = F.get(F.transform(F.array(ordered), count), F.lit(0))
-    return windows, F.when(F.size(F.array_distinct(held)) < F.size(held), counted).otherwise(F.lit(0)).cast("long")
+    ordered = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), let(ordered, count)).otherwise(F.lit(0)).cast("long")
 
 
 def with_quality(docs: DataFrame, ratios: list[int], text_column: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -83,30 +84,30 @@ def with_quality(docs: DataFrame, ratios: list[int], text_column: str = "text",
 
     A null or blank text has no words, fails the base rules and is not kept. score is the mean log
     ratio; a text without words has 0. Every row is judged by itself: repeated rows get equal
-    results, and further columns pass through (but a column of docs named like one of the working
-    columns _words, _hashes, _windows or _quality is an error).
+    results, and further columns pass through (one named _quality is an error).
     """
-    if taken := {"_words", "_hashes", "_windows", "_quality"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(taken)} are taken")
+    if "_quality" in {c.lower() for c in docs.columns}:
+        raise ValueError("the column _quality is taken")
     text = F.coalesce(docs[text_column], F.lit(""))
-    out = docs.withColumn("_words", words_column(docs[text_column]))
-    windows, repeats = repeated_words(F.col("_words"))
-    out = out.withColumn("_hashes", _word_hashes(F.col("_words"))).withColumn("_windows", windows)
-    grams = _pairs_and_words(F.col("_hashes"))
     table = array_literal(ratios, "int")
-    total = F.aggregate(grams, F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
-    score = F.when(F.size("_words") > 0, total / F.greatest(2 * F.size("_words") - 1, F.lit(1)) / 1000.0).otherwise(F.lit(0.0))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n_words = F.size("_words").cast("long")
-    out = out.withColumn("_quality", F.struct(
-        n_words.alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.get(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), F.lit(0)).cast("long").alias("n_dup_lines"),
-        repeats.alias("n_repeat_words"),
-        score.alias("score"),
-    ))
-    q = F.col("_quality")
-    failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
-    out = out.withColumn("_quality", q.withField("base_failed", failed).withField("kept", ~failed & (q["score"] * 1000 >= threshold)))
-    return out.drop("_words", "_hashes", "_windows")
+
+    def judge(words: Column) -> Column:
+        n = F.size(words)
+        grams = let(_word_hashes(words), _pairs_and_words)
+        total = F.aggregate(grams, F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
+        lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        return F.struct(
+            n.cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            let(window_hashes(words), repeated_words).alias("n_repeat_words"),
+            F.when(n > 0, total / F.greatest(2 * n - 1, F.lit(1)) / 1000.0).otherwise(F.lit(0.0)).alias("score"),
+        )
+
+    def decide(q: Column) -> Column:
+        failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
+        return q.withField("base_failed", failed).withField("kept", ~failed & (q["score"] * 1000 >= threshold))
+
+    # one expression, each part bound once: were its parts columns, a filter on the result would have them made anew for every word
+    return docs.withColumn("_quality", let(let(words_column(docs[text_column]), judge), decide))

@@ -188,3 +188,95 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_column:
     smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
     of = of.join(smallest, "root").select("fp", "component_id")
     return rows.join(of, "fp").select(F.col("id").alias(id_column), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Long fingerprints: LANES * 64 bits over shingles of FINE_WORDS words. A link is a distance of FINE_RADIUS or less.
+LANES, FINE_WORDS, FINE_RADIUS = 8, 2, 64
+#: Cells of a long fingerprint: FINE_CELLS choices of FINE_SEGMENTS of its two-bit segments.
+FINE_CELLS, FINE_SEGMENTS = 48, 16
+
+
+def fine_masks() -> np.ndarray:
+    """(FINE_CELLS, LANES): the bits of each cell's segments."""
+    rng = np.random.default_rng(5)
+    masks = np.zeros((FINE_CELLS, LANES), np.uint64)
+    for k in range(FINE_CELLS):
+        for s in rng.choice(32 * LANES, FINE_SEGMENTS, replace=False).tolist():
+            masks[k, s // 32] |= np.uint64(3 << (2 * (s % 32)))
+    return masks
+
+
+def _long_fingerprint(words: np.ndarray, seeds: np.ndarray) -> bytes:
+    if not len(words):
+        return bytes(8 * LANES)
+    shingles = rolling_hashes(words, FINE_WORDS) if len(words) >= FINE_WORDS else words
+    counts = np.zeros(64 * LANES, np.int64)
+    for k in range(0, len(shingles), 8192):
+        lanes = mix(shingles[k : k + 8192, None] ^ seeds[None, :])
+        counts += np.unpackbits(lanes.view(np.uint8).reshape(len(lanes), -1), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(2 * counts > len(shingles), bitorder="little").tobytes()
+
+
+def long_fingerprints(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, h, fp): for every row its text's 64-bit hash and its long fingerprint."""
+    kind = docs.schema[id_column].dataType.simpleString()
+    seeds = mix(np.arange(1, LANES + 1).astype(np.uint64))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end in slices(batch.column(2), SLICE_BYTES // 2):
+                piece = batch.slice(start, end - start)
+                texts = [t.lower() for t in as_bytes(piece.column(2))]
+                bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+                data = np.frombuffer(b"".join(texts), np.uint8)
+                starts, ends, first = word_spans(data, bounds)
+                words = word_hashes(data, starts, ends)
+                fps = [_long_fingerprint(words[a:b], seeds) for a, b in itertools.pairwise(first.tolist())]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(fps, pa.binary())], ["id", "h", "fp"])
+
+    rows = docs.select(docs[id_column].alias("id"), F.xxhash64(F.coalesce(docs[text_column], F.lit(""))).alias("h"), docs[text_column].alias("text"))
+    return rows.mapInArrow(work, f"id {kind}, h long, fp binary")
+
+
+def _fine_links(nodes: DataFrame) -> DataFrame:
+    """Links between long fingerprints (node, fp): in each cell to its smallest node, if the distance allows."""
+    masks, odd = fine_masks(), powers(LANES + 1, 0x9E3779B97F4A7C15)[1:]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                code = embed(np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, LANES))
+                cells = [mix(((code & m) * odd).sum(1, dtype=np.uint64) + np.uint64(t)).view(np.int64) for t, m in enumerate(masks)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.tile(part.column(0).to_numpy(), FINE_CELLS))], ["cell", "node"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(-1, LANES) for k in (2, 3))
+            near = manhattan(embed(x), embed(y)).sum(1) <= FINE_RADIUS
+            near &= np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= FINE_RADIUS
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    cells = nodes.mapInArrow(deal, "cell long, node long")
+    least = cells.groupBy("cell").agg(F.min("node").alias("b"))
+    pairs = cells.join(least, "cell").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b")
+    return pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs with one row of each group of near copies: that with the smallest id (of equal ids, the smallest text hash).
+
+    Texts are near copies if their long fingerprints differ in FINE_RADIUS bits or fewer: of texts
+    whose sets of five-word shingles have a Jaccard similarity of 0.8 about one bit in twelve
+    differs. Groups are the components of those links. Rows alike in id and text count once. Null
+    and blank texts are copies of each other; a null id counts as the largest. All columns stay.
+    """
+    rows = checkpointed(long_fingerprints(docs, id_column, text_column))
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("least")).withColumn("node", F.xxhash64("fp")))
+    roots = connected_components(_fine_links(nodes.select("node", "fp")))
+    of = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    stay = of.groupBy("root").agg(F.min("least").alias("x")).select(F.col("x.id").alias("_id"), F.col("x.h").alias("_h"))
+    hashed = docs.withColumn("_key", F.xxhash64(F.coalesce(docs[text_column], F.lit(""))))
+    kept = hashed.join(stay, hashed[id_column].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")), "left_semi")
+    return kept.dropDuplicates([id_column, "_key"]).select(*docs.columns)
