@@ -16,14 +16,14 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import array_literal, let
+from .shared import array_literal, checkpointed, let
 
 #: Words in a shingle; a shorter item is one shingle by itself.
 SHINGLE = 5
 #: Shingles of the benchmark in one pass over the documents: a bound for the tables that are broadcast. A larger benchmark takes several passes.
 PASS_SHINGLES = 200_000
 #: Bits for each shingle of the filter inside the expressions.
-FILTER_BITS = 16
+FILTER_BITS = 32
 #: Radius in which 99 in 100 of the windows with a similarity of 0.8 lie.
 RADIUS = 16
 SIMILARITY = 0.8
@@ -109,7 +109,7 @@ def _matches(rows: DataFrame, items: DataFrame, size: int, n: int, longest: int,
     start = F.greatest(F.col("place") - F.col("offset"), F.lit(0))
     windows = hits.join(F.broadcast(index), "h").select("id", "length", start.alias("start"), F.slice("around", start - F.col("base") + 1, F.col("length") - size + 1).alias("window"))
     windows = windows.distinct().withColumn("fp", simhash(F.col("window")))
-    known = items.withColumn("item_fp", simhash(F.col("hashes"))).select("item", "length", "hashes", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("b"))
+    known = items.select("item", "length", "hashes", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("b"))
     known = known.select("item", "length", "hashes", "item_fp", "b.block", "b.value")
     dealt = windows.select("*", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("id", "length", "start", "window", "fp", "b.block", "b.value")
     pairs = dealt.join(F.broadcast(known), ["length", "block", "value"])
@@ -134,6 +134,8 @@ def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame, id_column: st
     found = None
     for size, (n, longest) in sorted(sizes.items()):
         own = items.where((F.col("length") == size) if size < SHINGLE else (F.col("length") >= size)).select("item", "length", shingle_hashes(F.col("words"), size).alias("hashes"))
+        # written once: filters that the optimizer infers would otherwise repeat the work inside the lambdas
+        own = checkpointed(checkpointed(own).withColumn("item_fp", simhash(F.col("hashes"))))
         groups = -(-n // PASS_SHINGLES)
         for g in range(groups):
             part = own if groups == 1 else own.where(F.pmod(F.xxhash64("hashes"), F.lit(groups)) == g)
