@@ -37,7 +37,7 @@ def compatible(a: Column, b: Column) -> Column:
 
 
 def merged(source: Column, target: Column) -> Column:
-    return F.zip_with(target, source, F.coalesce)
+    return F.zip_with(target, source, lambda t, s: F.coalesce(t, s))
 
 
 def is_instance(a: Column, b: Column) -> Column:
