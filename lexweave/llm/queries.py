@@ -85,4 +85,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_bidirectional_gru": op2_bidirectional_gru, "op9_attention_passages": op9_attention_passages, "op5_decontaminate": op5_decontaminate, "op7_block_anchors": op7_block_anchors, "op1_simhash": op1_simhash, "op3_url_cascade": op3_url_cascade, "op4_ngram_ratio_rules": op4_ngram_ratio_rules, "op8_randomness_battery": op8_randomness_battery, "op6_histogram_shards": op6_histogram_shards, "op10_bpe": op10_bpe}
-ORACLES: dict[str, str] = {}
+_BLOCKED = " OR ".join(f"host = '{h}' OR host LIKE '%.{h}'" for h in BLOCKED_HOSTS)
+_RULES = " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND path LIKE '{p}%' THEN '{h}{p}'" for _, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2])))
+
+ORACLES: dict[str, str] = {
+    "op3_url_cascade": f"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+r AS (SELECT *, CASE {_RULES} END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL OR {_BLOCKED} THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+    "op7_block_anchors": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS t FROM p WHERE i + 49 <= len(w)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) AS least FROM win) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM late, range(0, 50) r(k)),
+kept AS (SELECT p.doc_id, count(*) AS n, string_agg(p.w[p.i], ' ' ORDER BY p.i) AS t FROM p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i WHERE g.i IS NULL GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
+}
