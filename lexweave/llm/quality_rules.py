@@ -101,7 +101,7 @@ def with_quality(docs: DataFrame, ratios: list[int], text_column: str = "text",
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            let(window_hashes(words), repeated_words).alias("n_repeat_words"),
+            let(window_hashes(words), lambda h: repeated_words(h)).alias("n_repeat_words"),
             F.when(n > 0, total / F.greatest(2 * n - 1, F.lit(1)) / 1000.0).otherwise(F.lit(0.0)).alias("score"),
         )
 
