@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 #: Where the private symbols begin that stand for a word's last character.
 ENDS = 0x100000
-#: Distinct chunks of text whose ids a worker remembers; beyond that it starts anew.
-CACHE_CHUNKS = 400_000
+#: Distinct chunks of text, and pieces and pairs of tokens, that a worker remembers; beyond that it starts anew.
+CACHE_CHUNKS = 150_000
 #: Longer chunks are encoded without being remembered.
 CACHE_CHUNK_CHARS = 64
 #: Python splits at these too; to the tokenizer they are no white space.
@@ -102,7 +102,7 @@ class Vocabulary:
                 limit, left = a, parts[left][1]
             else:
                 limit, right = b + 1, parts[right][0]
-        if len(self._compatible) > 1_000_000:
+        if len(self._compatible) >= CACHE_CHUNKS:
             self._compatible.clear()
         self._compatible[first, second] = good
         return good
@@ -168,7 +168,7 @@ class Encoder:
         self.normalize = steps.normalizer.normalize_str
         self.split = steps.pre_tokenizer.pre_tokenize_str
         self.cache: dict[str, bytes] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.plain = self._plain(json.loads(source))
         self.table = OffsetTable(self.vocabulary.texts)
 
@@ -189,22 +189,22 @@ class Encoder:
 
     def chunk(self, chunk: str) -> bytes:
         """The packed ids of a stretch of text without white space."""
-        v, ids, at = self.vocabulary, [], 0
+        v, parts, at = self.vocabulary, [], 0
         spans = [(m.start(), m.end()) for m in v.added.finditer(chunk)] if v.added and "<" in chunk else []
         for start, end in [*spans, (len(chunk), len(chunk))]:
             if start > at:
                 for piece in self.pieces(chunk[at:start]):
                     if (known := self.known.get(piece)) is None:
-                        known = v.encode_piece(piece)
+                        known = np.array(v.encode_piece(piece), "<u4").tobytes()
                         if len(piece) <= CACHE_CHUNK_CHARS:
                             if len(self.known) >= CACHE_CHUNKS:
                                 self.known.clear()
                             self.known[piece] = known
-                    ids += known
+                    parts.append(known)
             if end > start:
-                ids.append(v.added_ids[chunk[start:end]])
+                parts.append(v.added_ids[chunk[start:end]].to_bytes(4, "little"))
             at = end
-        packed = np.array(ids, "<u4").tobytes()
+        packed = b"".join(parts)
         if len(chunk) <= CACHE_CHUNK_CHARS:
             if len(self.cache) >= CACHE_CHUNKS:
                 self.cache.clear()
