@@ -147,9 +147,9 @@ def colored_diff(expected: str, found: str) -> str:
     return "".join(parts)
 
 
-def report(detail: DataFrame, system: System, limit: int = 50) -> str:
+def report(detail: DataFrame, system: System, limit: int = 50, **costs: float) -> str:
     """Metrics and the first sets with errors, as text."""
-    m = metrics(detail, system).first()
+    m = metrics(detail, system, **costs).first()
     lines = [f"{system.name}: {m['n_errors']} errors in {m['n_comparisons']} comparisons of {m['n_sets']} sets, accuracy {m['accuracy']:.4f}, penalty {m['penalty']:.1f}, score {m['score']:.1f}"]
     for r in detail.where("not correct").orderBy("skey", "leaf").limit(limit).collect():
         lines.append(f"{r['skey']} {r['leaf']}: *{r['proto']} > {colored_diff(r['form'], r['hypothesis'])} (is {r['form']})")

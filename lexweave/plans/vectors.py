@@ -112,6 +112,24 @@ def tfidf_word_bigrams(spark, sf_dir):
     return sim.tfidf(sim.word_ngrams(rows, F.col("text"))).withColumn("weight", F.round("weight", 6))
 
 
+@query()
+def related_words(spark, sf_dir):
+    """The five words of other languages nearest to every benchmark word's form, by their n-grams."""
+    from ..sources.store import build_vectors
+    from ..sources.tables import words_of
+
+    key = F.xxhash64("lang", "form")
+    words = word_lexicon(spark, sf_dir)
+    asked = words_of(read(spark, sf_dir, "benchmark"), "item_id").select("form").distinct()
+    code = F.expr("crc32(cast(lang as binary))")
+    rows = build_vectors(words.select(key.alias("refid"), code.alias("langid"), F.col("form").alias("ipaform"), F.col("form").alias("gloss")), 32)
+    wanted = words.join(asked, "form", "left_semi").where("lang = 'es'").select(key.alias("refid"))
+    best = sim.nearest(rows.join(wanted, "refid", "left_semi"), rows, 5, 1.0)
+    named = words.select(key.alias("id"), "lang", "form")
+    out = best.join(named.select(F.col("id").alias("q"), F.col("form").alias("query")), "q").join(named.withColumnRenamed("id", "refid"), "refid")
+    return out.select("query", "lang", "form", F.round("dist", 6).alias("dist"), "rank")
+
+
 @query()
 def pca_whiten(spark, sf_dir):
     out = sim.whitened_pca(corpus(spark, sf_dir), 8)

@@ -10,6 +10,7 @@ from ..functions import phonology as ph
 from ..functions import text as tx
 from ..operators import laws
 from ..operators.align import segments_of
+from ..operators.forms import process_form
 from ..sources.tables import SETS_SQL, WORDS_SQL, cognate_sets, word_lexicon
 
 QUERIES, ORACLES = {}, {}
@@ -129,6 +130,11 @@ def syllabify(spark, sf_dir):
     return _applied(spark, sf_dir, lambda c: tx.each(_syllables)(tx.normalized(c)))
 
 
+@query()
+def processed_forms(spark, sf_dir):
+    return word_lexicon(spark, sf_dir).select("lang", "form", process_form(F.col("form"))["processed"].alias("processed"))
+
+
 @query()
 def syllable_inventory(spark, sf_dir):
     """Distinct syllables of each language."""

@@ -184,3 +184,38 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "a.tsv").write_text("water\tthi\nbad\n")
     append_to(lexicon_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("water", "thi", "tʰi")]
+
+
+def test_forms(spark):
+    from lexweave.operators import forms
+
+    df = spark.createDataFrame([("x", "ta-pha na"), ("y", " "), ("z", None)], "gloss string, form string")
+    page, n = forms.preview(df)
+    assert n == 3 and {r["gloss"]: r["processed"] for r in page.collect()} == {"x": "ta-pʰa na", "y": "", "z": ""}
+    sets = spark.createDataFrame([("k", "proto", "a"), ("k", "b", "c"), ("m", "proto", "a")], "skey string, lang string, form string")
+    assert forms.set_of(sets, "k").count() == 2 and forms.selected(sets, []).count() == 2 and forms.selected(sets, None).count() == 3
+    for key in ("m", "none"):
+        with pytest.raises(LookupError):
+            forms.set_of(sets, key)
+
+
+def test_vectors_are_kept(spark, tmp_path):
+    from lexweave.sources import store
+
+    rows = spark.createDataFrame([(1, 1, "pata", "water"), (2, 2, "pata", None), (3, 1, None, "")], "refid long, langid long, ipaform string, gloss string")
+    vectors = store.build_vectors(rows, 16)
+    store.save_vectors(vectors, str(tmp_path / "v"))
+    found = {r["refid"]: r for r in store.load_vectors(spark, str(tmp_path / "v")).collect()}
+    assert found[1]["p"] == found[2]["p"] and found[2]["s"] == found[3]["s"] and set(found[3]["p"]) == {0.0}
+    rows.write.parquet(str(tmp_path / "w"))
+    with pytest.raises(RuntimeError):
+        store.load_vectors(spark, str(tmp_path / "w"))
+
+
+def test_command_line(spark, tmp_path):
+    from lexweave import cli
+
+    (tmp_path / "a.yaml").write_text(SYSTEM)
+    spark.createDataFrame([("k", "proto", "tota"), ("k", "de", "toda")], "skey string, lang string, form string").write.parquet(str(tmp_path / "sets"))
+    assert cli.main(["--list", "--folder", str(tmp_path)]) == "a.yaml: sample"
+    assert "0 errors in 1 comparisons" in cli.main(["sample", "--folder", str(tmp_path), "--sets", str(tmp_path / "sets")])
