@@ -32,7 +32,7 @@ def star_lexicon(spark: SparkSession, folder: str) -> Lexicon:
     languages = nation.select(long("n_nationkey").alias("langid"), F.col("n_name").alias("name")).unionByName(region.select(long(f"{PROTO_LANGUAGE} + r_regionkey").alias("langid"), F.col("r_name").alias("name")))
     ancestry = nation.select(long("n_nationkey").alias("langid"), long(f"{PROTO_LANGUAGE} + n_regionkey").alias("plangid"))
     words = part.select(long("p_partkey").alias("refid"), long("p_size % 25").alias("langid"), F.col("p_name").alias("form"), F.col("p_type").alias("gloss"))
-    of_region = customer.join(F.broadcast(nation), customer["c_nationkey"] == nation["n_nationkey"])
+    of_region = customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"])
     protos = of_region.select(long(f"{PROTO_FORM} + c_custkey").alias("refid"), long(f"{PROTO_LANGUAGE} + n_regionkey").alias("langid"), F.col("c_mktsegment").alias("form"), F.col("c_name").alias("gloss"))
     owners = of_region.select("c_custkey", long(f"{PROTO_LANGUAGE} + n_regionkey").alias("plangid"))
     lines = read(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
