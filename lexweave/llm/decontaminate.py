@@ -2,8 +2,9 @@
 
 Words are runs of letters and digits in lower case. A window of a document is as long as some
 benchmark item and starts where a shingle of the document that occurs in the benchmark would put
-the item's start; a document without such a shingle can't reach the wanted similarity. Windows and items get SimHash fingerprints of their shingles' hashes. Fingerprints within
-the radius agree in one of radius + 1 blocks at least, and are joined by length, block and value.
+the item's start; a document without such a shingle can't reach the wanted similarity. Windows and
+items get SimHash fingerprints of their shingles' hashes. Fingerprints within the radius agree in
+one of radius + 1 blocks at least, and are joined by length, block and value.
 What is left within the radius is compared exactly, by the weighted Jaccard similarity of the
 shingles with their counts as weights. All of it is made of built-in expressions.
 """
