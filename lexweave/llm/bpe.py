@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 #: Where the private symbols begin that stand for a word's last character.
 ENDS = 0x100000
-#: Distinct chunks of text, and pieces and pairs of tokens, that a worker remembers; beyond that it starts anew.
-CACHE_CHUNKS = 150_000
+#: Chunks and pieces of text, and pairs of tokens, that a worker remembers in one generation. When it is full it becomes the old one, from which what is asked for again comes back; the one before is forgotten.
+CACHE_CHUNKS = 200_000
 #: Longer chunks are encoded without being remembered.
 CACHE_CHUNK_CHARS = 64
 #: Python splits at these too; to the tokenizer they are no white space.
@@ -30,6 +30,13 @@ NOT_SPACES = re.compile("[\x1c-\x1f]")
 SPACE_RUN = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
+#: Marks that are a piece by themselves behind letters.
+PLAIN_MARKS = frozenset(".,;:!?)]}\"*&%$#")
+#: Byte-level models write each byte as a printable character: those of Latin-1 as they are, the rest from U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARACTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
 class Vocabulary:
     """Tokens, merges and their pair table, from the JSON text of a tokenizer file with a BPE model."""
 
@@ -56,7 +63,8 @@ class Vocabulary:
         self.added_ids = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.matches = ahocorasick.Automaton()
         known = sorted(self.ids, key=len)
-        usable = {t for t in known if len(t) == 1 or self.merge_all(t) == [self.ids[t]]}
+        #: Tokens that the merges make of their own symbols.
+        self.usable = usable = {t: self.ids[t] for t in known if len(t) == 1 or self.merge_all(t) == [self.ids[t]]}
         for token in usable:
             self.matches.add_word(token, (self.ids[token], len(token)))
         self.matches.make_automaton()
@@ -65,7 +73,7 @@ class Vocabulary:
         self.shorter: dict[int, int] = {}
         for token in usable:
             self.shorter[self.ids[token]] = next((self.ids[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in usable), -1)
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
 
     def _symbols(self, token: str, last: bool = True) -> str:
         """One character for each symbol: a character with the end-of-word suffix is one symbol."""
@@ -86,9 +94,10 @@ class Vocabulary:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges leave the border between the two tokens alone."""
-        if (found := self._compatible.get((left, right))) is not None:
+        key = left << 32 | right
+        if (found := self._compatible.get(key)) is not None:
             return found
-        first, second, limit = left, right, 1 << 60
+        limit = 1 << 60
         ranks, parts = self.rank, self.parts
         while True:
             if self.pairs.get((left, right), 1 << 60) < limit:
@@ -104,28 +113,32 @@ class Vocabulary:
                 limit, right = b + 1, parts[right][0]
         if len(self._compatible) >= CACHE_CHUNKS:
             self._compatible.clear()
-        self._compatible[first, second] = good
+        self._compatible[key] = good
         return good
 
     def encode_piece(self, piece: str) -> list[int]:
         """The ids of one piece, given in the model's byte characters."""
         symbols = piece[:-1] + chr(ENDS + ord(piece[-1])) if self.suffix else piece
+        if (whole := self.usable.get(symbols)) is not None:
+            return [whole]
         n = len(symbols)
         longest = [-1] * (n + 1)
-        size = [0] * (n + 1)
-        for end, (token, length) in self.matches.iter(symbols):
-            if length > size[start := end - length + 1]:
-                longest[start], size[start] = token, length
+        for end, (token, size) in self.matches.iter(symbols):
+            # matches come by their end, so the last one from a start is the longest
+            longest[end - size + 1] = token
         out: list[int] = []
         dead = bytearray(n + 1)
+        length, shorter, known, compatible = self.length, self.shorter, self._compatible, self.compatible
         at, token = 0, longest[0]
         while at < n:
-            last = out[-1] if out else None
+            last = out[-1] if out else -1
             while token >= 0:
-                end = at + self.length[token]
-                if not dead[end] and (last is None or self.compatible(last, token)):
-                    break
-                token = self.shorter[token]
+                end = at + length[token]
+                if not dead[end]:
+                    fits = last < 0 or known.get(last << 32 | token)
+                    if fits or (fits is None and compatible(last, token)):
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at, token = end, longest[end]
@@ -134,8 +147,8 @@ class Vocabulary:
                     raise ValueError(f"no tokens for {piece!r}")
                 dead[at] = 1
                 back = out.pop()
-                at -= self.length[back]
-                token = self.shorter[back]
+                at -= length[back]
+                token = shorter[back]
         return out
 
 
@@ -168,7 +181,7 @@ class Encoder:
         self.normalize = steps.normalizer.normalize_str
         self.split = steps.pre_tokenizer.pre_tokenize_str
         self.cache: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.plain = self._plain(json.loads(source))
         self.table = OffsetTable(self.vocabulary.texts)
 
@@ -182,34 +195,45 @@ class Encoder:
         return None
 
     def pieces(self, text: str) -> list[str]:
-        """The pieces of a stretch of text in byte characters, by the tokenizer's own steps; printable ASCII, where they are plain, skips them."""
-        if self.plain and text.isascii() and text.isprintable():
-            return self.plain.findall(text.lower())
+        """The pieces of a stretch of text in byte characters, by the tokenizer's own steps; where these are plain, letters up to U+012F and printable ASCII skip them."""
+        if self.plain:
+            body, mark = (text, []) if text.isalpha() else (text[:-1], [text[-1]])
+            if body.isalpha() and max(body) < "\u0130" and (not mark or mark[0] in PLAIN_MARKS):
+                low = body.lower()
+                return [low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_CHARACTERS), *mark]
+            if text.isascii() and text.isprintable():
+                return self.plain.findall(text.lower())
         return [piece for piece, _ in self.split(self.normalize(text))]
 
+    def remember(self, key: str, packed: bytes) -> bytes:
+        if len(key) <= CACHE_CHUNK_CHARS:
+            if len(self.cache) >= CACHE_CHUNKS:
+                self.old, self.cache = self.cache, {}
+            self.cache[key] = packed
+        return packed
+
+    def piece(self, piece: str) -> bytes:
+        # a piece in ASCII is also a chunk with the same ids; others are kept apart by a mark that no chunk has
+        key = piece if piece.isascii() else " " + piece
+        if (packed := self.cache.get(key)) is not None:
+            return packed
+        if (packed := self.old.get(key)) is None:
+            packed = np.array(self.vocabulary.encode_piece(piece), "<u4").tobytes()
+        return self.remember(key, packed)
+
     def chunk(self, chunk: str) -> bytes:
         """The packed ids of a stretch of text without white space."""
+        if (packed := self.old.get(chunk)) is not None:
+            return self.remember(chunk, packed)
         v, parts, at = self.vocabulary, [], 0
         spans = [(m.start(), m.end()) for m in v.added.finditer(chunk)] if v.added and "<" in chunk else []
         for start, end in [*spans, (len(chunk), len(chunk))]:
             if start > at:
-                for piece in self.pieces(chunk[at:start]):
-                    if (known := self.known.get(piece)) is None:
-                        known = np.array(v.encode_piece(piece), "<u4").tobytes()
-                        if len(piece) <= CACHE_CHUNK_CHARS:
-                            if len(self.known) >= CACHE_CHUNKS:
-                                self.known.clear()
-                            self.known[piece] = known
-                    parts.append(known)
+                parts += map(self.piece, self.pieces(chunk[at:start]))
             if end > start:
                 parts.append(v.added_ids[chunk[start:end]].to_bytes(4, "little"))
             at = end
-        packed = b"".join(parts)
-        if len(chunk) <= CACHE_CHUNK_CHARS:
-            if len(self.cache) >= CACHE_CHUNKS:
-                self.cache.clear()
-            self.cache[chunk] = packed
-        return packed
+        return self.remember(chunk, parts[0] if len(parts) == 1 else b"".join(parts))
 
     def encode(self, text: str) -> bytes:
         chunks = SPACE_RUN.split(text) if NOT_SPACES.search(text) else text.split()
