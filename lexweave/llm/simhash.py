@@ -14,7 +14,6 @@ parted into squares of bounded size, each a task's group of its own, that togeth
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,18 +192,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_column:
 
 #: Long fingerprints: LANES * 64 bits over shingles of FINE_WORDS words. A link is a distance of FINE_RADIUS or less.
 LANES, FINE_WORDS, FINE_RADIUS = 8, 2, 68
-#: Cells of a long fingerprint: FINE_CELLS choices of some of its two-bit segments. There are SPARE_BITS more bits in a cell's
-#: name than it takes to number all fingerprints, so that unrelated ones seldom share a cell, however many there are.
-FINE_CELLS, SPARE_BITS, BITS_PER_SEGMENT = 64, 4, 1.5
+#: Cells of a long fingerprint: FINE_CELLS choices of FINE_SEGMENTS of its two-bit segments, the same however many fingerprints
+#: there are, so whether two of them share a cell depends on them alone.
+FINE_CELLS, FINE_SEGMENTS = 48, 10
 
 
-def fine_masks(n: int) -> np.ndarray:
-    """(FINE_CELLS, LANES): the bits of each cell's segments, for n fingerprints."""
+def fine_masks() -> np.ndarray:
+    """(FINE_CELLS, LANES): the bits of each cell's segments."""
     rng = np.random.default_rng(5)
-    segments = math.ceil((math.log2(max(n, 2)) + SPARE_BITS) / BITS_PER_SEGMENT)
     masks = np.zeros((FINE_CELLS, LANES), np.uint64)
     for k in range(FINE_CELLS):
-        for s in rng.choice(32 * LANES, segments, replace=False).tolist():
+        for s in rng.choice(32 * LANES, FINE_SEGMENTS, replace=False).tolist():
             masks[k, s // 32] |= np.uint64(3 << (2 * (s % 32)))
     return masks
 
@@ -243,7 +241,7 @@ def long_fingerprints(docs: DataFrame, id_column: str, text_column: str) -> Data
 
 def _fine_links(nodes: DataFrame) -> DataFrame:
     """Links between long fingerprints (node, fp): in each cell to its smallest node, if the distance allows."""
-    masks, odd = fine_masks(nodes.count()), powers(LANES + 1, 0x9E3779B97F4A7C15)[1:]
+    masks, odd = fine_masks(), powers(LANES + 1, 0x9E3779B97F4A7C15)[1:]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

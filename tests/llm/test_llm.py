@@ -119,6 +119,21 @@ def test_near_copies_go(spark, docs, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_cells_of_long_fingerprints_do_not_depend_on_their_number():
+    masks = simhash.fine_masks()
+    assert masks.shape == (simhash.FINE_CELLS, simhash.LANES)
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 1 << 63, (400, simhash.LANES), dtype=np.uint64)
+    met = {}
+    for distance in (50, simhash.FINE_RADIUS):
+        bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
+        for row in bits:
+            row[rng.choice(512, distance, replace=False)] ^= 1
+        x, y = simhash.embed(fps), simhash.embed(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
+        met[distance] = np.mean(((x[:, None] & masks) == (y[:, None] & masks)).all(2).any(1))
+    assert met[50] >= 0.99 and met[simhash.FINE_RADIUS] >= 0.92
+
+
 def test_url_rules(spark, sf_dir):
     rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "")]
     given = [None, "", "nothing", "http://", "HTTP://A.Example.COM/en/78?x", "http://example.com/en/6", "http://com/en/", "http://xcom/en/", "ftp://a.b.net#y://com/en/", "http://bad.org/a", "http://x.bad.org", "http://notbad.org", "http://a..com/en/\n?", "x://ExÄ.com/en/"]
