@@ -219,7 +219,7 @@ def _long_fingerprint(words: np.ndarray, seeds: np.ndarray) -> bytes:
 
 
 def long_fingerprints(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, h, fp): for every row its text's 64-bit hash and its long fingerprint."""
+    """(id, h, fp, node): for every row its text's 64-bit hash, its long fingerprint and that one's name."""
     kind = docs.schema[id_column].dataType.simpleString()
     seeds = mix(np.arange(1, LANES + 1).astype(np.uint64))
 
@@ -233,36 +233,127 @@ def long_fingerprints(docs: DataFrame, id_column: str, text_column: str) -> Data
                 starts, ends, first = word_spans(data, bounds)
                 words = word_hashes(data, starts, ends)
                 fps = [_long_fingerprint(words[a:b], seeds) for a, b in itertools.pairwise(first.tolist())]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(fps, pa.binary())], ["id", "h", "fp"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(fps, pa.binary()), pa.array(_names(np.frombuffer(b"".join(fps), "<u8").reshape(-1, LANES)))], ["id", "h", "fp", "node"])
 
     rows = docs.select(docs[id_column].alias("id"), F.xxhash64(F.coalesce(docs[text_column], F.lit(""))).alias("h"), docs[text_column].alias("text"))
-    return rows.mapInArrow(work, f"id {kind}, h long, fp binary")
+    return rows.mapInArrow(work, f"id {kind}, h long, fp binary, node long")
+
+
+def _lanes(column: pa.Array) -> np.ndarray:
+    """(n, LANES) of a column of long fingerprints."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, LANES)
+
+
+def _names(fps: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each long fingerprint."""
+    return mix((fps * powers(LANES + 1, 0xD6E8FEB86659FD93)[1:]).sum(1, dtype=np.uint64)).view(np.int64)
+
+
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links (positions) that span the components of a symmetric matrix of links."""
+    left = np.ones(len(linked), bool)
+    links = []
+    for first in range(len(linked)):
+        if not left[first]:
+            continue
+        left[first] = False
+        todo = [first]
+        while todo:
+            at = todo.pop()
+            found = np.flatnonzero(linked[at] & left).tolist()
+            left[found] = False
+            links += [(at, k) for k in found]
+            todo += found
+    return links
+
+
+def _all_near(fps: np.ndarray) -> np.ndarray:
+    """Which of fps are within FINE_RADIUS of each other, each with each."""
+    out = np.zeros((len(fps), len(fps)), bool)
+    for k in range(0, len(fps), 64):
+        total = np.zeros((min(64, len(fps) - k), len(fps) - k), np.uint16)
+        for lane in range(LANES):
+            total += np.bitwise_count(fps[k : k + 64, None, lane] ^ fps[None, k:, lane])
+        out[k : k + 64, k:] = total <= FINE_RADIUS
+    return out | out.T
+
+
+def _near_in_cells(cell: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """(2, n): positions of links that span what lies within FINE_RADIUS in each cell; cell is sorted."""
+    at = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    sizes = np.diff(np.r_[at, len(cell)])
+    links = [np.zeros((2, 0), np.int64)]
+    for n in np.unique(sizes[(sizes > 1) & (sizes <= 32)]).tolist():
+        i, j = np.triu_indices(n, 1)
+        firsts = at[sizes == n]
+        step = max(1, (1 << 16) // len(i))
+        for k in range(0, len(firsts), step):
+            part = firsts[k : k + step, None]
+            x, y = part + i, part + j
+            near = np.bitwise_count(fps[x] ^ fps[y]).sum(2, dtype=np.uint16) <= FINE_RADIUS
+            many = near.sum(1) >= n
+            links.append(np.stack([x[near & ~many[:, None]], y[near & ~many[:, None]]]))
+            for c in np.flatnonzero(many).tolist():
+                linked = np.zeros((n, n), bool)
+                linked[i[near[c]], j[near[c]]] = True
+                links.append(np.array(spanning(linked | linked.T)).T + part[c])
+    for first, n in zip(at[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
+        if found := spanning(_all_near(fps[first : first + n])):
+            links.append(np.array(found).T + first)
+    found = np.concatenate(links, axis=1)
+    # the embedding's distance bounds the Hamming distance from below, so none of these is beyond the radius
+    assert (manhattan(embed(fps[found[0]]), embed(fps[found[1]])).sum(1) <= FINE_RADIUS).all()
+    return found
 
 
 def _fine_links(nodes: DataFrame) -> DataFrame:
-    """Links between long fingerprints (node, fp): in each cell to its smallest node, if the distance allows."""
+    """Links (a, b: names) that span the long fingerprints (fp) within FINE_RADIUS of each other in each cell. Cells of more than CELL are parted into squares, as in _links."""
     masks, odd = fine_masks(), powers(LANES + 1, 0x9E3779B97F4A7C15)[1:]
 
+    def cells_of(part: pa.Array) -> np.ndarray:
+        code = embed(_lanes(part))
+        return np.concatenate([mix(((code & m) * odd).sum(1, dtype=np.uint64) + np.uint64(t)).view(np.int64) for t, m in enumerate(masks)])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                yield pa.RecordBatch.from_arrays([pa.array(cells_of(batch.column(0).slice(k, 1024)))], ["cell"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
-                code = embed(np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, LANES))
-                cells = [mix(((code & m) * odd).sum(1, dtype=np.uint64) + np.uint64(t)).view(np.int64) for t, m in enumerate(masks)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.tile(part.column(0).to_numpy(), FINE_CELLS))], ["cell", "node"])
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.column(0).slice(k, 1024)
+                yield pa.RecordBatch.from_arrays([pa.array(cells_of(part)), pa.array(part.to_pylist() * FINE_CELLS, pa.binary())], ["cell", "fp"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64)
+
+        def found(cell: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+            a, b = _near_in_cells(cell, fps)
+            both = np.stack([_names(fps[a]), _names(fps[b])])
+            # one task's cells often give the same link
+            both = np.unique(np.sort(both, axis=0), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(-1, LANES) for k in (2, 3))
-            near = manhattan(embed(x), embed(y)).sum(1) <= FINE_RADIUS
-            near &= np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= FINE_RADIUS
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            cell, fps = np.concatenate([rest[0], batch.column(0).to_numpy()]), np.concatenate([rest[1], _lanes(batch.column(1))])
+            if not len(cell):
+                continue
+            cut = int(np.searchsorted(cell, cell[-1]))
+            rest = cell[cut:], fps[cut:]
+            if cut:
+                yield found(cell[:cut], fps[:cut])
+        if len(rest[0]):
+            yield found(*rest)
 
-    cells = nodes.mapInArrow(deal, "cell long, node long")
-    least = cells.groupBy("cell").agg(F.min("node").alias("b"))
-    pairs = cells.join(least, "cell").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    hot = nodes.select("fp").mapInArrow(name, "cell long").groupBy("cell").count().where(F.col("count") > CELL)
+    # a hot cell takes CELL rows of FINE_CELLS for each fingerprint, so the list of them is short
+    dealt = nodes.select("fp").mapInArrow(deal, "cell long, fp binary").join(F.broadcast(hot), "cell", "left")
+    n = F.ceil(F.coalesce("count", F.lit(1)) / CELL).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), n).cast("int")
+    square = F.when(n == 1, F.array("cell")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.xxhash64("cell", F.least(o, mine), F.greatest(o, mine))))
+    groups = dealt.select(F.explode(square).alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell")
+    return groups.mapInArrow(link, "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -274,8 +365,8 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     and blank texts are copies of each other; a null id counts as the largest. All columns stay.
     """
     rows = checkpointed(long_fingerprints(docs, id_column, text_column))
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("least")).withColumn("node", F.xxhash64("fp")))
-    roots = connected_components(_fine_links(nodes.select("node", "fp")))
+    nodes = checkpointed(rows.groupBy("node", "fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("least")))
+    roots = connected_components(_fine_links(nodes))
     of = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     stay = of.groupBy("root").agg(F.min("least").alias("x")).select(F.col("x.id").alias("_id"), F.col("x.h").alias("_h"))
     hashed = docs.withColumn("_key", F.xxhash64(F.coalesce(docs[text_column], F.lit(""))))

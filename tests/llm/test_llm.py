@@ -134,6 +134,20 @@ def test_cells_of_long_fingerprints_do_not_depend_on_their_number():
     assert met[50] >= 0.99 and met[simhash.FINE_RADIUS] >= 0.92
 
 
+@pytest.mark.parametrize("size", [16, 2048])
+def test_each_member_of_a_cell_is_compared(spark, monkeypatch, size):
+    # two near copies share one cell with many unrelated fingerprints
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 1 << 63, (90, simhash.LANES), dtype=np.uint64)
+    fps[70] = fps[20] ^ np.array([0xFFFF] * 3 + [0] * 5, np.uint64)
+    fps[71] = fps[70] ^ np.array([0] * 3 + [0xFFFF] * 3 + [0] * 2, np.uint64)
+    monkeypatch.setattr(simhash, "CELL", size)
+    monkeypatch.setattr(simhash, "fine_masks", lambda: np.zeros((simhash.FINE_CELLS, simhash.LANES), np.uint64))
+    links = simhash._fine_links(spark.createDataFrame([(bytearray(x.tobytes()),) for x in fps], "fp binary"))
+    names = simhash._names(fps).tolist()
+    assert {frozenset(r) for r in links.collect()} == {frozenset((names[20], names[70])), frozenset((names[70], names[71]))}
+
+
 def test_url_rules(spark, sf_dir):
     rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "")]
     given = [None, "", "nothing", "http://", "HTTP://A.Example.COM/en/78?x", "http://example.com/en/6", "http://com/en/", "http://xcom/en/", "ftp://a.b.net#y://com/en/", "http://bad.org/a", "http://x.bad.org", "http://notbad.org", "http://a..com/en/\n?", "x://ExÄ.com/en/"]
