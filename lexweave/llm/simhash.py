@@ -192,6 +192,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_column:
 
 #: Long fingerprints: LANES * 64 bits over shingles of FINE_WORDS words. A link is a distance of FINE_RADIUS or less.
 LANES, FINE_WORDS, FINE_RADIUS = 8, 2, 68
+#: Near copies: the Jaccard similarity of the sets of shingles of SET_WORDS words is SIMILAR[0] / SIMILAR[1] or more.
+SET_WORDS, SIMILAR = 5, (4, 5)
+#: Texts, and shingles of them, that one part of a group of candidates has at most.
+PART, PART_SHINGLES = 2048, 1 << 21
 #: Cells of a long fingerprint: FINE_CELLS choices of FINE_SEGMENTS of its two-bit segments, the same however many fingerprints
 #: there are, so whether two of them share a cell depends on them alone.
 FINE_CELLS, FINE_SEGMENTS = 48, 10
@@ -207,10 +211,18 @@ def fine_masks() -> np.ndarray:
     return masks
 
 
+def shingle_set(words: np.ndarray) -> np.ndarray:
+    """The sorted hashes of a text's shingles of SET_WORDS words, given its words' hashes; fewer words are one shingle, none give none."""
+    if 0 < len(words) < SET_WORDS:
+        return mix((words * powers(SET_WORDS, 0x9E3779B97F4A7C15)[: len(words)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(words)))
+    return np.unique(rolling_hashes(words, SET_WORDS))
+
+
 def _long_fingerprint(words: np.ndarray, seeds: np.ndarray) -> bytes:
     if not len(words):
         return bytes(8 * LANES)
-    shingles = rolling_hashes(words, FINE_WORDS) if len(words) >= FINE_WORDS else words
+    # each once: what a text repeats says nothing about its similarity, which is one of sets
+    shingles = np.unique(rolling_hashes(words, FINE_WORDS) if len(words) >= FINE_WORDS else words)
     counts = np.zeros(64 * LANES, np.int64)
     for k in range(0, len(shingles), 8192):
         lanes = mix(shingles[k : k + 8192, None] ^ seeds[None, :])
@@ -219,7 +231,7 @@ def _long_fingerprint(words: np.ndarray, seeds: np.ndarray) -> bytes:
 
 
 def long_fingerprints(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, h, fp, node): for every row its text's 64-bit hash, its long fingerprint and that one's name."""
+    """(id, h, fp, name, node, n): for every row its text's 64-bit hash, its long fingerprint and that one's name, and a name and the size of its set of shingles."""
     kind = docs.schema[id_column].dataType.simpleString()
     seeds = mix(np.arange(1, LANES + 1).astype(np.uint64))
 
@@ -232,11 +244,15 @@ def long_fingerprints(docs: DataFrame, id_column: str, text_column: str) -> Data
                 data = np.frombuffer(b"".join(texts), np.uint8)
                 starts, ends, first = word_spans(data, bounds)
                 words = word_hashes(data, starts, ends)
-                fps = [_long_fingerprint(words[a:b], seeds) for a, b in itertools.pairwise(first.tolist())]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(fps, pa.binary()), pa.array(_names(np.frombuffer(b"".join(fps), "<u8").reshape(-1, LANES)))], ["id", "h", "fp", "node"])
+                spans = list(itertools.pairwise(first.tolist()))
+                fps = [_long_fingerprint(words[a:b], seeds) for a, b in spans]
+                sets = [shingle_set(words[a:b]) for a, b in spans]
+                nodes = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets]
+                columns = [pa.array(fps, pa.binary()), pa.array(_names(np.frombuffer(b"".join(fps), "<u8").reshape(-1, LANES))), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array([len(x) for x in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *columns], ["id", "h", "fp", "name", "node", "n"])
 
     rows = docs.select(docs[id_column].alias("id"), F.xxhash64(F.coalesce(docs[text_column], F.lit(""))).alias("h"), docs[text_column].alias("text"))
-    return rows.mapInArrow(work, f"id {kind}, h long, fp binary, node long")
+    return rows.mapInArrow(work, f"id {kind}, h long, fp binary, name long, node long, n long")
 
 
 def _lanes(column: pa.Array) -> np.ndarray:
@@ -356,17 +372,95 @@ def _fine_links(nodes: DataFrame) -> DataFrame:
     return groups.mapInArrow(link, "a long, b long").distinct()
 
 
+def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (positions) that span the components of sets, given as sorted arrays, at a Jaccard similarity of SIMILAR or more. Sets without members are left out."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    first = np.r_[0, np.cumsum(sizes)]
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(at, kind="stable")]
+    held = np.bincount(at, minlength=len(values))
+    start = np.r_[0, np.cumsum(held)]
+    left, links = sizes > 0, []
+    for k in np.flatnonzero(left).tolist():
+        if not left[k]:
+            continue
+        left[k] = False
+        todo = [k]
+        while todo and left.any():
+            x = todo.pop()
+            mine = at[first[x] : first[x + 1]]
+            n = held[mine]
+            others = owners[np.repeat(start[mine] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+            common = np.bincount(others, minlength=len(sets))
+            found = np.flatnonzero(left & (common * sum(SIMILAR) >= SIMILAR[0] * (sizes + sizes[x]))).tolist()
+            left[found] = False
+            links += [(x, y) for y in found]
+            todo += found
+    return links
+
+
+def _similar_in_groups(texts: DataFrame) -> DataFrame:
+    """Links (a, b: nodes) between texts (groups: array of long, node, text) of a group that are near copies, by the exact similarity of their sets of shingles."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch.column(2), SLICE_BYTES // 2):
+                piece = batch.slice(lo, hi - lo)
+                held = [t.lower() for t in as_bytes(piece.column(2))]
+                bounds = np.concatenate([[0], np.cumsum([len(t) for t in held])]).astype(np.int64)
+                data = np.frombuffer(b"".join(held), np.uint8)
+                starts, ends, first = word_spans(data, bounds)
+                words = word_hashes(data, starts, ends)
+                sets = [shingle_set(words[a:b]).tobytes() for a, b in itertools.pairwise(first.tolist())]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(sets, pa.binary())], ["groups", "node", "shingles"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, sets = None, [], []
+
+        def found() -> pa.RecordBatch:
+            links = np.array(similar_links(sets), np.int64).reshape(-1, 2)
+            named = np.array(nodes, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(named[links[:, 0]]), pa.array(named[links[:, 1]])], ["a", "b"])
+
+        for batch in batches:
+            for g, node, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group:
+                    if len(nodes) > 1:
+                        yield found()
+                    group, nodes, sets = g, [], []
+                if not nodes or node != nodes[-1]:  # repeated rows follow each other
+                    nodes.append(node)
+                    sets.append(np.frombuffer(x, np.uint64))
+        if len(nodes) > 1:
+            yield found()
+
+    sets = texts.select("groups", "node", "text").mapInArrow(sets_of, "groups array<long>, node long, shingles binary")
+    groups = sets.select(F.explode("groups").alias("g"), "node", "shingles").repartition("g").sortWithinPartitions("g", "node")
+    return groups.mapInArrow(link, "a long, b long").distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with one row of each group of near copies: that with the smallest id (of equal ids, the smallest text hash).
 
-    Texts are near copies if their long fingerprints differ in FINE_RADIUS bits or fewer: of texts
-    whose sets of five-word shingles have a Jaccard similarity of 0.8 about one bit in twelve
-    differs. Groups are the components of those links. Rows alike in id and text count once. Null
+    Texts are near copies if their sets of five-word shingles (words with A-Z lower-cased; fewer
+    words are one shingle) have a Jaccard similarity of 0.8 or more. Components of long fingerprints
+    that differ in FINE_RADIUS bits or fewer are the candidates; in each, texts are compared exactly,
+    and groups are the components of what is similar. Rows alike in id and text count once. Null
     and blank texts are copies of each other; a null id counts as the largest. All columns stay.
     """
     rows = checkpointed(long_fingerprints(docs, id_column, text_column))
-    nodes = checkpointed(rows.groupBy("node", "fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("least")))
-    roots = connected_components(_fine_links(nodes))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "fp", "name", "n")).alias("least")).select("node", "least", "least.fp", "least.name", "least.n"))
+    loose = connected_components(_fine_links(nodes.select("fp").distinct()).select("a", "b"))
+    near = nodes.join(loose, nodes["name"] == loose["node"], "left").select(nodes["node"], "least", "n", F.coalesce("root", "name").alias("g"))
+    groups = near.groupBy("g").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles")).where("texts > 1")
+    near = near.join(groups, "g").withColumn("parts", F.greatest(F.ceil(F.col("texts") / PART), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("int"))
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    # a group of several parts is dealt out as squares (i, j), i <= j
+    square = F.when(F.col("parts") == 1, F.array("g")).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.xxhash64("g", F.least(o, mine), F.greatest(o, mine))))
+    near = near.select("node", F.col("least.id").alias("_id"), F.col("least.h").alias("_h"), square.alias("groups"))
+    texts = docs.select(docs[id_column].alias("id"), F.xxhash64(F.coalesce(docs[text_column], F.lit(""))).alias("h"), docs[text_column].alias("text"))
+    texts = texts.join(near, texts["id"].eqNullSafe(near["_id"]) & (texts["h"] == near["_h"])).select("groups", "node", "text")
+    roots = connected_components(_similar_in_groups(texts))
     of = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     stay = of.groupBy("root").agg(F.min("least").alias("x")).select(F.col("x.id").alias("_id"), F.col("x.h").alias("_h"))
     hashed = docs.withColumn("_key", F.xxhash64(F.coalesce(docs[text_column], F.lit(""))))

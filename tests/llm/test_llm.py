@@ -148,6 +148,29 @@ def test_each_member_of_a_cell_is_compared(spark, monkeypatch, size):
     assert {frozenset(r) for r in links.collect()} == {frozenset((names[20], names[70])), frozenset((names[70], names[71]))}
 
 
+@pytest.mark.parametrize("part", [3, 2048])
+def test_near_copies_have_a_similarity_of_four_fifths(spark, monkeypatch, part):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(8):
+        base = sentence(120, rng).split()
+        texts.append(base)
+        for k in (1, 2, 3, 4, 5, 6, 8):  # every change of a word takes up to five shingles
+            copy = list(base)
+            for x in rng.sample(range(len(copy)), k):
+                copy[x] = f"changed{rng.random()}"
+            texts.append(copy)
+    texts += [texts[0] * 3, texts[0] + texts[1] + texts[0]]  # repeats change the counts, not the set
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        root = [min(root[j] for j, y in enumerate(sets) if 5 * len(x & y) >= 4 * len(x | y)) for x in sets]
+    monkeypatch.setattr(simhash, "PART", part)
+    rows = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(rows).collect())
+    assert kept == sorted(set(root)) and 8 < len(kept) < len(texts) - 8
+
+
 def test_url_rules(spark, sf_dir):
     rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "")]
     given = [None, "", "nothing", "http://", "HTTP://A.Example.COM/en/78?x", "http://example.com/en/6", "http://com/en/", "http://xcom/en/", "ftp://a.b.net#y://com/en/", "http://bad.org/a", "http://x.bad.org", "http://notbad.org", "http://a..com/en/\n?", "x://ExÄ.com/en/"]
