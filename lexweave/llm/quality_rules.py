@@ -22,8 +22,8 @@ BUCKETS = 1 << 16
 MAX_TARGET = 20_000
 #: Added to each bucket's count.
 SMOOTHING = 1.0
-#: Mean log ratio, in thousandths, from which a text is kept.
-THRESHOLD = -400
+#: Mean log ratio, in thousandths, from which a text is kept: just below the lowest scores of trusted texts (README).
+THRESHOLD = -120
 SYMBOLS = r"[#*$%&|<>]+"
 
 

@@ -242,6 +242,16 @@ def test_quality_rules(spark, docs, empty):
         quality_rules.with_quality(docs.withColumn("_quality", F.lit(1)), ratios)
 
 
+def test_quality_rules_tell_labelled_texts_apart(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
+    judged = quality_rules.with_quality(docs, quality_rules.fit_ratios(quality_rules.trusted_target(docs, labels), docs))
+    rows = judged.join(labels.where("toxic = 0"), "doc_id").where("not _quality.base_failed")
+    kept = {r["quality"]: (r["n"], r["kept"]) for r in rows.groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("_quality.kept").cast("int")).alias("kept")).collect()}
+    assert kept[0][0] > 20 and kept[0][1] == 0
+    assert kept[1][0] > 200 and kept[1][1] >= 0.99 * kept[1][0]
+
+
 def test_decontamination(spark, docs, empty):
     words = LONG.split()
     items = [(1, " ".join(words[200:230])), (2, " ".join(words[200:230])), (3, sentence(3) + " zzz"), (4, "one two"), (5, None), (6, ""), (7, " ".join(words[500:540]) + " x"), (8, sentence(50))]
