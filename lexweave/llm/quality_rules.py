@@ -18,8 +18,6 @@ from .shared import array_literal, let, words_column
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
-#: Labelled documents that the target is counted from at most, those with the smallest hash of their id.
-MAX_TARGET = 20_000
 #: Added to each bucket's count.
 SMOOTHING = 1.0
 #: Mean log ratio, in thousandths, from which a text is kept: just below the lowest scores of trusted texts (README).
@@ -53,11 +51,10 @@ def fit_ratios(target: DataFrame, raw: DataFrame, text_column: str = "text") ->
     return [round(1000 * (math.log((t + SMOOTHING) / n_target) - math.log((r + SMOOTHING) / n_raw))) for t, r in pairs]
 
 
-def trusted_target(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", limit: int = MAX_TARGET) -> DataFrame:
-    """The documents whose quality label is 1 and that are not toxic, at most limit of them."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("_target")).distinct()
-    good = good.orderBy(F.xxhash64("_target"), "_target").limit(limit)
-    return docs.join(F.broadcast(good), docs[id_column] == F.col("_target"), "left_semi")
+def trusted_target(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """The documents whose quality label is 1 and that are not toxic, all of them."""
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("_target"))
+    return docs.join(good, docs[id_column] == F.col("_target"), "left_semi")
 
 
 def window_hashes(words: Column, size: int = 5) -> Column:

@@ -252,6 +252,12 @@ def test_quality_rules_tell_labelled_texts_apart(spark):
     assert kept[1][0] > 200 and kept[1][1] >= 0.99 * kept[1][0]
 
 
+def test_every_trusted_text_counts(spark):
+    docs = spark.range(20_100).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.when(F.col("doc_id") == 5, 1).alias("toxic"))
+    assert quality_rules.trusted_target(docs, labels.unionByName(labels)).count() == 20_099
+
+
 def test_decontamination(spark, docs, empty):
     words = LONG.split()
     items = [(1, " ".join(words[200:230])), (2, " ".join(words[200:230])), (3, sentence(3) + " zzz"), (4, "one two"), (5, None), (6, ""), (7, " ".join(words[500:540]) + " x"), (8, sentence(50))]
