@@ -123,7 +123,7 @@ def related_words(spark, sf_dir):
     asked = words_of(read(spark, sf_dir, "benchmark"), "item_id").select("form").distinct()
     code = F.expr("crc32(cast(lang as binary))")
     rows = build_vectors(words.select(key.alias("refid"), code.alias("langid"), F.col("form").alias("ipaform"), F.col("form").alias("gloss")), 32)
-    wanted = words.join(asked, "form", "left_semi").where("lang = 'es'").select(key.alias("refid"))
+    wanted = words.join(asked, "form", "left_semi").select(key.alias("refid"))
     best = sim.nearest(rows.join(wanted, "refid", "left_semi"), rows, 5, 1.0)
     named = words.select(key.alias("id"), "lang", "form")
     out = best.join(named.select(F.col("id").alias("q"), F.col("form").alias("query")), "q").join(named.withColumnRenamed("id", "refid"), "refid")

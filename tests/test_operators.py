@@ -219,3 +219,14 @@ def test_command_line(spark, tmp_path):
     spark.createDataFrame([("k", "proto", "tota"), ("k", "de", "toda")], "skey string, lang string, form string").write.parquet(str(tmp_path / "sets"))
     assert cli.main(["--list", "--folder", str(tmp_path)]) == "a.yaml: sample"
     assert "0 errors in 1 comparisons" in cli.main(["sample", "--folder", str(tmp_path), "--sets", str(tmp_path / "sets")])
+
+
+def test_every_benchmark_word_is_looked_up(spark, sf_dir):
+    import __spark_entry__ as entry
+    from lexweave.sources.tables import read, word_lexicon, words_of
+
+    asked = words_of(read(spark, sf_dir, "benchmark"), "item_id").select("form").distinct()
+    wanted = word_lexicon(spark, sf_dir).join(asked, "form", "left_semi")
+    found = entry.QUERIES["related_words"](spark, sf_dir)
+    assert {r[0] for r in found.select("query").distinct().collect()} == {r[0] for r in wanted.select("form").distinct().collect()}
+    assert wanted.where("lang <> 'es'").count() > 0
