@@ -54,7 +54,8 @@ def fit_ratios(target: DataFrame, raw: DataFrame, text_column: str = "text") ->
 def trusted_target(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The documents whose quality label is 1 and that are not toxic, all of them."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("_target"))
-    return docs.join(good, docs[id_column] == F.col("_target"), "left_semi")
+    # always by a merge join: labels grow with the corpus
+    return docs.join(good.hint("merge"), docs[id_column] == F.col("_target"), "left_semi")
 
 
 def window_hashes(words: Column, size: int = 5) -> Column:
