@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .shared import slices
+
 #: Where the private symbols begin that stand for a word's last character.
 ENDS = 0x100000
 #: Chunks and pieces of text, and pairs of tokens, that a worker remembers in one generation. When it is full it becomes the old one, from which what is asked for again comes back; the one before is forgotten.
@@ -176,6 +178,8 @@ class Encoder:
     def __init__(self, source: str) -> None:
         from tokenizers import Tokenizer
 
+        if json.loads(source).get("decoder"):
+            raise ValueError("the offset table joins tokens by spaces, as a tokenizer without a decoder does")
         self.vocabulary = Vocabulary(source)
         steps = Tokenizer.from_str(source)
         self.normalize = steps.normalizer.normalize_str
@@ -262,8 +266,10 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "do
     """(id, ids, decoded): ids holds each text's token ids as little-endian unsigned 32-bit integers, decoded their tokens joined by spaces.
 
     A null text counts as an empty one: no ids and an empty decoded text. Special tokens that
-    stand in a text become their ids. Repeated rows stay; further columns are not read. Texts are
-    taken whole, whatever their length; memory holds one batch, and a bounded cache of chunks.
+    stand in a text become their ids. Repeated rows stay; further columns are not read, whatever
+    their names. Texts are taken whole, whatever their length; memory holds one slice of a batch,
+    and a bounded cache of chunks. No rows give no rows. A tokenizer file with a decoder of its own
+    is refused.
     """
     source = load_vocabulary(tokenizer_path)
     kind = docs.schema[id_column].dataType.simpleString()
@@ -271,8 +277,8 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "do
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(source)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start, end in slices(batch.column(1)):
+                part = batch.slice(start, end - start)
                 ids = [encoder.encode(t or "") for t in part.column(1).to_pylist()]
                 texts = [encoder.table.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in ids] if decode else [None] * len(ids)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "ids", "decoded"])

@@ -3,7 +3,7 @@
 A text in UTF-8 is cut into windows of WINDOW bytes. Two gated recurrent units read each window,
 one from either end; at every position their states give a probability for each language. A
 text's probabilities are the mean over its letter positions. The network is trained in numpy by
-backpropagation through time on windows spread over a bounded number of labelled texts.
+backpropagation through time on all windows of a bounded number of labelled texts.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .shared import slices
 
 WINDOW, HIDDEN, BATCH = 64, 8, 4096
-#: Labelled texts that are learned from at most, those with the smallest hash of their id; and windows of each.
-MAX_TEXTS, WINDOWS_PER_TEXT = 3000, 6
-EPOCHS, MINIBATCH, RATE, SEED = 4, 256, 0.01, 7
+#: Labelled texts that are learned from at most, those with the smallest hash of their id; each is learned from whole.
+MAX_TEXTS = 600
+EPOCHS, MINIBATCH, RATE, SEED = 3, 256, 0.01, 7
 UNKNOWN = "und"
 #: Bytes that belong to letters: ASCII letters and all of longer characters.
 IS_LETTER = np.array([chr(b).isalpha() or b >= 128 for b in range(256)])
@@ -141,11 +141,6 @@ def train(texts: list[bytes], labels: list[str]) -> Network:
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     starts, sizes, text = cut(data, bounds)
-    rank = np.arange(len(text)) - np.searchsorted(text, text)
-    total = np.bincount(text, minlength=len(texts))[text]
-    # windows spread evenly over each text
-    take = (rank * WINDOWS_PER_TEXT) // np.maximum(total, 1) != ((rank - 1) * WINDOWS_PER_TEXT) // np.maximum(total, 1)
-    starts, sizes, text = starts[take], sizes[take], text[take]
     y = np.array([index[x] for x in labels])
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     step = 0
@@ -182,10 +177,18 @@ def text_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def fit_language(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", limit: int = MAX_TEXTS) -> Network | None:
-    """A network from at most limit rows with a text with letters and a language; None without any."""
-    rows = labelled.select(labelled[id_column].alias("id"), labelled[text_column].alias("text"), labelled[lang_column].alias("lang")).where(r"lang is not null and text rlike '\\p{L}'")
-    rows = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(limit).select("text", "lang").collect()
-    return train([r["text"].encode() for r in rows], [r["lang"] for r in rows]) if rows else None
+    """A network from at most limit texts with letters and a language; None without any.
+
+    Which texts they are is settled by ids and hashes alone; only then are their texts fetched.
+    Rows alike in id and text count once, with the first of their languages by name.
+    """
+    rows = labelled.select(labelled[id_column].alias("id"), labelled[text_column].alias("text"), labelled[lang_column].alias("lang")).where(r"lang is not null and text rlike '\\p{L}'").withColumn("h", F.xxhash64("text"))
+    keys = rows.select("id", "h").orderBy(F.xxhash64("id"), "id", "h").limit(limit).distinct().withColumnsRenamed({"id": "_id", "h": "_h"})
+    # limit rows at most, of two numbers each
+    held = rows.join(F.broadcast(keys), rows["id"].eqNullSafe(F.col("_id")) & (rows["h"] == F.col("_h")), "left_semi")
+    held = held.groupBy("id", "h").agg(F.min("text").alias("text"), F.min("lang").alias("lang")).collect()
+    held.sort(key=lambda r: (r["h"], r["text"], r["lang"]))
+    return train([r["text"].encode() for r in held], [r["lang"] for r in held]) if held else None
 
 
 def predict_language(docs: DataFrame, net: Network | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -193,7 +196,7 @@ def predict_language(docs: DataFrame, net: Network | None, id_column: str = "doc
 
     und with score 0 if the text is null or has no letter, or if nothing was learned. Of equally
     probable languages the first by name. Texts are read whole, windows of very long ones in
-    turn. Repeated rows stay; no other column is read.
+    turn. Repeated rows stay; no other column is read, whatever its name. No rows give no rows.
     """
     kind = docs.schema[id_column].dataType.simpleString()
 

@@ -147,10 +147,10 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", limit: int = MAX_TEXTS) -> Model | None:
-    """A model from at most limit labelled documents; None without any. A document labelled twice counts with its smallest label."""
+    """A model from at most limit labelled documents; None without any. A document labelled twice counts with its smallest label, an id with several texts with the first of them."""
     known = labels.select(labels[id_column].alias("_id"), labels[label_column].cast("int").alias("_label")).where("_id is not null and _label in (0, 1)").groupBy("_id").agg(F.min("_label").alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    rows = docs.select(docs[id_column].alias("_id"), docs[text_column].alias("_text")).join(F.broadcast(known), "_id").dropDuplicates(["_id"]).collect()
+    rows = docs.select(docs[id_column].alias("_id"), docs[text_column].alias("_text")).join(F.broadcast(known), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_label").alias("_label")).collect()
     rows.sort(key=lambda r: r["_id"])
     return train([(r["_text"] or "").encode() for r in rows], [r["_label"] for r in rows]) if rows else None
 
@@ -159,8 +159,8 @@ def score_quality(docs: DataFrame, model: Model | None, id_column: str = "doc_id
     """(id, score) for every row: how likely label 1 is, from 0 to 1.
 
     A null text counts as empty, and an empty text as one passage without content. Without a
-    model every score is 0.5. Texts are read whole. Repeated rows stay and score alike; no other
-    column is read.
+    model every score is 0.5. Texts are read whole, passages of very long ones in turn. Repeated
+    rows stay and score alike; no other column is read, whatever its name. No rows give no rows.
     """
     kind = docs.schema[id_column].dataType.simpleString()
 

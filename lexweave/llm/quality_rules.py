@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import array_literal, let, words_column
+from .shared import array_literal, free_name, let, words_column
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
@@ -53,9 +53,10 @@ def fit_ratios(target: DataFrame, raw: DataFrame, text_column: str = "text") ->
 
 def trusted_target(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The documents whose quality label is 1 and that are not toxic, all of them."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("_target"))
+    key = free_name("_target", *docs.columns)
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias(key))
     # always by a merge join: labels grow with the corpus
-    return docs.join(good.hint("merge"), docs[id_column] == F.col("_target"), "left_semi")
+    return docs.join(good.hint("merge"), docs[id_column] == F.col(key), "left_semi")
 
 
 def window_hashes(words: Column, size: int = 5) -> Column:
@@ -82,7 +83,8 @@ def with_quality(docs: DataFrame, ratios: list[int], text_column: str = "text",
 
     A null or blank text has no words, fails the base rules and is not kept. score is the mean log
     ratio; a text without words has 0. Every row is judged by itself: repeated rows get equal
-    results, and further columns pass through (one named _quality is an error).
+    results, and further columns pass through (one named _quality is an error). A very long text
+    is one row's work, some dozen arrays of its words. No rows give no rows.
     """
     if "_quality" in {c.lower() for c in docs.columns}:
         raise ValueError("the column _quality is taken")

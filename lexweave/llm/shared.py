@@ -16,6 +16,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACES, np.uint8))
 #: One batch of texts is worked on in slices of about this many bytes, so that memory stays level.
 SLICE_BYTES = 2 << 20
+#: Bytes of text, or words of it, that are hashed at once, so that a very long text takes no more than its results.
+PIECE = 1 << 20
 
 _rng = np.random.default_rng(20240117)
 #: A random odd 64-bit multiplier, its inverse modulo 2**64 and a random value for each byte.
@@ -46,6 +48,14 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def free_name(name: str, *taken: str) -> str:
+    """name, with underscores behind it until no column has it."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def array_literal(values: list[int], kind: str = "bigint"):
     """values as a constant array column; it goes to the JVM as one string, which the optimizer folds into an array once."""
     if not values:
@@ -135,10 +145,31 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word: random byte values under powers of a random multiplier, scrambled."""
-    up, down = POWERS.get(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out = np.empty(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):
+        base = int(starts[k])
+        to = max(k + 1, int(np.searchsorted(ends, base + PIECE, side="right")))
+        if ends[to - 1] - base > PIECE:
+            out[k] = _long_word(data[base : ends[k]])
+        else:
+            piece = data[base : ends[to - 1]]
+            up, down = POWERS.get(len(piece) + 1)
+            sums = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(BYTE_VALUES[piece] * up[: len(piece)], out=sums[1:])
+            a, b = starts[k:to] - base, ends[k:to] - base
+            out[k:to] = (sums[b] - sums[a]) * down[a]
+        k = to
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
+def _long_word(data: np.ndarray) -> np.uint64:
+    """The same sum for one word, piece by piece."""
+    total = 0
+    for k in range(0, len(data), PIECE):
+        piece = data[k : k + PIECE]
+        total += pow(ODD, k, 1 << 64) * int((BYTE_VALUES[piece] * POWERS.get(len(piece) + 1)[0][: len(piece)]).sum(dtype=np.uint64))
+    return np.uint64(total % (1 << 64))
 
 
 def rolling_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -146,7 +177,12 @@ def rolling_hashes(words: np.ndarray, size: int) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = POWERS.get(len(words) + 1)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
-    return mix((sums[size:] - sums[:n]) * down[:n])
+    out = np.empty(n, np.uint64)
+    for k in range(0, n, PIECE):
+        piece = words[k : k + PIECE + size - 1]
+        up, down = POWERS.get(len(piece) + 1)
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(piece * up[: len(piece)], out=sums[1:])
+        m = len(piece) - size + 1
+        out[k : k + m] = mix((sums[size:] - sums[:m]) * down[:m])
+    return out

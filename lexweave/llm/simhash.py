@@ -3,9 +3,11 @@
 A text's fingerprint has a bit set where over half the 64-bit hashes of its word shingles have it
 set. Each fingerprint is embedded as the popcounts of its 32 two-bit segments: the Manhattan
 distance of two embeddings is at most the fingerprints' Hamming distance. The range join under
-that distance runs on a grid: the segments form BLOCKS blocks, and a distance of radius or less
-leaves at least BLOCKS - radius of them alone, so two such embeddings share the cell of some choice
-of that many blocks. Within a cell the Manhattan bound comes first, then the exact distance.
+that distance runs on a grid: the segments form blocks, and a distance of radius or less leaves at
+least as many of them alone as there are blocks beyond the radius, so two such embeddings share the
+cell of some choice of that many blocks. More fingerprints are cut into more blocks, whose cells
+are finer; what is found is the same. Within a cell the Manhattan distance filters first, and the
+exact distance is taken of what it lets through.
 
 A cell gives a spanning forest of its links, never all its pairs. A cell with many fingerprints is
 parted into squares of bounded size, each a task's group of its own, that together hold every pair.
@@ -23,27 +25,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import SLICE_BYTES, as_bytes, checkpointed, mix, powers, rolling_hashes, slices, word_hashes, word_spans
+from .shared import SLICE_BYTES, as_bytes, checkpointed, free_name, mix, powers, rolling_hashes, slices, word_hashes, word_spans
 
-#: Blocks of two-bit segments; cells are choices of BLOCKS - radius of them.
-BLOCKS = 6
+#: Blocks of two-bit segments, for so many differing bits at least and at most; and how many fingerprints a cell may hold by chance before there are more.
+LEAST_BLOCKS, MOST_BLOCKS, CELL_CHANCE = 2, 12, 8.0
 #: Fingerprints that one group compares with each other; larger cells are parted.
 CELL = 2048
 SEED = 42
 
 
 def embed(x: np.ndarray) -> np.ndarray:
-    """The popcounts of the two-bit segments, two bits each."""
-    return x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    """The popcounts of the two-bit segments, in unary: 0, 1 and 2 are 00, 01 and 11."""
+    low, high = x & np.uint64(0x5555555555555555), (x >> np.uint64(1)) & np.uint64(0x5555555555555555)
+    return (low | high) | ((low & high) << np.uint64(1))
 
 
 def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The Manhattan distance of embeddings: the sum over segments of |a - b|."""
-    total = np.zeros(np.broadcast(a, b).shape, np.int16)
-    for k in range(0, 64, 2):
-        x, y = (a >> np.uint64(k)) & np.uint64(3), (b >> np.uint64(k)) & np.uint64(3)
-        total += np.maximum(x, y).astype(np.int16) - np.minimum(x, y).astype(np.int16)
-    return total
+    """The Manhattan distance of embeddings, the sum over segments of |a - b|: as many as there are unary digits that differ."""
+    return np.bitwise_count(a ^ b)
 
 
 def block_masks(blocks: int) -> list[int]:
@@ -51,10 +50,17 @@ def block_masks(blocks: int) -> list[int]:
     return [sum(1 << b for b in range(lo, hi)) for lo, hi in itertools.pairwise(edges)]
 
 
-def cell_masks(radius: int, blocks: int = BLOCKS) -> list[int]:
+def blocks_for(n: int, radius: int) -> int:
+    """The fewest blocks whose cells hold CELL_CHANCE of n unrelated fingerprints at most; a segment's popcount tells 1.5 bits of them."""
+    least = max(LEAST_BLOCKS * radius, radius + 1)
+    fits = (b for b in range(least, MOST_BLOCKS) if n <= CELL_CHANCE * 2 ** (1.5 * 32 * (b - radius) / b))
+    return next(fits, max(least, MOST_BLOCKS))
+
+
+def cell_masks(radius: int, blocks: int) -> list[int]:
     """For each choice of blocks that radius differences can leave alone, its bits."""
-    if not 0 <= radius < blocks:
-        raise ValueError("the radius has to be less than the number of blocks")
+    if not 0 <= radius < blocks <= 32:
+        raise ValueError("the radius has to be less than the number of blocks, and that at most 32")
     return [sum(c) for c in itertools.combinations(block_masks(blocks), blocks - radius)]
 
 
@@ -106,10 +112,9 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
         at = todo.pop()
         if not len(left):
             break
-        near = np.bitwise_count(fps[left] ^ fps[at]) <= radius
+        near = manhattan(codes[left], codes[at]) <= radius
+        near[near] = np.bitwise_count(fps[left[near]] ^ fps[at]) <= radius
         if near.any():
-            # the embedding's distance bounds the Hamming distance from below, so none of these is beyond the radius
-            assert (manhattan(codes[left[near]], codes[at]) <= radius).all()
             found = left[near].tolist()
             links += [(at, k) for k in found]
             todo += found
@@ -117,12 +122,11 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def _cells(distinct: DataFrame, radius: int) -> DataFrame:
+def _cells(distinct: DataFrame, radius: int, blocks: int) -> DataFrame:
     """(cell, fp): a row for each fingerprint and choice of blocks."""
-    # the sum of a segment's two bits is (both, either but not both): no subtraction that could overflow
     low, half = F.lit(0x5555555555555555), F.shiftrightunsigned("fp", 1)
-    code = F.shiftleft(F.col("fp").bitwiseAND(half).bitwiseAND(low), 1).bitwiseOR(F.col("fp").bitwiseXOR(half).bitwiseAND(low))
-    signed = [m - (1 << 64) if m >> 63 else m for m in cell_masks(radius)]
+    code = F.shiftleft(F.col("fp").bitwiseAND(half).bitwiseAND(low), 1).bitwiseOR(F.col("fp").bitwiseOR(half).bitwiseAND(low))
+    signed = [m - (1 << 64) if m >> 63 else m for m in cell_masks(radius, blocks)]
     cells = F.array(*[F.xxhash64(F.lit(k), F.col("code").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])
     return distinct.withColumn("code", code).select(F.explode(cells).alias("cell"), "fp")
 
@@ -176,14 +180,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_column:
     """(id, fingerprint, component_id) for every row of docs.
 
     fingerprint: 16 hexadecimal digits. Two texts are linked if their fingerprints differ in radius
-    bits or fewer (less than BLOCKS); component_id is the smallest id reachable by links, the row's
+    bits or fewer; component_id is the smallest id reachable by links, the row's
     own included. Null and blank texts have the fingerprint zero and are linked like any other; a
     null id counts as no id (a component of null ids only has a null component_id). Repeated rows
-    stay, and further columns are not read. Equal fingerprints are one node, so copies cost nothing.
+    stay, and further columns are not read, whatever their names. Equal fingerprints are one node,
+    so copies cost nothing. A very long text is one row's work, some hundred bytes for each word.
+    No rows give no rows.
     """
     rows = checkpointed(fingerprints(docs, words, id_column, text_column))
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(_links(_cells(distinct.select("fp"), radius), radius))
+    blocks = blocks_for(distinct.count(), radius)
+    roots = connected_components(_links(_cells(distinct.select("fp"), radius, blocks), radius))
     of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
     of = of.join(smallest, "root").select("fp", "component_id")
@@ -284,13 +291,16 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _all_near(fps: np.ndarray) -> np.ndarray:
-    """Which of fps are within FINE_RADIUS of each other, each with each."""
+    """Which of fps are within FINE_RADIUS of each other, each with each: the embeddings' distance filters, and what it lets through is compared exactly."""
     out = np.zeros((len(fps), len(fps)), bool)
+    codes = embed(fps)
     for k in range(0, len(fps), 64):
-        total = np.zeros((min(64, len(fps) - k), len(fps) - k), np.uint16)
+        bound = np.zeros((min(64, len(fps) - k), len(fps) - k), np.uint16)
         for lane in range(LANES):
-            total += np.bitwise_count(fps[k : k + 64, None, lane] ^ fps[None, k:, lane])
-        out[k : k + 64, k:] = total <= FINE_RADIUS
+            bound += manhattan(codes[k : k + 64, None, lane], codes[None, k:, lane])
+        i, j = np.nonzero(bound <= FINE_RADIUS)
+        near = np.bitwise_count(fps[k + i] ^ fps[k + j]).sum(1, dtype=np.uint16) <= FINE_RADIUS
+        out[k + i[near], k + j[near]] = True
     return out | out.T
 
 
@@ -299,6 +309,7 @@ def _near_in_cells(cell: np.ndarray, fps: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     sizes = np.diff(np.r_[at, len(cell)])
     links = [np.zeros((2, 0), np.int64)]
+    codes = embed(fps)
     for n in np.unique(sizes[(sizes > 1) & (sizes <= 32)]).tolist():
         i, j = np.triu_indices(n, 1)
         firsts = at[sizes == n]
@@ -306,7 +317,8 @@ def _near_in_cells(cell: np.ndarray, fps: np.ndarray) -> np.ndarray:
         for k in range(0, len(firsts), step):
             part = firsts[k : k + step, None]
             x, y = part + i, part + j
-            near = np.bitwise_count(fps[x] ^ fps[y]).sum(2, dtype=np.uint16) <= FINE_RADIUS
+            near = manhattan(codes[x], codes[y]).sum(2, dtype=np.uint16) <= FINE_RADIUS
+            near[near] = np.bitwise_count(fps[x[near]] ^ fps[y[near]]).sum(1, dtype=np.uint16) <= FINE_RADIUS
             many = near.sum(1) >= n
             links.append(np.stack([x[near & ~many[:, None]], y[near & ~many[:, None]]]))
             for c in np.flatnonzero(many).tolist():
@@ -316,10 +328,7 @@ def _near_in_cells(cell: np.ndarray, fps: np.ndarray) -> np.ndarray:
     for first, n in zip(at[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
         if found := spanning(_all_near(fps[first : first + n])):
             links.append(np.array(found).T + first)
-    found = np.concatenate(links, axis=1)
-    # the embedding's distance bounds the Hamming distance from below, so none of these is beyond the radius
-    assert (manhattan(embed(fps[found[0]]), embed(fps[found[1]])).sum(1) <= FINE_RADIUS).all()
-    return found
+    return np.concatenate(links, axis=1)
 
 
 def _fine_links(nodes: DataFrame) -> DataFrame:
@@ -446,7 +455,8 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     words are one shingle) have a Jaccard similarity of 0.8 or more. Components of long fingerprints
     that differ in FINE_RADIUS bits or fewer are the candidates; in each, texts are compared exactly,
     and groups are the components of what is similar. Rows alike in id and text count once. Null
-    and blank texts are copies of each other; a null id counts as the largest. All columns stay.
+    and blank texts are copies of each other; a null id counts as the largest. All columns stay,
+    whatever their names. A very long text is one row's work. No rows give no rows.
     """
     rows = checkpointed(long_fingerprints(docs, id_column, text_column))
     nodes = checkpointed(rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "fp", "name", "n")).alias("least")).select("node", "least", "least.fp", "least.name", "least.n"))
@@ -463,6 +473,8 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     roots = connected_components(_similar_in_groups(texts))
     of = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     stay = of.groupBy("root").agg(F.min("least").alias("x")).select(F.col("x.id").alias("_id"), F.col("x.h").alias("_h"))
-    hashed = docs.withColumn("_key", F.xxhash64(F.coalesce(docs[text_column], F.lit(""))))
-    kept = hashed.join(stay, hashed[id_column].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")), "left_semi")
-    return kept.dropDuplicates([id_column, "_key"]).select(*docs.columns)
+    # plain keys, so that the rows that the join has brought together need not move again to count once
+    a, b, c = (free_name(n, *docs.columns) for n in ("_id", "_none", "_h"))
+    hashed = docs.withColumns({a: F.coalesce(docs[id_column].cast("string"), F.lit("")), b: docs[id_column].isNull(), c: F.xxhash64(F.coalesce(docs[text_column], F.lit("")))})
+    stay = stay.select(F.coalesce(F.col("_id").cast("string"), F.lit("")).alias(a), F.col("_id").isNull().alias(b), F.col("_h").alias(c))
+    return hashed.join(stay, [a, b, c], "left_semi").dropDuplicates([a, b, c]).select(*docs.columns)

@@ -88,7 +88,13 @@ def test_simhash(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_cells_hold_all_links_and_hot_cells_are_parted(spark, monkeypatch):
+def test_blocks_grow_with_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n, 3) for n in (0, 10**6, 10**8, 10**9, 10**10, 10**12)] == [6, 6, 6, 7, 9, 12]
+    assert simhash.blocks_for(10, 0) == 1 and len(simhash.cell_masks(3, 8)) == 56
+
+
+@pytest.mark.parametrize("blocks", [6, 9])
+def test_cells_hold_all_links_and_hot_cells_are_parted(spark, monkeypatch, blocks):
     rng = np.random.default_rng(3)
     base = int(rng.integers(0, 1 << 63))
     fps = {base}
@@ -100,7 +106,7 @@ def test_cells_hold_all_links_and_hot_cells_are_parted(spark, monkeypatch):
     bits = np.array(sorted(fps), np.uint64)
     assert (simhash.manhattan(simhash.embed(bits[:, None]), simhash.embed(bits[None, :])) <= np.bitwise_count(bits[:, None] ^ bits[None, :])).all()
     monkeypatch.setattr(simhash, "CELL", 16)
-    links = simhash._links(simhash._cells(spark.createDataFrame([(int(x),) for x in bits.view(np.int64)], "fp long"), 3), 3)
+    links = simhash._links(simhash._cells(spark.createDataFrame([(int(x),) for x in bits.view(np.int64)], "fp long"), 3, blocks), 3)
     roots = {r["node"]: r["root"] for r in connected_components(links).collect()}
     near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 3
     label = np.arange(len(bits))
@@ -312,8 +318,7 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard_by_bytes(docs.limit(1), 8).count() == 1
 
 
-def test_substring(spark, docs, empty, sf_dir):
-    rows = held(docs)
+def without_repeats(rows):
     first = {}
     for i, t in rows:
         w = (t or "").encode().split()
@@ -321,17 +326,41 @@ def test_substring(spark, docs, empty, sf_dir):
             for k in range(len(w) - 49):
                 key = tuple(w[k : k + 50])
                 first[key] = min(first.get(key, i), i)
-    expected = []
+    out = []
     for i, t in rows:
         w = (t or "").encode().split()
         gone = {j for k in range(len(w) - 49) if i is not None and first[tuple(w[k : k + 50])] < i for j in range(k, k + 50)}
-        left = b" ".join(x for j, x in enumerate(w) if j not in gone).decode()
-        expected.append(repr((i, len(w), len(gone), left)))
-    assert sorted(repr(tuple(r)) for r in substring.remove_repeats(docs).collect()) == sorted(expected)
+        out.append(repr((i, len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode())))
+    return sorted(out)
+
+
+def test_substring(spark, docs, empty, sf_dir):
+    assert sorted(repr(tuple(r)) for r in substring.remove_repeats(docs).collect()) == without_repeats(held(docs))
     assert substring.remove_repeats(empty).count() == 0
     check(spark, sf_dir, queries.QUERIES["op7_block_anchors"], queries.ORACLES["op7_block_anchors"])
 
 
+@pytest.mark.parametrize("hot, words", [(1000, 8 << 20), (2, 8 << 20), (2, 200)])
+def test_hot_passages(spark, monkeypatch, hot, words):
+    # two passages that very many texts share, at any offset and in part, and texts cut off within them
+    rng = random.Random(5)
+    a, b = sentence(120, rng).split(), sentence(70, rng).split()
+    rows = []
+    for k in range(150):
+        head, tail = sentence(rng.randint(0, 60), rng).split(), sentence(rng.randint(0, 60), rng).split()
+        cut = rng.choice([0, 0, 0, 30, 75])
+        rows.append((rng.randint(-50, 500), " ".join(head + a[cut:] + (b if k % 3 else a[:90]) + tail)))
+    monkeypatch.setattr(substring, "HOT_LEAST", hot)
+    monkeypatch.setattr(substring, "HOT_SHARE", 1_000_000)
+    monkeypatch.setattr(substring, "WORDS_PER_PART", words)
+    monkeypatch.setattr(substring, "SLICE_BYTES", 4000)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    index = substring.index_blocks(table.select(F.col("doc_id").alias("id"), "text"))
+    found = substring.HotBlocks(index, index.agg(F.sum("n")).first()[0])
+    assert (len(found.hashes) > 100) == (hot == 2) and (found.spread > 1) == (words == 200)
+    assert sorted(repr(tuple(r)) for r in substring.remove_repeats(table).collect()) == without_repeats(rows)
+
+
 def base_spans(text):
     assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     out = [(m.start(), 0, m.end()) for m in re.finditer(assign, text, re.A) if len(m[2]) >= 8]
