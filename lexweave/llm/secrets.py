@@ -1,18 +1,27 @@
 """Secrets: fixed patterns, and tests of randomness on every long token.
 
-A token's encoding is inferred from its characters. Under that alphabet it takes a chi-squared
-test of uniformity, a runs test about the alphabet's middle and a test of serial correlation.
-The three p-values are combined by Bonferroni. Among tokens of like length the Benjamini-Hochberg
-procedure then decides which are too regular to be random; the rest are spans of the kind random.
-All of it is made of built-in expressions.
+A token's encoding is inferred from its characters. Its symbols are drawn at random if three tests
+let that stand: a chi-squared test of their uniformity over the alphabet, a runs test of how often
+the class of character changes, and a test of serial correlation. That alone would call every token
+random that is too short to tell, so a token is a secret only if it is also shown not to be
+ordinary. Ordinary tokens are made of words and numbers: their symbols repeat as those of all texts
+do, and the class of character changes once in four characters or less often (once in eight, if
+they have one case and no marks). The probability that
+an ordinary token of its length repeats so few symbols and that of so many changes are combined by
+Fisher's method. Among all tokens of like length the Benjamini-Hochberg procedure then decides which
+aren't ordinary, so that of what is reported a bounded share is. All of it is made of built-in
+expressions.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let
+from .shared import array_literal, let
 
 #: The base patterns, and the length a match needs.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -21,19 +30,30 @@ HEX = r"[0-9a-f]{32,}"
 MIN_ASSIGNED, MIN_ACCESS = 8, 16
 #: Tokens that are tested for randomness.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: (pattern of a whole token, its alphabet), the narrowest first; a token that fits none isn't tested.
+DIGITS, LOWER, UPPER, MARKS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/-_="
+VOWELS = "aeiouAEIOU"
+#: (pattern of a whole token, its alphabet), the narrowest first; the last fits every token.
 ENCODINGS = [
     (r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", DIGITS + "abcdef"),
     (r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", DIGITS + "ABCDEF"),
     (r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*$", UPPER + "234567"),
+    (r"^[a-z]+$", LOWER),
+    (r"^[A-Z]+$", UPPER),
+    (r"^[A-Za-z]+$", UPPER + LOWER),
     (r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", DIGITS + LOWER),
+    (r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", DIGITS + UPPER),
+    (r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z_-]+$", DIGITS + LOWER + "-_"),
     (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z]+=*$", UPPER + LOWER + DIGITS),
     (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/]+=*$", UPPER + LOWER + DIGITS + "+/"),
     (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
+    (r"^", UPPER + LOWER + DIGITS + MARKS),
 ]
-#: Share of false rejections among rejected tokens; p-values are rounded up to steps of a twentieth of a decade.
+#: Share of ordinary tokens among those reported; p-values are rounded up to steps of a twentieth of a decade.
 FALSE_DISCOVERY, STEPS, LAST_STEP, LENGTH_CLASSES = 0.05, 20, 400, 12
+#: Share of random tokens that the battery may turn away; how often the class of character changes in an ordinary token, at most: of one case without marks, and others.
+REJECTED, ORDINARY_CHANGES = 0.001, (0.125, 0.25)
+#: Characters up to which the probability of so many changes is exact.
+EXACT = 128
 BLOCK = 256
 
 
@@ -93,52 +113,120 @@ def _two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), 2 * _upper_tail(F.abs(z)))
 
 
-def _battery(symbols: Column, k: Column, counted: Column) -> Column:
-    """The combined p-value of a token given as positions in an alphabet of k; counted: how often each symbol occurs."""
+def changes_of(alphabet: str) -> tuple[str, str, float, float]:
+    """Characters and their classes, as two texts for translate; the probability that two random neighbours differ in class, and that they and the next do both times, less its square. Letters of one case alone are vowels and others, else classes are cases, digits and marks."""
+    one = len({c.isdigit() or c in MARKS for c in alphabet}) == 1 and len({c.isupper() for c in alphabet}) == 1
+    kind = (lambda c: "v" if c in VOWELS else "c") if one else (lambda c: "d" if c.isdigit() else "m" if c in MARKS else "u" if c.isupper() else "l")
+    classes = "".join(map(kind, alphabet))
+    share = [classes.count(c) / len(classes) for c in sorted(set(classes))]
+    change = 1 - sum(p * p for p in share)
+    return alphabet, classes, change, sum(p * (1 - p) ** 2 for p in share) - change * change
+
+
+def single_case(alphabet: str) -> bool:
+    """Whether ordinary words in that alphabet say nothing by the changes of class: their vowels change more often than random ones."""
+    return "v" in changes_of(alphabet)[1]
+
+
+def ordinary_changes(alphabet: str) -> int:
+    """Which of ORDINARY_CHANGES holds in that alphabet."""
+    return int(any(c in MARKS for c in alphabet) or (any(c.isupper() for c in alphabet) and any(c.islower() for c in alphabet)))
+
+
+def binomial_tails(p: float, most: int) -> list[int]:
+    """For n and s up to most, at n * (most + 1) + s: thousandths of minus the natural logarithm of the probability that s or more of n come true."""
+    out = []
+    for n in range(most + 1):
+        terms = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p) for k in range(n + 1)]
+        tail, row = 0.0, []
+        for t in reversed(terms):
+            tail += math.exp(t)
+            row.append(math.floor(max(0.0, -1000 * math.log(min(1.0, tail)))))
+        out += row[::-1] + [row[0]] * (most - n)
+    return out
+
+
+def _battery(symbols: Column, k: Column, counted: Column, changes: Column, change: Column, twice: Column) -> Column:
+    """The probability that random symbols, given as positions in an alphabet of k, look so little random; counted: how often each occurs, changes: of class."""
     n = F.size(symbols).cast("double")
     squares = F.aggregate(counted, F.lit(0.0), lambda a, c: a + c * c)
     df = k - 1
     chi = k / n * squares - n
     z1 = (F.pow(chi / df, F.lit(1.0 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    high = F.aggregate(symbols, F.lit(0.0), lambda a, s: a + F.when(s * 2 >= k, 1.0).otherwise(0.0))
+    z2 = (changes - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change) + 2 * (n - 2) * twice)
     later = F.slice(symbols, 2, F.greatest(F.size(symbols) - 1, F.lit(0)))
     pairs = F.zip_with(F.slice(symbols, 1, F.greatest(F.size(symbols) - 1, F.lit(0))), later, lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")))
-
-    def runs_and_order(high: Column, pairs: Column) -> Column:
-        low = n - high
-        runs = F.aggregate(pairs, F.lit(1.0), lambda r, p: r + F.when((p["a"] * 2 >= k) != (p["b"] * 2 >= k), 1.0).otherwise(0.0))
-        mean = 2 * high * low / n + 1
-        spread = (mean - 1) * (mean - 2) / (n - 1)
-        z2 = F.when(spread > 0, (runs - mean) / F.sqrt(spread)).otherwise(F.lit(12.0))
-        middle = F.aggregate(symbols, F.lit(0.0), lambda a, s: a + s) / n
-        power = F.aggregate(symbols, F.lit(0.0), lambda a, s: a + F.pow(s, F.lit(2.0))) - n * middle * middle
-        along = let(middle, lambda m: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - m) * (p["b"] - m)))
-        z3 = F.when(power > 0, along / power * F.sqrt(n)).otherwise(F.lit(12.0))
-        return F.least(F.lit(1.0), 3 * F.least(_upper_tail(z1), _two_sided(z2), _two_sided(z3)))
-
-    return let(high, lambda h: let(pairs, lambda p: runs_and_order(h, p)))
-
-
-def alphabet_of(token: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for pattern, alphabet in reversed(ENCODINGS):
-        out = F.when(token.rlike(pattern), F.lit(alphabet)).otherwise(out)
+    middle = F.aggregate(symbols, F.lit(0.0), lambda a, s: a + s) / n
+
+    def order(m: Column) -> Column:
+        power = F.aggregate(symbols, F.lit(0.0), lambda a, s: a + F.pow(s - m, F.lit(2.0)))
+        along = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - m) * (p["b"] - m))
+        return F.when(power > 0, (n * along / power + 1) / F.sqrt(n)).otherwise(F.lit(12.0))
+
+    return F.least(F.lit(1.0), 3 * F.least(_upper_tail(z1), _two_sided(z2), _two_sided(let(middle, order))))
+
+
+def _ordinary(n: Column, repeats: Column, changes: Column, same: Column, thrice: Column, rate: Column, by_class: Column) -> Column:
+    """The probability that an ordinary token of n characters has so few pairs of equal symbols (repeats) and so many changes of class; same and thrice: that two and three of its symbols are equal; rate: which of ORDINARY_CHANGES holds."""
+    pairs = n * (n - 1) / 2
+    spread = F.sqrt(pairs * same * (1 - same) + n * (n - 1) * (n - 2) * F.greatest(thrice - same * same, F.lit(0.0)))
+    few = _upper_tail((pairs * same - repeats - 0.5) / spread)
+    tails = array_literal([x for p in ORDINARY_CHANGES for x in binomial_tails(p, EXACT)], "int")
+    exact = F.exp(-F.get(tails, (rate * (EXACT + 1) ** 2 + (n - 1) * (EXACT + 1) + changes).cast("int")) / 1000.0)
+    p = F.when(rate == 0, ORDINARY_CHANGES[0]).otherwise(ORDINARY_CHANGES[1])
+    z = (changes - 0.5 - (n - 1) * p) / F.sqrt((n - 1) * p * (1 - p))
+    many = F.when(n - 1 <= EXACT, exact).otherwise(_upper_tail(z))
+    both = F.greatest(few * many, F.lit(1e-40))
+    return F.when(by_class, both * (1 - F.log(both))).otherwise(few)
+
+
+def encoding_of(token: Column) -> Column:
+    """The number of the first encoding that fits."""
+    out = F.lit(len(ENCODINGS) - 1)
+    for k in range(len(ENCODINGS) - 2, -1, -1):
+        out = F.when(token.rlike(ENCODINGS[k][0]), F.lit(k)).otherwise(out)
     return out
 
 
-def test_token(token: Column) -> Column:
-    """struct<step, length_class> of a token: its p-value in steps (0: random, LAST_STEP: surely not) and the class of its length; null if it fits no encoding."""
+@dataclass(frozen=True)
+class Limits:
+    """same, thrice: for each encoding the probability that two, and three, symbols of all texts are equal; steps: for each class of length the step from which tokens aren't ordinary."""
+
+    same: tuple[float, ...]
+    thrice: tuple[float, ...]
+    steps: tuple[int, ...] = (LAST_STEP + 1,) * LENGTH_CLASSES
 
-    def measure(alphabet: Column) -> Column:
-        body = F.rtrim(token, F.lit("="))
+
+def test_token(token: Column, limits: Limits) -> Column:
+    """struct<step, length_class, random>: in steps how improbable the token is as an ordinary one (0: not at all), the class of its length, and whether the battery lets it pass as random."""
+    body = F.rtrim(token, F.lit("="))
+    parts = [changes_of(a) for _, a in ENCODINGS]
+    pick = lambda values, e, kind: F.element_at(F.array(*[F.lit(v) for v in values]), e + 1).cast(kind)
+
+    def measure(e: Column, body: Column) -> Column:
+        alphabet = pick([a for a, *_ in parts], e, "string")
+        n = F.length(body)
+        count = lambda text, letters: F.transform(F.filter(F.split(letters, ""), lambda c: c != ""), lambda c: (n - F.length(F.replace(text, c, F.lit("")))).cast("double"))
         symbols = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("int") - 1)
-        counted = F.transform(F.filter(F.split(alphabet, ""), lambda c: c != ""), lambda c: (F.length(body) - F.length(F.replace(body, c, F.lit("")))).cast("double"))
-        p = let(symbols, lambda s: let(counted, lambda o: _battery(s, F.length(alphabet).cast("double"), o)))
-        step = F.least(F.floor(-STEPS * F.log10(F.greatest(p, F.lit(1e-30)))).cast("int"), F.lit(LAST_STEP))
-        length_class = F.least(F.floor(F.log2(F.length(body) / 10.0)).cast("int"), F.lit(LENGTH_CLASSES - 1))
-        return F.struct(step.alias("step"), F.greatest(length_class, F.lit(0)).alias("length_class"))
+        # translate for each encoding by itself, as it takes its tables only once
+        classes = F.lit("")
+        for k, (letters, kinds, _, _) in reversed(list(enumerate(parts))):
+            classes = F.when(e == k, F.translate(body, letters, kinds)).otherwise(classes)
+        changes = (F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1).cast("double")
+        repeats = F.aggregate(count(F.lower(body), F.lit(LOWER + DIGITS + MARKS)), F.lit(0.0), lambda a, c: a + c * (c - 1) / 2)
+
+        def judge(changes: Column) -> Column:
+            battery = let(symbols, lambda s: let(count(body, alphabet), lambda o: _battery(s, F.length(alphabet).cast("double"), o, changes, pick([p[2] for p in parts], e, "double"), pick([p[3] for p in parts], e, "double"))))
+            p = _ordinary(n.cast("double"), repeats, changes, pick(limits.same, e, "double"), pick(limits.thrice, e, "double"), pick([ordinary_changes(a) for _, a in ENCODINGS], e, "int"), pick([not single_case(a) for _, a in ENCODINGS], e, "boolean"))
+            step = F.least(F.floor(-STEPS * F.log10(F.greatest(p, F.lit(1e-30)))).cast("int"), F.lit(LAST_STEP))
+            length_class = F.least(F.floor(F.log2(n / 10.0)).cast("int"), F.lit(LENGTH_CLASSES - 1))
+            return F.struct(F.greatest(step, F.lit(0)).alias("step"), F.greatest(length_class, F.lit(0)).alias("length_class"), (battery >= REJECTED).alias("random"))
+
+        return let(changes, judge)
 
-    return let(alphabet_of(token), lambda a: F.when(a.isNotNull(), measure(a)))
+    # a token of marks alone has no symbols
+    plain = F.struct(F.lit(0).alias("step"), F.lit(0).alias("length_class"), F.lit(False).alias("random"))
+    return let(body, lambda b: F.when(F.length(b) > 1, let(encoding_of(token), lambda e: measure(e, b))).otherwise(plain))
 
 
 def replaced(text: Column, pattern: str, accept, put) -> Column:
@@ -158,35 +246,56 @@ def blanked(text: Column) -> Column:
     return text
 
 
-def fit_limits(docs: DataFrame, text_column: str = "text", share: float = FALSE_DISCOVERY) -> list[int]:
-    """For each length class the step from which tokens are rejected as not random, by Benjamini-Hochberg over all tokens of docs; one more than the last step if none is."""
+def symbol_limits(docs: DataFrame, text_column: str = "text") -> Limits:
+    """How often two and three symbols of an ordinary token are equal, by encoding: names and numbers repeat less than prose, so each is drawn from all symbols of all texts, as they are counted, or as often from the alphabet. Cases count as one, and each symbol once more than it occurs."""
+    letters = LOWER + DIGITS + MARKS
+    low = F.lower(F.coalesce(docs[text_column], F.lit("")))
+    counted = let(low, lambda t: F.array(*[(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(c), F.lit("")))).cast("long") for c in letters]))
+    sums = docs.select(counted.alias("c")).agg(*[F.sum(F.get("c", F.lit(k))) for k in range(len(letters))]).first()
+    held = {c: 1 + (n or 0) for c, n in zip(letters, sums, strict=True)}
+    same, thrice = [], []
+    for _, alphabet in ENCODINGS:
+        counts = [held[c] for c in sorted(set(alphabet.lower()))]
+        share = [(c / sum(counts) + 1 / len(counts)) / 2 for c in counts]
+        same.append(sum(p**2 for p in share))
+        thrice.append(sum(p**3 for p in share))
+    return Limits(tuple(same), tuple(thrice))
+
+
+def discoveries(counts: dict[int, int], share: float = FALSE_DISCOVERY) -> int:
+    """The step from which tokens are discoveries by Benjamini-Hochberg, given how many have each step; one more than the last if none is."""
+    total, below, limit = sum(counts.values()), 0, LAST_STEP + 1
+    for step in sorted(counts, reverse=True):
+        below += counts[step]
+        if 10 ** (-step / STEPS) <= share * below / total:
+            limit = step
+    return limit
+
+
+def fit_limits(docs: DataFrame, text_column: str = "text", share: float = FALSE_DISCOVERY) -> Limits:
+    """What is needed to judge tokens of docs: symbols are counted over all texts, and discoveries are decided over all tokens."""
+    limits = symbol_limits(docs, text_column)
     tokens = docs.select(F.explode(F.regexp_extract_all(blanked(docs[text_column]), F.lit(TOKEN), F.lit(0))).alias("token"))
-    counts = tokens.select(test_token(F.col("token")).alias("t")).where("t is not null").groupBy("t.length_class", "t.step").count()
-    limits = [LAST_STEP + 1] * LENGTH_CLASSES
+    counts = tokens.select(test_token(F.col("token"), limits).alias("t")).groupBy("t.length_class", "t.step").count()
     held: dict[int, dict[int, int]] = {}
     for r in counts.collect():  # at most LENGTH_CLASSES * (LAST_STEP + 1) rows
         held.setdefault(r["length_class"], {})[r["step"]] = r["count"]
-    for c, steps in held.items():
-        total, below = sum(steps.values()), 0
-        for step in sorted(steps, reverse=True):
-            below += steps[step]
-            if 10 ** (-step / STEPS) <= share * below / total:
-                limits[c] = step
-    return limits
+    return Limits(limits.same, limits.thrice, tuple(discoveries(held.get(c, {}), share) for c in range(LENGTH_CLASSES)))
 
 
-def is_random(token: Column, limits: list[int]) -> Column:
-    t = lambda x: F.coalesce(x["step"] < F.element_at(F.array(*map(F.lit, limits)), x["length_class"] + 1), F.lit(False))
-    return let(test_token(token), t)
+def is_random(token: Column, limits: Limits) -> Column:
+    found = lambda x: x["random"] & (x["step"] >= F.element_at(F.array(*map(F.lit, limits.steps)), x["length_class"] + 1))
+    return let(test_token(token, limits), found)
 
 
-def with_secrets(docs: DataFrame, limits: list[int], text_column: str = "text") -> DataFrame:
+def with_secrets(docs: DataFrame, limits: Limits, text_column: str = "text") -> DataFrame:
     """docs with one more column _secrets: array<struct<start, kind, end, value>>, by start, then kind.
 
     Kinds are numbered as in KINDS. Base spans are those of the fixed patterns, of one kind never
     overlapping; spans of the kind random are looked for in what base spans leave and touch none
     of them. A null text counts as empty. Every row is judged by itself; repeated rows get equal
-    results, and further columns pass through (one named _secrets is an error).
+    results, and further columns pass through (one named _secrets is an error). A very long text
+    is searched whole, in time that grows with its length. No rows give no rows.
     """
     if "_secrets" in {c.lower() for c in docs.columns}:
         raise ValueError("the column _secrets is taken")
@@ -204,7 +313,7 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, limits: list[int], mark: str = "[SECRET]") -> Column:
+def redact(text: Column, limits: Limits, mark: str = "[SECRET]") -> Column:
     """text with every base match, and then every random token that is left, replaced by mark."""
     for pattern, accept in [*BASE.values(), (TOKEN, lambda v: is_random(v, limits))]:
         text = replaced(text, pattern, accept, lambda m: F.lit(mark))

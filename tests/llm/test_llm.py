@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -392,14 +393,104 @@ def test_long_prefix_sums(spark):
     assert got[0]["y"] == [sum(sizes[:k]) for k in range(1000)] and got[1]["y"] == []
 
 
+KEY_ALPHABETS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "capitals": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"}
+
+
+def keys_of(n, rng, lengths=(32, 40, 48, 64)):
+    return ["".join(rng.choice(a) for _ in range(length)) for a in KEY_ALPHABETS.values() for length in lengths for _ in range(n)]
+
+
+def identifiers(n, rng):
+    words = "release notes final version user token list handler factory default config parser request response session manager build number update index table merge branch linux image north south report yearly budget meeting summary draft quarter service cluster".split()
+    out = []
+    for _ in range(n):
+        parts, text = [], ""
+        style = rng.choice(["camel", "snake", "kebab", "digits"])
+        while len(text) < 22:
+            parts.append(rng.choice(words) if style != "digits" or rng.random() < 0.7 else str(rng.randint(2000, 2030)))
+            if style in ("camel", "digits"):
+                text = parts[0] + "".join(p.capitalize() for p in parts[1:]) + str(rng.choice(["", 2024, 7]))
+            else:
+                text = ("_" if style == "snake" else "-").join(parts)
+        out.append(text)
+    return out
+
+
+def brute_battery(token):
+    """The battery in plain Python."""
+    body = token.rstrip("=")
+    k = next(k for k, (p, _) in enumerate(secrets.ENCODINGS) if re.match(p, token))
+    alphabet = secrets.ENCODINGS[k][1]
+    classes = dict(zip(*secrets.changes_of(alphabet)[:2], strict=True))
+    n, size, x = len(body), len(alphabet), [alphabet.index(c) for c in body]
+    tail = lambda z: 1 / (1 + np.exp(1.5976 * np.clip(z, -12, 12) + 0.07056 * np.clip(z, -12, 12) ** 3))
+    chi = sum((x.count(c) - n / size) ** 2 for c in range(size)) / (n / size)
+    df = size - 1
+    p = [tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / np.sqrt(2 / (9 * df)))]
+    share = Counter(classes.values())
+    share = [v / size for v in share.values()]
+    change = 1 - sum(q * q for q in share)
+    changes = sum(classes[a] != classes[b] for a, b in zip(body, body[1:], strict=False))
+    spread = np.sqrt((n - 1) * change * (1 - change) + 2 * (n - 2) * (sum(q * (1 - q) ** 2 for q in share) - change**2))
+    p.append(2 * tail(abs(changes - (n - 1) * change) / spread))
+    d = np.array(x) - np.mean(x)
+    z = (n * (d[1:] * d[:-1]).sum() / (d**2).sum() + 1) / np.sqrt(n) if (d**2).sum() else 12.0
+    p.append(2 * tail(abs(z)))
+    return min(1.0, 3 * min(p)) >= secrets.REJECTED, changes
+
+
 def test_randomness_battery(spark):
     rng = random.Random(9)
-    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(64)) for _ in range(200)]
-    dull = ["0a" * 30, "0123456789abcdef" * 4, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1"]
-    df = spark.createDataFrame([(t,) for t in hexes + dull], "t string").select("t", secrets.test_token(F.col("t")).alias("x")).collect()
-    steps = {r["t"]: r["x"]["step"] for r in df}
-    assert sum(steps[t] > 40 for t in hexes) <= 4 and all(steps[t] > 100 for t in dull)
-    assert spark.createDataFrame([("onlyletters" * 3,)], "t string").select(secrets.test_token(F.col("t"))).first()[0] is None
+    docs = spark.createDataFrame([(sentence(3000),)], "text string")
+    limits = secrets.symbol_limits(docs)
+    assert len(limits.same) == len(secrets.ENCODINGS) and all(1 / len(set(a.lower())) <= s < 1 for s, (_, a) in zip(limits.same, secrets.ENCODINGS, strict=True))
+    dull = ["0a" * 30, "0123456789abcdef" * 4, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "=" * 30, "-" * 25, "onlyletters" * 3, "A" * 20 + "==", "x=" * 15]
+    tokens = keys_of(10, rng, (20, 25, 32, 40, 64, 200)) + identifiers(150, rng) + dull
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.test_token(F.col("t"), limits).alias("x")).collect()
+    got = {r["t"]: r["x"] for r in rows}
+    for t in tokens:
+        if len(t.rstrip("=")) > 1:
+            assert got[t]["random"] == brute_battery(t)[0], t
+        assert got[t]["length_class"] == max(0, int(np.log2(max(len(t.rstrip("=")), 2) / 10)))
+    assert not any(got[t]["random"] for t in dull)
+    # random tokens of all encodings and lengths pass but for a share of REJECTED, and look less ordinary the longer they are
+    keys = keys_of(400, rng, (20, 40))
+    passed = [brute_battery(t)[0] for t in keys]
+    assert np.mean(passed) >= 0.99
+    steps = {n: np.median([got[t]["step"] for t in tokens[:360] if len(t) == n]) for n in (20, 40, 64, 200)}
+    assert steps[20] < steps[40] < steps[64] <= steps[200]
+
+
+def test_binomial_tails():
+    tails = secrets.binomial_tails(0.25, 20)
+    for n in (0, 1, 7, 20):
+        for s in range(n + 1):
+            exact = sum(math.comb(n, k) * 0.25**k * 0.75 ** (n - k) for k in range(s, n + 1))
+            assert abs(tails[n * 21 + s] / 1000 + np.log(exact)) < 2e-3
+
+
+def test_discoveries_are_those_of_the_procedure():
+    rng = random.Random(1)
+    for _ in range(50):
+        steps = [rng.choice([0, 1, 2, 5, 20, 40, 60, 90]) for _ in range(rng.randint(1, 60))]
+        p = sorted(10 ** (-s / secrets.STEPS) for s in steps)
+        rank = max((k + 1 for k, x in enumerate(p) if x <= 0.05 * (k + 1) / len(p)), default=0)
+        assert sum(s >= secrets.discoveries(Counter(steps)) for s in steps) == rank
+    assert secrets.discoveries({}) == secrets.LAST_STEP + 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 5])
+def test_keys_among_identifiers(spark, n):
+    rng = random.Random(20 + n)
+    keys, names = set(keys_of(n, rng)), identifiers(400, rng)
+    keys -= {k for k in keys if re.search(r"[0-9a-f]{32}", k)}
+    tokens = [*keys, *names]
+    rng.shuffle(tokens)
+    docs = spark.createDataFrame([(k, sentence(60, rng) + " " + t + " " + sentence(20, rng)) for k, t in enumerate(tokens)], "doc_id long, text string")
+    found = secrets.with_secrets(docs, secrets.fit_limits(docs)).select(F.explode("_secrets").alias("s")).where("s.kind = 3").select("s.value").collect()
+    found = [r[0] for r in found]
+    right = sum(x in keys for x in found)
+    assert right >= 0.9 * len(keys) and right >= 0.9 * len(found)
 
 
 @pytest.fixture(scope="module")
