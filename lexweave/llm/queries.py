@@ -15,11 +15,10 @@ from .shared import read
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
 from .substring import remove_repeats
-from .urls import judge_urls
+from .urls import LISTED_PARTS, hosts_with_parts, judge_urls
 
-#: Rules of the url query, and the hosts it blocks where no rule fits.
+#: Rules of the url query.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-BLOCKED_HOSTS = [f"{name}.example.{top}" for name in ("spam-farm", "adult-x", "casino-y", "malware-z") for top in ("com", "net", "org")]
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +37,8 @@ def op2_bidirectional_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hosts = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "key string")
-    return judge_urls(read(spark, sf_dir, "pages"), URL_RULES, hosts)
+    pages = read(spark, sf_dir, "pages")
+    return judge_urls(pages, URL_RULES, hosts_with_parts(pages))
 
 
 def op4_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +84,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_bidirectional_gru": op2_bidirectional_gru, "op9_attention_passages": op9_attention_passages, "op5_decontaminate": op5_decontaminate, "op7_block_anchors": op7_block_anchors, "op1_simhash": op1_simhash, "op3_url_cascade": op3_url_cascade, "op4_ngram_ratio_rules": op4_ngram_ratio_rules, "op8_randomness_battery": op8_randomness_battery, "op6_histogram_shards": op6_histogram_shards, "op10_bpe": op10_bpe}
-_BLOCKED = " OR ".join(f"host = '{h}' OR host LIKE '%.{h}'" for h in BLOCKED_HOSTS)
+_PART = "|".join(LISTED_PARTS)
+_BLOCKED = f"regexp_matches(host, '(^|\\.)([^.]*-)?({_PART})-[^.]*(\\.|$)|(^|\\.)[^.]*-({_PART})(-[^.]*)?(\\.|$)')"
 _RULES = " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND path LIKE '{p}%' THEN '{h}{p}'" for _, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2])))
 
 ORACLES: dict[str, str] = {

@@ -4,8 +4,10 @@ Rows are ordered by (64-bit hash of the text, id), so that equal texts are neigh
 exact counts below candidate boundaries, summed over all partitions, refine the candidates: an
 interval that is too heavy, or in which a splitter falls short of its target, is cut again between
 the smallest and largest key it holds, by the hash or, where all its texts are one, by the id.
-When every splitter is within tolerance the rows are dealt out once. Only counts of intervals, a
-number fixed by the shards and the wanted rows in an interval, come to the driver.
+When every splitter is within tolerance the rows are dealt out once. No splitter cuts a group of
+equal texts that is light against a shard; a heavier group is cut, as shards would else be uneven.
+Only counts of intervals, a number fixed by the shards and the wanted rows in an interval, come to
+the driver.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from .shared import checkpointed
 
 LOW = -(1 << 63)
+#: Groups of equal texts up to this share of a shard's bytes stay in one shard.
+WHOLE = 0.05
 
 
 @dataclass
@@ -87,14 +91,23 @@ def find_splitters(keyed: DataFrame, shards: int, tolerance: float, interval_row
         held = _counts(keyed, starts)
         total = sum(x.weight for x in held)
         below = np.cumsum([0] + [x.weight for x in held])
+        of_text: dict[int, int] = {}
+        for x in held:
+            if x.rows and x.least[0] == x.most[0]:
+                of_text[x.least[0]] = of_text.get(x.least[0], 0) + x.weight
+        whole = {h for h, w in of_text.items() if w <= WHOLE * total / shards}
+        # a border behind the first key of a text parts that text
+        free = np.array([j for j in range(len(held) + 1) if j in (0, len(held)) or held[j].start[1] == LOW or held[j].start[0] not in whole])
         cut: dict[int, int] = {}
         firsts = [0]
         for s in range(1, shards):
             goal = total * s / shards
-            k = int(np.searchsorted(below, goal, side="left"))
-            near = min((j for j in (k - 1, k) if 0 <= j <= len(held)), key=lambda j: abs(below[j] - goal))
+            at = int(np.searchsorted(below[free], goal, side="left"))
+            near = min((int(free[j]) for j in (at - 1, at) if 0 <= j < len(free)), key=lambda j: abs(below[j] - goal))
             firsts.append(max(near, firsts[-1]))
-            if abs(below[near] - goal) > tolerance * total / shards and 0 < k <= len(held):
+            k = int(np.searchsorted(below, goal, side="left"))
+            light = 0 < k <= len(held) and held[k - 1].least[0] == held[k - 1].most[0] and held[k - 1].least[0] in whole
+            if abs(below[near] - goal) > tolerance * total / shards and 0 < k <= len(held) and not light:
                 cut[k - 1] = max(cut.get(k - 1, 2), 16)
         for k, x in enumerate(held):
             if x.rows > 2 * interval_rows:
@@ -110,11 +123,12 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_column: str = "doc_id", text
     """(id, size, text_crc32, shard, slot): rows in shards of near equal bytes, and each row's place in its shard.
 
     size is the text's UTF-8 bytes (a null text: none) plus overhead. Equal texts are neighbours
-    in the order, so a group of copies lies in one shard or in consecutive ones. Rows with the
-    same text and id stay in one shard, in any order among themselves; a null id sorts with the
-    smallest. No rows give no shards; with fewer rows than shards some stay empty. Only ids, hashes
-    and sizes are shuffled, once, dealt by interval: interval_rows bounds a task's rows, also
-    within a hot text.
+    in the order, so a group of copies lies in one shard, or in consecutive ones if it weighs more
+    than WHOLE of a shard. Rows with the same text and id stay in one shard, in any order among
+    themselves; a null id sorts with the smallest. No rows give no shards; with fewer rows than
+    shards some stay empty. Only ids, hashes and sizes are shuffled, once, dealt by interval:
+    interval_rows bounds a task's rows, also within a hot text. A very long text may fill a shard
+    beyond its share. Further columns are not read, whatever their names.
     """
     text = F.coalesce(docs[text_column], F.lit(""))
     keyed = checkpointed(docs.select(docs[id_column].alias("id"), F.xxhash64(text).alias("h"), F.coalesce(docs[id_column].cast("long"), F.lit(LOW)).alias("i"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexweave.llm import bpe, decontaminate, language, passages, quality_rules, queries, secrets, sharding, simhash, substring, urls
 from lexweave.llm.components import connected_components
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, fp string, h string, slot int, shard int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, fp string, h string, slot int, shard int, _id string, _h string, _key string, _target int, key string, part int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RNG = random.Random(4)
 VOCABULARY = ["".join(RNG.choice("abcdeinorst") for _ in range(RNG.randint(1, 7))) for _ in range(400)]
@@ -33,8 +33,8 @@ TEXTS += [TEXTS[7] + " " + sentence(3), TEXTS[7].upper(), sentence(200) + " " +
 @pytest.fixture(scope="module")
 def docs(spark):
     """Nulls, empty and long texts, copies, a repeated row, a null id, and columns whose names clash with working names."""
-    rows = [(i, t, "en", None, None, "a", "b", "c", 1, 2) for i, t in enumerate(TEXTS)]
-    rows += [rows[7], (None, TEXTS[7], None, None, None, None, None, None, None, None)]
+    rows = [(i, t, "en", None, None, "a", "b", "c", 1, 2, "d", "e", "f", 3, "g", 4) for i, t in enumerate(TEXTS)]
+    rows += [rows[7], (None, TEXTS[7], *[None] * 14)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -206,6 +206,21 @@ def test_cascade_is_exact(spark, monkeypatch):
     assert keys.where(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
 
 
+@pytest.mark.parametrize("most", [100, 1000])
+def test_long_lists_take_passes(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "PASS_KEYS", most)
+    monkeypatch.setattr(urls, "BITS_PER_KEY", 3)
+    rows = spark.range(1500).select("id", F.array(F.concat(F.lit("k"), F.col("id").cast("string")), F.lit(None).cast("string"), F.concat(F.lit("m"), (F.col("id") % 40).cast("string"))).alias("keys"))
+    listed = spark.createDataFrame([(f"k{k}",) for k in range(0, 1500, 3)] + [("m7",), (None,), ("elsewhere",)], "key string")
+    got = {r["id"] for r in urls.with_listed(rows, "keys", listed, "flag").where("flag").collect()}
+    assert got == {k for k in range(1500) if k % 3 == 0 or k % 40 == 7}
+
+
+def test_hosts_are_listed_by_their_parts(spark):
+    pages = spark.createDataFrame([("http://m.spam-farm.example.com/x",), ("http://farm.example.com",), ("http://x.my-ads.example.org",), ("http://spam.example.org",), (None,)], "url string")
+    assert {r[0] for r in urls.hosts_with_parts(pages).collect()} == {"spam-farm.example.com", "my-ads.example.org"}
+
+
 def test_quality_rules(spark, docs, empty):
     ratios = quality_rules.fit_ratios(docs.where("doc_id in (7, 8)"), docs)
     got = {r["doc_id"]: r["_quality"] for r in quality_rules.with_quality(docs, ratios).collect() if r["doc_id"] is not None}
@@ -291,6 +306,71 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_benchmark_passages(docs, bench.limit(0)).count() == 0
 
 
+def test_blocks_guarantee_the_radius():
+    """Whatever bits differ, up to the radius, some block is near; and the values listed for an item's blocks are all near ones."""
+    rng = random.Random(2)
+    edges = decontaminate.block_edges()
+    assert len(edges) == decontaminate.BLOCKS and sum(hi - lo for _, lo, hi in edges) == 64 * decontaminate.LANES
+    flips = decontaminate.RADIUS // decontaminate.BLOCKS
+    for _ in range(2000):
+        bits = rng.sample(range(64 * decontaminate.LANES), rng.randint(0, decontaminate.RADIUS))
+        assert min(sum(64 * lane + lo <= b < 64 * lane + hi for b in bits) for lane, lo, hi in edges) <= flips
+
+
+def test_fingerprints_meet_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    items = rng.integers(-(1 << 63), (1 << 63) - 1, (40, 2))
+    windows = []
+    for k, d in enumerate([0, 5, 20, 31, 32, 33, 40, 64] * 5):
+        fp = items[k].view(np.uint64).copy()
+        for b in rng.choice(128, d, replace=False):
+            fp[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        windows.append((k, d, *map(int, fp.view(np.int64))))
+    w = spark.createDataFrame(windows, "k int, d int, fp0 long, fp1 long")
+    w = w.select("*", F.explode(decontaminate.blocks([F.col("fp0"), F.col("fp1")])).alias("b")).select("k", "d", "fp0", "fp1", "b.*")
+    i = spark.createDataFrame([(k, *map(int, x)) for k, x in enumerate(items)], "item int, i0 long, i1 long")
+    i = i.select("*", F.explode(decontaminate.blocks_near([F.col("i0"), F.col("i1")], 32)).alias("b")).select("item", "i0", "i1", "b.*")
+    pairs = w.join(i, ["block", "value"])
+    differences = [F.col("fp0").bitwiseXOR(F.col("i0")), F.col("fp1").bitwiseXOR(F.col("i1"))]
+    found = pairs.withColumn("h", F.bit_count(differences[0]) + F.bit_count(differences[1])).where((F.col("block") == decontaminate.first_near_block(differences, 32)) & (F.col("h") <= 32)).collect()
+    own = [(r["k"], r["d"]) for r in found if r["k"] == r["item"]]
+    assert sorted(own) == sorted((k, d) for k, d, *_ in windows if d <= 32)
+    # about a quarter of unrelated pairs meet at all
+    assert pairs.where("k <> item").select("k", "item").distinct().count() <= 0.3 * 40 * 39
+
+
+def test_recall_of_the_radius(spark):
+    """Of windows with a similarity of 0.8 to 0.83 at least 99.5 in 100 lie in the radius."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(1500):
+        n = rng.randint(11, 55)
+        own = [rng.getrandbits(63) for _ in range(n)]
+        other = [rng.getrandbits(63) if j < n // 9 else x for j, x in enumerate(own)]
+        rows.append((k, own, other))
+    df = spark.createDataFrame(rows, "k int, a array<long>, b array<long>").withColumn("similarity", decontaminate.weighted_similarity(F.col("a"), F.col("b"))).where("similarity between 0.8 and 0.83")
+    pairs = zip(decontaminate.fingerprint(F.col("a")), decontaminate.fingerprint(F.col("b")), strict=True)
+    h = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in pairs), F.lit(0))
+    n, near = df.select(F.count("*"), F.sum((h <= decontaminate.RADIUS).cast("int"))).first()
+    assert n > 400 and near >= 0.995 * n
+
+
+@pytest.mark.parametrize("broadcast, region", [(500, 1024), (0, 64)])
+def test_many_items_of_one_length(spark, monkeypatch, broadcast, region):
+    """Ten thousand items of equal length, boilerplate that many share, and windows that start in any region."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ITEMS", broadcast)
+    monkeypatch.setattr(decontaminate, "REGION", region)
+    rng = random.Random(13)
+    frame = sentence(12, rng)
+    n = 10_000 if broadcast else 60
+    items = [(k, frame + " " + " ".join(f"{rng.choice(VOCABULARY)}{rng.randint(0, 99)}" for _ in range(18))) for k in range(n)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    planted = [rng.randrange(n) for _ in range(40)]
+    docs = spark.createDataFrame([(k, sentence(rng.randint(0, 400), rng) + " " + items[p][1] + " " + sentence(rng.randint(0, 90), rng)) for k, p in enumerate(planted)] + [(1000 + k, (frame + " ") * 6 + sentence(40, rng)) for k in range(40)], "doc_id long, text string")
+    got = decontaminate.find_benchmark_passages(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == set(enumerate(planted)) and all(r["similarity"] == 1.0 and r["hamming"] == 0 for r in got)
+
+
 def test_several_passes(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(k, " ".join(LONG.split()[100 * k : 100 * k + 30])) for k in range(12)], "item_id long, text string")
     whole = sorted(map(tuple, decontaminate.find_benchmark_passages(docs.where("doc_id < 12"), bench).collect()))
@@ -335,6 +415,29 @@ def without_repeats(rows):
     return sorted(out)
 
 
+def test_shards_follow_one_order_and_keep_groups(spark):
+    rng = random.Random(12)
+    texts = [sentence(rng.randint(1, 60), rng) for _ in range(600)] + ["x" * 40] * 7 + [sentence(30, rng)] * 400 + [None, ""]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 6, interval_rows=50).collect()
+    by = {r["doc_id"]: r for r in got}
+    hashed = lambda t: int(np.array([xxhash.xxh64_intdigest((t or "").encode(), 42)], np.uint64).view(np.int64)[0])
+    order = [k for k, _ in sorted(rows, key=lambda r: (hashed(r[1]), r[0]))]
+    assert [(by[k]["shard"], by[k]["slot"]) for k in order] == sorted((r["shard"], r["slot"]) for r in got)
+    total = sum(r["size"] for r in got)
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    assert len(sizes) == 6 and all(abs(s - total / 6) <= 2 * sharding.WHOLE * total / 6 + max(r["size"] for r in got) for s in sizes.values())
+    groups = {}
+    for k, t in rows:
+        groups.setdefault(t or "", []).append(by[k])
+    for own in groups.values():
+        shards = {r["shard"] for r in own}
+        assert len(shards) == 1 or sum(r["size"] for r in own) > sharding.WHOLE * total / 6
+    assert len({r["shard"] for r in groups[texts[-3]]}) > 1
+
+
 def test_substring(spark, docs, empty, sf_dir):
     assert sorted(repr(tuple(r)) for r in substring.remove_repeats(docs).collect()) == without_repeats(held(docs))
     assert substring.remove_repeats(empty).count() == 0
@@ -584,6 +687,107 @@ def test_passage_gradients():
         assert abs((up - down) / 2e-5 - g[at]) < 1e-6
 
 
+def test_passages_by_brute_force():
+    """Features of passages, and the pooled score, one text and passage at a time."""
+    rng = np.random.default_rng(2)
+    texts = ["", " \n", "one", sentence(64), sentence(65) + "\nx", " ".join(sentence(30).split() * 3), sentence(200) + "\n\n" + sentence(7)]
+    x, text = passages.describe([t.encode() for t in texts])
+    expected, owner = [], []
+    for k, t in enumerate(texts):
+        data = t.encode()
+        spans = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+        words = [data[a:b] for a, b in spans]
+        windows = Counter(tuple(words[j : j + 5]) for j in range(len(words) - 4))
+        covered = {i for j in range(len(words) - 4) if windows[tuple(words[j : j + 5])] > 1 for i in range(j, j + 5)}
+        for j in range(0, max(len(words), 1), passages.PASSAGE_WORDS):
+            f = np.zeros(passages.FEATURES)
+            if words:
+                last = min(j + passages.PASSAGE_WORDS, len(words))
+                piece = data[spans[j][0] : spans[last][0] if last < len(words) else len(data)]
+                for byte in piece:
+                    f[byte] += 1
+                f[257] = np.log1p(f[10])
+                f[:256] = np.sqrt(f[:256] / len(piece))
+                f[256] = len([i for i in covered if j <= i < last]) / (last - j)
+                f[258] = np.log1p(len(piece) / (last - j))
+            expected.append(f)
+            owner.append(k)
+    assert text.tolist() == owner and np.allclose(x, expected, atol=1e-5)
+    f = lambda *s: rng.normal(0, 0.3, s)
+    m = passages.Model(x.mean(0), np.ones(passages.FEATURES), f(passages.FEATURES, passages.CODE), f(passages.CODE), f(passages.CODE, passages.ATTENTION), f(passages.CODE, passages.ATTENTION), f(passages.ATTENTION), f(passages.CODE), f(1))
+    got = m.scores(x, text, len(texts))
+    for k in range(len(texts)):
+        codes, weights = [], []
+        for row, o in zip(x, owner, strict=True):
+            if o == k:
+                code = np.tanh((row - m.mean) @ m.encode + m.encode_bias)
+                codes.append(code)
+                weights.append(np.exp(m.attend @ (np.tanh(code @ m.tanh) / (1 + np.exp(-(code @ m.gate))))))
+        pooled = sum(w * c for w, c in zip(weights, codes, strict=True)) / sum(weights)
+        assert abs(got[k] - 1 / (1 + np.exp(-(pooled @ m.out + m.bias[0])))) < 1e-9
+
+
+def test_network_by_brute_force():
+    """Document probabilities of the network, byte by byte."""
+    rng = np.random.default_rng(5)
+    net = language.Network.new(["a", "b", "c"], rng)
+    texts = [b"hello w\xc3\xb6rld 12", b"x" * 200, b"!! 5", bytes(range(97, 123)) * 5]
+    got = language.text_probabilities(net, texts)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for text, row in zip(texts, got, strict=True):
+        total, letters = np.zeros(3), 0
+        for start in range(0, len(text), language.WINDOW):
+            window = text[start : start + language.WINDOW]
+            states = []
+            for k, order in ((0, range(len(window))), (1, range(len(window) - 1, -1, -1))):
+                h, held = np.zeros(language.HIDDEN), {}
+                for t in order:
+                    n = language.HIDDEN
+                    x, u = net.tables[k][window[t]], h @ net.gates[k]
+                    z, r = sigmoid(x[:n] + u[:n]), sigmoid(x[n : 2 * n] + u[n : 2 * n])
+                    h = (1 - z) * np.tanh(x[2 * n :] + r * u[2 * n :]) + z * h
+                    held[t] = h
+                states.append(held)
+            for t, byte in enumerate(window):
+                if chr(byte).isalpha() and byte < 128 or byte >= 128:
+                    v = np.exp(np.concatenate([states[0][t], states[1][t]]) @ net.head + net.bias)
+                    total += v / v.sum()
+                    letters += 1
+        assert np.allclose(row, total / max(letters, 1), atol=1e-4)
+
+
+def test_texts_for_learning_are_settled_before_they_are_fetched(spark):
+    rows = spark.createDataFrame([(k % 50, f"text {k % 60}", "en" if k % 2 else "de") for k in range(400)] + [(None, "none", "en"), (3, "text 3", None)], "doc_id long, text string, lang string")
+    assert language.fit_language(rows, limit=5) is not None
+    assert language.fit_language(rows.where("lang is null")) is None
+
+
+def test_very_long_texts():
+    """Ten megabytes in one text: pieces give the same hashes as the whole, and no kernel fails."""
+    rng = np.random.default_rng(1)
+    text = bytes(rng.choice(np.frombuffer(b"abcdefghij    \n", np.uint8), 10_000_000)) + b"y" * 2_500_000 + b" end"
+    data = np.frombuffer(text, np.uint8)
+    s = substring.Slice([text])
+    for k in (0, 1000, len(s.words) // 2, len(s.words) - 3, len(s.words) - 1):
+        piece = data[s.starts[k] : s.ends[k]]
+        alone = substring.Slice([piece.tobytes()])
+        assert alone.words.tolist() == [s.words[k]]
+    rolled = simhash.rolling_hashes(s.words, 5)
+    for k in (0, (1 << 20) - 3, 1 << 20, len(rolled) - 1):
+        assert simhash.rolling_hashes(s.words[k : k + 5], 5)[0] == rolled[k]
+    assert 0 <= simhash.fingerprint(text, 3) < 1 << 64
+    x, owner = passages.describe([text])
+    assert np.isfinite(x).all() and (owner == 0).all()
+
+
+def test_a_decoder_of_its_own_is_refused(vocabulary):
+    import json
+
+    spec = json.loads(bpe.load_vocabulary(vocabulary))
+    with pytest.raises(ValueError):
+        bpe.Encoder(json.dumps(spec | {"decoder": {"type": "ByteLevel"}}))
+
+
 def test_quality_model(spark, docs, empty):
     good, bad = [sentence(100) for _ in range(40)], [" ".join(w + "###" for w in sentence(100).split()) for _ in range(40)]
     rows = [(k, t) for k, t in enumerate(good + bad)]

@@ -21,7 +21,7 @@ def test_stages_chain(spark, sf_dir):
     assert deduped.count() - clean.count() == decontaminate.find_benchmark_passages(deduped, bench).select("doc_id").distinct().count()
     safe = cp.secret_scan(spark, clean, sf_dir)
     assert safe.columns == docs.columns and safe.count() == clean.count()
-    assert secrets.with_secrets(safe, [0] * secrets.LENGTH_CLASSES).where("size(_secrets) > 0").count() == 0
+    assert secrets.with_secrets(safe, secrets.fit_limits(clean)).where("size(_secrets) > 0").count() == 0
     assert safe.where("n_chars <> length(text)").count() == 0
     out = cp.bpe(spark, safe, sf_dir)
     assert out.count() == safe.count() and bpe.OffsetTable
@@ -39,3 +39,42 @@ def test_empty_and_null_documents(spark, sf_dir, k):
     assert cp.STAGES[k][1](spark, docs.limit(0), sf_dir).count() == 0
     odd = spark.createDataFrame([(1, None, None, None, None), (None, "", "en", "x", 0), (2, "a " * 12, "en", "x", 24)], docs.schema)
     assert cp.STAGES[k][1](spark, odd, sf_dir).count() <= 3
+
+
+def test_odd_rows(spark, sf_dir):
+    """Null and repeated ids, a benchmark passage in some of them, clashing columns, no n_chars, and a long text."""
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    long = " ".join(f"word{k % 9973}x{k % 7}" for k in range(200_000))
+    rows = [(None, "a clean text of a few words"), (None, " ".join(f"before{k}" for k in range(40)) + " " + item + " and after"), (7, "seven " + item), (7, "seven without it"), (8, long), (9, None)]
+    docs = spark.createDataFrame([(i, t, "k", "h", "i", 1) for i, t in rows], "doc_id long, text string, _key string, _h string, _id string, _target int")
+    clean = cp.decontaminate(spark, docs, sf_dir)
+    assert clean.columns == docs.columns
+    assert sorted(map(repr, [tuple(r)[:2] for r in clean.collect()])) == sorted(map(repr, [rows[0], rows[3], rows[4], rows[5]]))
+    kept = cp.near_dedup(spark, docs.unionByName(docs), sf_dir)
+    assert kept.columns == docs.columns and sorted(map(repr, [tuple(r)[:2] for r in kept.collect()])) == sorted(map(repr, rows))
+    assert cp.quality_rules(spark, docs, sf_dir).columns == docs.columns
+    safe = cp.secret_scan(spark, docs, sf_dir)
+    assert safe.columns == docs.columns and safe.where("doc_id = 8").first()["text"] == long
+    out = cp.bpe(spark, safe, sf_dir)
+    assert out.count() == 6 and out.where("doc_id = 9").first()["n_tokens"] == 0
+
+
+def test_near_dedup_is_an_exact_join(spark, sf_dir):
+    """Stage 2 keeps what an exact join on the similarity of five-word shingles keeps, on the first stage's rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+
+    def shingles(text):
+        w = text.encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+
+    sets = [shingles(t or "") for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 5 * common >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    kept = {r["doc_id"] for r in cp.near_dedup(spark, docs, sf_dir).collect()}
+    assert kept == {rows[k][0] for k in set(root)} and len(kept) < len(rows)
