@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages from raw documents to token ids, each written as Parquet and read again."""
+"""The corpus pipeline: five stages from raw documents to token ids, each written as Parquet and read again.
+
+What holds for every stage: a null text counts as empty and a null id as any other; a text is
+worked on whole, whatever its length; repeated rows are judged alike (stage 2 keeps one of them);
+columns beyond those of documents pass through the first four stages, whatever their names, but
+_quality may not be one; no rows give no rows.
+"""
 
 from __future__ import annotations
 
@@ -11,35 +17,39 @@ from lexweave.llm.bpe import bpe_encode_decode
 from lexweave.llm.decontaminate import find_benchmark_passages
 from lexweave.llm.quality_rules import fit_ratios, trusted_target, with_quality
 from lexweave.llm.secrets import fit_limits, redact
-from lexweave.llm.shared import ensure_checkpoint_dir, read
+from lexweave.llm.shared import delete, ensure_checkpoint_dir, free_name, read
 from lexweave.llm.simhash import drop_near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the n-gram ratio reject go."""
+    """Documents that the base rules or the n-gram ratio reject go: among them those without words. Ties with the threshold stay."""
     ratios = fit_ratios(trusted_target(docs, read(spark, sf_dir, "labels")), docs)
     return with_quality(docs, ratios).where("_quality.kept").drop("_quality")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that with the smallest id; of equal ids that with the smallest hash of its text. Texts without words are copies of each other; a null id counts as the largest."""
     return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go; rows that share an id go together."""
-    found = find_benchmark_passages(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
+    """Documents that hold a benchmark passage go. Each is judged by its own text, so rows that share an id, or have none, need not go together; equal texts do. Texts without words stay."""
+    key = free_name("_text", *docs.columns)
+    hashed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = find_benchmark_passages(hashed, read(spark, sf_dir, "benchmark"), key).select(key).distinct()
+    return hashed.join(found, key, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark, and n_chars follows."""
-    text = redact(F.col("text"), fit_limits(docs))
-    return docs.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+    """Secrets are replaced by a mark, and n_chars follows, if there is such a column. Overlapping finds are marked in the order of the kinds; a null text stays, as does its n_chars."""
+    out = docs.withColumn("text", redact(F.col("text"), fit_limits(docs)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded) of every document left."""
+    """(doc_id, n_tokens, ids, decoded) of every document left: no tokens for a text without words."""
     import public_tokenizers
 
     out = bpe_encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -52,7 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, made from the table documents; what each stage returns is written to the shared checkpoint folder."""
+    """The last stage's rows, made from the table documents; what each stage returns is written to the shared checkpoint folder, and deleted when the next one's is."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
@@ -60,4 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
     return docs
