@@ -29,8 +29,8 @@ from .shared import SLICE_BYTES, as_bytes, checkpointed, mix, rolling_hashes, sl
 
 BLOCK = 25
 SPAN = 2 * BLOCK
-#: Words of all texts for each part of the hash space, and the fewest parts.
-WORDS_PER_PART, LEAST_PARTS = 8 << 20, 64
+#: Words of all texts for each part of the hash space. Beyond MANY_PARTS of them parts grow, up to MOST_WORDS, so that a slice still has some words for each.
+WORDS_PER_PART, MANY_PARTS, MOST_WORDS = 4 << 20, 1 << 14, 64 << 20
 #: Parts for each megabyte of a slice: more parts have longer slices, up to so many times as long, so that their rows stay worth packing.
 PARTS_PER_SLICE, MOST_SLICES = 2048, 16
 #: A block is hot if more than a HOT_SHARE-th of all blocks, and more than HOT_LEAST, equal it.
@@ -67,26 +67,28 @@ def _edges(x: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, x[1:] != x[:-1]]), len(x)] if len(x) else np.zeros(1, int)
 
 
-def _by_part(kind: int, part: np.ndarray, columns: dict[str, np.ndarray], text: np.ndarray | None = None, ids: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """A row for each part with its entries' columns as bytes; given the entries' texts, also the ids of the texts in it and how many entries each has."""
+def _by_part(kind: int, part: np.ndarray, columns: dict[str, np.ndarray], text: np.ndarray | None = None, ids: np.ndarray | None = None, sums: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """A row for each part with its entries' columns as bytes; given the entries' texts, also the ids (and sums) of the texts in it and how many entries each has."""
     order = np.argsort(part, kind="stable")
     part, columns = part[order], {n: c[order] for n, c in columns.items()}
     text = text[order] if text is not None else None
     edges = _edges(part)
-    rows: dict[str, list] = {n: [] for n in ("ids", "counts", *columns)}
+    rows: dict[str, list] = {n: [] for n in ("ids", "sums", "counts", *columns)}
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if text is not None:
             cut = _edges(text[a:b])
             rows["ids"].append(ids[text[a + cut[:-1]]].astype("<i8").tobytes())
             rows["counts"].append(np.diff(cut).astype("<u4").tobytes())
+            if sums is not None:
+                rows["sums"].append(sums[text[a + cut[:-1]]].astype("<u4").tobytes())
         for name, c in columns.items():
             rows[name].append(c[a:b].tobytes())
     n = len(edges) - 1
-    held = {x: pa.array(rows.get(x) or [None] * n, pa.binary()) for x in ("ids", "counts", "keys", "checks", "places", "least", "most")}
+    held = {x: pa.array(rows.get(x) or [None] * n, pa.binary()) for x in ("ids", "sums", "counts", "keys", "checks", "places", "least", "most")}
     yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]] if n else [], pa.int32()), pa.array([kind] * n, pa.int8()), *held.values()], ["part", "kind", *held])
 
 
-SHAPE = "part int, kind byte, ids binary, counts binary, keys binary, checks binary, places binary, least binary, most binary"
+SHAPE = "part int, kind byte, ids binary, sums binary, counts binary, keys binary, checks binary, places binary, least binary, most binary"
 
 
 def _joined(rows: list[dict], name: str, kind: str) -> np.ndarray:
@@ -315,7 +317,7 @@ def find_repeats(rows: DataFrame, hits: DataFrame, spread: int, parts: int) -> D
                 piece = batch.slice(start, end - start)
                 texts = as_bytes(piece.column(1))
                 s = Slice(texts)
-                sums = np.array([zlib.crc32(t) for t in texts], np.uint64)
+                sums = np.array([zlib.crc32(t) for t in texts], np.uint32)
                 ids = piece.column(0).to_numpy()
                 held = [np.frombuffer(b"".join(x), "<u8") for x in piece.column(2).to_pylist()]
                 hashes, text, first, near = _windows_near(s, held, parts)
@@ -324,7 +326,7 @@ def find_repeats(rows: DataFrame, hits: DataFrame, spread: int, parts: int) -> D
                 turns = np.where(near[HOT], spread, 1)
                 part = lambda k, turn: ((hashes[k] + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int32)  # noqa: E731, B023
                 late = np.flatnonzero(near[LATER])
-                yield from _by_part(PROBES, part(late, ids[text[late]] % turns[late]), {"keys": hashes[late], "checks": checks[late], "places": sums[text[late]] << np.uint64(32) | (first[late] - s.first[:-1][text[late]]).astype("<u8")}, text[late], ids)
+                yield from _by_part(PROBES, part(late, ids[text[late]] % turns[late]), {"keys": hashes[late], "checks": checks[late], "places": (first[late] - s.first[:-1][text[late]]).astype("<u4")}, text[late], ids, sums)
                 early = np.flatnonzero(near[EARLIER])
                 early = early[np.lexsort((ids[text[early]], checks[early], hashes[early]))]
                 # each once, with the smallest id of this slice
@@ -342,13 +344,14 @@ def find_repeats(rows: DataFrame, hits: DataFrame, spread: int, parts: int) -> D
         return keys, checks[new], least[new], int(np.diff(_edges(keys)).max(initial=0))
 
     def answer(index: tuple, part: int, kind: int, ids: np.ndarray, rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        keys, checks, places = _joined(rows, "keys", "<u8"), _joined(rows, "checks", "<u4"), _joined(rows, "places", "<u8")
+        keys, checks, places = _joined(rows, "keys", "<u8"), _joined(rows, "checks", "<u4"), _joined(rows, "places", "<u4")
+        sums = np.repeat(_joined(rows, "sums", "<u4"), _joined(rows, "counts", "<u4"))
         later = np.zeros(len(keys), bool)
         hit, place = _lookup(index[0], keys)
         for step in range(index[3]):  # once, unless different windows have one hash
             at = (place + step).clip(max=len(index[0]) - 1)
             later |= hit & (index[0][at] == keys) & (index[1][at] == checks) & (index[2][at] < ids)
-        return ids[later], places[later]
+        return ids[later], sums[later].astype(np.uint64) << np.uint64(32) | places[later]
 
     held = _parted(rows, hits.select("id"))[0].join(hits, "id").select("id", "text", "found")
     return _answered(held.mapInArrow(pack, SHAPE), parts, index_of, answer)
@@ -394,7 +397,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     with_id = rows.where("id is not null")
     index = checkpointed(index_blocks(with_id))
     total = index.agg(F.sum("n")).first()[0] or 0
-    parts = parts or max(LEAST_PARTS, -(-total * BLOCK // WORDS_PER_PART))
+    words = total * BLOCK
+    parts = parts or max(1, -(-words // min(max(WORDS_PER_PART, words // MANY_PARTS), MOST_WORDS)))
     hot = HotBlocks(index, total)
     hits = checkpointed(find_hits(with_id, index, hot, parts))
     repeats = checkpointed(find_repeats(with_id, hits, hot.spread, parts))
