@@ -104,8 +104,30 @@ def _by_text(ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[edges[:-1]] if len(ids) else [], pa.int64()), pa.array(found, pa.binary())], ["id", "found"])
 
 
-def _answered(rows: DataFrame, parts: int, index_of, answer, most: int = 1 << 20) -> DataFrame:
-    """(id, found: array of bytes) of rows as _by_part gives them. index_of(rows) makes a part's index of its rows of that kind; answer(index, part, kind, ids, rows) gives (ids, values) of some rows that come after."""
+def _gathered(rows: DataFrame, parts: int) -> DataFrame:
+    """(id, found: bytes): all values of each id, of rows as _by_part gives them, dealt by the ids' parts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def values() -> pa.RecordBatch:
+            return _by_text(np.repeat(_joined(held, "ids", "<i8"), _joined(held, "counts", "<u4")), _joined(held, "keys", "<u8"))
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    if held:
+                        yield values()
+                    part, held = row["part"], []
+                held.append(row)
+        if held:
+            yield values()
+
+    return rows.select("part", "ids", "counts", "keys").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(work, "id long, found binary")
+
+
+def _answered(rows: DataFrame, parts: int, index_of, answer, most: int = 4 << 20) -> DataFrame:
+    """(id, found: bytes) of rows as _by_part gives them. index_of(rows) makes a part's index of its rows of that kind; answer(index, part, kind, ids, rows) gives (ids, values) of some rows that come after."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, index, waiting, size = None, [], None, [], 0
@@ -113,9 +135,11 @@ def _answered(rows: DataFrame, parts: int, index_of, answer, most: int = 1 << 20
         def answers() -> Iterator[pa.RecordBatch]:
             for kind in (PROBES, KNOWN):
                 if rows := [r for r in waiting if r["kind"] == kind]:
-                    out = _by_text(*answer(index, part, kind, np.repeat(_joined(rows, "ids", "<i8"), _joined(rows, "counts", "<u4")), rows))
-                    if out.num_rows:
-                        yield out
+                    ids, values = answer(index, part, kind, np.repeat(_joined(rows, "ids", "<i8"), _joined(rows, "counts", "<u4")), rows)
+                    order = np.argsort(ids, kind="stable")
+                    own, text = np.unique(ids[order], return_inverse=True)
+                    target = (mix(own.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+                    yield from _by_part(KNOWN, target[text], {"keys": values[order].astype("<u8")}, text, own)
 
         for batch in batches:
             for k in range(batch.num_rows):
@@ -136,7 +160,7 @@ def _answered(rows: DataFrame, parts: int, index_of, answer, most: int = 1 << 20
         yield from answers()
 
     sorted_rows = rows.repartition(parts, "part").sortWithinPartitions("part", "kind")
-    return sorted_rows.mapInArrow(work, "id long, found binary").groupBy("id").agg(F.collect_list("found").alias("found"))
+    return _gathered(sorted_rows.mapInArrow(work, SHAPE), parts)
 
 
 def _keys(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +229,7 @@ def _slice_bytes(parts: int) -> int:
 
 
 def find_hits(rows: DataFrame, index: DataFrame, hot: HotBlocks, parts: int) -> DataFrame:
-    """(id, found: array of bytes): for each text 64-bit numbers, as _named gives them, of its rolling windows that equal a block of another text, with LATER, EARLIER and HOT."""
+    """(id, found: bytes): for each text 64-bit numbers, as _named gives them, of its rolling windows that equal a block of another text, with LATER, EARLIER and HOT."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,7 +333,7 @@ def _windows_near(s: Slice, held: list[np.ndarray], parts: int) -> tuple[np.ndar
 
 
 def find_repeats(rows: DataFrame, hits: DataFrame, spread: int, parts: int) -> DataFrame:
-    """(id, found: array of bytes): for those windows of SPAN words that also start in a text with a smaller id, 32 bits of their first word's number, above them their text's checksum, as several texts may share an id. Windows count as equal if two hashes, 96 bits in all, are."""
+    """(id, found: bytes): for those windows of SPAN words that also start in a text with a smaller id, 32 bits of their first word's number, above them their text's checksum, as several texts may share an id. Windows count as equal if two hashes, 96 bits in all, are."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,7 +343,7 @@ def find_repeats(rows: DataFrame, hits: DataFrame, spread: int, parts: int) -> D
                 s = Slice(texts)
                 sums = np.array([zlib.crc32(t) for t in texts], np.uint32)
                 ids = piece.column(0).to_numpy()
-                held = [np.frombuffer(b"".join(x), "<u8") for x in piece.column(2).to_pylist()]
+                held = [np.frombuffer(x, "<u8") for x in piece.column(2).to_pylist()]
                 hashes, text, first, near = _windows_near(s, held, parts)
                 checks = (rolling_hashes(mix(s.words), SPAN)[first] >> np.uint64(32)).astype("<u4")
                 # what hot windows are compared with is copied to spread parts, and each of their texts goes to one of these
@@ -370,7 +394,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tokens = text.split()
                 if found:
                     edge = np.zeros(len(tokens) + 1, np.int64)
-                    at = np.unique(np.frombuffer(b"".join(found), "<u8"))
+                    at = np.unique(np.frombuffer(found, "<u8"))
                     at = (at[at >> np.uint64(32) == zlib.crc32(text)] & np.uint64(0xFFFFFFFF)).astype(np.int64)
                     at = at[at + SPAN <= len(tokens)]
                     np.add.at(edge, at, 1)
@@ -405,6 +429,6 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     maybe, clear = _parted(rows, repeats.select("id"))
     # only texts that may lose words are shuffled
     joined = maybe.join(repeats, "id", "left").select("id", "text", "found")
-    joined = joined.unionByName(clear.withColumn("found", F.lit(None).cast("array<binary>")))
+    joined = joined.unionByName(clear.withColumn("found", F.lit(None).cast("binary")))
     kind = docs.schema[id_column].dataType.simpleString()
     return joined.mapInArrow(_kept, RESULT).select(F.col("id").cast(kind).alias(id_column), "n_words", "n_removed", "kept")
