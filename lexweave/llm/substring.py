@@ -337,7 +337,7 @@ def find_repeats(rows: DataFrame, hits: DataFrame, spread: int, parts: int) -> D
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, end in slices(batch.column(1), _slice_bytes(parts)):
+            for start, end in slices(batch.column(1), _slice_bytes(parts) // 2):
                 piece = batch.slice(start, end - start)
                 texts = as_bytes(piece.column(1))
                 s = Slice(texts)
