@@ -9,8 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.kept import kept
+from .search import sharing_ancestor
+
 #: Rows of a block of queries or of the corpus: what one group compares.
 QUERY_BLOCK, CORPUS_BLOCK = 2048, 16384
+#: Decimal places of distances: what is equal in them is a tie.
+PLACES = 9
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,69 +34,80 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, alpha: float = 0.4, exclude_language: bool = True) -> DataFrame:
-    """(q, refid, dist, rank): the k nearest of the corpus for every query, exactly.
-
-    Both have (refid, langid, p, s): array<double> for sound and meaning. dist is 1 minus the
-    weighted cosines; rows of the query's own language are left out if asked; ties go by refid.
-    Queries and corpus are dealt into blocks of bounded size, each pair of blocks is one matrix
-    product, and only its best k for each query go on.
-    """
-    n_q, n_c = queries.count(), corpus.count()
-    blocks_q, blocks_c = -(-n_q // QUERY_BLOCK) or 1, -(-n_c // CORPUS_BLOCK) or 1
+def blocks_of(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables dealt into blocks of bounded size: each row once for every block of the other side, with the columns bq and bc. Rows of one pair of blocks are what one group compares."""
+    n_q, n_c = (max(1, -(-t.count() // size)) for t, size in ((queries, QUERY_BLOCK), (corpus, CORPUS_BLOCK)))
 
     def dealt(rows: DataFrame, own: str, n: int, other: str, n_other: int) -> DataFrame:
         # new names: a cogroup tells the two sides apart by their columns' identity
-        return rows.select(*[F.col(c).alias(c) for c in ("refid", "langid", "p", "s")], F.pmod(F.xxhash64("refid"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
+        return rows.select(*[F.col(c).alias(c) for c in rows.columns], F.pmod(F.xxhash64("refid"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
+
+    return dealt(queries, "bq", n_q, "bc", n_c), dealt(corpus, "bc", n_c, "bq", n_q)
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, alpha: float = 0.4, exclude_language: bool = True, penalty: float = 0.0) -> DataFrame:
+    """(q, refid, langid, dist, rank): the k nearest of the corpus for every query, exactly; all of it for None.
+
+    Both have (refid, langid, p, s): array<double> for sound and meaning. dist is 1 minus the
+    weighted cosines, rounded to PLACES; rows of the query's own language are left out if asked.
+    Where queries have the column kin (array<long>), rows of other languages than these are
+    penalty further off, before the nearest are chosen. Ties go by refid. Each pair of blocks is one
+    matrix product, and only its best k for each query go on: the work is every query times the
+    corpus, the shuffle the queries once for each block of the corpus and the reverse.
+    """
+    if "kin" not in queries.columns:
+        queries = queries.withColumn("kin", F.lit(None).cast("array<long>"))
+    left, right = blocks_of(queries.select("refid", "langid", "p", "s", "kin"), corpus.select("refid", "langid", "p", "s"))
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = {"q": [], "refid": [], "dist": []}
+        out = {"q": [], "refid": [], "langid": [], "dist": []}
         if len(q) and len(c):
-            def matrix(rows: pd.Series) -> np.ndarray:
-                m = np.stack(rows.to_list()).astype(float)
-                n = np.linalg.norm(m, axis=1, keepdims=True)
-                return np.divide(m, n, out=m, where=n > 0)
-
-            d = 1 - (alpha * matrix(q["p"]) @ matrix(c["p"]).T + (1 - alpha) * matrix(q["s"]) @ matrix(c["s"]).T)
-            if exclude_language:
-                d[q["langid"].to_numpy()[:, None] == c["langid"].to_numpy()[None, :]] = np.inf
-            ids = c["refid"].to_numpy()
-            for row, query in zip(d, q["refid"], strict=True):
-                limit = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
-                at = np.flatnonzero((row <= limit + 1e-12) & np.isfinite(row))
-                at = at[np.lexsort((ids[at], row[at]))][: k + 8]
+            d = 1 - (alpha * _units(q["p"]) @ _units(c["p"]).T + (1 - alpha) * _units(q["s"]) @ _units(c["s"]).T)
+            ids, langs = c["refid"].to_numpy(), c["langid"].to_numpy()
+            for row, query, lang, kin in zip(d, q["refid"], q["langid"], q["kin"], strict=True):
+                if kin is not None:
+                    row = row + penalty * ~np.isin(langs, list(kin))
+                row = np.round(row, PLACES)
+                at = np.flatnonzero(langs != lang) if exclude_language else np.arange(len(row))
+                if k is not None and k < len(at):
+                    at = at[row[at] <= np.partition(row[at], k - 1)[k - 1]]
+                at = at[np.lexsort((ids[at], row[at]))][:k]
                 out["q"] += [query] * len(at)
                 out["refid"] += ids[at].tolist()
+                out["langid"] += langs[at].tolist()
                 out["dist"] += row[at].tolist()
         return pd.DataFrame(out)
 
-    left = dealt(queries, "bq", blocks_q, "bc", blocks_c).groupBy("bq", "bc")
-    right = dealt(corpus, "bc", blocks_c, "bq", blocks_q).groupBy("bq", "bc")
-    found = left.cogroup(right).applyInPandas(best, "q long, refid long, dist double")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("dist", 9), "refid"))
-    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    found = left.groupBy("bq", "bc").cogroup(right.groupBy("bq", "bc")).applyInPandas(best, "q long, refid long, langid long, dist double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("dist", "refid")).cast("long"))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def rank_related(found: DataFrame, query_lang: DataFrame, corpus: DataFrame, sharing: DataFrame, penalty: float = 1.0) -> DataFrame:
-    """Distances of found (q, refid, dist), more by penalty where the two languages share no ancestor.
+def _units(rows: pd.Series) -> np.ndarray:
+    """The vectors with length 1; zero vectors stay."""
+    m = np.stack(rows.to_list()).astype(float)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=m, where=n > 0)
 
-    query_lang: (q, qlang); corpus: (refid, langid); sharing: (a, b).
-    """
-    rows = found.join(query_lang, "q").join(corpus.select("refid", "langid"), "refid")
-    rows = rows.join(sharing.withColumn("_shared", F.lit(1)), (F.col("qlang") == F.col("a")) & (F.col("langid") == F.col("b")), "left")
-    return rows.withColumn("dist", F.col("dist") + F.when(F.col("_shared").isNull(), F.lit(penalty)).otherwise(F.lit(0.0))).drop("a", "b", "_shared", "qlang")
 
+def rank_related(queries: DataFrame, corpus: DataFrame, ancestry: DataFrame, k: int | None, alpha: float = 0.4, penalty: float = 1.0, exclude_language: bool = True) -> DataFrame:
+    """The k nearest forms, those of languages that share no ancestor (ancestry: langid, plangid) with the query's penalty further off; for a language without ancestors all are."""
+    pairs = sharing_ancestor(ancestry).groupBy(F.col("a").alias("langid")).agg(F.collect_set("b").alias("kin"))
+    asked = queries.join(pairs, "langid", "left").withColumn("kin", F.coalesce("kin", F.expr("cast(array() as array<long>)")))
+    return nearest(asked, corpus, k, alpha, exclude_language, penalty)
 
-def rank_protoforms(found: DataFrame, protos: DataFrame) -> DataFrame:
-    """Only ancestor forms, no penalty."""
-    return found.join(protos.select("refid"), "refid", "left_semi")
 
+def rank_protoforms(queries: DataFrame, corpus: DataFrame, ancestry: DataFrame, k: int | None, alpha: float = 0.4, exclude_language: bool = False) -> DataFrame:
+    """The k nearest forms of languages that something descends from; no penalty."""
+    return nearest(queries, corpus.join(ancestry.select(F.col("plangid").alias("langid")).distinct(), "langid", "left_semi"), k, alpha, exclude_language)
 
-def rank_reflexes(found: DataFrame, protos: DataFrame, corpus: DataFrame, descendants: DataFrame, penalty: float = 1.0) -> DataFrame:
-    """Only forms that aren't ancestors; more by penalty for languages not among descendants (langid)."""
-    rows = found.join(protos.select("refid"), "refid", "left_anti").join(corpus.select("refid", "langid"), "refid")
-    rows = rows.join(descendants.select("langid").distinct().withColumn("_own", F.lit(1)), "langid", "left")
-    return rows.withColumn("dist", F.col("dist") + F.when(F.col("_own").isNull(), F.lit(penalty)).otherwise(F.lit(0.0))).drop("_own")
+
+def rank_reflexes(queries: DataFrame, corpus: DataFrame, ancestry: DataFrame, k: int | None, alpha: float = 0.4, penalty: float = 1.0, exclude_language: bool = False) -> DataFrame:
+    """The k nearest forms of languages that nothing descends from, those that don't descend from the query's plangid (a column) penalty further off; without one all are."""
+    forms = corpus.join(ancestry.select(F.col("plangid").alias("langid")).distinct(), "langid", "left_anti")
+    own = ancestry.groupBy("plangid").agg(F.collect_set("langid").alias("kin"))
+    asked = queries.join(own, "plangid", "left").withColumn("kin", F.coalesce("kin", F.expr("cast(array() as array<long>)")))
+    return nearest(asked, forms, k, alpha, exclude_language, penalty)
 
 
 ALPHAS, CUTS, MOST = [k / 10 for k in range(11)], (5, 10, 20, 50), 50
@@ -110,36 +126,26 @@ def evaluate_alphas(members: DataFrame, per_set: int = 2) -> DataFrame:
     queries = members.join(sized, "skey", "left_semi").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_set)
     totals = members.groupBy("skey", "langid").agg(F.count("*").alias("own")).join(members.groupBy("skey").agg(F.count("*").alias("n")), "skey")
     queries = queries.join(totals, ["skey", "langid"]).withColumn("targets", F.col("n") - F.col("own")).where("targets > 0")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
 
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"q": [], "alpha": [], "dist": [], "refid": [], "hit": []})
-
-        def matrix(rows: pd.Series) -> np.ndarray:
-            m = np.stack(rows.to_list()).astype(float)
-            n = np.linalg.norm(m, axis=1, keepdims=True)
-            return np.divide(m, n, out=m, where=n > 0)
-
-        cp, cs = matrix(q["p"]) @ matrix(c["p"]).T, matrix(q["s"]) @ matrix(c["s"]).T
+        cp, cs = _units(q["p"]) @ _units(c["p"]).T, _units(q["s"]) @ _units(c["s"]).T
         ids, parts = c["refid"].to_numpy(), []
         keys, langs = c["skey"].to_numpy(), c["langid"].to_numpy()
         for i, row in enumerate(q.itertuples()):
             other = langs != row.langid
             hit = (keys == row.skey) & other
             for a in ALPHAS:
-                d = np.where(other, 1 - (a * cp[i] + (1 - a) * cs[i]), np.inf)
+                d = np.where(other, np.round(1 - (a * cp[i] + (1 - a) * cs[i]), PLACES), np.inf)
                 at = np.lexsort((ids, d))[:MOST]
                 at = at[np.isfinite(d[at])]
                 parts.append(pd.DataFrame({"q": row.refid, "alpha": a, "dist": d[at], "refid": ids[at], "hit": hit[at]}))
         return pd.concat(parts)
 
-    n_c = max(1, -(-members.count() // CORPUS_BLOCK))
-    left = queries.select("refid", "langid", "skey", "p", "s", F.pmod(F.xxhash64("refid"), F.lit(blocks)).cast("int").alias("bq"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("bc"))
-    copied = [F.col(c).alias(c) for c in ("refid", "langid", "skey", "p", "s")]
-    right = members.select(*copied, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bq"), F.pmod(F.xxhash64("refid"), F.lit(n_c)).cast("int").alias("bc"))
+    left, right = blocks_of(queries.select("refid", "langid", "skey", "p", "s"), members.select("refid", "langid", "skey", "p", "s"))
     found = left.groupBy("bq", "bc").cogroup(right.groupBy("bq", "bc")).applyInPandas(compare, "q long, alpha double, dist double, refid long, hit boolean")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("alpha", "q").orderBy(F.round("dist", 9), "refid"))).where(F.col("rank") <= MOST)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("alpha", "q").orderBy("dist", "refid"))).where(F.col("rank") <= MOST)
     hits = ranked.groupBy("alpha", "q").agg(*[F.sum(F.when(F.col("hit") & (F.col("rank") <= k), 1).otherwise(0)).alias(f"h{k}") for k in CUTS], F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))
     hits = hits.join(queries.select(F.col("refid").alias("q"), "targets"), "q")
     mean = lambda c, n: F.round(F.avg(c), 6).alias(n)
@@ -153,17 +159,29 @@ def best_alpha(scores: DataFrame) -> DataFrame:
 
 
 def tfidf(grams: DataFrame, features: int | None = None) -> DataFrame:
-    """(id, gram, weight) of (id, gram) rows: counts times ln((1 + n) / (1 + df)) + 1, of length 1 for each id. features: only so many grams, the most frequent (of equals the first)."""
-    if features is not None:
-        totals = grams.groupBy("gram").count()
-        grams = grams.join(totals.orderBy(F.desc("count"), "gram").limit(features).select("gram"), "gram", "left_semi")
+    """(id, gram, weight) of (id, gram) rows: counts times ln((1 + n) / (1 + df)) + 1, of length 1 for each id. features: only so many grams, the most frequent (of equals the first); ids without any of them have no rows but count among all.
+
+    The counts are gathered once, by id; what is known of a gram comes from them by one more pass.
+    """
     counts = grams.groupBy("id", "gram").agg(F.count("*").alias("tf"))
-    n = counts.select("id").distinct().agg(F.count("*").alias("n"))
-    df = counts.groupBy("gram").agg(F.count("*").alias("df")).join(F.broadcast(n))
-    idf = df.select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(idf, "gram").select("id", "gram", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "gram", (F.col("w") / F.col("norm")).alias("weight"))
+    by_id = kept(counts.groupBy("id").agg(F.collect_list(F.struct("gram", "tf")).alias("held")))
+    n = by_id.agg(F.count("*").alias("n"))
+    known = by_id.select(F.explode("held").alias("x")).groupBy("x.gram").agg(F.count("*").alias("df"), F.sum("x.tf").alias("total"))
+    if features is not None:
+        known = known.orderBy(F.desc("total"), "gram").limit(features)
+    idf = known.join(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = by_id.select("id", F.explode("held").alias("x")).select("id", "x.*").join(idf, "gram").select("id", "gram", (F.col("tf") * F.col("idf")).alias("w"))
+    held = raw.groupBy("id").agg(F.collect_list(F.struct("gram", "w")).alias("held")).withColumn("norm", F.sqrt(F.aggregate("held", F.lit(0.0), lambda t, x: t + x["w"] * x["w"])))
+    return held.select("id", "norm", F.explode("held").alias("x")).select("id", "x.gram", (F.col("x.w") / F.col("norm")).alias("weight"))
+
+
+def dense(weights: DataFrame, ids: DataFrame, features: int) -> DataFrame:
+    """(id, v): weights (id, gram, weight) as vectors of the grams in their order, features at most, for all ids; zeros for those without any."""
+    known = weights.select("gram").distinct().orderBy("gram").limit(features)
+    place = known.agg(F.array_sort(F.collect_list("gram")).alias("grams"))  # features at most
+    held = weights.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("m"))
+    both = ids.select("id").distinct().join(held, "id", "left").join(F.broadcast(place))
+    return both.select("id", F.transform("grams", lambda g: F.coalesce(F.try_element_at("m", g), F.lit(0.0))).alias("v"))
 
 
 def char_ngrams(rows: DataFrame, text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -188,30 +206,39 @@ def word_ngrams(rows: DataFrame, text: Column) -> DataFrame:
 
 
 def whitened_pca(rows: DataFrame, dims: int) -> DataFrame:
-    """(refid, v): the dims strongest directions of (refid, p), each with variance 1.
+    """(refid, v): the strongest directions of (refid, p), dims at most and no more than rows or places, each with variance 1 and its largest weight positive.
 
-    Means and products are summed over all rows by Spark, a square of the vector's length; only
-    that comes to the driver.
+    Means and products are summed for each partition and then over all by Spark, a square of the
+    vector's length; only that comes to the driver.
     """
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
         for b in batches:
-            m = np.stack(b["p"].to_list()).astype(float)
-            yield pd.DataFrame({"k": np.arange(m.shape[1] + 1), "n": len(m), "row": [m.sum(0).tolist(), *(m.T @ m).tolist()]})
-
-    parts = rows.select("p").mapInPandas(moments, "k int, n long, row array<double>")
-    sums = parts.select("k", "n", F.posexplode("row")).groupBy("k", "pos").agg(F.sum("col").alias("v"), F.sum("n").alias("n")).collect()
-    size = 1 + max(r["pos"] for r in sums)
-    table, n = np.zeros((size + 1, size)), sums[0]["n"]
-    for r in sums:
-        table[r["k"], r["pos"]] = r["v"]
-    mean = table[0] / n
-    values, vectors = np.linalg.eigh(table[1:] / n - np.outer(mean, mean))
-    order = np.argsort(-values)[:dims]
-    turn = vectors[:, order] / np.sqrt(np.maximum(values[order], 1e-12))
+            if len(b):
+                m = np.stack(b["p"].to_list()).astype(float)
+                m = np.hstack([np.ones((len(m), 1)), m])
+                total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            yield pd.DataFrame({"k": np.arange(len(total)), "row": total.tolist()})
+
+    def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": [key[0]], "row": [np.stack(group["row"].to_list()).sum(0).tolist()]})
+
+    sums = rows.select("p").mapInPandas(moments, "k int, row array<double>").groupBy("k").applyInPandas(add, "k int, row array<double>").orderBy("k").collect()
+    if not sums:
+        return rows.select("refid", F.col("p").alias("v"))
+    table = np.array([r["row"] for r in sums])
+    n, mean = table[0, 0], table[0, 1:] / table[0, 0]
+    values, vectors = np.linalg.eigh(table[1:, 1:] / n - np.outer(mean, mean))
+    order = np.argsort(-values, kind="stable")[: min(dims, int(n), len(mean))]
+    vectors = vectors[:, order]
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(len(order))])
+    turn = vectors / np.sqrt(np.maximum(values[order], 1e-12))
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"refid": b["refid"], "v": ((np.stack(b["p"].to_list()) - mean) @ turn).tolist()})
+            if len(b):
+                yield pd.DataFrame({"refid": b["refid"], "v": ((np.stack(b["p"].to_list()) - mean) @ turn).tolist()})
 
     return rows.select("refid", "p").mapInPandas(project, "refid long, v array<double>")
 
@@ -223,3 +250,9 @@ def update_vectors(vectors: DataFrame, changed: DataFrame, gone: DataFrame) -> D
 
 def pair_similarity(a: Column, b: Column, form_distance: Column) -> Column:
     return cosine(a, b) / (form_distance + 1)
+
+
+def with_all(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Every query beside every row of the corpus (its columns with c_ before them), block by block."""
+    left, right = blocks_of(queries, corpus)
+    return left.join(right.select("bq", "bc", *[F.col(c).alias(f"c_{c}") for c in corpus.columns]), ["bq", "bc"]).drop("bq", "bc")

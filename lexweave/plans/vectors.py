@@ -33,45 +33,51 @@ def queries_of(rows: DataFrame) -> DataFrame:
     return rows.where("refid % 50 = 0")
 
 
-def found(spark, sf_dir, k: int = K) -> DataFrame:
-    rows = corpus(spark, sf_dir)
-    return sim.nearest(queries_of(rows), rows, k, ALPHA)
-
-
 VECTORS = """WITH v AS (SELECT vec_id AS refid, CAST(label AS BIGINT) AS langid, CAST(embedding AS DOUBLE[])[1:32] AS p, CAST(embedding AS DOUBLE[])[33:64] AS s FROM embeddings),
-d AS (SELECT q.refid AS q, q.langid AS qlang, c.refid, c.langid, 1 - (0.4 * list_cosine_similarity(q.p, c.p) + 0.6 * list_cosine_similarity(q.s, c.s)) AS dist FROM v q JOIN v c ON q.langid <> c.langid WHERE q.refid % 50 = 0),
-found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(dist, 9), refid) AS rank FROM d) WHERE rank <= 10)
+ancestry AS (SELECT DISTINCT langid, 7 + langid % 3 AS plangid FROM v WHERE langid < 6 UNION SELECT DISTINCT langid, 9 FROM v WHERE langid = 1),
+d AS (SELECT q.refid AS q, q.langid AS qlang, c.refid, c.langid, 1 - (0.4 * list_cosine_similarity(q.p, c.p) + 0.6 * list_cosine_similarity(q.s, c.s)) AS dist FROM v q, v c WHERE q.refid % 50 = 0)
 """
 
 
-@query(VECTORS + "SELECT q, refid, round(dist, 6) AS dist, rank FROM found")
-def cosine_topk(spark, sf_dir):
-    return found(spark, sf_dir).withColumn("dist", F.round("dist", 6))
+def ranked_sql(dist: str, where: str) -> str:
+    """The ten nearest of the rows that count, by the distance that counts."""
+    return VECTORS + f"SELECT q, refid, langid, round(dist, 6) AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(dist, 9), refid) AS rank FROM (SELECT q, refid, langid, {dist} AS dist FROM d WHERE {where})) WHERE rank <= {K}"
 
 
-#: Languages share an ancestor if their numbers are equal modulo 3; even ids are ancestor forms.
-SHARING = "CASE WHEN qlang % 3 = langid % 3 THEN 0 ELSE 1 END"
+def ancestry_of(rows: DataFrame) -> DataFrame:
+    """Languages 7, 8 and 9 are ancestors; 1 has two, 6 none."""
+    langs = rows.select("langid").distinct()
+    return langs.where("langid < 6").select("langid", (7 + F.col("langid") % 3).alias("plangid")).union(langs.where("langid = 1").select("langid", F.lit(9).cast("long"))).distinct()
 
 
-@query(VECTORS + f"SELECT q, refid, langid, round(dist + {SHARING}, 6) AS dist FROM found")
+def _shown(ranked: DataFrame) -> DataFrame:
+    return ranked.select("q", "refid", "langid", F.round("dist", 6).alias("dist"), "rank")
+
+
+@query(ranked_sql("dist", "qlang <> langid"))
+def cosine_topk(spark, sf_dir):
+    rows = corpus(spark, sf_dir)
+    return _shown(sim.nearest(queries_of(rows), rows, K, ALPHA))
+
+
+@query(ranked_sql("dist + CASE WHEN EXISTS (SELECT 1 FROM ancestry x JOIN ancestry y USING (plangid) WHERE x.langid = qlang AND y.langid = d.langid) THEN 0 ELSE 1 END", "qlang <> langid"))
 def rank_cognates_penalty(spark, sf_dir):
     rows = corpus(spark, sf_dir)
-    langs = rows.select("langid").distinct()
-    sharing = langs.select(F.col("langid").alias("a")).join(langs.select(F.col("langid").alias("b")), F.pmod("a", F.lit(3)) == F.pmod("b", F.lit(3)))
-    out = sim.rank_related(found(spark, sf_dir), queries_of(rows).select(F.col("refid").alias("q"), F.col("langid").alias("qlang")), rows, sharing)
-    return out.select("q", "refid", "langid", F.round("dist", 6).alias("dist"))
+    return _shown(sim.rank_related(queries_of(rows), rows, ancestry_of(rows), K, ALPHA))
 
 
-@query(VECTORS + "SELECT q, refid, round(dist, 6) AS dist FROM found WHERE refid % 2 = 0")
+@query(ranked_sql("dist", "langid IN (SELECT plangid FROM ancestry)"))
 def rank_reconstructions(spark, sf_dir):
-    return sim.rank_protoforms(found(spark, sf_dir), corpus(spark, sf_dir).where("refid % 2 = 0")).select("q", "refid", F.round("dist", 6).alias("dist"))
+    rows = corpus(spark, sf_dir)
+    return _shown(sim.rank_protoforms(queries_of(rows), rows, ancestry_of(rows), K, ALPHA))
 
 
-@query(VECTORS + "SELECT q, refid, langid, round(dist + CASE WHEN langid IN (1, 2, 3) THEN 0 ELSE 1 END, 6) AS dist FROM found WHERE refid % 2 <> 0")
+@query(ranked_sql("dist + CASE WHEN langid IN (SELECT langid FROM ancestry WHERE plangid = 7 + q % 4) THEN 0 ELSE 1 END", "langid NOT IN (SELECT plangid FROM ancestry)"))
 def rank_reflexes(spark, sf_dir):
+    """Of each query as an ancestor form of language 7, 8, 9, or none that is known."""
     rows = corpus(spark, sf_dir)
-    out = sim.rank_reflexes(found(spark, sf_dir), rows.where("refid % 2 = 0"), rows, rows.where("langid in (1, 2, 3)").select("langid"))
-    return out.select("q", "refid", "langid", F.round("dist", 6).alias("dist"))
+    asked = queries_of(rows).withColumn("plangid", 7 + F.col("refid") % 4)
+    return _shown(sim.rank_reflexes(asked, rows, ancestry_of(rows), K, ALPHA))
 
 
 EVALUATION = """WITH v AS (SELECT vec_id AS refid, vec_id % 50 AS skey, CAST(label AS BIGINT) AS langid, CAST(embedding AS DOUBLE[])[1:32] AS p, CAST(embedding AS DOUBLE[])[33:64] AS s FROM embeddings),
@@ -126,6 +132,7 @@ def related_words(spark, sf_dir):
     wanted = words.join(asked, "form", "left_semi").select(key.alias("refid"))
     best = sim.nearest(rows.join(wanted, "refid", "left_semi"), rows, 5, 1.0)
     named = words.select(key.alias("id"), "lang", "form")
+    best = best.drop("langid")
     out = best.join(named.select(F.col("id").alias("q"), F.col("form").alias("query")), "q").join(named.withColumnRenamed("id", "refid"), "refid")
     return out.select("query", "lang", "form", F.round("dist", 6).alias("dist"), "rank")
 
@@ -133,16 +140,26 @@ def related_words(spark, sf_dir):
 @query()
 def pca_whiten(spark, sf_dir):
     out = sim.whitened_pca(corpus(spark, sf_dir), 8)
-    return out.select("refid", F.transform("v", lambda x: F.round(F.abs(x), 4)).alias("v"))
+    return out.select("refid", F.transform("v", lambda x: F.round(x, 4)).alias("v"))
+
+
+@query()
+def lexicon_vectors(spark, sf_dir):
+    """Sound and meaning of all forms of the lexicon, by n-grams and whitened components."""
+    from ..sources.store import embed
+    from ..sources.tables import star_lexicon
+
+    out = embed(star_lexicon(spark, sf_dir).reflexes, 16)
+    return out.select("refid", "langid", *[F.transform(c, lambda x: F.round(x, 4)).alias(c) for c in ("p", "s")])
 
 
-@query(VECTORS + "SELECT q, refid, round((1 - dist) / (levenshtein(CAST(q AS VARCHAR), CAST(refid AS VARCHAR)) + 1), 6) AS similarity FROM (SELECT q.refid AS q, c.refid, 1 - list_cosine_similarity(q.s, c.s) AS dist FROM v q, v c WHERE q.refid % 50 = 0 AND c.refid = q.refid + 1)")
+@query(VECTORS + "SELECT q.refid AS q, c.refid, round(list_cosine_similarity(q.s, c.s) / (levenshtein(CAST(q.refid AS VARCHAR), CAST(c.refid AS VARCHAR)) + 1), 6) AS similarity FROM v q, v c WHERE q.refid % 50 = 0")
 def pair_similarity(spark, sf_dir):
+    """Every query beside every row."""
     rows = corpus(spark, sf_dir)
-    left = queries_of(rows).select(F.col("refid").alias("q"), F.col("s").alias("qs"), (F.col("refid") + 1).alias("refid"))
-    both = left.join(rows.select("refid", "s"), "refid")
-    value = sim.pair_similarity(F.col("qs"), F.col("s"), F.levenshtein(F.col("q").cast("string"), F.col("refid").cast("string")))
-    return both.select("q", "refid", F.round(value, 6).alias("similarity"))
+    both = sim.with_all(queries_of(rows).select("refid", "s"), rows.select("refid", "s"))
+    value = sim.pair_similarity(F.col("s"), F.col("c_s"), F.levenshtein(F.col("refid").cast("string"), F.col("c_refid").cast("string")))
+    return both.select(F.col("refid").alias("q"), F.col("c_refid").alias("refid"), F.round(value, 6).alias("similarity"))
 
 
 @query("WITH v AS (SELECT vec_id AS refid, label FROM embeddings) SELECT refid, CAST(CASE WHEN refid % 7 = 0 THEN -1 ELSE label END AS INTEGER) AS label FROM v WHERE label <> 9")

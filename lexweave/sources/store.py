@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.similarity import char_ngrams, tfidf, unit, word_ngrams
+from ..functions.text import gloss_or_unknown, segment_text
+from ..operators.similarity import char_ngrams, dense, tfidf, unit, whitened_pca, word_ngrams
 
 COLUMNS = {"refid": "bigint", "langid": "bigint", "p": "array<double>", "s": "array<double>"}
 
@@ -19,9 +20,21 @@ def hashed_vectors(weights: DataFrame, dims: int) -> DataFrame:
     return held.select("id", unit(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))).alias("v"))
 
 
+def embed(reflexes: DataFrame, dims: int = 300, features: int = 1024) -> DataFrame:
+    """(refid, langid, p, s) of forms (refid, langid, ipaform, gloss): sound from character n-grams of the form's segments, meaning from words of the gloss and pairs of them, features n-grams at most, each brought to dims whitened components at most. Null forms count as empty, null and empty glosses as unknown."""
+    rows = reflexes.select(F.col("refid").alias("id"), "langid", segment_text(F.coalesce("ipaform", F.lit(""))).alias("form"), gloss_or_unknown(F.col("gloss")).alias("gloss"))
+
+    def side(grams: DataFrame, name: str) -> DataFrame:
+        vectors = dense(tfidf(grams, features), rows, features)
+        return whitened_pca(vectors.select(F.col("id").alias("refid"), F.col("v").alias("p")), dims).select(F.col("refid").alias("id"), F.col("v").alias(name))
+
+    joined = rows.join(side(char_ngrams(rows, F.col("form")), "p"), "id").join(side(word_ngrams(rows, F.col("gloss")), "s"), "id")
+    return joined.select(F.col("id").alias("refid"), "langid", "p", "s")
+
+
 def build_vectors(reflexes: DataFrame, dims: int = 64) -> DataFrame:
-    """(refid, langid, p, s) of forms (refid, langid, ipaform, gloss): sound from character n-grams of the form, meaning from words of the gloss. Null and empty glosses count as unknown, null forms as empty."""
-    rows = reflexes.select(F.col("refid").alias("id"), "langid", F.coalesce("ipaform", F.lit("")).alias("form"), F.coalesce(F.nullif("gloss", F.lit("")), F.lit("unknown")).alias("gloss"))
+    """(refid, langid, p, s) of forms (refid, langid, ipaform, gloss), without dense tables, for lexicons of any size: sound from character n-grams of the form, meaning from words of the gloss. Null and empty glosses count as unknown, null forms as empty."""
+    rows = reflexes.select(F.col("refid").alias("id"), "langid", F.coalesce("ipaform", F.lit("")).alias("form"), gloss_or_unknown(F.col("gloss")).alias("gloss"))
     sound = hashed_vectors(tfidf(char_ngrams(rows, F.col("form"))), dims).withColumnRenamed("v", "p")
     meaning = hashed_vectors(tfidf(word_ngrams(rows, F.col("gloss"))), dims).withColumnRenamed("v", "s")
     zero = F.array_repeat(F.lit(0.0), dims)
