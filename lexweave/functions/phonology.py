@@ -5,6 +5,10 @@ from __future__ import annotations
 import functools
 import unicodedata
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 FEATURES = ["syl", "son", "cons", "cont", "delrel", "lat", "nas", "strid", "voi", "sg", "ant", "cor", "lab", "hi", "lo", "back", "round", "long"]
 #: Weights of the features in a distance, and the cost of a gap.
 WEIGHTS = {"syl": 1.0, "son": 1.0, "cons": 1.0} | dict.fromkeys(FEATURES[3:], 0.5)
@@ -76,6 +80,16 @@ def distance(a: str, b: str) -> float:
     return sum(WEIGHTS[f] * abs(v - y[f]) for f, v in x) / 2
 
 
+def with_distance(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """pairs with the column cost: the distance of two segments."""
+
+    @F.pandas_udf("double")
+    def cost(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(list(map(distance, x, y)), dtype=float)
+
+    return pairs.withColumn("cost", cost(a, b))
+
+
 def sonority(segment: str) -> int:
     """1 (voiceless stop) to 9 (low vowel); unknown segments count as 1."""
     x = dict(features(segment) or ())

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import re
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -11,12 +13,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.phonology import GAP, distance
+from ..functions.phonology import GAP, distance, features
 from ..functions.text import SEGMENT
 
 _SEGMENT = regex.compile(SEGMENT)
 Cost = Callable[[str, str], float]
 COLUMNS = "skey string, col int, lang string, seg string"
+#: Pairs that are aligned at once.
+PIECE = 4096
 
 
 def segments_of(form: str | None) -> list[str]:
@@ -55,10 +59,19 @@ def align_pair(a: list[str], b: list[str], cost: Cost = distance, gap: float = G
 
 
 def center_of(sequences: list[list[str]], cost: Cost = distance) -> int:
-    """The sequence nearest to all others, position by position; each position of difference in length costs a gap."""
-    apart = lambda a, b: sum(map(cost, a, b)) + GAP * abs(len(a) - len(b))
-    total = [sum(apart(a, b) for j, b in enumerate(sequences) if j != i) for i, a in enumerate(sequences)]
-    return total.index(min(total)) if total else 0
+    """The sequence nearest to all others, position by position; each position of difference in length costs a gap. The first of equals.
+
+    What a segment costs against all others at its position follows from how often each segment
+    stands there, so the work grows with the sequences, not with their pairs.
+    """
+    if not sequences:
+        return 0
+    sizes = Counter(map(len, sequences))
+    held = [Counter(s[p] for s in sequences if p < len(s)) for p in range(max(sizes))]
+    apart = [{a: sum(n * cost(a, b) for b, n in there.items()) for a in there} for there in held]
+    gaps = {n: GAP * sum(k * abs(n - m) for m, k in sizes.items()) for n in sizes}
+    total = [sum(apart[p][x] for p, x in enumerate(s)) + gaps[len(s)] for s in sequences]
+    return total.index(min(total))
 
 
 def align_star(sequences: list[list[str]], center: int, cost: Cost = distance, gap: float = GAP) -> list[list[str]]:
@@ -95,7 +108,7 @@ def align_set(members: list[tuple[str, str]], proto: tuple[str, str] | None, cos
 
 
 def align_sets(rows: DataFrame, proto: str = "proto", cost: Cost = distance, gap: float = GAP) -> DataFrame:
-    """(skey, col, lang, seg) of all sets (skey, lang, form): one group each, small as a set is. Members go by language, then form."""
+    """(skey, col, lang, seg) of all sets (skey, lang, form): one group each, small as a set is. Members go by language, then form, so of several forms of a language the last is kept."""
 
     def work(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["lang", "form"])
@@ -108,16 +121,65 @@ def align_sets(rows: DataFrame, proto: str = "proto", cost: Cost = distance, gap
     return rows.groupBy("skey").applyInPandas(work, COLUMNS)
 
 
+def batch_costs(a: list[list[str]], b: list[list[str]], cost: Cost, gap: float) -> np.ndarray:
+    """The costs of aligning many pairs, all at once: each step fills one cell of all their tables."""
+    names = {x: k for k, x in enumerate(sorted({x for s in (*a, *b) for x in s}))}
+    of = np.array([[cost(x, y) for y in names] for x in names] or [[0.0]])
+    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    codes = [np.zeros((size.max(initial=0), len(a)), np.int64) for size in (n, m)]
+    for held, side in zip(codes, (a, b), strict=True):
+        for k, s in enumerate(side):
+            held[: len(s), k] = [names[x] for x in s]
+    out = np.where(n == 0, gap * m, 0.0)
+    row = [np.full(len(a), gap * j) for j in range(m.max(initial=0) + 1)]
+    for i in range(n.max(initial=0)):
+        above, row = row, [np.full(len(a), gap * (i + 1))]
+        for j in range(len(above) - 1):
+            row.append(np.minimum(np.minimum(above[j] + of[codes[0][i], codes[1][j]], above[j + 1] + gap), row[j] + gap))
+        done = np.flatnonzero(n == i + 1)
+        out[done] = np.stack(row)[m[done], done]
+    return out
+
+
 def pair_costs(rows: DataFrame, cost: Cost = distance, gap: float = GAP) -> DataFrame:
-    """rows with the column cost: that of aligning a and b."""
+    """rows with the column cost: that of aligning a and b, arrays of segments."""
 
     @F.pandas_udf("double")
     def total(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([cost_table(list(x), list(y), cost, gap)[-1, -1] for x, y in zip(a, b, strict=True)])
+        # pairs of like length together, in pieces of bounded size
+        order = np.lexsort((b.map(len).to_numpy(), a.map(len).to_numpy()))
+        out = np.zeros(len(a))
+        for k in range(0, len(order), PIECE):
+            at = order[k : k + PIECE]
+            out[at] = batch_costs([list(a.iloc[i]) for i in at], [list(b.iloc[i]) for i in at], cost, gap)
+        return pd.Series(out)
 
     return rows.withColumn("cost", total("a", "b"))
 
 
+def feature_error(form: str | None, proto: str | None) -> float | None:
+    """What aligning a form with its ancestor costs, for each of the ancestor's segments; None if either has none that are known."""
+    a, b = segments_of(form), segments_of(proto)
+    if not any(map(features, a)) or not any(map(features, b)):
+        return None
+    return float(batch_costs([a], [b], distance, GAP)[0]) / len(b)
+
+
+def best_morpheme_by_features(forms: DataFrame, proto: str = "proto_form") -> DataFrame:
+    """morph_index: the part of form with the smallest feature_error; the first of equals, and 0 for a single part or if either form is missing. Parts without known segments are passed over."""
+
+    @F.pandas_udf("int")
+    def best(form: pd.Series, ancestor: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(form, ancestor, strict=True):
+            parts = re.split(" |-", x) if x and y else []
+            found = [(e, i) for i, part in enumerate(parts) if len(parts) > 1 and (e := feature_error(part, y)) is not None]
+            out.append(min(found)[1] if found else 0)
+        return pd.Series(out, dtype="int32")
+
+    return forms.withColumn("morph_index", best("form", proto))
+
+
 def best_morpheme(forms: DataFrame, proto: str = "proto_form") -> DataFrame:
     """morph_index: the part of form that is most like the ancestor form, by edit distance over the longer one's length; the first of equals, and 0 for a single part. Empty parts are passed over."""
     parts = F.split("form", " |-")

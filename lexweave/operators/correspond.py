@@ -7,9 +7,12 @@ As arrays in a fixed order of languages, the ancestor first, no data is null.
 from __future__ import annotations
 
 import heapq
+import itertools
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sorts behind every segment.
@@ -22,6 +25,11 @@ def patterns(aligned: DataFrame, languages: list[str]) -> DataFrame:
     return held.select("skey", "col", F.array(*[F.try_element_at("m", F.lit(x)) for x in languages]).alias("pattern"))
 
 
+def by_language(pattern: Column, languages: list[str]) -> Column:
+    """The segments of a pattern as a map of the languages that have one."""
+    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, languages)), pattern), lambda _, x: F.coalesce(x, F.lit("")) != "")
+
+
 def sort_key(pattern: Column) -> Column:
     return F.transform(pattern, lambda x: F.coalesce(x, F.lit(NO_DATA)))
 
@@ -51,6 +59,17 @@ def exact_groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pattern").agg(F.count("*").alias("n"), F.min(F.struct("skey", "col")).alias("first"))
 
 
+def _first_turns(pattern: list[tuple], count: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(-blanks of i, blanks of j, -count of j, i, j) of compatible groups of which j is better, a row of pairs at a time."""
+    names = {x: k for k, x in enumerate({x for p in pattern for x in p if x is not None})}
+    codes = np.array([[-1 if x is None else names[x] for x in p] for p in pattern], np.int64).reshape(len(pattern), -1)
+    blanks, n = np.array([sum(not x for x in p) for p in pattern]), np.array(count)
+    for i in range(len(pattern)):
+        j = np.flatnonzero((blanks < blanks[i]) | ((blanks == blanks[i]) & (n > n[i])))
+        j = j[~((codes[j] != codes[i]) & (codes[j] >= 0) & (codes[i] >= 0)).any(1)]
+        yield from zip(itertools.repeat(-int(blanks[i])), blanks[j].tolist(), (-n[j]).tolist(), itertools.repeat(i), j.tolist())
+
+
 def merge_group(groups: list[tuple[tuple, int]]) -> list[tuple[int, list[int], tuple]]:
     """(root, members, pattern) of exact groups (pattern, count) in order of their first appearance.
 
@@ -65,7 +84,7 @@ def merge_group(groups: list[tuple[tuple, int]]) -> list[tuple[int, list[int], t
     blanks = lambda p: sum(not x for x in p)
     fits = lambda a, b: all(x is None or y is None or x == y for x, y in zip(a, b, strict=True))
     better = lambda j, i: (blanks(pattern[j]), -count[j]) < (blanks(pattern[i]), -count[i])
-    turns = [(-blanks(pattern[i]), blanks(pattern[j]), -count[j], i, j) for i in home for j in home if i != j and fits(pattern[i], pattern[j]) and better(j, i)]
+    turns = list(_first_turns(pattern, count))
     heapq.heapify(turns)
     while turns:
         *_, i, j = heapq.heappop(turns)
@@ -79,15 +98,16 @@ def merge_group(groups: list[tuple[tuple, int]]) -> list[tuple[int, list[int], t
     return [(k, members[k], pattern[k]) for k in range(len(groups)) if home[k] == k]
 
 
-def correspondence_sets(rows: DataFrame, languages: list[str]) -> DataFrame:
-    """(set_id, proto_seg, pattern, n, n_filled, columns: array<struct<skey, col>>) of patterns (skey, col, pattern).
+def correspondence_sets(rows: DataFrame) -> DataFrame:
+    """(set_id, proto_seg, pattern, n, n_filled, columns: array<struct<gloss, skey, col>>) of patterns (skey, col, pattern; gloss if there is one).
 
     Compatible patterns agree on the ancestor's segment, which all have, so each of its segments is
     merged by itself: a group holds its distinct patterns, not their occurrences. Sets with fewer
-    than two segments go, unless there is one exact group in all.
+    than two segments go, unless there is one exact group in all. The columns of a set go by lower
+    case gloss, a missing one first. rows are used twice: keep them if they are dear.
     """
     exact = exact_groups(rows).withColumn("proto_seg", F.get("pattern", F.lit(0)))
-    alone = exact.limit(2).count() <= 1
+    groups = exact.agg(F.count("*").alias("groups"))
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("first", key=lambda s: s.map(lambda x: (x["skey"], x["col"])))
@@ -98,16 +118,19 @@ def correspondence_sets(rows: DataFrame, languages: list[str]) -> DataFrame:
         return pd.DataFrame(out, columns=["pattern", "root", "merged"])
 
     links = exact.groupBy("proto_seg").applyInPandas(work, "pattern array<string>, root array<string>, merged array<string>")
+    gloss = F.lower(F.coalesce("gloss", F.lit(""))) if "gloss" in rows.columns else F.lit("")
     keyed = rows.withColumn("key", sort_key(F.col("pattern"))).join(links.select(sort_key(F.col("pattern")).alias("key"), "root", "merged"), "key")
-    sets = keyed.groupBy(sort_key(F.col("root")).alias("root_key"), F.col("merged").alias("pattern")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("skey", "col"))).alias("columns"))
+    columns = F.array_sort(F.collect_list(F.struct(gloss.alias("gloss"), "skey", "col"))).alias("columns")
+    sets = keyed.groupBy(sort_key(F.col("root")).alias("root_key"), F.col("merged").alias("pattern")).agg(F.count("*").alias("n"), columns)
     sets = sets.withColumn("n_filled", filled(F.col("pattern")))
-    if not alone:
-        sets = sets.where("n_filled >= 2")
+    # the number of groups is one row
+    sets = sets.join(F.broadcast(groups)).where("n_filled >= 2 or groups <= 1")
     name = F.array_join(F.transform("root_key", lambda x: F.when(x == NO_DATA, "?").otherwise(x)), "|")
     return sets.select(name.alias("set_id"), F.get("pattern", F.lit(0)).alias("proto_seg"), "pattern", "n", "n_filled", "columns")
 
 
 def ordered(sets: DataFrame) -> DataFrame:
+    """The largest sets first, equal ones by their pattern, no data last."""
     return sets.orderBy(F.desc("n"), sort_key(F.col("pattern")))
 
 
@@ -118,8 +141,9 @@ def languages_with_data(sets: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def phonemes_worth_analysing(sets: DataFrame) -> DataFrame:
-    """(proto_seg, n): ancestor segments with two sets or more; gaps don't count."""
-    return sets.where("proto_seg <> ''").groupBy("proto_seg").agg(F.count("*").alias("n")).where("n >= 2")
+    """(proto_seg, n): ancestor segments with two sets or more, the most first, of equals the one whose set comes first (as ordered has them); gaps don't count."""
+    first = F.min(F.struct(-F.col("n"), sort_key(F.col("pattern"))))
+    return sets.where("proto_seg <> ''").groupBy("proto_seg").agg(F.count("*").alias("sets"), first.alias("first")).where("sets >= 2").orderBy(F.desc("sets"), "first").select("proto_seg", F.col("sets").alias("n"))
 
 
 def cognates_by_segment(aligned: DataFrame, lang: str, seg: str) -> DataFrame:
@@ -127,22 +151,29 @@ def cognates_by_segment(aligned: DataFrame, lang: str, seg: str) -> DataFrame:
     return aligned.where((F.col("lang") == lang) & (F.col("seg") == seg)).groupBy("skey").agg(F.min("col").alias("col"))
 
 
-def pattern_view(rows: DataFrame, languages: list[str], terms: dict[str, str]) -> DataFrame:
-    """Patterns whose shown value of each named language (a dash for a gap or no data) matches, case mattering; terms that aren't valid patterns are passed over."""
+def pattern_view(rows: DataFrame, languages: list[str], terms: dict[str, str], sort: str | None = None, descending: bool = False) -> DataFrame:
+    """Patterns whose shown value of each named language (a dash for a gap or no data), or whose count n, matches, case mattering; terms that aren't valid patterns are passed over.
+
+    sort: the count, by number, or a language, as a reader's alphabet has its segments, those
+    without first; ties by pattern.
+    """
     from .search import matches_regex
     import re
 
-    for lang, term in terms.items():
+    value = lambda lang: F.coalesce(F.get("pattern", F.lit(languages.index(lang))), F.lit(""))
+    for name, term in terms.items():
         try:
             re.compile(term)
         except re.error:
             continue
-        value = F.coalesce(F.nullif(F.get("pattern", F.lit(languages.index(lang))), F.lit("")), F.lit("-"))
-        rows = rows.where(matches_regex(value, term, ignore_case=False))
-    return rows
+        text = F.col("n").cast("string") if name == "count" else F.coalesce(F.nullif(value(name), F.lit("")), F.lit("-"))
+        rows = rows.where(matches_regex(text, term, ignore_case=False))
+    if sort is None:
+        return rows
+    key = F.col("n") if sort == "count" else F.collate(value(sort), "UNICODE")
+    return rows.orderBy(key.desc() if descending else key.asc(), sort_key(F.col("pattern")))
 
 
 def last_of_language(rows: DataFrame) -> DataFrame:
-    """Of several forms of one language in a set the one with the largest id."""
-    order = Window.partitionBy("prefid", "langid").orderBy(F.desc("refid"))
-    return rows.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    """(prefid, langid, refid): of several forms of one language in a set the one with the largest id."""
+    return rows.groupBy("prefid", "langid").agg(F.max("refid").alias("refid"))

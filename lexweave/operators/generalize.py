@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
+from collections import Counter
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -31,23 +34,40 @@ def fits(segment: dict[str, int], spec: Spec) -> bool:
     return EDGE not in spec and all(segment.get(f, 0) == v for f, v in spec.items())
 
 
-def minimal_features(positive: list[str | None], negative: list[str | None]) -> Spec | None:
-    """The fewest features that all positive segments share and no negative one has: one, two, or all of them; None without any. Features are tried in the table's order; None stands for an edge."""
+@functools.cache
+def masks(segment: str | None) -> tuple[int, int] | None:
+    """A bit for each feature that the segment has, and for each that it lacks; None if it is unknown, or an edge."""
+    held = features(segment) if segment is not None else None
+    if not held:
+        return None
+    return tuple(sum(1 << FEATURES.index(f) for f, v in held if v == sign) for sign in (1, -1))
+
+
+@functools.lru_cache(1 << 16)
+def _minimal(positive: frozenset, negative: frozenset) -> tuple[tuple[str, int], ...] | None:
     if None in positive and None not in negative:
-        return EDGE_SPEC
-    known = lambda side: [dict(x) for s in side if s is not None and (x := features(s))]
-    wanted, others = known(positive), known(negative)
+        return tuple(EDGE_SPEC.items())
+    wanted = [m for s in positive if (m := masks(s))]
     if not wanted:
         return None
-    common = {f: wanted[0][f] for f in FEATURES if wanted[0][f] and all(x[f] == wanted[0][f] for x in wanted)}
+    plus, minus = (functools.reduce(int.__and__, (m[k] for m in wanted)) for k in (0, 1))
+    common = [k for k in range(len(FEATURES)) if (plus | minus) >> k & 1]
+    # of each negative segment, which of the shared features it has with the same value; a choice tells it apart unless it has all of them
+    shared = {m[0] & plus | m[1] & minus for s in negative if (m := masks(s))}
     for size in (*range(1, min(2, len(common)) + 1), *([len(common)] if common else [])):
         for chosen in itertools.combinations(common, size):
-            spec = {f: common[f] for f in chosen}
-            if not any(fits(x, spec) for x in others):
-                return spec
+            bits = sum(1 << k for k in chosen)
+            if all(bits & ~x for x in shared):
+                return tuple((FEATURES[k], 1 if plus >> k & 1 else -1) for k in chosen)
     return None
 
 
+def minimal_features(positive: Iterable[str | None], negative: Iterable[str | None]) -> Spec | None:
+    """The fewest features that all positive segments share and no negative one has: one, two, or all of them; None without any. Features are tried in the table's order; None stands for an edge."""
+    found = _minimal(frozenset(positive), frozenset(negative))
+    return None if found is None else dict(found)
+
+
 def describe(left: Spec | None, right: Spec | None) -> str:
     """A context in words."""
     def side(spec: Spec, edge: str, place: str) -> str:
@@ -60,8 +80,14 @@ def describe(left: Spec | None, right: Spec | None) -> str:
 Occurrences = list[tuple[str | None, str | None]]
 
 
+def sides(contexts: Occurrences) -> tuple[frozenset, frozenset]:
+    """What stands on the left, and on the right."""
+    return frozenset(a for a, _ in contexts), frozenset(b for _, b in contexts)
+
+
 def generalize(one: Occurrences, other: Occurrences) -> tuple[Spec | None, Spec | None]:
-    return minimal_features([a for a, _ in one], [a for a, _ in other]), minimal_features([b for _, b in one], [b for _, b in other])
+    (a, b), (x, y) = sides(one), sides(other)
+    return minimal_features(a, x), minimal_features(b, y)
 
 
 def _sets(group: pd.DataFrame) -> list[tuple[str, Occurrences]]:
@@ -70,10 +96,13 @@ def _sets(group: pd.DataFrame) -> list[tuple[str, Occurrences]]:
 
 
 def pairwise(rows: DataFrame) -> DataFrame:
-    """(proto_seg, a, b, a_context, b_context) for each two sets of one ancestor segment; rows: (set_id, proto_seg, left, right), each context once."""
+    """(proto_seg, a, b, a_context, b_context) for each two sets of one ancestor segment; rows: (set_id, proto_seg, left, right), each context once. The sets of a segment are one group: as many as its patterns, whatever the words."""
 
     def work(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out = [(key[0], a, b, describe(*generalize(x, y)), describe(*generalize(y, x))) for (a, x), (b, y) in itertools.combinations(_sets(group), 2)]
+        held = [(s, *sides(own)) for s, own in _sets(group)]
+        out = []
+        for (a, left, right), (b, x, y) in itertools.combinations(held, 2):
+            out.append((key[0], a, b, describe(minimal_features(left, x), minimal_features(right, y)), describe(minimal_features(x, left), minimal_features(y, right))))
         return pd.DataFrame(out, columns=["proto_seg", "a", "b", "a_context", "b_context"])
 
     distinct = rows.select("set_id", "proto_seg", "left", "right").distinct()
@@ -90,13 +119,24 @@ def default_and_conditioned(rows: DataFrame) -> DataFrame:
 
     def work(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         sets = _sets(group)
+        held = [sides(own) for _, own in sets]
+        often = [Counter(x for h in held for x in h[k]) for k in (0, 1)]
         scores = []
-        for k, (_, own) in enumerate(sets):
-            left, right = generalize(own, [c for j, (_, o) in enumerate(sets) if j != k for c in o]) if len(sets) > 1 else (None, None)
-            scores.append(size(left) + size(right) - 0.1 * len(set(own)))
+        for own, contexts in zip(held, (c for _, c in sets), strict=True):
+            # what stands beside other sets: all that is seen beside more sets than this one
+            others = [[x for x, n in often[k].items() if n > (x in own[k])] for k in (0, 1)]
+            specs = [minimal_features(own[k], others[k]) if len(sets) > 1 else None for k in (0, 1)]
+            scores.append(sum(map(size, specs)) - 0.1 * len(set(contexts)))
         best = scores.index(min(scores))
-        out = [(key[0], s, k == best, round(scores[k], 6), "default" if k == best else describe(*generalize(own, sets[best][1]))) for k, (s, own) in enumerate(sets)]
+        out = [(key[0], s, k == best, round(scores[k], 6), "default" if k == best else describe(*(minimal_features(held[k][j], held[best][j]) for j in (0, 1)))) for k, (s, _) in enumerate(sets)]
         return pd.DataFrame(out, columns=["proto_seg", "set_id", "is_default", "score", "context"])
 
     distinct = rows.select("set_id", "proto_seg", "left", "right").distinct()
     return distinct.groupBy("proto_seg").applyInPandas(work, "proto_seg string, set_id string, is_default boolean, score double, context string")
+
+
+def analyse_phoneme(found: DataFrame, phoneme: str) -> dict:
+    """What default_and_conditioned found of one segment: num_sets, default and conditioned sets, and a message if there are fewer than two."""
+    rows = found.where(F.col("proto_seg") == phoneme).orderBy("set_id").collect()
+    message = {0: "no correspondence sets", 1: "one correspondence set, which is the default"}.get(len(rows))
+    return {"phoneme": phoneme, "num_sets": len(rows), "default": next((r["set_id"] for r in rows if r["is_default"]), None), "conditioned": {r["set_id"]: r["context"] for r in rows if not r["is_default"]}} | ({"message": message} if message else {})

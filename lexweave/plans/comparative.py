@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import phonology as ph
 from ..operators import align, correspond, generalize
-from ..sources.tables import SETS_SQL, WORDS_SQL, cognate_sets, word_lexicon
+from ..sources.kept import kept
+from ..sources.tables import SETS_SQL, cognate_sets, last_forms, lexicon_sets, star_lexicon
 
 QUERIES, ORACLES = {}, {}
 LANGUAGES = ["proto", "de", "en", "es", "fr"]
@@ -40,18 +41,19 @@ def feature_table(spark) -> DataFrame:
 
 
 def aligned(spark, sf_dir) -> DataFrame:
-    return align.align_sets(cognate_sets(spark, sf_dir))
+    """All alignment columns, made once."""
+    return kept(align.align_sets(cognate_sets(spark, sf_dir)))
 
 
-#: The k-th letters of all forms of a set as a column: an alignment without gaps inside, which SQL can make.
-POSITIONAL = SETS_SQL + """, cells AS (SELECT skey, lang, CAST(k - 1 AS INTEGER) AS col, substr(form, k, 1) AS seg FROM sets, range(1, 400) r(k) WHERE k <= length(form)),
+#: The k-th letters of the last forms of a set as a column: an alignment without gaps inside, which SQL can make.
+POSITIONAL = SETS_SQL + """, cells AS (SELECT skey, lang, CAST(k - 1 AS INTEGER) AS col, substr(form, k, 1) AS seg FROM (SELECT skey, 'proto' AS lang, form FROM protos UNION ALL SELECT * FROM lasts) l, range(1, 400) r(k) WHERE k <= length(form)),
 pat AS (SELECT skey, col, max(CASE WHEN lang = 'proto' THEN seg END) AS p0, max(CASE WHEN lang = 'de' THEN seg END) AS p1, max(CASE WHEN lang = 'en' THEN seg END) AS p2, max(CASE WHEN lang = 'es' THEN seg END) AS p3, max(CASE WHEN lang = 'fr' THEN seg END) AS p4 FROM cells GROUP BY 1, 2)
 """
 
 
 def positional(spark, sf_dir) -> DataFrame:
     letters = F.filter(F.split("form", ""), lambda x: x != "")
-    return cognate_sets(spark, sf_dir).select("skey", "lang", F.posexplode(letters).alias("col", "seg"))
+    return last_forms(cognate_sets(spark, sf_dir)).select("skey", "lang", F.posexplode(letters).alias("col", "seg"))
 
 
 def shown(pattern):
@@ -66,12 +68,17 @@ def cognate_set_members(spark, sf_dir):
     return cognate_sets(spark, sf_dir)
 
 
-@query("WITH " + FEATURES_SQL + " SELECT a.seg AS a, b.seg AS b, sum(weight * abs(a.val - b.val)) / 2 AS cost FROM features a JOIN features b USING (feat) JOIN weights USING (feat) GROUP BY 1, 2")
+CANONICAL = "CASE seg WHEN 'v' THEN 'w' WHEN 'ɹ' THEN 'r' ELSE seg END"
+
+
+@query("WITH " + FEATURES_SQL + f""", segs AS (SELECT seg, {CANONICAL} AS c FROM (SELECT DISTINCT seg FROM features UNION ALL SELECT '?')),
+d AS (SELECT a.seg AS a, b.seg AS b, sum(weight * abs(a.val - b.val)) / 2 AS cost FROM features a JOIN features b USING (feat) JOIN weights USING (feat) GROUP BY 1, 2)
+SELECT x.seg AS a, y.seg AS b, CAST(CASE WHEN x.c = y.c THEN 0 ELSE coalesce(d.cost, 100) END AS DOUBLE) AS cost FROM segs x, segs y LEFT JOIN d ON d.a = x.c AND d.b = y.c""")
 def phoneme_distance_matrix(spark, sf_dir):
-    table = feature_table(spark)
-    weights = spark.createDataFrame(list(ph.WEIGHTS.items()), "feat string, weight double")
-    both = table.select(F.col("seg").alias("a"), "feat", F.col("val").alias("x")).join(table.select(F.col("seg").alias("b"), "feat", F.col("val").alias("y")), "feat").join(weights, "feat")
-    return both.groupBy("a", "b").agg((F.sum(F.col("weight") * F.abs(F.col("x") - F.col("y"))) / 2).alias("cost"))
+    """Distances of all segments, an unknown one among them."""
+    segs = F.array(*map(F.lit, [*SEGMENTS, "?"]))
+    pairs = spark.range(1).select(F.explode(segs).alias("a")).select("a", F.explode(segs).alias("b"))
+    return ph.with_distance(pairs)
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
@@ -80,11 +87,11 @@ def _pairs(spark, sf_dir) -> DataFrame:
     return sets.where("lang <> 'proto'").join(protos, "skey").select("skey", "lang", "proto", "form")
 
 
-@query(SETS_SQL + "SELECT d.skey, d.lang, CAST(levenshtein(" + ascii_sql("p.form") + ", " + ascii_sql("d.form") + ") AS DOUBLE) AS cost FROM daughters d JOIN protos p USING (skey)")
+@query(SETS_SQL + "SELECT d.skey, d.lang, d.form, CAST(levenshtein(" + ascii_sql("p.form") + ", " + ascii_sql("d.form") + ") AS DOUBLE) AS cost FROM daughters d JOIN protos p USING (skey)")
 def nw_unit_cost(spark, sf_dir):
     letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    rows = _pairs(spark, sf_dir).select("skey", "lang", letters(F.col("proto")).alias("a"), letters(F.col("form")).alias("b"))
-    return align.pair_costs(rows, align.unit_cost, 1.0).select("skey", "lang", "cost")
+    rows = _pairs(spark, sf_dir).select("skey", "lang", "form", letters(F.col("proto")).alias("a"), letters(F.col("form")).alias("b"))
+    return align.pair_costs(rows, align.unit_cost, 1.0).select("skey", "lang", "form", "cost")
 
 
 @query()
@@ -96,21 +103,21 @@ def align_pair(spark, sf_dir):
         rows = (align.align_pair(align.segments_of(x), align.segments_of(y)) for x, y in zip(a, b, strict=True))
         return a.__class__([" ".join(f"{x or '-'}:{y or '-'}" for x, y in r) for r in rows])
 
-    return _pairs(spark, sf_dir).select("skey", "lang", made("proto", "form").alias("aligned"))
-
+    return _pairs(spark, sf_dir).select("skey", "lang", "form", made("proto", "form").alias("aligned"))
 
-APART = "list_sum(list_transform(range(1, least(length(a.form), length(b.form)) + 1), lambda i: CASE WHEN substr(a.form, i, 1) = substr(b.form, i, 1) THEN 0 ELSE 1 END)) + 3.0 * abs(length(a.form) - length(b.form))"
 
-
-@query(SETS_SQL + f", t AS (SELECT a.skey, a.lang, coalesce(sum(CASE WHEN a.lang <> b.lang THEN {APART} END), 0) AS total FROM daughters a JOIN daughters b ON a.skey = b.skey WHERE a.skey IN (SELECT skey FROM protos) GROUP BY 1, 2) SELECT skey, lang FROM (SELECT skey, lang, row_number() OVER (PARTITION BY skey ORDER BY total, lang) AS k FROM t) WHERE k = 1")
+@query(SETS_SQL + """, cells AS (SELECT skey, lang, form, k, substr(form, k, 1) AS seg FROM daughters, range(1, 400) r(k) WHERE k <= length(form)),
+often AS (SELECT skey, k, seg, count(*) AS n, sum(count(*)) OVER (PARTITION BY skey, k) AS total FROM cells GROUP BY 1, 2, 3),
+t AS (SELECT skey, lang, form, sum(total - n) AS total FROM cells JOIN often USING (skey, k, seg) GROUP BY 1, 2, 3)
+SELECT skey, lang, form FROM (SELECT *, row_number() OVER (PARTITION BY skey ORDER BY total, lang, form) AS k FROM t) WHERE k = 1""")
 def center_sequence(spark, sf_dir):
-    """The most central form of each set, letters differing by one."""
+    """The most central form of each set, letters differing by one; forms of a set have one length."""
 
     def work(key, group):
-        group = group.sort_values("lang")
-        return group.iloc[[align.center_of([list(f) for f in group["form"]], align.unit_cost)]][["skey", "lang"]]
+        group = group.sort_values(["lang", "form"])
+        return group.iloc[[align.center_of([list(f) for f in group["form"]], align.unit_cost)]][["skey", "lang", "form"]]
 
-    return cognate_sets(spark, sf_dir).where("lang <> 'proto'").groupBy("skey").applyInPandas(work, "skey string, lang string")
+    return cognate_sets(spark, sf_dir).where("lang <> 'proto'").groupBy("skey").applyInPandas(work, "skey string, lang string, form string")
 
 
 @query()
@@ -124,28 +131,43 @@ def patterns_exact(spark, sf_dir):
     return rows.select(shown(F.col("pattern")).alias("pattern"), "n", F.col("first.skey").alias("first_skey"))
 
 
-@query(POSITIONAL + """, g AS (SELECT p0, p1, p2, p3, p4, count(*) AS n FROM pat WHERE p0 IN ('b', 'd', 'g') GROUP BY ALL)
-SELECT a.p0 AS proto_seg, concat_ws('', coalesce(a.p1, '?'), coalesce(a.p2, '?'), coalesce(a.p3, '?'), coalesce(a.p4, '?')) AS a, concat_ws('', coalesce(b.p1, '?'), coalesce(b.p2, '?'), coalesce(b.p3, '?'), coalesce(b.p4, '?')) AS b
-FROM g a JOIN g b ON a.p0 = b.p0 WHERE (a.p1, a.p2, a.p3, a.p4) IS DISTINCT FROM (b.p1, b.p2, b.p3, b.p4)
-AND NOT coalesce(a.p1 <> b.p1, false) AND NOT coalesce(a.p2 <> b.p2, false) AND NOT coalesce(a.p3 <> b.p3, false) AND NOT coalesce(a.p4 <> b.p4, false)""")
+@query(POSITIONAL + """, g AS (SELECT p0, p1, p2, p3, p4, count(*) AS n FROM pat GROUP BY ALL),
+named AS (SELECT *, concat_ws('', coalesce(p1, '?'), coalesce(p2, '?'), coalesce(p3, '?'), coalesce(p4, '?')) AS name FROM g WHERE p0 IS NOT NULL)
+SELECT a.p0 AS proto_seg, a.name AS a, count(*) AS n, min(b.name) AS first_b, max(b.name) AS last_b FROM named a JOIN named b ON a.p0 = b.p0 WHERE a.name <> b.name
+AND NOT coalesce(a.p1 <> b.p1, false) AND NOT coalesce(a.p2 <> b.p2, false) AND NOT coalesce(a.p3 <> b.p3, false) AND NOT coalesce(a.p4 <> b.p4, false) GROUP BY 1, 2""")
 def pattern_compat_pairs(spark, sf_dir):
-    """Compatible distinct patterns of three ancestor sounds."""
-    groups = correspond.exact_groups(correspond.patterns(positional(spark, sf_dir), LANGUAGES)).withColumn("proto_seg", F.get("pattern", F.lit(0))).where("proto_seg in ('b', 'd', 'g')")
+    """Of every distinct pattern the compatible ones of its ancestor sound: how many, the first and the last."""
+    groups = correspond.exact_groups(correspond.patterns(positional(spark, sf_dir), LANGUAGES)).withColumn("proto_seg", F.get("pattern", F.lit(0))).where("proto_seg is not null")
     tail = F.slice(F.transform("pattern", lambda x: F.coalesce(x, F.lit("?"))), 2, 4)
-    sides = [groups.select("proto_seg", F.array_join(tail, "").alias(n), F.col("pattern").alias(f"{n}_pattern")) for n in ("a", "b")]
-    both = sides[0].join(sides[1], "proto_seg").where("a <> b")
-    return both.where(correspond.compatible(F.col("a_pattern"), F.col("b_pattern"))).select("proto_seg", "a", "b")
+    groups = kept(groups.select("proto_seg", F.array_join(tail, "").alias("name"), "pattern"))
+    sides = [groups.select("proto_seg", F.col("name").alias(n), F.col("pattern").alias(f"{n}_pattern")) for n in ("a", "b")]
+    both = sides[0].join(sides[1], "proto_seg").where("a <> b").where(correspond.compatible(F.col("a_pattern"), F.col("b_pattern")))
+    return both.groupBy("proto_seg", "a").agg(F.count("*").alias("n"), F.min("b").alias("first_b"), F.max("b").alias("last_b"))
 
 
 def sets_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Alignment columns and correspondence sets, each made once."""
     columns = aligned(spark, sf_dir)
-    return columns, correspond.correspondence_sets(correspond.patterns(columns, LANGUAGES), LANGUAGES)
+    return columns, kept(correspond.correspondence_sets(kept(correspond.patterns(columns, LANGUAGES))))
 
 
 @query()
 def correspondence_sets(spark, sf_dir):
     _, sets = sets_of(spark, sf_dir)
-    return sets.select("set_id", "proto_seg", shown(F.col("pattern")).alias("pattern"), "n", "n_filled")
+    return correspond.ordered(sets).select("set_id", "proto_seg", shown(F.col("pattern")).alias("pattern"), "n", "n_filled")
+
+
+@query()
+def lexicon_correspondences(spark, sf_dir):
+    """Correspondence sets of one ancestor language of the lexicon, with the glosses they begin and end with."""
+    lexicon = star_lexicon(spark, sf_dir)
+    names = lexicon.languages.join(lexicon.ancestry.where("plangid = 1001"), "langid", "left_semi").orderBy("name").select("name").collect()  # the ancestor's daughters
+    languages = ["proto", *[r["name"] for r in names]]
+    sets = kept(lexicon_sets(lexicon, 1001, languages[1:]))
+    rows = correspond.patterns(align.align_sets(sets.select("skey", "lang", "form")), languages).join(sets.where("lang = 'proto'").select("skey", "gloss"), "skey")
+    found = correspond.ordered(correspond.correspondence_sets(kept(rows)))
+    segs = correspond.by_language(F.col("pattern"), languages)
+    return found.select("set_id", "proto_seg", "n", F.map_keys(segs).alias("languages"), F.map_values(segs).alias("segments"), F.get("columns", F.lit(0))["gloss"].alias("first_gloss"), F.get("columns", F.size("columns") - 1)["gloss"].alias("last_gloss"))
 
 
 @query()
@@ -166,7 +188,7 @@ def cognates_by_phoneme(spark, sf_dir):
 
 @query(POSITIONAL + f"SELECT skey, col, {SHOWN} AS pattern FROM pat WHERE regexp_matches(coalesce(p4, '-'), '^[aeé]') AND regexp_matches(coalesce(p1, '-'), '-|e')")
 def client_pattern_filter_sort(spark, sf_dir):
-    rows = correspond.pattern_view(correspond.patterns(positional(spark, sf_dir), LANGUAGES), LANGUAGES, {"fr": "^[aeé]", "de": "-|e", "en": "(["})
+    rows = correspond.pattern_view(correspond.patterns(positional(spark, sf_dir), LANGUAGES), LANGUAGES, {"fr": "^[aeé]", "de": "-|e", "en": "(["}, "es", True)
     return rows.select("skey", "col", shown(F.col("pattern")).alias("pattern"))
 
 
@@ -223,27 +245,26 @@ def _set_contexts(spark, sf_dir) -> DataFrame:
 
 @query()
 def pairwise_generalization(spark, sf_dir):
-    return generalize.pairwise(_set_contexts(spark, sf_dir))
+    return generalize.pairwise(_set_contexts(spark, sf_dir)).orderBy("proto_seg", "a", "b")
 
 
 @query()
 def default_and_conditioned(spark, sf_dir):
-    return generalize.default_and_conditioned(_set_contexts(spark, sf_dir))
+    return generalize.default_and_conditioned(_set_contexts(spark, sf_dir)).orderBy("proto_seg", "set_id")
 
 
 TWO = "replace(d.form, 'e', '-')"
 
 
-@query(SETS_SQL + f""", m AS (SELECT d.skey, d.lang, regexp_split_to_array({TWO}, ' |-') AS parts, p.form AS proto FROM daughters d JOIN protos p USING (skey)),
-s AS (SELECT skey, lang, i - 1 AS i, levenshtein({ascii_sql('parts[i]')}, {ascii_sql('proto')}) / greatest(length(parts[i]), length(proto), 1) AS d FROM m, range(1, 400) r(i) WHERE i <= len(parts) AND len(parts) > 1 AND parts[i] <> '')
-SELECT m.skey, m.lang, CAST(coalesce(x.i, 0) AS INTEGER) AS morph_index FROM m LEFT JOIN (SELECT skey, lang, arg_min(i, (d, i)) AS i FROM s GROUP BY 1, 2) x USING (skey, lang)""")
+@query(SETS_SQL + f""", m AS (SELECT d.skey, d.lang, d.form, regexp_split_to_array({TWO}, ' |-') AS parts, p.form AS proto FROM daughters d JOIN protos p USING (skey)),
+s AS (SELECT skey, lang, form, i - 1 AS i, levenshtein({ascii_sql('parts[i]')}, {ascii_sql('proto')}) / greatest(length(parts[i]), length(proto), 1) AS d FROM m, range(1, 400) r(i) WHERE i <= len(parts) AND len(parts) > 1 AND parts[i] <> '')
+SELECT m.skey, m.lang, m.form, CAST(coalesce(x.i, 0) AS INTEGER) AS morph_index FROM m LEFT JOIN (SELECT skey, lang, form, arg_min(i, (d, i)) AS i FROM s GROUP BY 1, 2, 3) x USING (skey, lang, form)""")
 def best_morph(spark, sf_dir):
-    rows = _pairs(spark, sf_dir).select("skey", "lang", F.replace("form", F.lit("e"), F.lit("-")).alias("form"), F.col("proto").alias("proto_form"))
-    return align.best_morpheme(rows).select("skey", "lang", F.col("morph_index").cast("int").alias("morph_index"))
-
-
-@query(WORDS_SQL + "SELECT lang, form, substr(form, 1, 1) AS onset FROM words WHERE lang = 'es'")
-def onsets(spark, sf_dir):
-    return word_lexicon(spark, sf_dir).where("lang = 'es'").select("lang", "form", F.substring("form", 1, 1).alias("onset"))
+    rows = _pairs(spark, sf_dir).select("skey", "lang", F.col("form").alias("whole"), F.replace("form", F.lit("e"), F.lit("-")).alias("form"), F.col("proto").alias("proto_form"))
+    return align.best_morpheme(rows).select("skey", "lang", F.col("whole").alias("form"), F.col("morph_index").cast("int").alias("morph_index"))
 
 
+@query()
+def best_morph_by_features(spark, sf_dir):
+    rows = _pairs(spark, sf_dir).select("skey", "lang", F.col("form").alias("whole"), F.replace("form", F.lit("e"), F.lit("-")).alias("form"), F.col("proto").alias("proto_form"))
+    return align.best_morpheme_by_features(rows).select("skey", "lang", F.col("whole").alias("form"), "morph_index")

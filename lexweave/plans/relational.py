@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import edits, search
 from ..operators.correspond import last_of_language
 from ..operators.search import Search
-from ..sources.files import delimiter_counts
+from ..sources.files import delimiter_counts, first_lines
 from ..sources.tables import STAR_SQL, read, star_lexicon
 
 QUERIES, ORACLES = {}, {}
@@ -128,7 +128,7 @@ def identifier_fallback(spark, sf_dir):
 @query("SELECT prefid, langid, max(refid) AS refid FROM edges JOIN reflexes USING (refid) GROUP BY 1, 2")
 def latest_per_language(spark, sf_dir):
     lexicon = star_lexicon(spark, sf_dir)
-    return last_of_language(lexicon.edges.join(lexicon.reflexes.select("refid", "langid"), "refid")).select("prefid", "langid", "refid")
+    return last_of_language(lexicon.edges.join(lexicon.reflexes.select("refid", "langid"), "refid"))
 
 
 @query("SELECT prefid, min(refid) AS refid, count(*) AS members, list_aggregate(list_sort(list(refid)), 'string_agg', ',') AS ids FROM edges GROUP BY prefid")
@@ -190,11 +190,11 @@ def selected_languages(spark, sf_dir):
     return lexicon.reflexes.join(lexicon.ancestry.where("plangid = 1001"), "langid", "left_semi").select("langid", "refid", "form")
 
 
-@query("""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-n AS (SELECT doc_id, sum(length(line) - length(replace(line, chr(9), ''))) AS tabs, sum(length(line) - length(replace(line, ',', ''))) AS commas FROM x GROUP BY doc_id)
+@query("""WITH x AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '')[1:5], chr(10)) AS head FROM documents),
+n AS (SELECT doc_id, length(head) - length(replace(head, chr(9), '')) AS tabs, length(head) - length(replace(head, ',', '')) AS commas FROM x)
 SELECT doc_id, CAST(tabs AS BIGINT) AS tabs, CAST(commas AS BIGINT) AS commas, CASE WHEN tabs >= commas THEN 'tab' ELSE 'comma' END AS delimiter FROM n""")
 def delimiter_sniff(spark, sf_dir):
-    tabs, commas = delimiter_counts(F.col("text"))
+    tabs, commas = delimiter_counts(first_lines(F.col("text")))
     rows = read(spark, sf_dir, "documents").select("doc_id", tabs.cast("long").alias("tabs"), commas.cast("long").alias("commas"))
     return rows.withColumn("delimiter", F.when(F.col("tabs") >= F.col("commas"), "tab").otherwise("comma"))
 

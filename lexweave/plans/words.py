@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..operators import laws
 from ..operators.align import segments_of
 from ..operators.forms import process_form
-from ..sources.tables import SETS_SQL, WORDS_SQL, cognate_sets, word_lexicon
+from ..sources.tables import SETS_SQL, WORDS_SQL, cognate_sets, last_forms, word_lexicon
 
 QUERIES, ORACLES = {}, {}
 
@@ -186,7 +186,7 @@ def _laws_sql(system: laws.System) -> dict[str, str]:
 
 _LEAVES = _laws_sql(laws.System.loads(SYSTEM))
 _APPLIED = " UNION ALL ".join(f"SELECT skey, form, '{leaf}' AS leaf, {x} AS hypothesis FROM protos" for leaf, x in _LEAVES.items())
-_DETAIL = SETS_SQL + f", made AS ({_APPLIED}), detail AS (SELECT m.skey, m.leaf, m.form AS proto, m.hypothesis, d.form, m.hypothesis = d.form AS correct FROM made m JOIN daughters d ON m.skey = d.skey AND m.leaf = d.lang) "
+_DETAIL = SETS_SQL + f", made AS ({_APPLIED}), detail AS (SELECT m.skey, m.leaf, m.form AS proto, m.hypothesis, d.form, m.hypothesis = d.form AS correct FROM made m JOIN lasts d ON m.skey = d.skey AND m.leaf = d.lang) "
 
 
 @query(WORDS_SQL + " UNION ALL ".join(f"SELECT lang, form, '{leaf}' AS leaf, {x} AS hypothesis FROM words" for leaf, x in _LEAVES.items()))
@@ -195,7 +195,7 @@ def law_apply_leaves(spark, sf_dir):
 
 
 def _detail(spark, sf_dir):
-    sets = cognate_sets(spark, sf_dir)
+    sets = last_forms(cognate_sets(spark, sf_dir))
     return laws.evaluate(sets.where("lang = 'proto'").select("skey", "form"), sets.where("lang <> 'proto'"), laws.System.loads(SYSTEM))
 
 

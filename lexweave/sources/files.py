@@ -19,9 +19,18 @@ def delimiter_counts(line: Column) -> tuple[Column, Column]:
     return count("\t"), count(",")
 
 
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def first_lines(text: Column, n: int = 5) -> Column:
+    """The first n lines that aren't blank."""
+    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")
+    return F.array_join(F.slice(lines, 1, n), "\n")
+
+
 def parse_lines(lines: DataFrame, delimiter: str, column: str = "value", *keys: str) -> DataFrame:
     """(keys, gloss, form) of lines with two fields or more, both not blank; further fields are ignored and quotes mean nothing."""
-    blank = F.lit(" \t\n\x0b\x0c\r")
+    blank = F.lit(BLANK)
     fields = F.split(F.col(column), delimiter)
     out = lines.select(*keys, F.btrim(F.get(fields, F.lit(0)), blank).alias("gloss"), F.btrim(F.get(fields, F.lit(1)), blank).alias("form"))
     return out.where("gloss <> '' and form <> ''")
@@ -33,14 +42,12 @@ def decoded(data: Column) -> Column:
 
 
 def read_lexicon(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """(path, gloss, form) of all files under path. Each file's delimiter is that of its first five lines that aren't blank, unless given."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.btrim(decoded(F.col("content")), F.lit(" \t\r\n")).alias("text"))
-    lines = files.select("path", F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    head = F.array_join(F.slice("lines", 1, 5), "\n")
-    tabs, commas = delimiter_counts(head)
+    """(path, gloss, form) of all files under path, each of which is one row at first. A file's delimiter is that of its first five lines that aren't blank, unless given."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.btrim(decoded(F.col("content")), F.lit(BLANK)).alias("text"))
+    tabs, commas = delimiter_counts(first_lines(F.col("text")))
     mark = F.lit(delimiter) if delimiter else F.when(tabs >= commas, "\t").otherwise(",")
-    fields = lines.select("path", mark.alias("mark"), F.explode("lines").alias("line")).select("path", F.split("line", F.when(F.col("mark") == "\t", "\t").otherwise(",")).alias("f"))
-    blank = F.lit(" \t\r\n")
+    fields = files.select("path", mark.alias("mark"), F.explode(F.split("text", r"\r?\n")).alias("line")).select("path", F.split("line", F.when(F.col("mark") == "\t", "\t").otherwise(",")).alias("f"))
+    blank = F.lit(BLANK)
     return fields.select("path", F.btrim(F.get("f", F.lit(0)), blank).alias("gloss"), F.btrim(F.get("f", F.lit(1)), blank).alias("form")).where("gloss <> '' and form <> ''")
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import form_or_fallback, gloss_or_unknown, morpheme
+
 #: Where ids of ancestor forms and of ancestor languages begin.
 PROTO_FORM, PROTO_LANGUAGE = 10_000_000, 1000
 
@@ -68,19 +70,46 @@ WORDS_SQL = r"""WITH words AS (SELECT DISTINCT lang, lower(w) AS form FROM (SELE
 
 
 def set_key(form):
-    """Forms of one cognate set share their first two letters and their length."""
-    return F.concat(F.substring(form, 1, 2), F.lit("/"), F.length(form).cast("string"))
+    """Forms of one cognate set share their first three letters and their length."""
+    return F.concat(F.substring(form, 1, 3), F.lit("/"), F.length(form).cast("string"))
 
 
 def cognate_sets(spark: SparkSession, folder: str) -> DataFrame:
-    """(skey, lang, form): for each key the first benchmark word, as proto, and the first word of each language."""
-    protos = words_of(read(spark, folder, "benchmark")).groupBy(set_key("form").alias("skey")).agg(F.min("form").alias("form")).select("skey", F.lit("proto").alias("lang"), "form")
-    words = word_lexicon(spark, folder).groupBy(set_key("form").alias("skey"), "lang").agg(F.min("form").alias("form"))
-    return protos.unionByName(words.join(protos.select("skey"), "skey", "left_semi"))
+    """(skey, lang, form): all words of all languages, and for each key one ancestor form as proto: the first benchmark word with that key, or else the first word."""
+    words = word_lexicon(spark, folder).select(set_key("form").alias("skey"), "lang", "form")
+    listed = words_of(read(spark, folder, "benchmark")).select(set_key("form").alias("skey"), F.lit("").alias("lang"), "form")
+    rank = F.struct(F.col("lang") != "", "form")
+    both = words.unionByName(listed).groupBy("skey").agg(F.min(rank).alias("first"), F.max(F.col("lang") != "").alias("has"))
+    protos = both.where("has").select("skey", F.lit("proto").alias("lang"), F.col("first.form").alias("form"))
+    return words.unionByName(protos)
+
+
+def last_forms(sets: DataFrame) -> DataFrame:
+    """Of several forms of a language in a set the last."""
+    return sets.groupBy("skey", "lang").agg(F.max("form").alias("form"))
 
 
 SETS_SQL = WORDS_SQL.rstrip() + r""", bench AS (SELECT DISTINCT lower(w) AS form FROM (SELECT unnest(regexp_extract_all(text, '\p{L}+')) AS w FROM benchmark)),
-protos AS (SELECT substr(form, 1, 2) || '/' || length(form) AS skey, min(form) AS form FROM bench GROUP BY 1),
-daughters AS (SELECT substr(form, 1, 2) || '/' || length(form) AS skey, lang, min(form) AS form FROM words GROUP BY 1, 2),
-sets AS (SELECT skey, 'proto' AS lang, form FROM protos UNION ALL SELECT skey, lang, form FROM daughters WHERE skey IN (SELECT skey FROM protos))
+daughters AS (SELECT substr(form, 1, 3) || '/' || length(form) AS skey, lang, form FROM words),
+listed AS (SELECT substr(form, 1, 3) || '/' || length(form) AS skey, min(form) AS form FROM bench GROUP BY 1),
+protos AS (SELECT d.skey, coalesce(min(l.form), min(d.form)) AS form FROM daughters d LEFT JOIN listed l USING (skey) GROUP BY 1),
+sets AS (SELECT skey, 'proto' AS lang, form FROM protos UNION ALL SELECT skey, lang, form FROM daughters),
+lasts AS (SELECT skey, lang, max(form) AS form FROM daughters GROUP BY 1, 2)
 """
+
+
+def lexicon_sets(lexicon: Lexicon, plangid: int, languages: list[str] | None = None) -> DataFrame:
+    """(skey, lang, form, gloss) of all cognate sets of one ancestor language: its forms as proto, and of each form below them the morpheme that counts.
+
+    The form is the transcription, or the spelling where that is missing. languages: names of the
+    languages that take part, all if None; sets without a form of these are left out.
+    """
+    fallback = form_or_fallback(F.col("ipaform"), F.col("form"))
+    roots = lexicon.reflexes.where(F.col("langid") == plangid).select(F.col("refid").alias("prefid"), F.coalesce("ipaform", F.lit("")).alias("form"), gloss_or_unknown(F.col("gloss")).alias("gloss"))
+    below = lexicon.ancestry.where(F.col("plangid") == plangid).select("langid").distinct()
+    named = lexicon.languages if languages is None else lexicon.languages.where(F.col("name").isin(languages))
+    forms = lexicon.reflexes.join(below, "langid", "left_semi").join(named, "langid").select("refid", F.col("name").alias("lang"), fallback.alias("form"))
+    daughters = lexicon.edges.select("refid", "prefid", "morph_index").join(roots.select("prefid", "gloss"), "prefid").join(forms, "refid")
+    daughters = daughters.select(F.col("prefid").cast("string").alias("skey"), "lang", morpheme(F.col("form"), F.col("morph_index")).alias("form"), "gloss")
+    protos = roots.select(F.col("prefid").cast("string").alias("skey"), F.lit("proto").alias("lang"), "form", "gloss").join(daughters.select("skey").distinct(), "skey", "left_semi")
+    return daughters.unionByName(protos)
