@@ -18,7 +18,6 @@ from ..functions.text import SEGMENT
 
 _SEGMENT = regex.compile(SEGMENT)
 Cost = Callable[[str, str], float]
-COLUMNS = "skey string, col int, lang string, seg string"
 #: Pairs that are aligned at once.
 PIECE = 4096
 
@@ -31,14 +30,16 @@ def unit_cost(a: str, b: str) -> float:
     return float(a != b)
 
 
-def cost_table(a: list[str], b: list[str], cost: Cost, gap: float) -> np.ndarray:
+def cost_table(a: list[str], b: list[str], cost: Cost, gap: float) -> list[list[float]]:
     """The cheapest alignment of every two beginnings."""
-    table = np.zeros((len(a) + 1, len(b) + 1))
-    table[:, 0], table[0, :] = gap * np.arange(len(a) + 1), gap * np.arange(len(b) + 1)
+    table = [[gap * j for j in range(len(b) + 1)]]
     for i, x in enumerate(a, 1):
-        above = table[i - 1]
-        for j, y in enumerate(b, 1):
-            table[i, j] = min(above[j - 1] + cost(x, y), above[j] + gap, table[i, j - 1] + gap)
+        above, last = table[-1], gap * i
+        row = [last]
+        for j, y in enumerate(b):
+            last = min(above[j] + cost(x, y), above[j + 1] + gap, last + gap)
+            row.append(last)
+        table.append(row)
     return table
 
 
@@ -46,10 +47,10 @@ def align_pair(a: list[str], b: list[str], cost: Cost = distance, gap: float = G
     """Pairs of segments, '' for a gap. Of equally cheap alignments the one that, from the end, pairs segments before it leaves a gap in b, and that before one in a."""
     table, i, j, out = cost_table(a, b, cost, gap), len(a), len(b), []
     while i or j:
-        if i and j and table[i, j] == table[i - 1, j - 1] + cost(a[i - 1], b[j - 1]):
+        if i and j and table[i][j] == table[i - 1][j - 1] + cost(a[i - 1], b[j - 1]):
             i, j = i - 1, j - 1
             out.append((a[i], b[j]))
-        elif i and (not j or table[i, j] == table[i - 1, j] + gap):
+        elif i and (not j or table[i][j] == table[i - 1][j] + gap):
             i -= 1
             out.append((a[i], ""))
         else:
@@ -107,18 +108,35 @@ def align_set(members: list[tuple[str, str]], proto: tuple[str, str] | None, cos
     return [{lang: row[c] for (lang, _), row in zip(named, rows, strict=True)} for c in range(len(rows[0]))]
 
 
+def members_of(rows: DataFrame) -> DataFrame:
+    """(skey, members: array<struct<lang, form>>): each set as one row, small as a set is, its members by language, then form."""
+    return rows.groupBy("skey").agg(F.array_sort(F.collect_list(F.struct("lang", "form"))).alias("members"))
+
+
 def align_sets(rows: DataFrame, proto: str = "proto", cost: Cost = distance, gap: float = GAP) -> DataFrame:
-    """(skey, col, lang, seg) of all sets (skey, lang, form): one group each, small as a set is. Members go by language, then form, so of several forms of a language the last is kept."""
+    """(skey, col, lang, seg) of all sets (skey, lang, form). Members go by language, then form, so of several forms of a language the last is kept, and of several ancestor forms too."""
+
+    @F.pandas_udf("array<struct<col: int, lang: string, seg: string>>")
+    def aligned(members: pd.Series) -> pd.Series:
+        out = []
+        for held in members:
+            named = [(m["lang"], m["form"]) for m in held]
+            ancestor = [m for m in named if m[0] == proto]
+            columns = align_set([m for m in named if m[0] != proto], ancestor[-1] if ancestor else None, cost, gap)
+            out.append([{"col": c, "lang": lang, "seg": seg} for c, column in enumerate(columns) for lang, seg in column.items()])
+        return pd.Series(out)
 
-    def work(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["lang", "form"])
-        ancestor = group[group["lang"] == proto]
-        members = list(group.loc[group["lang"] != proto, ["lang", "form"]].itertuples(index=False, name=None))
-        columns = align_set(members, (proto, ancestor["form"].iloc[-1]) if len(ancestor) else None, cost, gap)
-        out = [(key[0], c, lang, seg) for c, column in enumerate(columns) for lang, seg in column.items()]
-        return pd.DataFrame(out, columns=["skey", "col", "lang", "seg"])
+    return members_of(rows).select("skey", F.explode(aligned("members")).alias("x")).select("skey", "x.*")
+
+
+def centers(rows: DataFrame, cost: Cost = distance) -> DataFrame:
+    """(skey, lang, form): the most central form of each set."""
+
+    @F.pandas_udf("int")
+    def center(members: pd.Series) -> pd.Series:
+        return pd.Series([center_of([segments_of(m["form"]) for m in held], cost) for held in members], dtype="int32")
 
-    return rows.groupBy("skey").applyInPandas(work, COLUMNS)
+    return members_of(rows).select("skey", F.get("members", center("members")).alias("x")).select("skey", "x.*")
 
 
 def batch_costs(a: list[list[str]], b: list[list[str]], cost: Cost, gap: float) -> np.ndarray:

@@ -61,8 +61,10 @@ def exact_groups(rows: DataFrame) -> DataFrame:
 
 def _first_turns(pattern: list[tuple], count: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
     """(-blanks of i, blanks of j, -count of j, i, j) of compatible groups of which j is better, a row of pairs at a time."""
+    if not pattern:
+        return
     names = {x: k for k, x in enumerate({x for p in pattern for x in p if x is not None})}
-    codes = np.array([[-1 if x is None else names[x] for x in p] for p in pattern], np.int64).reshape(len(pattern), -1)
+    codes = np.array([[-1 if x is None else names[x] for x in p] for p in pattern], np.int64)
     blanks, n = np.array([sum(not x for x in p) for p in pattern]), np.array(count)
     for i in range(len(pattern)):
         j = np.flatnonzero((blanks < blanks[i]) | ((blanks == blanks[i]) & (n > n[i])))

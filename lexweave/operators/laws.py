@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -10,6 +11,10 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import morpheme
+from ..sources.tables import Lexicon
+from .search import language_identifiers
+
 ROOT, MISSING = "ROOT", "???"
 LAW_COST, REFERENCE_COST = 0.5, 2.5
 
@@ -95,18 +100,6 @@ class System:
         return out
 
 
-def find_system(folder: str, name: str) -> System:
-    """The first file of the folder, by file name, with that system; unreadable files are passed over."""
-    for path in sorted(Path(folder).glob("*.yaml")):
-        try:
-            system = System.loads(path.read_text(encoding="utf-8"))
-        except (yaml.YAMLError, OSError, TypeError, KeyError):
-            continue
-        if system.name == name:
-            return system
-    raise LookupError(name)
-
-
 def apply_laws(rows: DataFrame, system: System, form: str = "form") -> DataFrame:
     """rows for each leaf, with the columns leaf and hypothesis."""
     made = F.array(*[F.struct(F.lit(leaf).alias("leaf"), c.alias("hypothesis")) for leaf, c in system.columns(F.col(form)).items()])
@@ -135,22 +128,111 @@ def with_errors(detail: DataFrame) -> DataFrame:
     return detail.join(detail.where("not correct").select("skey").distinct(), "skey", "left_semi")
 
 
-def colored_diff(expected: str, found: str) -> str:
-    """found with its differences from expected coloured for a terminal."""
+def colored_diff(expected: str, found: str, color: bool = True) -> str:
+    """found with its differences from expected coloured for a terminal, or in brackets."""
     import difflib
 
     marks = {"replace": 33, "delete": 31, "insert": 32}
     parts = []
     for tag, a, b, c, d in difflib.SequenceMatcher(None, expected, found).get_opcodes():
         piece = expected[a:b] if tag == "delete" else found[c:d]
-        parts.append(piece if tag == "equal" else f"\033[{marks[tag]}m{piece}\033[0m")
+        if tag != "equal":
+            piece = f"\033[{marks[tag]}m{piece}\033[0m" if color else f"[{piece}]"
+        parts.append(piece)
     return "".join(parts)
 
 
-def report(detail: DataFrame, system: System, limit: int = 50, **costs: float) -> str:
-    """Metrics and the first sets with errors, as text."""
-    m = metrics(detail, system, **costs).first()
-    lines = [f"{system.name}: {m['n_errors']} errors in {m['n_comparisons']} comparisons of {m['n_sets']} sets, accuracy {m['accuracy']:.4f}, penalty {m['penalty']:.1f}, score {m['score']:.1f}"]
-    for r in detail.where("not correct").orderBy("skey", "leaf").limit(limit).collect():
-        lines.append(f"{r['skey']} {r['leaf']}: *{r['proto']} > {colored_diff(r['form'], r['hypothesis'])} (is {r['form']})")
-    return "\n".join(lines)
+def set_report(rows: list, color: bool = True) -> str:
+    """One set's results (rows of evaluate), right ones first, each wrong one with what differs."""
+    head = f"*{rows[0]['proto']} ({rows[0]['skey']})"
+    lines = [f"  right {r['leaf']:8} {r['hypothesis']:10} is {r['form']}" for r in rows if r["correct"]]
+    for r in rows:
+        if not r["correct"]:
+            lines.append(f"  wrong {r['leaf']:8} {r['hypothesis']:10} is {r['form']}  {colored_diff(r['form'], r['hypothesis'], color)}")
+    return "\n".join([head, *lines])
+
+
+def metrics_report(m, name: str) -> str:
+    return f"{name}: {m['n_errors']} errors in {m['n_comparisons']} comparisons of {m['n_sets']} sets, accuracy {m['accuracy']:.4f}, penalty {m['penalty']:.1f}, score {m['score']:.1f}"
+
+
+def report(detail: DataFrame, system: System, errors_only: bool = False, color: bool = True, limit: int = 50, **costs: float) -> str:
+    """The first sets with their results, or those with errors only, and the metrics, as text."""
+    shown = with_errors(detail) if errors_only else detail
+    first = shown.select("skey").distinct().orderBy("skey").limit(limit)
+    rows = shown.join(first, "skey", "left_semi").orderBy("skey", "leaf").collect()
+    sets = [set_report(list(g), color) for _, g in itertools.groupby(rows, key=lambda r: r["skey"])]
+    return "\n\n".join([*sets, metrics_report(metrics(detail, system, **costs).first(), system.name)])
+
+
+def resolve_proto(lexicon: Lexicon, langid: int | None = None, glottocode: str | None = None) -> int:
+    """The ancestor language, by its number or else its code."""
+    if langid is not None:
+        return langid
+    if glottocode is None:
+        raise ValueError("the ancestor language's number or code is needed")
+    found = None
+    if "glottocode" in lexicon.languages.columns and glottocode not in ("", "unk"):
+        found = lexicon.languages.where(F.col("glottocode") == glottocode).agg(F.max("langid")).first()[0]
+    if found is None:
+        raise ValueError(f"no language has the code {glottocode}")
+    return found
+
+
+def lexicon_detail(lexicon: Lexicon, system: System, plangid: int) -> DataFrame:
+    """evaluate on the forms of one ancestor language and the forms below them; a leaf is a language's code, its name, or lang_ and its number. Of several forms of a language in a set the one with the largest id counts."""
+    protos = lexicon.reflexes.where(F.col("langid") == plangid).select(F.col("refid").alias("skey"), F.col("ipaform").alias("form"))
+    coded = lexicon.languages if "glottocode" in lexicon.languages.columns else lexicon.languages.withColumn("glottocode", F.lit(None).cast("string"))
+    forms = lexicon.reflexes.where("ipaform <> ''").join(language_identifiers(coded), "langid").select("refid", F.col("identifier").alias("lang"), "ipaform")
+    edges = lexicon.edges.select("refid", F.col("prefid").alias("skey"), "morph_index").join(protos.select("skey"), "skey", "left_semi").join(forms, "refid")
+    last = edges.groupBy("skey", "lang").agg(F.max(F.struct("refid", "ipaform", "morph_index")).alias("x"))
+    return evaluate(protos, last.select("skey", "lang", morpheme(F.col("x.ipaform"), F.col("x.morph_index")).alias("form")), system)
+
+
+@dataclass
+class Report:
+    """A system's results on a lexicon: detail (evaluate), and the row of metrics."""
+
+    system: System
+    detail: DataFrame
+    costs: dict[str, float]
+
+    @property
+    def metrics(self):
+        return metrics(self.detail, self.system, **self.costs).first()
+
+    def text(self, errors_only: bool = False, color: bool = True) -> str:
+        return report(self.detail, self.system, errors_only, color, **self.costs)
+
+
+def evaluate_yaml(text: str, lexicon: Lexicon, proto_langid: int | None = None, proto_glottocode: str | None = None, laws_coeff: float = LAW_COST, refs_coeff: float = REFERENCE_COST) -> Report:
+    """The system of a YAML text on a lexicon. An ancestor language has to be named, and to be known."""
+    system = System.loads(text)
+    return Report(system, lexicon_detail(lexicon, system, resolve_proto(lexicon, proto_langid, proto_glottocode)), {"law_cost": laws_coeff, "reference_cost": refs_coeff})
+
+
+def evaluate_file(path: str, lexicon: Lexicon, **given) -> Report:
+    return evaluate_yaml(Path(path).read_text(encoding="utf-8"), lexicon, **given)
+
+
+def list_systems(folder: str) -> list[tuple[str, str]]:
+    """(file, the system's name) of a folder, by file; of a file that can't be read, why."""
+    out = []
+    for path in sorted(Path(folder).glob("*.yaml")):
+        try:
+            out.append((str(path), System.loads(path.read_text(encoding="utf-8")).name))
+        except (yaml.YAMLError, OSError, TypeError, KeyError) as e:
+            out.append((str(path), f"(unreadable: {type(e).__name__})"))
+    return out
+
+
+def locate(given: str, folder: str) -> str:
+    """The file of a system: a path, a system's name, or a file's name without .yaml, in that order."""
+    if Path(given).is_file():
+        return given
+    for path, name in list_systems(folder):
+        if name == given:
+            return path
+    if (path := Path(folder) / f"{given}.yaml").is_file():
+        return str(path)
+    raise LookupError(given)

@@ -112,12 +112,7 @@ t AS (SELECT skey, lang, form, sum(total - n) AS total FROM cells JOIN often USI
 SELECT skey, lang, form FROM (SELECT *, row_number() OVER (PARTITION BY skey ORDER BY total, lang, form) AS k FROM t) WHERE k = 1""")
 def center_sequence(spark, sf_dir):
     """The most central form of each set, letters differing by one; forms of a set have one length."""
-
-    def work(key, group):
-        group = group.sort_values(["lang", "form"])
-        return group.iloc[[align.center_of([list(f) for f in group["form"]], align.unit_cost)]][["skey", "lang", "form"]]
-
-    return cognate_sets(spark, sf_dir).where("lang <> 'proto'").groupBy("skey").applyInPandas(work, "skey string, lang string, form string")
+    return align.centers(cognate_sets(spark, sf_dir).where("lang <> 'proto'"), align.unit_cost)
 
 
 @query()

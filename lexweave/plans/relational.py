@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import edits, search
 from ..operators.correspond import last_of_language
 from ..operators.search import Search
@@ -160,6 +161,34 @@ def update_projection(spark, sf_dir):
     return rows.select("refid", "form", "gloss")
 
 
+@query("SELECT e.refid, e.prefid, r.langid, l.name, r.form, r.gloss FROM edges e JOIN reflexes r USING (refid) JOIN languages l USING (langid) WHERE e.plangid = 1001 AND r.langid NOT IN (SELECT langid FROM ancestry WHERE plangid = 1001)")
+def cleanup_report(spark, sf_dir):
+    lexicon = star_lexicon(spark, sf_dir)
+    return edits.foreign_edges(lexicon.reflexes, lexicon.languages, lexicon.ancestry, lexicon.edges, 1001).select("refid", "prefid", "langid", "name", "form", "gloss")
+
+
+@query("SELECT refid, prefid, CAST(CASE WHEN refid = 7 AND prefid % 2 = 0 THEN 5 ELSE morph_index END AS INTEGER) AS morph_index FROM edges")
+def update_edges(spark, sf_dir):
+    rows = edits.update_where(star_lexicon(spark, sf_dir).edges, (F.col("refid") == 7) & (F.col("prefid") % 2 == 0), morph_index=F.lit(5))
+    return rows.select("refid", "prefid", "morph_index")
+
+
+@query("SELECT refid, prefid, plangid, morph_index FROM edges WHERE plangid <> 1001 OR refid IN (SELECT refid FROM reflexes WHERE langid IN (SELECT langid FROM ancestry WHERE plangid = 1001))")
+def cleanup_edges(spark, sf_dir):
+    lexicon = star_lexicon(spark, sf_dir)
+    return edits.clean_up(lexicon.reflexes, lexicon.languages, lexicon.ancestry, lexicon.edges, 1001, dry_run=False)[0].select("refid", "prefid", "plangid", "morph_index")
+
+
+@query("""SELECT i AS place, w AS word, coalesce(nullif(g, ''), 'unknown') AS gloss, coalesce(nullif(x, ''), f) AS form, CASE WHEN coalesce(x, '') IN ('', '-') THEN CASE WHEN refid % 2 = 0 THEN '∅' ELSE '—' END ELSE x END AS shown, refid FROM (
+SELECT refid, unnest(range(0, len(regexp_extract_all(gloss, '[A-Za-z]+')))) AS i, unnest(regexp_extract_all(gloss, '[A-Za-z]+')) AS w, CASE refid % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE gloss END AS g, CASE refid % 4 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '-' ELSE ipaform END AS x, form AS f FROM reflexes)""")
+def shown_words(spark, sf_dir):
+    """The words of all glosses, and fallbacks for what is missing."""
+    rows = star_lexicon(spark, sf_dir).reflexes
+    g = F.expr("CASE refid % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE gloss END")
+    x = F.expr("CASE refid % 4 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '-' ELSE ipaform END")
+    return rows.select("refid", F.posexplode(tx.gloss_words(F.col("gloss"))).alias("place", "word"), tx.gloss_or_unknown(g).alias("gloss"), tx.form_or_fallback(x, F.col("form")).alias("form"), tx.shown(x, F.col("refid") % 2 == 0).alias("shown"))
+
+
 @query("SELECT refid, prefid FROM edges WHERE prefid NOT IN (SELECT refid FROM reflexes WHERE langid = 1001)")
 def delete_cascade(spark, sf_dir):
     lexicon = star_lexicon(spark, sf_dir)

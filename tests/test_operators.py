@@ -24,7 +24,7 @@ def levenshtein(a, b):
 def test_alignment_cost_and_rows(a, b):
     pairs = align.align_pair(list(a), list(b), align.unit_cost, 1.0)
     assert "".join(x for x, _ in pairs) == a and "".join(y for _, y in pairs) == b
-    assert sum(x != y for x, y in pairs) == levenshtein(a, b) == align.cost_table(list(a), list(b), align.unit_cost, 1.0)[-1, -1]
+    assert sum(x != y for x, y in pairs) == levenshtein(a, b) == align.cost_table(list(a), list(b), align.unit_cost, 1.0)[-1][-1] == align.batch_costs([list(a)], [list(b)], align.unit_cost, 1.0)[0]
 
 
 @given(st.lists(st.text("abct", max_size=6), min_size=1, max_size=5))
@@ -62,10 +62,10 @@ def test_merging_by_ancestor_sound_is_the_same_as_at_once():
 def test_correspondence_sets(spark):
     rows = [("s1", 0, ["t", "t", None]), ("s2", 0, ["t", "t", "d"]), ("s3", 0, ["t", "d", "d"]), ("s4", 0, ["a", "", None]), ("s5", 0, ["a", "", ""]), ("s6", 0, ["t", "t", ""])]
     df = spark.createDataFrame(rows, "skey string, col int, pattern array<string>")
-    sets = {tuple(r["pattern"]): r["n"] for r in correspond.correspondence_sets(df, ["p", "x", "y"]).collect()}
+    sets = {tuple(r["pattern"]): r["n"] for r in correspond.correspondence_sets(df).collect()}
     assert sets == {("t", "t", "d"): 2, ("t", "d", "d"): 1, ("t", "t", ""): 1}
     one = spark.createDataFrame([("s", 0, ["a", None, ""])], df.schema)
-    assert correspond.correspondence_sets(one, ["p", "x", "y"]).count() == 1
+    assert correspond.correspondence_sets(one).count() == 1
 
 
 def test_three_values(spark):
@@ -106,18 +106,152 @@ def test_laws(spark):
 
 def test_law_report(spark, tmp_path):
     system = laws.System.loads(SYSTEM)
-    protos = spark.createDataFrame([("k", "tota"), ("m", None), ("n", "")], "skey string, form string")
-    known = spark.createDataFrame([("k", "de", "toda"), ("k", "fr", "nope"), ("k", "xx", "tota")], "skey string, lang string, form string")
+    protos = spark.createDataFrame([("k", "tota"), ("l", "tota"), ("m", None), ("n", "")], "skey string, form string")
+    known = spark.createDataFrame([("k", "de", "toda"), ("k", "fr", "nope"), ("k", "xx", "tota"), ("l", "de", "toda")], "skey string, lang string, form string")
     detail = laws.evaluate(protos, known, system)
-    assert {(r["leaf"], r["correct"]) for r in detail.collect()} == {("de", True), ("fr", False)}
+    assert {(r["skey"], r["leaf"], r["correct"]) for r in detail.collect()} == {("k", "de", True), ("k", "fr", False), ("l", "de", True)}
     m = laws.metrics(detail, system).first()
-    assert (m["n_sets"], m["n_comparisons"], m["n_errors"], m["accuracy"]) == (1, 2, 1, 0.5)
-    assert "nope" in laws.report(detail, system)
+    assert (m["n_sets"], m["n_comparisons"], m["n_errors"]) == (2, 3, 1) and abs(m["accuracy"] - 2 / 3) < 1e-9
+    assert laws.metrics(detail.limit(0), system).first()["accuracy"] == 0.0
+    text = laws.report(detail, system)
+    assert "nope" in text and text.index("*tota (k)") < text.index("*tota (l)") < text.index("1 errors in 3 comparisons of 2 sets")
+    assert text.index("right de") < text.index("wrong fr") and "\033[" in text
+    short = laws.report(detail, system, errors_only=True, color=False, law_cost=1.0)
+    assert "(l)" not in short and "\033[" not in short and "[" in short and f"penalty {8 + 25:.1f}" in short
     (tmp_path / "a.yaml").write_text(SYSTEM)
     (tmp_path / "b.yaml").write_text("{")
-    assert laws.find_system(str(tmp_path), "sample").name == "sample"
+    (tmp_path / "c.yaml").write_text("name: sample")
+    (tmp_path / "d.yaml").write_text("name: other")
+    assert [n for _, n in laws.list_systems(str(tmp_path))][0] == "sample" and "unreadable" in laws.list_systems(str(tmp_path))[1][1]
+    assert laws.locate("sample", str(tmp_path)).endswith("a.yaml") and laws.locate("d", str(tmp_path)).endswith("d.yaml")
+    assert laws.locate(str(tmp_path / "c.yaml"), "none").endswith("c.yaml")
     with pytest.raises(LookupError):
-        laws.find_system(str(tmp_path), "none")
+        laws.locate("none", str(tmp_path))
+
+
+def test_differences_are_marked():
+    assert laws.colored_diff("abcd", "axcde", False) == "a[x]c" + "[de]" or laws.colored_diff("abcd", "axcde", False) == "a[x]cd[e]"
+    assert laws.colored_diff("same", "same", False) == "same" and laws.colored_diff("abc", "ac", False) == "a[b]c"
+    assert laws.colored_diff("a", "b") == "\033[33mb\033[0m" and laws.colored_diff("a", "ab") == "a\033[32mb\033[0m"
+
+
+@pytest.fixture
+def lexicon(spark):
+    from lexweave.sources.tables import Lexicon
+
+    reflexes = [(1, 20, "tota", "water", "tota"), (2, 20, "pa", "Ash", None), (3, 20, "", "none", ""), (10, 1, "toda x", "w", "toda x"), (11, 1, "ze-toda", "w", "ze-toda"), (12, 2, "nope", "w", "nope"), (13, 3, "ba", "a", ""), (14, 4, "zz", "z", "zz")]
+    languages = [(1, "German", "de"), (2, "fr", "unk"), (3, None, None), (4, "far", ""), (20, "Proto", "prot1")]
+    return Lexicon(
+        spark.createDataFrame(reflexes, "refid long, langid long, form string, gloss string, ipaform string"),
+        spark.createDataFrame(languages, "langid long, name string, glottocode string"),
+        spark.createDataFrame([(1, 20), (2, 20), (3, 20), (5, 20)], "langid long, plangid long"),
+        spark.createDataFrame([(10, 1, 20, 0), (11, 1, 20, 1), (12, 1, 20, 0), (13, 2, 20, 0), (14, 1, 20, 0)], "refid long, prefid long, plangid long, morph_index int"),
+    )
+
+
+def test_systems_on_a_lexicon(spark, lexicon, tmp_path):
+    found = laws.evaluate_yaml(SYSTEM, lexicon, proto_glottocode="prot1", laws_coeff=0.0, refs_coeff=1.0)
+    # of two German forms the one with the larger id counts, by its second part
+    assert {(r["skey"], r["leaf"], r["form"], r["correct"]) for r in found.detail.collect()} == {(1, "de", "toda", True), (1, "fr", "nope", False)}
+    assert (found.metrics["n_errors"], found.metrics["penalty"]) == (1, 10.0) and "nope" in found.text()
+    (tmp_path / "s.yaml").write_text(SYSTEM)
+    assert laws.evaluate_file(str(tmp_path / "s.yaml"), lexicon, proto_langid=20).metrics["n_comparisons"] == 2
+    with pytest.raises(ValueError):
+        laws.evaluate_yaml(SYSTEM, lexicon)
+    for code in ("nowhere", "unk", ""):
+        with pytest.raises(ValueError):
+            laws.evaluate_yaml(SYSTEM, lexicon, proto_glottocode=code)
+    from lexweave import cli
+
+    for name in ("reflexes", "languages", "ancestry", "edges"):
+        getattr(lexicon, name).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = cli.main(["s", "--folder", str(tmp_path), "--lexicon", str(tmp_path), "--proto-glottocode", "prot1", "--errors-only", "--no-color", "--laws-coeff", "0"])
+    assert "1 errors in 2 comparisons" in out and "\033[" not in out and "penalty 25.0" in out
+    for bad in (["none", "--folder", str(tmp_path), "--lexicon", str(tmp_path)], ["s", "--folder", str(tmp_path), "--lexicon", str(tmp_path)], ["s"], []):
+        with pytest.raises(SystemExit):
+            cli.main(bad)
+
+
+def test_sets_of_a_lexicon(lexicon):
+    from lexweave.sources.tables import lexicon_sets
+
+    got = {tuple(r) for r in lexicon_sets(lexicon, 20).collect()}
+    # forms of languages that aren't below 20, or have no entry, take no part; a missing transcription falls back on the spelling
+    assert got == {("1", "proto", "tota", "water"), ("1", "German", "toda", "water"), ("1", "fr", "nope", "water"), ("2", "proto", "", "Ash"), ("2", None, "ba", "Ash")}
+    some = {tuple(r)[:2] for r in lexicon_sets(lexicon, 20, ["fr"]).collect()}
+    assert some == {("1", "proto"), ("1", "fr")}
+
+
+def test_columns_go_by_gloss(spark):
+    rows = [("s1", 0, ["t", "t"], "beta"), ("s2", 0, ["t", "t"], "Alpha"), ("s3", 0, ["t", "t"], None), ("s4", 0, ["t", "d"], "x")]
+    df = spark.createDataFrame(rows, "skey string, col int, pattern array<string>, gloss string")
+    sets = correspond.ordered(correspond.correspondence_sets(df)).collect()
+    assert [s["n"] for s in sets] == [3, 1] and [c["skey"] for c in sets[0]["columns"]] == ["s3", "s2", "s1"]
+    held = correspond.phonemes_worth_analysing(correspond.correspondence_sets(df)).collect()
+    assert [tuple(r) for r in held] == [("t", 2)]
+
+
+def test_patterns_as_readers_see_them(spark):
+    rows = [("s1", 0, ["a", "z", None], 10), ("s2", 0, ["a", "Ä", "x"], 9), ("s3", 0, ["a", "a", ""], 100), ("s4", 0, ["a", "", "y"], 1)]
+    df = spark.createDataFrame(rows, "skey string, col int, pattern array<string>, n int")
+    view = lambda terms, *sort: [r["skey"] for r in correspond.pattern_view(df, ["p", "b", "c"], terms, *sort).collect()]
+    assert view({}, "count") == ["s4", "s2", "s1", "s3"] and view({}, "count", True) == ["s3", "s1", "s2", "s4"]
+    assert view({}, "b") == ["s4", "s3", "s2", "s1"]  # those without first, Ä beside a
+    assert view({"count": "^1"}, "count") == ["s4", "s1", "s3"] and set(view({"c": "^-$"})) == {"s1", "s3"} and len(view({"b": "("})) == 4 and view({"b": "^ä"}) == []
+    segs = df.select("skey", correspond.by_language(F.col("pattern"), ["p", "b", "c"]).alias("m")).collect()
+    assert {r["skey"]: r["m"] for r in segs}["s1"] == {"p": "a", "b": "z"} and {r["skey"]: r["m"] for r in segs}["s4"] == {"p": "a", "c": "y"}
+
+
+def test_pattern_functions(spark):
+    df = spark.createDataFrame([(["a", None, "", "b"], ["a", "x", "", "b"]), (["a", None, "", None], ["a", "x", "", "b"]), (["a", "y", "q", "b"], ["a", "x", "q", "b"])], "a array<string>, b array<string>")
+    got = df.select(correspond.sort_key(F.col("a")).alias("k"), correspond.filled(F.col("a")).alias("f"), correspond.is_instance(F.col("a"), F.col("b")).alias("i"), correspond.merged(F.col("a"), F.col("b")).alias("m")).collect()
+    assert got[0]["k"] == ["a", "￿", "", "b"] and [r["f"] for r in got] == [2, 1, 4]
+    assert [r["i"] for r in got] == [True, False, False] and got[1]["m"] == ["a", "x", "", "b"]
+
+
+def test_room_for_the_longest_insertion():
+    rows = align.align_star([list("ta"), list("taxa"), list("tya")], 0, align.unit_cost, 0.4)
+    assert len({len(r) for r in rows}) == 1
+    middle = [k for k, x in enumerate(rows[0]) if x]
+    for row, form in zip(rows, ["ta", "taxa", "tya"], strict=True):
+        assert "".join(row) == form
+        for a, b in itertools.pairwise([-1, *middle, len(row)]):
+            gap = row[a + 1 : b]
+            assert gap == sorted(gap, key=lambda x: x == "")  # what is inserted starts at the left
+    assert align.align_star([["a"]], 0) == [["a"]]
+
+
+def test_central_form():
+    apart = lambda a, b: sum(map(align.distance, a, b)) + align.GAP * abs(len(a) - len(b))
+    rng = random.Random(4)
+    for _ in range(100):
+        forms = [[rng.choice("aitkps?") for _ in range(rng.randint(0, 5))] for _ in range(rng.randint(1, 8))]
+        totals = [sum(apart(a, b) for b in forms) for a in forms]
+        assert align.center_of(forms) == totals.index(min(totals))
+    assert align.center_of([]) == 0
+
+
+@given(st.lists(st.tuples(st.lists(st.sampled_from("aitkv?"), max_size=6), st.lists(st.sampled_from("aitkw?"), max_size=6)), min_size=1, max_size=8))
+@settings(max_examples=100, deadline=None)
+def test_many_costs_at_once(pairs):
+    got = align.batch_costs([a for a, _ in pairs], [b for _, b in pairs], align.distance, align.GAP)
+    assert got.tolist() == pytest.approx([align.cost_table(a, b, align.distance, align.GAP)[-1][-1] for a, b in pairs])
+
+
+def test_one_phoneme(spark):
+    rows = [("a1", "t", None, "a"), ("a2", "t", "a", "i"), ("b1", "k", None, None)]
+    found = generalize.default_and_conditioned(spark.createDataFrame(rows, "set_id string, proto_seg string, left string, right string"))
+    t, k, z = (generalize.analyse_phoneme(found, x) for x in "tkz")
+    assert t["num_sets"] == 2 and len(t["conditioned"]) == 1 and "message" not in t
+    assert k["num_sets"] == 1 and k["default"] == "b1" and "default" in k["message"] and z["num_sets"] == 0 and "no " in z["message"]
+
+
+@given(st.lists(st.sampled_from(["a", "i", "t", "k", "s", "m", "?", None]), max_size=4), st.lists(st.sampled_from(["a", "i", "t", "k", "s", "m", "?", None]), max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_fewest_features(positive, negative):
+    import plain
+
+    assert generalize.minimal_features(positive, negative) == plain.minimal(positive, negative)
 
 
 def test_search_conditions(spark):
@@ -145,20 +279,68 @@ def test_not_in_with_nulls(spark):
     assert edits.delete_not_in(t, "x", spark.createDataFrame([], "k int"))[1].count() == 3
 
 
-def test_upload_and_etymon(spark):
-    reflexes = spark.createDataFrame([(1, 1, -2, "a", "b", "a")], "refid long, langid long, sourceid long, form string, gloss string, ipaform string")
-    languages = spark.createDataFrame([(1, "one")], "langid long, name string")
-    ancestry = spark.createDataFrame([(1, 9)], "langid long, plangid long")
-    entries = spark.createDataFrame([("ga", "pha")], "gloss string, form string")
-    r, l, a = edits.upload(reflexes, languages, ancestry, entries, "two", ["9", "x"], 10, lambda c: F.upper(c))
-    assert (r.count(), l.count(), a.count()) == (2, 2, 2) and r.where("refid >= 10").first()["ipaform"] == "PHA"
-    r, l, a = edits.upload(reflexes, languages, ancestry, entries, "one", ["9"], 10, lambda c: c)
-    assert (l.count(), a.count()) == (1, 1)
-    assert edits.add_etymon(reflexes, "x", "y", 3, 5).count() == 2
-    with pytest.raises(ValueError):
-        edits.add_etymon(reflexes, " ", "y", 3, 5)
-    made, changed = edits.backfill(reflexes, lambda c: F.concat(c, F.lit("!")))
-    assert made.first()["ipaform"] == "a!" and reflexes.where(changed).count() == 1
+def upper(c):
+    return F.upper(c)
+
+
+def test_upload(spark, lexicon):
+    reflexes = lexicon.reflexes.withColumn("sourceid", F.lit(-2).cast("long"))
+    entries = spark.createDataFrame([("ga", "pha"), ("ba", "tha")], "gloss string, form string")
+    r, l, a = edits.upload(reflexes, lexicon.languages, lexicon.ancestry, entries, "two", ["20", "x", "-3"], 100, upper)
+    assert (r.count(), l.count(), a.count()) == (10, 6, 6)
+    assert [tuple(x) for x in r.where("refid >= 100").orderBy("refid").select("refid", "langid", "sourceid", "form", "gloss", "ipaform").collect()] == [(100, 21, -1, "tha", "ba", "THA"), (101, 21, -1, "pha", "ga", "PHA")]
+    r, l, a = edits.upload(reflexes, lexicon.languages, lexicon.ancestry, entries, "German", ["20"], 100, upper)
+    assert (l.count(), a.count()) == (5, 4) and r.where("refid >= 100").first()["langid"] == 1
+    assert edits.upload(reflexes.limit(0), lexicon.languages.limit(0), lexicon.ancestry, entries, "x", [], 0, upper)[0].count() == 2
+
+
+def test_new_forms(spark, lexicon):
+    new = spark.createDataFrame([(90, 1, "neu", "new")], "refid long, langid long, form string, gloss string")
+    row = edits.add_reflex(lexicon.reflexes, new, upper).where("refid = 90").first()
+    assert (row["ipaform"], row["gloss"]) == ("NEU", "new")
+    ranking = spark.createDataFrame([(95, 20, "old", "o", 0.5), (1, 20, "tota", "water", 0.1)], "refid long, langid long, ipaform string, gloss string, sim double")
+    r, p = edits.add_etymon(lexicon.reflexes, ranking, "x", "y", 20, 95, upper)
+    assert tuple(r.where("refid = 95").select("langid", "ipaform").first()) == (20, "X") and {tuple(x) for x in p.select("refid", "ipaform", "sim").collect()} == {(95, "X", 0.0), (1, "tota", 0.1)}
+    for bad in ((" ", "y", 20), ("x", "", 20), ("x", "y", 0)):
+        with pytest.raises(ValueError):
+            edits.add_etymon(lexicon.reflexes, ranking, *bad, 95, upper)
+    r, p, e = edits.add_set(lexicon.reflexes, ranking, lexicon.edges, "x", "y", 20, 96, 12, 1, upper)
+    assert p.count() == 3 and tuple(e.where("prefid = 96").select("refid", "plangid", "morph_index").first()) == (12, 20, 1) and e.count() == 6
+    changed = edits.update_reflex({"reflexes": lexicon.reflexes, "ranking": ranking}, 1, "neu", "g", upper)
+    assert tuple(changed["reflexes"].where("refid = 1").select("form", "gloss", "ipaform").first()) == ("neu", "g", "NEU")
+    assert tuple(changed["ranking"].where("refid = 1").select("gloss", "ipaform", "sim").first()) == ("g", "NEU", 0.1) and changed["ranking"].where("ipaform = 'old'").count() == 1
+
+
+def test_edges(spark, lexicon):
+    new = spark.createDataFrame([(11, 2, 20), (11, 2, 20), (10, 1, 20), (77, 1, 20)], "refid long, prefid long, plangid long")
+    got = edits.add_supporting(lexicon.edges, lexicon.reflexes.withColumn("ipaform", F.when(F.col("refid") == 2, "toda").otherwise(F.col("ipaform"))), new)
+    assert {tuple(r) for r in got.select("refid", "prefid", "morph_index").collect()} == {(10, 1, 0), (11, 1, 1), (12, 1, 0), (13, 2, 0), (14, 1, 0), (11, 2, 1), (77, 1, 0)}
+    assert edits.add_all_pairs(lexicon.edges, lexicon.reflexes, [10, 12], [1, 2], 20).count() == 7 and edits.add_all_pairs(lexicon.edges, lexicon.reflexes, [], [1], 20).count() == 5
+    assert edits.remove_edges(lexicon.edges, new.select("refid", "prefid")).count() == 4
+    assert edits.update_morph_index(lexicon.edges, 11, 1, 4).where("morph_index = 4").select("refid").collect()[0][0] == 11
+    r, e = edits.delete_reflexes(lexicon.reflexes, lexicon.edges, spark.createDataFrame([(1,)], "refid long"), "prefid")
+    assert (r.count(), e.count()) == (7, 1)
+    r, e = edits.delete_reflexes(lexicon.reflexes, lexicon.edges, spark.createDataFrame([(10,)], "refid long"))
+    assert (r.count(), e.count()) == (7, 4)
+
+
+def test_clean_up(spark, lexicon):
+    languages = lexicon.languages.where("langid <> 3")
+    given = (lexicon.reflexes, languages, lexicon.ancestry.where("langid <> 3"), lexicon.edges, 20)
+    edges, report = edits.clean_up(*given)
+    assert edges.count() == 5 and {(r["refid"], r["name"]) for r in report.collect()} == {(14, "far")}
+    edges, report = edits.clean_up(*given, dry_run=False)
+    assert {r["refid"] for r in edges.collect()} == {10, 11, 12} and report.count() == 1  # a form without a named language goes too
+    with_null = given[2].unionByName(spark.createDataFrame([(None, 20)], "langid long, plangid long"))
+    assert edits.clean_up(lexicon.reflexes, languages, with_null, lexicon.edges, 20, dry_run=False)[0].count() == 5
+
+
+def test_backfill(spark, lexicon):
+    made, told = edits.backfill(lexicon.reflexes, upper)
+    assert told["total"] == 8 and told["missing"] == 3 and told["remaining"] == 1 and ("tota", "TOTA") in told["samples"]
+    assert {r["refid"]: r["ipaform"] for r in made.collect()}[3] == "" and made.where("ipaform is null").count() == 0
+    done = lexicon.reflexes.where("ipaform <> ''")
+    assert edits.backfill(done, upper) == (done, {"total": 5, "missing": 0, "remaining": 0, "samples": []})
 
 
 def test_lexicon_files(spark, tmp_path):
@@ -166,7 +348,54 @@ def test_lexicon_files(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes("eins,été\n".encode("latin-1"))
     got = {(r["gloss"], r["form"]) for r in files.read_lexicon(spark, str(tmp_path)).collect()}
     assert got == {("one", "pha, x"), ('"three', "b"), ("eins", "été")}
-    assert files.delimiter_of(["a,b"]) == "," and files.delimiter_of([]) == "\t"
+    assert files.delimiter_of(["a,b"]) == "," and files.delimiter_of([]) == "\t" and files.delimiter_of(["x"] * 5 + ["a,b"]) == "\t"
+    assert {r["form"] for r in files.read_lexicon(spark, str(tmp_path), ",").collect()} == {"x\textra", "été"}
+    lines = spark.createDataFrame([("\n \n a\n\tb\nc\nd,\ne\nf,,,,",)], "t string").select(files.first_lines(F.col("t"))).first()[0]
+    assert lines == " a\n\tb\nc\nd,\ne"
+
+
+def test_rankings_and_pages(spark, tmp_path):
+    first, second = (spark.createDataFrame([(k, 0.5)], "refid long, sim double") for k in (1, 2))
+    files.write_ranking(first, str(tmp_path / "r"))
+    files.write_ranking(second, str(tmp_path / "r"))
+    assert [r["refid"] for r in spark.read.parquet(str(tmp_path / "r")).collect()] == [2]
+    assert files.page_of(second, 7, 3, 4) == {"draw": 4, "recordsTotal": 7, "recordsFiltered": 3, "data": [{"refid": 2, "sim": 0.5}]}
+
+
+def test_is_proto(lexicon):
+    assert search.is_proto(lexicon, 1) and not search.is_proto(lexicon, 10) and not search.is_proto(lexicon, 999)
+    assert {r["name"]: r["identifier"] for r in search.language_identifiers(lexicon.languages).collect()} == {"German": "de", "fr": "fr", None: "lang_3", "far": "far", "Proto": "prot1"}
+
+
+def test_nearest_beyond_the_first_ten(spark):
+    """Filters and penalties come before the nearest are chosen; ties after rounding go by id; all rows are ranked if asked."""
+    rows = [(k, k % 4, [1.0, 0.001 * (k % 30)], [1.0, 0.0]) for k in range(60)]
+    df = spark.createDataFrame(rows, "refid long, langid long, p array<double>, s array<double>")
+    ancestry = spark.createDataFrame([(0, 3), (1, 3)], "langid long, plangid long")
+    asked = df.where("refid = 0")
+    protos = [r["refid"] for r in sim.rank_protoforms(asked, df, ancestry, 5).orderBy("rank").collect()]
+    assert protos == sorted((k for k in range(60) if k % 4 == 3), key=lambda k: (k % 30, k))[:5]
+    related = [(r["refid"], round(r["dist"])) for r in sim.rank_related(asked, df, ancestry, None).orderBy("rank").collect()]
+    assert len(related) == 45 and all(d == (0 if k % 4 == 1 else 1) for k, d in related) and [d for _, d in related] == sorted(d for _, d in related)
+    assert {round(r["dist"]) for r in sim.rank_related(df.where("refid = 2"), df, ancestry, 3).collect()} == {1}  # a language without ancestors
+    reflexes = sim.rank_reflexes(asked.withColumn("plangid", F.lit(3).cast("long")), df, ancestry, 20).collect()
+    assert all(r["langid"] in (0, 1) for r in reflexes) and len(reflexes) == 20 and min(r["refid"] for r in reflexes) == 0
+    assert {round(r["dist"]) for r in sim.rank_reflexes(asked.withColumn("plangid", F.lit(None).cast("long")), df, ancestry, 5).collect()} == {1}
+    ties = spark.createDataFrame([(k, 9, [1.0, 1e-12 * k], [1.0, 0.0]) for k in range(40, 0, -1)], df.schema)
+    assert [r["refid"] for r in sim.nearest(asked, ties, 7).orderBy("rank").collect()] == list(range(1, 8))
+
+
+def test_similarity_of_all_pairs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sim, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(sim, "CORPUS_BLOCK", 4)
+    left, right = (spark.range(n).select(F.col("id").alias("refid"), (F.col("id") * 2).alias("x")) for n in (8, 11))
+    assert {tuple(r) for r in sim.with_all(left, right).collect()} == {(a, 2 * a, b, 2 * b) for a in range(8) for b in range(11)}
+
+
+def test_vectors_are_updated(spark):
+    rows = spark.createDataFrame([(k, k) for k in range(5)], "refid long, v long")
+    got = sim.update_vectors(rows, spark.createDataFrame([(1, 10), (9, 90)], rows.schema), spark.createDataFrame([(2,), (9,)], "refid long"))
+    assert {tuple(r) for r in got.collect()} == {(0, 0), (1, 10), (3, 3), (4, 4)}
 
 
 def test_zero_vectors(spark):
@@ -217,7 +446,7 @@ def test_command_line(spark, tmp_path):
 
     (tmp_path / "a.yaml").write_text(SYSTEM)
     spark.createDataFrame([("k", "proto", "tota"), ("k", "de", "toda")], "skey string, lang string, form string").write.parquet(str(tmp_path / "sets"))
-    assert cli.main(["--list", "--folder", str(tmp_path)]) == "a.yaml: sample"
+    assert cli.main(["--list", "--folder", str(tmp_path)]) == f"sample: {tmp_path}/a.yaml"
     assert "0 errors in 1 comparisons" in cli.main(["sample", "--folder", str(tmp_path), "--sets", str(tmp_path / "sets")])
 
 
