@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import slices
+from .shared import released, slices
 
 #: Where the private symbols begin that stand for a word's last character.
 ENDS = 0x100000
@@ -284,4 +284,4 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "do
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "ids", "decoded"])
 
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
-    return rows.mapInArrow(work, f"id {kind}, ids binary, decoded string").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(released(work), f"id {kind}, ids binary, decoded string").withColumnRenamed("id", id_column)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -54,6 +56,22 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def released(work):
+    """A function of batches that, when its task ends, gives back to the system the memory that its worker, which other tasks use next, does not need."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def free_name(name: str, *taken: str) -> str:
     """name, with underscores behind it until no column has it."""
     held = {t.lower() for t in taken}

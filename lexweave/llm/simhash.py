@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import SLICE_BYTES, as_bytes, checkpointed, free_name, mix, powers, rolling_hashes, slices, word_hashes, word_spans
+from .shared import SLICE_BYTES, as_bytes, checkpointed, free_name, mix, powers, released, rolling_hashes, slices, word_hashes, word_spans
 
 #: Blocks of two-bit segments, for so many differing bits at least and at most; and how many fingerprints a cell may hold by chance before there are more.
 LEAST_BLOCKS, MOST_BLOCKS, CELL_CHANCE = 2, 12, 8.0
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, words: int, id_column: str = "doc_id", text_co
                 fps = np.array([fingerprint(t, words) for t in as_bytes(part.column(1))], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], ["id", "fp"])
 
-    return docs.select(docs[id_column].alias("id"), docs[text_column].alias("text")).mapInArrow(work, f"id {kind}, fp long")
+    return docs.select(docs[id_column].alias("id"), docs[text_column].alias("text")).mapInArrow(released(work), f"id {kind}, fp long")
 
 
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -173,7 +173,7 @@ def _links(cells: DataFrame, radius: int) -> DataFrame:
         if len(rest[0]):
             yield link(*rest)
 
-    return groups.mapInArrow(work, "a long, b long").distinct()
+    return groups.mapInArrow(released(work), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -202,7 +202,7 @@ LANES, FINE_WORDS, FINE_RADIUS = 8, 2, 68
 #: Near copies: the Jaccard similarity of the sets of shingles of SET_WORDS words is SIMILAR[0] / SIMILAR[1] or more.
 SET_WORDS, SIMILAR = 5, (4, 5)
 #: Texts, and shingles of them, that one part of a group of candidates has at most.
-PART, PART_SHINGLES = 2048, 1 << 21
+PART, PART_SHINGLES = 2048, 1 << 20
 #: Cells of a long fingerprint: FINE_CELLS choices of FINE_SEGMENTS of its two-bit segments, the same however many fingerprints
 #: there are, so whether two of them share a cell depends on them alone.
 FINE_CELLS, FINE_SEGMENTS = 48, 10
@@ -259,7 +259,7 @@ def long_fingerprints(docs: DataFrame, id_column: str, text_column: str) -> Data
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *columns], ["id", "h", "fp", "name", "node", "n"])
 
     rows = docs.select(docs[id_column].alias("id"), F.xxhash64(F.coalesce(docs[text_column], F.lit(""))).alias("h"), docs[text_column].alias("text"))
-    return rows.mapInArrow(work, f"id {kind}, h long, fp binary, name long, node long, n long")
+    return rows.mapInArrow(released(work), f"id {kind}, h long, fp binary, name long, node long, n long")
 
 
 def _lanes(column: pa.Array) -> np.ndarray:
@@ -294,10 +294,10 @@ def _all_near(fps: np.ndarray) -> np.ndarray:
     """Which of fps are within FINE_RADIUS of each other, each with each: the embeddings' distance filters, and what it lets through is compared exactly."""
     out = np.zeros((len(fps), len(fps)), bool)
     codes = embed(fps)
-    for k in range(0, len(fps), 64):
-        bound = np.zeros((min(64, len(fps) - k), len(fps) - k), np.uint16)
+    for k in range(0, len(fps), 16):
+        bound = np.zeros((min(16, len(fps) - k), len(fps) - k), np.uint16)
         for lane in range(LANES):
-            bound += manhattan(codes[k : k + 64, None, lane], codes[None, k:, lane])
+            bound += manhattan(codes[k : k + 16, None, lane], codes[None, k:, lane])
         i, j = np.nonzero(bound <= FINE_RADIUS)
         near = np.bitwise_count(fps[k + i] ^ fps[k + j]).sum(1, dtype=np.uint16) <= FINE_RADIUS
         out[k + i[near], k + j[near]] = True
@@ -313,7 +313,7 @@ def _near_in_cells(cell: np.ndarray, fps: np.ndarray) -> np.ndarray:
     for n in np.unique(sizes[(sizes > 1) & (sizes <= 32)]).tolist():
         i, j = np.triu_indices(n, 1)
         firsts = at[sizes == n]
-        step = max(1, (1 << 16) // len(i))
+        step = max(1, (1 << 14) // len(i))
         for k in range(0, len(firsts), step):
             part = firsts[k : k + step, None]
             x, y = part + i, part + j
@@ -371,14 +371,14 @@ def _fine_links(nodes: DataFrame) -> DataFrame:
         if len(rest[0]):
             yield found(*rest)
 
-    hot = nodes.select("fp").mapInArrow(name, "cell long").groupBy("cell").count().where(F.col("count") > CELL)
+    hot = nodes.select("fp").mapInArrow(released(name), "cell long").groupBy("cell").count().where(F.col("count") > CELL)
     # a hot cell takes CELL rows of FINE_CELLS for each fingerprint, so the list of them is short
-    dealt = nodes.select("fp").mapInArrow(deal, "cell long, fp binary").join(F.broadcast(hot), "cell", "left")
+    dealt = nodes.select("fp").mapInArrow(released(deal), "cell long, fp binary").join(F.broadcast(hot), "cell", "left")
     n = F.ceil(F.coalesce("count", F.lit(1)) / CELL).cast("int")
     mine = F.pmod(F.xxhash64("fp"), n).cast("int")
     square = F.when(n == 1, F.array("cell")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.xxhash64("cell", F.least(o, mine), F.greatest(o, mine))))
     groups = dealt.select(F.explode(square).alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell")
-    return groups.mapInArrow(link, "a long, b long").distinct()
+    return groups.mapInArrow(released(link), "a long, b long").distinct()
 
 
 def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -443,9 +443,9 @@ def _similar_in_groups(texts: DataFrame) -> DataFrame:
         if len(nodes) > 1:
             yield found()
 
-    sets = texts.select("groups", "node", "text").mapInArrow(sets_of, "groups array<long>, node long, shingles binary")
+    sets = texts.select("groups", "node", "text").mapInArrow(released(sets_of), "groups array<long>, node long, shingles binary")
     groups = sets.select(F.explode("groups").alias("g"), "node", "shingles").repartition("g").sortWithinPartitions("g", "node")
-    return groups.mapInArrow(link, "a long, b long").distinct()
+    return groups.mapInArrow(released(link), "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

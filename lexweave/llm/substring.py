@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SLICE_BYTES, as_bytes, checkpointed, mix, rolling_hashes, slices, word_hashes, word_spans
+from .shared import SLICE_BYTES, as_bytes, checkpointed, mix, released, rolling_hashes, slices, word_hashes, word_spans
 
 BLOCK = 25
 SPAN = 2 * BLOCK
@@ -123,7 +123,7 @@ def _gathered(rows: DataFrame, parts: int) -> DataFrame:
         if held:
             yield values()
 
-    return rows.select("part", "ids", "counts", "keys").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(work, "id long, found binary")
+    return rows.select("part", "ids", "counts", "keys").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(released(work), "id long, found binary")
 
 
 def _answered(rows: DataFrame, parts: int, index_of, answer, most: int = 4 << 20) -> DataFrame:
@@ -160,7 +160,7 @@ def _answered(rows: DataFrame, parts: int, index_of, answer, most: int = 4 << 20
         yield from answers()
 
     sorted_rows = rows.repartition(parts, "part").sortWithinPartitions("part", "kind")
-    return _gathered(sorted_rows.mapInArrow(work, SHAPE), parts)
+    return _gathered(sorted_rows.mapInArrow(released(work), SHAPE), parts)
 
 
 def _keys(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +209,7 @@ def index_blocks(rows: DataFrame) -> DataFrame:
                 n = np.diff(_edges(np.sort(hashes)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(least, pa.int64()), pa.array(most, pa.int64()), pa.array(n, pa.int64())], ["h", "least", "most", "n"])
 
-    found = rows.mapInArrow(blocks, "h long, least long, most long, n long")
+    found = rows.mapInArrow(released(blocks), "h long, least long, most long, n long")
     return found.groupBy("h").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n"))
 
 
@@ -269,8 +269,8 @@ def find_hits(rows: DataFrame, index: DataFrame, hot: HotBlocks, parts: int) ->
         other = values & np.uint64(LATER | EARLIER) > 0
         return ids[other], values[other]
 
-    known = index.where(F.col("n") <= hot.limit).select("h", "least", "most").mapInArrow(indexed, SHAPE)
-    return _answered(known.unionByName(rows.mapInArrow(probe, SHAPE)), parts, index_of, answer)
+    known = index.where(F.col("n") <= hot.limit).select("h", "least", "most").mapInArrow(released(indexed), SHAPE)
+    return _answered(known.unionByName(rows.mapInArrow(released(probe), SHAPE)), parts, index_of, answer)
 
 
 def _id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
@@ -299,7 +299,7 @@ def _parted(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
                     mask &= (words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
                 yield batch.select(["id", "text"]).filter(pa.array(mask == wanted))
 
-        return keyed.mapInArrow(keep, "id long, text string")
+        return keyed.mapInArrow(released(keep), "id long, text string")
 
     return side(True), side(False)
 
@@ -378,7 +378,7 @@ def find_repeats(rows: DataFrame, hits: DataFrame, spread: int, parts: int) -> D
         return ids[later], sums[later].astype(np.uint64) << np.uint64(32) | places[later]
 
     held = _parted(rows, hits.select("id"))[0].join(hits, "id").select("id", "text", "found")
-    return _answered(held.mapInArrow(pack, SHAPE), parts, index_of, answer)
+    return _answered(held.mapInArrow(released(pack), SHAPE), parts, index_of, answer)
 
 
 RESULT = "id long, n_words long, n_removed long, kept string"
@@ -431,4 +431,4 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     joined = maybe.join(repeats, "id", "left").select("id", "text", "found")
     joined = joined.unionByName(clear.withColumn("found", F.lit(None).cast("binary")))
     kind = docs.schema[id_column].dataType.simpleString()
-    return joined.mapInArrow(_kept, RESULT).select(F.col("id").cast(kind).alias(id_column), "n_words", "n_removed", "kept")
+    return joined.mapInArrow(released(_kept), RESULT).select(F.col("id").cast(kind).alias(id_column), "n_words", "n_removed", "kept")
