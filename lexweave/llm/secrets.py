@@ -4,8 +4,8 @@ A token's encoding is inferred from its characters. Its symbols are drawn at ran
 let that stand: a chi-squared test of their uniformity over the alphabet, a runs test of how often
 the class of character changes, and a test of serial correlation. That alone would call every token
 random that is too short to tell, so a token is a secret only if it is also shown not to be
-ordinary. Ordinary tokens are made of words and numbers: their symbols repeat as those of all texts
-do, and the class of character changes once in four characters or less often (once in eight, if
+ordinary. Ordinary tokens are made of words and numbers: their symbols repeat as those of
+prose do, and the class of character changes once in four characters or less often (once in eight, if
 they have one case and no marks). The probability that
 an ordinary token of its length repeats so few symbols and that of so many changes are combined by
 Fisher's method. Among all tokens of like length the Benjamini-Hochberg procedure then decides which
@@ -32,6 +32,9 @@ MIN_ASSIGNED, MIN_ACCESS = 8, 16
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 DIGITS, LOWER, UPPER, MARKS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/-_="
 VOWELS = "aeiouAEIOU"
+#: How often each letter, a to z, stands in a thousand of English prose, and each digit or mark beside them.
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+OTHERS = 2
 #: (pattern of a whole token, its alphabet), the narrowest first; the last fits every token.
 ENCODINGS = [
     (r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", DIGITS + "abcdef"),
@@ -190,7 +193,7 @@ def encoding_of(token: Column) -> Column:
 
 @dataclass(frozen=True)
 class Limits:
-    """same, thrice: for each encoding the probability that two, and three, symbols of all texts are equal; steps: for each class of length the step from which tokens aren't ordinary."""
+    """same, thrice: for each encoding the probability that two, and three, symbols of an ordinary token are equal; steps: for each class of length the step from which tokens aren't ordinary."""
 
     same: tuple[float, ...]
     thrice: tuple[float, ...]
@@ -246,13 +249,9 @@ def blanked(text: Column) -> Column:
     return text
 
 
-def symbol_limits(docs: DataFrame, text_column: str = "text") -> Limits:
-    """How often two and three symbols of an ordinary token are equal, by encoding: names and numbers repeat less than prose, so each is drawn from all symbols of all texts, as they are counted, or as often from the alphabet. Cases count as one, and each symbol once more than it occurs."""
-    letters = LOWER + DIGITS + MARKS
-    low = F.lower(F.coalesce(docs[text_column], F.lit("")))
-    counted = let(low, lambda t: F.array(*[(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(c), F.lit("")))).cast("long") for c in letters]))
-    sums = docs.select(counted.alias("c")).agg(*[F.sum(F.get("c", F.lit(k))) for k in range(len(letters))]).first()
-    held = {c: 1 + (n or 0) for c, n in zip(letters, sums, strict=True)}
+def ordinary_limits() -> Limits:
+    """How often two and three symbols of an ordinary token are equal, by encoding: names and numbers repeat less than prose, so each symbol is drawn as prose has it, or as often from the whole alphabet. Cases count as one."""
+    held = dict(zip(LOWER, LETTERS, strict=True)) | dict.fromkeys(DIGITS + MARKS, OTHERS)
     same, thrice = [], []
     for _, alphabet in ENCODINGS:
         counts = [held[c] for c in sorted(set(alphabet.lower()))]
@@ -273,8 +272,8 @@ def discoveries(counts: dict[int, int], share: float = FALSE_DISCOVERY) -> int:
 
 
 def fit_limits(docs: DataFrame, text_column: str = "text", share: float = FALSE_DISCOVERY) -> Limits:
-    """What is needed to judge tokens of docs: symbols are counted over all texts, and discoveries are decided over all tokens."""
-    limits = symbol_limits(docs, text_column)
+    """What is needed to judge tokens of docs: discoveries are decided over all tokens of all texts."""
+    limits = ordinary_limits()
     tokens = docs.select(F.explode(F.regexp_extract_all(blanked(docs[text_column]), F.lit(TOKEN), F.lit(0))).alias("token"))
     counts = tokens.select(test_token(F.col("token"), limits).alias("t")).groupBy("t.length_class", "t.step").count()
     held: dict[int, dict[int, int]] = {}
