@@ -4,11 +4,10 @@ A token's encoding is inferred from its characters. Its symbols are drawn at ran
 let that stand: a chi-squared test of their uniformity over the alphabet, a runs test of how often
 the class of character changes, and a test of serial correlation. That alone would call every token
 random that is too short to tell, so a token is a secret only if it is also shown not to be
-ordinary. Ordinary tokens are made of words and numbers: their symbols repeat as those of
-prose do, and the class of character changes once in four characters or less often (once in eight, if
-they have one case and no marks). The probability that
-an ordinary token of its length repeats so few symbols and that of so many changes are combined by
-Fisher's method. Among all tokens of like length the Benjamini-Hochberg procedure then decides which
+ordinary. Ordinary tokens are made of words and numbers: their symbols repeat nearly as those of
+prose do, and the class of character changes once in four characters or less often (once in eight,
+if they have one case and no marks). The probability that an ordinary token of its length repeats
+so few symbols and that of so many changes are combined by Fisher's method. Among all tokens of like length the Benjamini-Hochberg procedure then decides which
 aren't ordinary, so that of what is reported a bounded share is. All of it is made of built-in
 expressions.
 """
@@ -35,6 +34,8 @@ VOWELS = "aeiouAEIOU"
 #: How often each letter, a to z, stands in a thousand of English prose, and each digit or mark beside them.
 LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
 OTHERS = 2
+#: Share of an ordinary token's symbols that are as those of prose.
+PROSE = 0.75
 #: (pattern of a whole token, its alphabet), the narrowest first; the last fits every token.
 ENCODINGS = [
     (r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", DIGITS + "abcdef"),
@@ -250,12 +251,12 @@ def blanked(text: Column) -> Column:
 
 
 def ordinary_limits() -> Limits:
-    """How often two and three symbols of an ordinary token are equal, by encoding: names and numbers repeat less than prose, so each symbol is drawn as prose has it, or as often from the whole alphabet. Cases count as one."""
+    """How often two and three symbols of an ordinary token are equal, by encoding: names and numbers repeat less than prose, so a share PROSE of symbols is drawn as prose has them, the others from the whole alphabet. Cases count as one."""
     held = dict(zip(LOWER, LETTERS, strict=True)) | dict.fromkeys(DIGITS + MARKS, OTHERS)
     same, thrice = [], []
     for _, alphabet in ENCODINGS:
         counts = [held[c] for c in sorted(set(alphabet.lower()))]
-        share = [(c / sum(counts) + 1 / len(counts)) / 2 for c in counts]
+        share = [PROSE * c / sum(counts) + (1 - PROSE) / len(counts) for c in counts]
         same.append(sum(p**2 for p in share))
         thrice.append(sum(p**3 for p in share))
     return Limits(tuple(same), tuple(thrice))
