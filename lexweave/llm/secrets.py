@@ -5,10 +5,11 @@ let that stand: a chi-squared test of their uniformity over the alphabet, a runs
 the class of character changes, and a test of serial correlation. That alone would call every token
 random that is too short to tell, so a token is a secret only if it is also shown not to be
 ordinary. Ordinary tokens are made of words and numbers: their symbols repeat nearly as those of
-prose do, and the class of character changes once in four characters or less often (once in eight,
-if they have one case and no marks). The probability that an ordinary token of its length repeats
-so few symbols and that of so many changes are combined by Fisher's method. Among all tokens of like length the Benjamini-Hochberg procedure then decides which
-aren't ordinary, so that of what is reported a bounded share is. All of it is made of built-in
+all texts do, which are counted, and the class of character changes once in four characters or
+less often (once in eight, if they have one case and no marks). The probability that an ordinary
+token of its length repeats so few symbols and that of so many changes are combined by Fisher's
+method. Among all tokens of like length the Benjamini-Hochberg procedure then decides which aren't
+ordinary, so that of what is reported a bounded share is. All of it is made of built-in
 expressions.
 """
 
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import array_literal, let
+from .shared import array_literal, let, words_column
 
 #: The base patterns, and the length a match needs.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,11 +32,6 @@ MIN_ASSIGNED, MIN_ACCESS = 8, 16
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 DIGITS, LOWER, UPPER, MARKS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/-_="
 VOWELS = "aeiouAEIOU"
-#: How often each letter, a to z, stands in a thousand of English prose, and each digit or mark beside them.
-LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
-OTHERS = 2
-#: Share of an ordinary token's symbols that are as those of prose.
-PROSE = 0.75
 #: (pattern of a whole token, its alphabet), the narrowest first; the last fits every token.
 ENCODINGS = [
     (r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", DIGITS + "abcdef"),
@@ -250,13 +246,17 @@ def blanked(text: Column) -> Column:
     return text
 
 
-def ordinary_limits() -> Limits:
-    """How often two and three symbols of an ordinary token are equal, by encoding: names and numbers repeat less than prose, so a share PROSE of symbols is drawn as prose has them, the others from the whole alphabet. Cases count as one."""
-    held = dict(zip(LOWER, LETTERS, strict=True)) | dict.fromkeys(DIGITS + MARKS, OTHERS)
+def symbol_limits(docs: DataFrame, text_column: str = "text") -> Limits:
+    """How often two and three symbols of an ordinary token are equal, by encoding: names and numbers repeat less than prose, so each is drawn from all symbols of all texts, as they are counted, or as often from the alphabet. Cases count as one, and each symbol once more than it occurs."""
+    letters = LOWER + DIGITS + MARKS
+    # words are counted first, so that the symbols of each are counted once
+    words = docs.select(F.explode(words_column(F.lower(docs[text_column]))).alias("w")).groupBy("w").count()
+    sums = words.agg(*[F.sum(F.col("count") * (F.octet_length("w") - F.octet_length(F.replace("w", F.lit(c), F.lit(""))))) for c in letters]).first()
+    held = {c: 1 + (n or 0) for c, n in zip(letters, sums, strict=True)}
     same, thrice = [], []
     for _, alphabet in ENCODINGS:
         counts = [held[c] for c in sorted(set(alphabet.lower()))]
-        share = [PROSE * c / sum(counts) + (1 - PROSE) / len(counts) for c in counts]
+        share = [(c / sum(counts) + 1 / len(counts)) / 2 for c in counts]
         same.append(sum(p**2 for p in share))
         thrice.append(sum(p**3 for p in share))
     return Limits(tuple(same), tuple(thrice))
@@ -273,8 +273,8 @@ def discoveries(counts: dict[int, int], share: float = FALSE_DISCOVERY) -> int:
 
 
 def fit_limits(docs: DataFrame, text_column: str = "text", share: float = FALSE_DISCOVERY) -> Limits:
-    """What is needed to judge tokens of docs: discoveries are decided over all tokens of all texts."""
-    limits = ordinary_limits()
+    """What is needed to judge tokens of docs: symbols are counted over all texts, and discoveries are decided over all tokens."""
+    limits = symbol_limits(docs, text_column)
     tokens = docs.select(F.explode(F.regexp_extract_all(blanked(docs[text_column]), F.lit(TOKEN), F.lit(0))).alias("token"))
     counts = tokens.select(test_token(F.col("token"), limits).alias("t")).groupBy("t.length_class", "t.step").count()
     held: dict[int, dict[int, int]] = {}

@@ -544,7 +544,8 @@ def brute_battery(token):
 
 def test_randomness_battery(spark):
     rng = random.Random(9)
-    limits = secrets.ordinary_limits()
+    docs = spark.createDataFrame([(sentence(3000),)], "text string")
+    limits = secrets.symbol_limits(docs)
     assert len(limits.same) == len(secrets.ENCODINGS) and all(1 / len(set(a.lower())) <= s < 1 for s, (_, a) in zip(limits.same, secrets.ENCODINGS, strict=True))
     dull = ["0a" * 30, "0123456789abcdef" * 4, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "=" * 30, "-" * 25, "onlyletters" * 3, "A" * 20 + "==", "x=" * 15]
     tokens = keys_of(10, rng, (20, 25, 32, 40, 64, 200)) + identifiers(150, rng) + dull
@@ -563,6 +564,18 @@ def test_randomness_battery(spark):
     assert steps[20] < steps[40] < steps[64] <= steps[200]
 
 
+def test_symbols_of_all_texts_are_counted(spark):
+    texts = ["aab B\tAé9\x0b--", None, "", "  ", "b" * 5000 + "\nzz=" + " b" * 700, "\u00a0q\u2003q"]
+    counts = Counter("".join(t or "" for t in texts).lower())
+    limits = secrets.symbol_limits(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    for k, (_, alphabet) in enumerate(secrets.ENCODINGS):
+        held = [1 + counts[c] for c in sorted(set(alphabet.lower()))]
+        share = [(c / sum(held) + 1 / len(held)) / 2 for c in held]
+        assert abs(limits.same[k] - sum(p**2 for p in share)) < 1e-12 and abs(limits.thrice[k] - sum(p**3 for p in share)) < 1e-12
+    none = secrets.symbol_limits(spark.createDataFrame([], "text string"))
+    assert all(abs(s - 1 / len(set(a.lower()))) < 1e-12 for s, (_, a) in zip(none.same, secrets.ENCODINGS, strict=True))
+
+
 def test_binomial_tails():
     tails = secrets.binomial_tails(0.25, 20)
     for n in (0, 1, 7, 20):
