@@ -14,7 +14,9 @@ from .secrets import fit_limits, spans_text, with_secrets
 from .shared import read
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
+from .spelling import runs_of_letters, spelling_variants
 from .substring import remove_repeats
+from .templates import main_texts
 from .urls import LISTED_PARTS, hosts_with_parts, judge_urls
 
 #: Rules of the url query.
@@ -83,7 +85,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_bidirectional_gru": op2_bidirectional_gru, "op9_attention_passages": op9_attention_passages, "op5_decontaminate": op5_decontaminate, "op7_block_anchors": op7_block_anchors, "op1_simhash": op1_simhash, "op3_url_cascade": op3_url_cascade, "op4_ngram_ratio_rules": op4_ngram_ratio_rules, "op8_randomness_battery": op8_randomness_battery, "op6_histogram_shards": op6_histogram_shards, "op10_bpe": op10_bpe}
+def op11_template_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = main_texts(read(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def misspelt_runs(docs: DataFrame) -> DataFrame:
+    """(word): the runs of at least six letters in documents, of which one in 199, by the hash of its document and itself, has lost a character."""
+    runs = runs_of_letters(docs, 6, "text", "doc_id")
+    runs = runs.select("word", F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary")).alias("h"))
+    at = F.pmod("h", F.length("word")).cast("int")
+    return runs.select(F.when(F.col("h") % 199 == 0, F.concat(F.left("word", at), F.substring("word", at + 2, F.length("word")))).otherwise(F.col("word")).alias("word"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = misspelt_runs(read(spark, sf_dir, "documents")).groupBy("word").agg(F.count("*").alias("n"))
+    return spelling_variants(counts.where((F.length("word") >= 6) & (F.col("n") >= 5)))
+
+
+QUERIES = {"op2_bidirectional_gru": op2_bidirectional_gru, "op9_attention_passages": op9_attention_passages, "op5_decontaminate": op5_decontaminate, "op7_block_anchors": op7_block_anchors, "op1_simhash": op1_simhash, "op3_url_cascade": op3_url_cascade, "op4_ngram_ratio_rules": op4_ngram_ratio_rules, "op8_randomness_battery": op8_randomness_battery, "op6_histogram_shards": op6_histogram_shards, "op10_bpe": op10_bpe, "op11_template_classes": op11_template_classes, "op12_spelling_variants": op12_spelling_variants}
 _PART = "|".join(LISTED_PARTS)
 _BLOCKED = f"regexp_matches(host, '(^|\\.)([^.]*-)?({_PART})-[^.]*(\\.|$)|(^|\\.)[^.]*-({_PART})(-[^.]*)?(\\.|$)')"
 _RULES = " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND path LIKE '{p}%' THEN '{h}{p}'" for _, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2])))
