@@ -2,26 +2,35 @@
 
 Single words and pairs of neighbours are hashed into a fixed number of buckets. Two multinomials
 over the buckets are counted: one over trusted target texts, one over the whole raw corpus. A
-text's score is the sum of its n-grams' log ratios, in thousandths and as whole numbers, divided
-by their number; it is kept if the score reaches a fixed threshold. All of it is made of built-in
-expressions; the table of ratios has one entry for each bucket, whatever the corpus.
+bucket's ratio is that of what the target holds to what it would hold if it were like the raw
+corpus, both raised by a constant, so that it leaves one only as far as the counts bear out,
+however few the trusted texts. Texts are dealt into folds by their hash, and each is judged by the
+counts of the other folds, so no text is held against itself or its copies. A text's score is the
+sum of its n-grams' log ratios, in thousandths and as whole numbers, divided by their number; it is
+kept if the score reaches a threshold: a low quantile of the trusted texts' scores, which their own
+counts have no part in. All of it is made of built-in expressions; the table of ratios has one
+entry for each bucket and fold, whatever the corpus.
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import array_literal, free_name, let, words_column
+from .shared import array_literal, checkpointed, free_name, let, words_column
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
-#: Added to each bucket's count.
-SMOOTHING = 1.0
-#: Mean log ratio, in thousandths, from which a text is kept: just below the lowest scores of trusted texts (README).
-THRESHOLD = -120
+#: Added to what a bucket of the target holds, and to what it would hold.
+PRIOR = 5.0
+#: Parts of the corpus, by the hash of the text; each is judged by the counts of the others.
+FOLDS = 5
+#: Share of the trusted texts that the threshold may turn away, and the words that a text needs to count for it.
+MOST_LOST, LEAST_WORDS = 0.002, 10
+#: Trusted ids that are sent to all tasks; more are joined by a merge.
+MOST_SENT = 2_000_000
 SYMBOLS = r"[#*$%&|<>]+"
 
 
@@ -36,27 +45,74 @@ def _word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _bucket_counts(docs: DataFrame, text_column: str) -> DataFrame:
-    hashes = docs.select(_word_hashes(words_column(docs[text_column])).alias("h"))
-    return hashes.select(F.explode(_pairs_and_words(F.col("h"))).alias("bucket")).groupBy("bucket").count()
+@dataclass(frozen=True)
+class Ratios:
+    """table: the log ratio of fold f's bucket b, in thousandths, at f * BUCKETS + b; threshold: the score, in thousandths, from which a text is kept (None: all are)."""
 
+    table: tuple[int, ...]
+    threshold: int | None = None
 
-def fit_ratios(target: DataFrame, raw: DataFrame, text_column: str = "text") -> list[int]:
-    """The log ratio of target to raw of each bucket, in thousandths. Counts of all texts are summed by Spark; BUCKETS rows at most come to the driver. Empty inputs give ratios of zero or of the other side's."""
-    counts = _bucket_counts(target, text_column).select("bucket", F.col("count").alias("t"), F.lit(0).cast("long").alias("r"))
-    counts = counts.unionByName(_bucket_counts(raw, text_column).select("bucket", F.lit(0).cast("long").alias("t"), F.col("count").alias("r")))
-    held = {r["bucket"]: (r["t"], r["r"]) for r in counts.groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("r").alias("r")).collect()}
-    n_target, n_raw = (sum(x[k] for x in held.values()) + SMOOTHING * BUCKETS for k in (0, 1))
-    pairs = (held.get(b, (0, 0)) for b in range(BUCKETS))
-    return [round(1000 * (math.log((t + SMOOTHING) / n_target) - math.log((r + SMOOTHING) / n_raw))) for t, r in pairs]
 
+def fold_of(text: Column) -> Column:
+    """The fold of a text, by its hash; copies are in one."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(FOLDS)).cast("int")
 
-def trusted_target(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The documents whose quality label is 1 and that are not toxic, all of them."""
-    key = free_name("_target", *docs.columns)
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias(key))
-    # always by a merge join: labels grow with the corpus
-    return docs.join(good.hint("merge"), docs[id_column] == F.col(key), "left_semi")
+
+def fit_table(docs: DataFrame, trusted: str, text_column: str = "text") -> tuple[int, ...]:
+    """The log ratios of target (rows whose column trusted is true) to raw (all rows). Counts of all texts are summed by Spark; BUCKETS rows at most come to the driver. Without a target all ratios are zero."""
+    hashes = docs.select(fold_of(docs[text_column]).alias("fold"), F.coalesce(docs[trusted], F.lit(False)).cast("int").alias("t"), _word_hashes(words_column(docs[text_column])).alias("h"))
+    grams = hashes.select("fold", "t", F.explode(_pairs_and_words(F.col("h"))).alias("bucket"))
+    counts = grams.groupBy("bucket", "fold").agg(F.sum("t").alias("t"), F.count("*").alias("r"))
+    own = [F.coalesce(F.sum(F.when(F.col("fold") == k, F.col(x))), F.lit(0)).alias(f"{x}{k}") for k in range(FOLDS) for x in "tr"]
+    counts = checkpointed(counts.groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("r").alias("r"), *own))
+    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns if c != "bucket"]).first()
+
+    def ratio(k: int) -> Column:
+        share = (sums["t"] - sums[f"t{k}"]) / max(1, sums["r"] - sums[f"r{k}"])
+        return F.round(1000 * F.log((F.col("t") - F.col(f"t{k}") + PRIOR) / (share * (F.col("r") - F.col(f"r{k}")) + PRIOR))).cast("int")
+
+    table = [0] * (FOLDS * BUCKETS)
+    for bucket, *ratios in counts.select("bucket", *[ratio(k) for k in range(FOLDS)]).collect():
+        for k, x in enumerate(ratios):
+            table[k * BUCKETS + bucket] = x
+    return tuple(table)
+
+
+def _score(words: Column, fold: Column, table: Column) -> Column:
+    """The mean log ratio of a text's n-grams; 0 without any."""
+    grams = let(_word_hashes(words), _pairs_and_words)
+    total = F.aggregate(grams, F.lit(0).cast("long"), lambda a, b: a + F.get(table, fold * BUCKETS + b))
+    n = F.size(words)
+    return F.when(n > 0, total / F.greatest(2 * n - 1, F.lit(1)) / 1000.0).otherwise(F.lit(0.0))
+
+
+def low_quantile(counts: dict[int, int], share: float = MOST_LOST) -> int | None:
+    """The largest value that at most that share of the values lie below, given how often each occurs; None without any."""
+    below, total = 0, sum(counts.values())
+    for value in sorted(counts):
+        if below + counts[value] > share * total:
+            return value
+        below += counts[value]
+    return None
+
+
+def fit_ratios(docs: DataFrame, trusted: str, text_column: str = "text", most_lost: float = MOST_LOST) -> Ratios:
+    """Ratios of docs, whose boolean column trusted marks the target, and the threshold that turns away at most a share of most_lost of it (of the texts of LEAST_WORDS words or more). No trusted text, no threshold."""
+    table = fit_table(docs, trusted, text_column)
+    scored = docs.where(docs[trusted]).select(fold_of(docs[text_column]).alias("fold"), words_column(docs[text_column]).alias("w")).where(F.size("w") >= LEAST_WORDS)
+    scores = scored.select(F.floor(1000 * _score(F.col("w"), F.col("fold"), array_literal(list(table), "int"))).alias("s"))
+    # whole numbers between the smallest and the largest log ratio
+    counts = {r["s"]: r["count"] for r in scores.groupBy("s").count().collect()}
+    return Ratios(table, low_quantile(counts, most_lost))
+
+
+def with_trusted(docs: DataFrame, labels: DataFrame, flag: str, id_column: str = "doc_id") -> DataFrame:
+    """docs with the boolean column flag: whether the document's quality label is 1 and it isn't toxic. Null ids and those without a label aren't trusted."""
+    key = free_name("_target", *docs.columns, flag)
+    good = checkpointed(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias(key)).distinct())
+    # labels grow with the corpus: their number says how they are joined
+    good = good.hint("broadcast" if good.count() <= MOST_SENT else "merge")
+    return docs.join(good, docs[id_column] == F.col(key), "left").withColumn(flag, F.col(key).isNotNull()).drop(key)
 
 
 def window_hashes(words: Column, size: int = 5) -> Column:
@@ -78,36 +134,35 @@ def repeated_words(windows: Column, size: int = 5) -> Column:
     return F.when(F.size(F.array_distinct(windows)) < F.size(windows), let(ordered, count)).otherwise(F.lit(0)).cast("long")
 
 
-def with_quality(docs: DataFrame, ratios: list[int], text_column: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """docs with one more column _quality: struct<n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: long, base_failed, kept: boolean, score: double>.
+def with_quality(docs: DataFrame, ratios: Ratios, text_column: str = "text", into: str = "_quality") -> DataFrame:
+    """docs with one more column into: struct<n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: long, base_failed, kept: boolean, score: double>.
 
     A null or blank text has no words, fails the base rules and is not kept. score is the mean log
     ratio; a text without words has 0. Every row is judged by itself: repeated rows get equal
-    results, and further columns pass through (one named _quality is an error). A very long text
-    is one row's work, some dozen arrays of its words. No rows give no rows.
+    results, ties with the threshold stay, and further columns pass through (a column that is named
+    into is an error: take a free name). A very long text is one row's work, some dozen arrays of
+    its words. No rows give no rows.
     """
-    if "_quality" in {c.lower() for c in docs.columns}:
-        raise ValueError("the column _quality is taken")
+    if into.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the column {into} is taken")
     text = F.coalesce(docs[text_column], F.lit(""))
-    table = array_literal(ratios, "int")
+    table = array_literal(list(ratios.table), "int")
 
     def judge(words: Column) -> Column:
-        n = F.size(words)
-        grams = let(_word_hashes(words), _pairs_and_words)
-        total = F.aggregate(grams, F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
         lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
         return F.struct(
-            n.cast("long").alias("n_words"),
+            F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             let(window_hashes(words), lambda h: repeated_words(h)).alias("n_repeat_words"),
-            F.when(n > 0, total / F.greatest(2 * n - 1, F.lit(1)) / 1000.0).otherwise(F.lit(0.0)).alias("score"),
+            let(fold_of(text), lambda fold: _score(words, fold, table)).alias("score"),
         )
 
     def decide(q: Column) -> Column:
         failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
-        return q.withField("base_failed", failed).withField("kept", ~failed & (q["score"] * 1000 >= threshold))
+        enough = F.lit(True) if ratios.threshold is None else q["score"] * 1000 >= ratios.threshold
+        return q.withField("base_failed", failed).withField("kept", ~failed & enough)
 
     # one expression, each part bound once: were its parts columns, a filter on the result would have them made anew for every word
-    return docs.withColumn("_quality", let(let(words_column(docs[text_column]), judge), decide))
+    return docs.withColumn(into, let(let(words_column(docs[text_column]), judge), decide))

@@ -9,7 +9,7 @@ from .bpe import bpe_encode_decode
 from .decontaminate import find_benchmark_passages
 from .language import fit_language, predict_language
 from .passages import fit_quality, score_quality
-from .quality_rules import fit_ratios, trusted_target, with_quality
+from .quality_rules import fit_ratios, with_quality, with_trusted
 from .secrets import fit_limits, spans_text, with_secrets
 from .shared import read
 from .sharding import shard_by_bytes
@@ -45,7 +45,7 @@ def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ratios = fit_ratios(trusted_target(docs, read(spark, sf_dir, "labels")), docs)
+    ratios = fit_ratios(with_trusted(docs, read(spark, sf_dir, "labels"), "trusted"), "trusted")
     return with_quality(docs, ratios).select("doc_id", "_quality.*")
 
 

@@ -288,23 +288,24 @@ def is_random(token: Column, limits: Limits) -> Column:
     return let(test_token(token, limits), found)
 
 
-def with_secrets(docs: DataFrame, limits: Limits, text_column: str = "text") -> DataFrame:
-    """docs with one more column _secrets: array<struct<start, kind, end, value>>, by start, then kind.
+def with_secrets(docs: DataFrame, limits: Limits, text_column: str = "text", into: str = "_secrets") -> DataFrame:
+    """docs with one more column into: array<struct<start, kind, end, value>>, by start, then kind.
 
     Kinds are numbered as in KINDS. Base spans are those of the fixed patterns, of one kind never
     overlapping; spans of the kind random are looked for in what base spans leave and touch none
     of them. A null text counts as empty. Every row is judged by itself; repeated rows get equal
-    results, and further columns pass through (one named _secrets is an error). A very long text
-    is searched whole, in time that grows with its length. No rows give no rows.
+    results, and further columns pass through (one that is named into is an error: take a free
+    name). A very long text is searched whole, in time that grows with its length. No rows give no
+    rows.
     """
-    if "_secrets" in {c.lower() for c in docs.columns}:
-        raise ValueError("the column _secrets is taken")
+    if into.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the column {into} is taken")
     text = F.coalesce(docs[text_column], F.lit(""))
     base = F.array_sort(F.concat(*[match_spans(text, p, k, accept) for k, (p, accept) in enumerate(BASE.values())]))
     random = let(blanked(text), lambda t: match_spans(t, TOKEN, KINDS.index("random"), lambda v: is_random(v, limits)))
     apart = lambda b, r: F.filter(r, lambda x: ~F.exists(b, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
     both = lambda b, r: F.when(F.size(r) == 0, b).otherwise(F.array_sort(F.concat(b, apart(b, r))))
-    return docs.withColumn("_secrets", let(base, lambda b: let(random, lambda r: both(b, r))))
+    return docs.withColumn(into, let(base, lambda b: let(random, lambda r: both(b, r))))
 
 
 def spans_text(spans: Column) -> Column:

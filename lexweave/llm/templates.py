@@ -56,7 +56,8 @@ OWN_HEADER = re.compile(r"article|post|entry|story|content|title")
 
 _TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
-_DIGITS = re.compile(r"\d+")
+#: A page's own number in a class or id, which doesn't tell elements of a template apart.
+_NUMBER = re.compile(r"\d{3,}")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -94,9 +95,10 @@ def _key_and_role(name: str, attributes: str) -> tuple[str, bool, bool]:
     for k, a, b, c, flag in _ATTRIBUTE.findall(attributes):
         held.setdefault((k or flag).lower(), html.unescape(a or b or c))
     names = f"{held.get('class', '')} {held.get('id', '')}"
-    key = name + "".join("." + _DIGITS.sub("#", x) for x in sorted(held.get("class", "").split()))
-    if held.get("id"):
-        key += "@" + _DIGITS.sub("#", held["id"])
+    key = name
+    if name not in ("html", "body"):
+        key += "".join("." + _NUMBER.sub("#", x) for x in sorted(held.get("class", "").split()))
+        key += "@" + _NUMBER.sub("#", held["id"]) if held.get("id") else ""
     if held.get("role", "").lower() == "main" and name not in ("main", "article"):
         key += "[main]"
     words = _CAMEL.sub("-", names).lower()

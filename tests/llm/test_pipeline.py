@@ -9,7 +9,8 @@ def test_stages_chain(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = cp.quality_rules(spark, docs, sf_dir)
     assert kept.columns == docs.columns
-    judged = quality_rules.with_quality(docs, quality_rules.fit_ratios(quality_rules.trusted_target(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), docs))
+    flagged = quality_rules.with_trusted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "trusted")
+    judged = quality_rules.with_quality(docs, quality_rules.fit_ratios(flagged, "trusted"))
     assert {r[0] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in judged.collect() if r["_quality"]["kept"]}
     deduped = cp.near_dedup(spark, kept, sf_dir)
     texts = [r["text"] for r in deduped.collect()]
@@ -46,7 +47,7 @@ def test_odd_rows(spark, sf_dir):
     item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
     long = " ".join(f"word{k % 9973}x{k % 7}" for k in range(200_000))
     rows = [(None, "a clean text of a few words"), (None, " ".join(f"before{k}" for k in range(40)) + " " + item + " and after"), (7, "seven " + item), (7, "seven without it"), (8, long), (9, None)]
-    docs = spark.createDataFrame([(i, t, "k", "h", "i", 1) for i, t in rows], "doc_id long, text string, _key string, _h string, _id string, _target int")
+    docs = spark.createDataFrame([(i, t, "k", "h", "i", 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, _key string, _h string, _id string, _target int, _quality int, _secrets int, _trusted int")
     clean = cp.decontaminate(spark, docs, sf_dir)
     assert clean.columns == docs.columns
     assert sorted(map(repr, [tuple(r)[:2] for r in clean.collect()])) == sorted(map(repr, [rows[0], rows[3], rows[4], rows[5]]))
