@@ -2,8 +2,8 @@
 
 What holds for every stage: a null text counts as empty and a null id as any other; a text is
 worked on whole, whatever its length; repeated rows are judged alike (stage 2 keeps one of them);
-columns beyond those of documents pass through the first four stages, whatever their names, but
-_quality may not be one; no rows give no rows.
+columns beyond those of documents pass through the first four stages, whatever their names; no rows
+give no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.bpe import bpe_encode_decode
 from lexweave.llm.decontaminate import find_benchmark_passages
-from lexweave.llm.quality_rules import fit_ratios, trusted_target, with_quality
+from lexweave.llm.quality_rules import fit_ratios, with_quality, with_trusted
 from lexweave.llm.secrets import fit_limits, redact
 from lexweave.llm.shared import delete, ensure_checkpoint_dir, free_name, read
 from lexweave.llm.simhash import drop_near_duplicates
@@ -23,8 +23,9 @@ from lexweave.llm.simhash import drop_near_duplicates
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the n-gram ratio reject go: among them those without words. Ties with the threshold stay."""
-    ratios = fit_ratios(trusted_target(docs, read(spark, sf_dir, "labels")), docs)
-    return with_quality(docs, ratios).where("_quality.kept").drop("_quality")
+    trusted, quality = free_name("_trusted", *docs.columns), free_name("_quality", *docs.columns)
+    ratios = fit_ratios(with_trusted(docs, read(spark, sf_dir, "labels"), trusted), trusted)
+    return with_quality(docs, ratios, into=quality).where(F.col(quality)["kept"]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
