@@ -173,7 +173,8 @@ tree:
 """
 
 
-def _laws_sql(system: laws.System) -> dict[str, str]:
+def laws_sql(system: laws.System) -> dict[str, str]:
+    """What the column form becomes at each leaf, in SQL."""
     out = {}
     for leaf, path in system.leaves().items():
         x = "form"
@@ -184,7 +185,7 @@ def _laws_sql(system: laws.System) -> dict[str, str]:
     return out
 
 
-_LEAVES = _laws_sql(laws.System.loads(SYSTEM))
+_LEAVES = laws_sql(laws.System.loads(SYSTEM))
 _APPLIED = " UNION ALL ".join(f"SELECT skey, form, '{leaf}' AS leaf, {x} AS hypothesis FROM protos" for leaf, x in _LEAVES.items())
 _DETAIL = SETS_SQL + f", made AS ({_APPLIED}), detail AS (SELECT m.skey, m.leaf, m.form AS proto, m.hypothesis, d.form, m.hypothesis = d.form AS correct FROM made m JOIN lasts d ON m.skey = d.skey AND m.leaf = d.lang) "
 
