@@ -73,11 +73,11 @@ def run(spark: SparkSession, tables: str, out: str, config: dict | None = None)
     sets = last_forms(cognate_sets(spark, tables))
     detail = laws.evaluate(sets.where("lang = 'proto'").select("skey", "form"), sets.where("lang <> 'proto'"), system)
     results, confusions, summary = (folder_of(out, t, system.name) for t in ("results", "confusions", "summary"))
-    with_difference(detail).repartition("leaf", F.pmod(F.xxhash64("skey"), F.lit(8))).write.mode("overwrite").partitionBy("leaf").parquet(results)
+    with_difference(detail).hint("rebalance", "leaf").write.mode("overwrite").partitionBy("leaf").parquet(results)
     # the rest is made of what has been written, so that the words are read once
     held = spark.read.schema(RESULTS).parquet(results)
     wrong = held.where("not correct").groupBy("leaf", "expected", "found").agg(F.count("*").alias("n"))
-    wrong.repartition("leaf").write.mode("overwrite").partitionBy("leaf").parquet(confusions)
+    wrong.hint("rebalance", "leaf").write.mode("overwrite").partitionBy("leaf").parquet(confusions)
     penalty = system.penalty(config["laws_coeff"], config["refs_coeff"])
     summary_of(held, penalty).coalesce(1).write.mode("overwrite").json(summary)
     rows = spark.read.schema(SUMMARY).json(summary).collect()  # a row for each leaf

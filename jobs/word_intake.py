@@ -6,7 +6,8 @@ Texts are Parquet files (doc_id, text, lang). A file stream with a checkpoint ha
 that no earlier run has taken. The words of each step are counted and written to out/counts, in
 the partitions of the step and its languages; a step that is repeated after a failure writes the
 same partitions again. Then the languages that have steps which their part of out/lexicon does not
-know yet get that part anew, from their counts; all others stay as they are.
+know yet get these added; all others stay as they are. Counts are never deleted, so that a part of
+the lexicon can always be made again.
 
     out/counts/step=N/lang=L    form, n, n_capital, first_doc
     out/lexicon/lang=L          form, ipaform, n, n_capital, first_doc, last_step
@@ -54,6 +55,11 @@ def as_pattern(path: str) -> str:
     return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
 
 
+def write(rows: DataFrame, path: str, *by: str) -> None:
+    """Replaces the partitions of path that rows has; others stay. A large partition is several files, small ones are one task's."""
+    rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def take_in(spark: SparkSession, texts: str, out: str, checkpoint: str, config: dict) -> dict[str, int]:
     """Counts the words of all files that are new, step by step, and waits for the end."""
     taken = {"steps": 0, "texts": 0}
@@ -61,8 +67,8 @@ def take_in(spark: SparkSession, texts: str, out: str, checkpoint: str, config:
     def step(batch: DataFrame, number: int) -> None:
         n = batch.count()  # from the files' own counts of rows
         counts = word_counts(batch, config["least_letters"], config["unknown_language"]).withColumn("step", F.lit(number).cast("long"))
-        # a step that is done again replaces its own partitions and no others; a language is one file or few
-        counts.repartition("lang", F.pmod(F.xxhash64("form"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step", "lang").parquet(f"{out}/counts")
+        # a step that is done again replaces its own partitions and no others
+        write(counts, f"{out}/counts", "step", "lang")
         taken["steps"] += 1
         taken["texts"] += n
         log.info("step %d: read %d texts of %s", number, n, texts)
@@ -74,17 +80,27 @@ def take_in(spark: SparkSession, texts: str, out: str, checkpoint: str, config:
 
 
 def renew_lexicon(spark: SparkSession, out: str) -> list[str]:
-    """Writes the lexicon of the languages that have steps which it doesn't know yet; their names. What is known is read from the lexicon itself, so a run that failed before this is made good by the next."""
-    counts = read_or_none(spark, f"{out}/counts", COUNTS)
-    known = read_or_none(spark, f"{out}/lexicon", LEXICON).groupBy("lang").agg(F.max("last_step").alias("known"))
+    """Writes the lexicon of the languages that have steps which it doesn't know yet; their names.
+
+    A language's part is made of what it is and of the counts of later steps; words that are new get
+    their transcription. Which steps are known is read from the part itself: what a failed run has
+    left undone the next one does, and a part that has been lost is made anew from all steps.
+    """
+    counts, known = read_or_none(spark, f"{out}/counts", COUNTS), read_or_none(spark, f"{out}/lexicon", LEXICON)
+    marks = known.groupBy("lang").agg(F.max("last_step").alias("known"))
     steps = counts.groupBy("lang").agg(F.max("step").alias("last_step"))
-    behind = steps.join(known, "lang", "left").where("known is null or known < last_step").select("lang", "last_step")
-    languages = sorted(r["lang"] for r in behind.collect())  # as many as there are languages
-    if languages:
-        words = counts.where(F.col("lang").isin(languages)).groupBy("lang", "form").agg(F.sum("n").alias("n"), F.sum("n_capital").alias("n_capital"), F.min("first_doc").alias("first_doc"))
-        words = words.join(F.broadcast(steps.where(F.col("lang").isin(languages))), "lang")
-        words = words.select("form", normalized(F.col("form")).alias("ipaform"), "n", "n_capital", "first_doc", "last_step", "lang")
-        words.repartition("lang", F.pmod(F.xxhash64("form"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lang").parquet(f"{out}/lexicon")
+    behind = steps.join(marks, "lang", "left").where("known is null or known < last_step").collect()  # a row for each language
+    if not behind:
+        return []
+    languages = sorted(r["lang"] for r in behind)
+    later = spark.createDataFrame([(r["lang"], -1 if r["known"] is None else r["known"], r["last_step"]) for r in behind], "lang string, known long, until long")
+    mine = F.col("lang").isin(languages)  # reaches the scans as a choice of partitions
+    new = counts.where(mine).join(F.broadcast(later), "lang").where("step > known").select("lang", "form", F.lit(None).cast("string").alias("ipaform"), "n", "n_capital", "first_doc")
+    both = known.where(mine).select(*new.columns).unionByName(new)
+    words = both.groupBy("lang", "form").agg(F.max("ipaform").alias("ipaform"), F.sum("n").alias("n"), F.sum("n_capital").alias("n_capital"), F.min("first_doc").alias("first_doc"))
+    words = words.join(F.broadcast(later.select("lang", F.col("until").alias("last_step"))), "lang")
+    made = words.where("ipaform is null").withColumn("ipaform", normalized(F.col("form")))
+    write(words.where("ipaform is not null").unionByName(made), f"{out}/lexicon", "lang")
     return languages
 
 

@@ -1,6 +1,7 @@
 import json
 import logging
 import os
+import shutil
 
 import pytest
 import yaml
@@ -45,6 +46,11 @@ def test_intake_takes_only_what_is_new(spark, sf_dir, places, caplog):
     kept = {f: t for f, t in before.items() if "/counts/" in f or "lang=fr" in f}
     assert kept.items() <= after.items()
     assert held(word_intake.lexicon(spark, places["out"]).select("lang", "form", "n", "n_capital", "first_doc")) == held(word_intake.word_counts(first.unionByName(second)))
+    shutil.rmtree(f"{places['out']}/lexicon/lang=de")
+    assert word_intake.run(spark, **places)["languages"] == ["de"]
+    assert held(word_intake.lexicon(spark, places["out"]).select("lang", "form", "n", "n_capital", "first_doc")) == held(word_intake.word_counts(first.unionByName(second)))
+    assert word_intake.lexicon(spark, places["out"]).where("ipaform is null").count() == 0
+    after = files_of(places["out"])
     # nothing new: nothing is read or written
     done = word_intake.run(spark, **places)
     assert (done["texts"], done["steps"], done["languages"]) == (0, 0, []) and files_of(places["out"]) == after
