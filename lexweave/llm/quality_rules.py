@@ -6,7 +6,7 @@ bucket's ratio is that of what the target holds to what it would hold if it were
 corpus, both raised by a constant, so that it leaves one only as far as the counts bear out,
 however few the trusted texts. Texts are dealt into folds by their hash, and each is judged by the
 counts of the other folds, so no text is held against itself or its copies. A text's score is the
-sum of its n-grams' log ratios, in thousandths and as whole numbers, divided by their number; it is
+sum of its n-grams' log ratios, in hundredths and as whole numbers, divided by their number; it is
 kept if the score reaches a threshold: a low quantile of the trusted texts' scores, which their own
 counts have no part in. All of it is made of built-in expressions; the table of ratios has one
 entry for each bucket and fold, whatever the corpus.
@@ -14,19 +14,19 @@ entry for each bucket and fold, whatever the corpus.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import array_literal, checkpointed, free_name, let, words_column
+from .shared import checkpointed, free_name, let, words_column
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
 #: Added to what a bucket of the target holds, and to what it would hold.
 PRIOR = 5.0
 #: Parts of the corpus, by the hash of the text; each is judged by the counts of the others.
-FOLDS = 5
+FOLDS = 3
 #: Share of the trusted texts that the threshold may turn away, and the words that a text needs to count for it.
 MOST_LOST, LEAST_WORDS = 0.002, 10
 #: Trusted ids that are sent to all tasks; more are joined by a merge.
@@ -47,19 +47,24 @@ def _word_hashes(words: Column) -> Column:
 
 @dataclass(frozen=True)
 class Ratios:
-    """table: the log ratio of fold f's bucket b, in thousandths, at f * BUCKETS + b; threshold: the score, in thousandths, from which a text is kept (None: all are)."""
+    """table: for each bucket the log ratios of all folds, in hundredths, with commas between; threshold: the score, in thousandths, from which a text is kept (None: all are)."""
 
-    table: tuple[int, ...]
+    table: str
     threshold: int | None = None
 
+    @property
+    def column(self) -> Column:
+        """The table as a constant array, which the optimizer makes of one string."""
+        return F.split(F.lit(self.table), ",").cast("array<int>")
+
 
 def fold_of(text: Column) -> Column:
     """The fold of a text, by its hash; copies are in one."""
     return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(FOLDS)).cast("int")
 
 
-def fit_table(docs: DataFrame, trusted: str, text_column: str = "text") -> tuple[int, ...]:
-    """The log ratios of target (rows whose column trusted is true) to raw (all rows). Counts of all texts are summed by Spark; BUCKETS rows at most come to the driver. Without a target all ratios are zero."""
+def fit_table(docs: DataFrame, trusted: str, text_column: str = "text") -> str:
+    """The log ratios of target (rows whose column trusted is true) to raw (all rows). Spark sums the counts of all texts and puts the table together: BUCKETS rows, and one text for the driver. Without a target all ratios are zero."""
     hashes = docs.select(fold_of(docs[text_column]).alias("fold"), F.coalesce(docs[trusted], F.lit(False)).cast("int").alias("t"), _word_hashes(words_column(docs[text_column])).alias("h"))
     grams = hashes.select("fold", "t", F.explode(_pairs_and_words(F.col("h"))).alias("bucket"))
     counts = grams.groupBy("bucket", "fold").agg(F.sum("t").alias("t"), F.count("*").alias("r"))
@@ -69,21 +74,20 @@ def fit_table(docs: DataFrame, trusted: str, text_column: str = "text") -> tuple
 
     def ratio(k: int) -> Column:
         share = (sums["t"] - sums[f"t{k}"]) / max(1, sums["r"] - sums[f"r{k}"])
-        return F.round(1000 * F.log((F.col("t") - F.col(f"t{k}") + PRIOR) / (share * (F.col("r") - F.col(f"r{k}")) + PRIOR))).cast("int")
+        return F.round(100 * F.log((F.col("t") - F.col(f"t{k}") + PRIOR) / (share * (F.col("r") - F.col(f"r{k}")) + PRIOR))).cast("int")
 
-    table = [0] * (FOLDS * BUCKETS)
-    for bucket, *ratios in counts.select("bucket", *[ratio(k) for k in range(FOLDS)]).collect():
-        for k, x in enumerate(ratios):
-            table[k * BUCKETS + bucket] = x
-    return tuple(table)
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    ratios = every.select(F.struct("bucket", F.array(*[F.coalesce(ratio(k), F.lit(0)) for k in range(FOLDS)]).alias("x")).alias("r"))
+    table = ratios.agg(F.array_sort(F.collect_list("r")).alias("all"))
+    return table.select(F.array_join(F.flatten(F.transform("all", lambda r: r["x"])), ",")).first()[0]
 
 
 def _score(words: Column, fold: Column, table: Column) -> Column:
     """The mean log ratio of a text's n-grams; 0 without any."""
     grams = let(_word_hashes(words), _pairs_and_words)
-    total = F.aggregate(grams, F.lit(0).cast("long"), lambda a, b: a + F.get(table, fold * BUCKETS + b))
+    total = F.aggregate(grams, F.lit(0).cast("long"), lambda a, b: a + F.get(table, b * FOLDS + fold))
     n = F.size(words)
-    return F.when(n > 0, total / F.greatest(2 * n - 1, F.lit(1)) / 1000.0).otherwise(F.lit(0.0))
+    return F.when(n > 0, total / F.greatest(2 * n - 1, F.lit(1)) / 100.0).otherwise(F.lit(0.0))
 
 
 def low_quantile(counts: dict[int, int], share: float = MOST_LOST) -> int | None:
@@ -98,12 +102,14 @@ def low_quantile(counts: dict[int, int], share: float = MOST_LOST) -> int | None
 
 def fit_ratios(docs: DataFrame, trusted: str, text_column: str = "text", most_lost: float = MOST_LOST) -> Ratios:
     """Ratios of docs, whose boolean column trusted marks the target, and the threshold that turns away at most a share of most_lost of it (of the texts of LEAST_WORDS words or more). No trusted text, no threshold."""
-    table = fit_table(docs, trusted, text_column)
-    scored = docs.where(docs[trusted]).select(fold_of(docs[text_column]).alias("fold"), words_column(docs[text_column]).alias("w")).where(F.size("w") >= LEAST_WORDS)
-    scores = scored.select(F.floor(1000 * _score(F.col("w"), F.col("fold"), array_literal(list(table), "int"))).alias("s"))
+    ratios = Ratios(fit_table(docs, trusted, text_column))
+    text = docs[text_column]
+    # bound, as the hash of a whole text would else be made for each of its n-grams
+    thousandths = let(words_column(text), lambda w: F.when(F.size(w) >= LEAST_WORDS, let(fold_of(text), lambda fold: F.floor(1000 * _score(w, fold, ratios.column)))))
+    scores = docs.where(docs[trusted]).select(thousandths.alias("s")).where("s is not null")
     # whole numbers between the smallest and the largest log ratio
     counts = {r["s"]: r["count"] for r in scores.groupBy("s").count().collect()}
-    return Ratios(table, low_quantile(counts, most_lost))
+    return replace(ratios, threshold=low_quantile(counts, most_lost))
 
 
 def with_trusted(docs: DataFrame, labels: DataFrame, flag: str, id_column: str = "doc_id") -> DataFrame:
@@ -146,7 +152,7 @@ def with_quality(docs: DataFrame, ratios: Ratios, text_column: str = "text", int
     if into.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"the column {into} is taken")
     text = F.coalesce(docs[text_column], F.lit(""))
-    table = array_literal(list(ratios.table), "int")
+    table = ratios.column
 
     def judge(words: Column) -> Column:
         lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))

@@ -250,8 +250,8 @@ def test_quality_rules(spark, docs, empty):
     for i, t in held(docs):
         k, g = fold(t), grams(t)
         share = sum(target[k].values()) / max(1, sum(raw[k].values()))
-        total = sum(round(1000 * np.log((target[k][x] + quality_rules.PRIOR) / (share * raw[k][x] + quality_rules.PRIOR))) for x in g)
-        scores[i] = total / max(len(g), 1) / 1000
+        total = sum(round(100 * np.log((target[k][x] + quality_rules.PRIOR) / (share * raw[k][x] + quality_rules.PRIOR))) for x in g)
+        scores[i] = total / max(len(g), 1) / 100
     for i, t in held(docs):
         if i is None:
             continue
@@ -261,11 +261,11 @@ def test_quality_rules(spark, docs, empty):
         covered = {j for k in range(len(w) - 4) if windows[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
         q = got[i]
         assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered))
-        assert abs(scores[i] - q["score"]) < 2e-3
+        assert abs(scores[i] - q["score"]) < 1e-2
         assert q["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
         assert q["kept"] == (not q["base_failed"] and q["score"] * 1000 >= ratios.threshold)
     # of three trusted scores (one of its rows is there twice) half may be turned away
-    assert abs(ratios.threshold - 1000 * sorted([scores[7], scores[7], scores[8], scores[15]])[2]) < 3
+    assert abs(ratios.threshold - 1000 * sorted([scores[7], scores[7], scores[8], scores[15]])[2]) < 10
     nothing = quality_rules.fit_ratios(empty.withColumn("trusted", F.lit(True)), "trusted")
     assert nothing.threshold is None and quality_rules.with_quality(empty, nothing).count() == 0
     clash = docs.withColumn("_quality", F.lit(1))
@@ -276,7 +276,7 @@ def test_quality_rules(spark, docs, empty):
 
 def test_no_trusted_text_keeps_what_passes_the_rules(spark, docs):
     ratios = quality_rules.fit_ratios(docs.withColumn("trusted", F.lit(None).cast("boolean")), "trusted")
-    assert ratios.threshold is None and set(ratios.table) == {0}
+    assert ratios.threshold is None and set(ratios.table.split(",")) == {"0"}
     assert quality_rules.with_quality(docs, ratios).where("_quality.kept = _quality.base_failed").count() == 0
 
 
