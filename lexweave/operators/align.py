@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import itertools
+import functools
 import re
-from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.phonology import GAP, distance, features
-from ..functions.text import SEGMENT
+from ..functions.text import SEGMENT, segments
+from ..sources.kept import kept
 
 _SEGMENT = regex.compile(SEGMENT)
 Cost = Callable[[str, str], float]
@@ -59,84 +59,94 @@ def align_pair(a: list[str], b: list[str], cost: Cost = distance, gap: float = G
     return out[::-1]
 
 
-def center_of(sequences: list[list[str]], cost: Cost = distance) -> int:
-    """The sequence nearest to all others, position by position; each position of difference in length costs a gap. The first of equals.
+def same(*columns: str) -> Column:
+    """a and b agree in these columns; nulls are equal."""
+    return functools.reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns])
+
+
+def centers(rows: DataFrame, cost: Cost = distance) -> DataFrame:
+    """(skey, lang, form): of each set (skey, lang, form) the form nearest to all others, position by position; each position of difference in length costs GAP. Of equals the first by language, then form; a form that is there twice counts twice.
 
     What a segment costs against all others at its position follows from how often each segment
-    stands there, so the work grows with the sequences, not with their pairs.
+    stands there, and these numbers are sums over rows: a set is never in one place, and the work
+    grows with the forms and the kinds of segments, not with pairs of forms.
     """
-    if not sequences:
-        return 0
-    sizes = Counter(map(len, sequences))
-    held = [Counter(s[p] for s in sequences if p < len(s)) for p in range(max(sizes))]
-    apart = [{a: sum(n * cost(a, b) for b, n in there.items()) for a in there} for there in held]
-    gaps = {n: GAP * sum(k * abs(n - m) for m, k in sizes.items()) for n in sizes}
-    total = [sum(apart[p][x] for p, x in enumerate(s)) + gaps[len(s)] for s in sequences]
-    return total.index(min(total))
-
-
-def align_star(sequences: list[list[str]], center: int, cost: Cost = distance, gap: float = GAP) -> list[list[str]]:
-    """All sequences in rows of one length, aligned to the one at center: before each of its segments there is room for the longest insertion; insertions start at its left."""
-    if len(sequences) == 1:
-        return [list(sequences[0])]
-    middle = sequences[center]
-    blocks = []
-    for k, sequence in enumerate(sequences):
-        inserted: list[list[str]] = [[] for _ in range(len(middle) + 1)]
-        own: list[str] = []
-        for x, y in [(s, s) for s in middle] if k == center else align_pair(middle, sequence, cost, gap):
-            if x:
-                own.append(y)
-            else:
-                inserted[len(own)].append(y)
-        blocks.append((inserted, own))
-    room = [max(len(inserted[p]) for inserted, _ in blocks) for p in range(len(middle) + 1)]
-    rows = []
-    for inserted, own in blocks:
-        parts = [[*extra, *[""] * (n - len(extra)), *own[p : p + 1]] for p, (extra, n) in enumerate(zip(inserted, room, strict=True))]
-        rows.append(list(itertools.chain.from_iterable(parts)))
-    return rows
-
-
-def align_set(members: list[tuple[str, str]], proto: tuple[str, str] | None, cost: Cost = distance, gap: float = GAP) -> list[dict[str, str]]:
-    """Columns (language to segment) of a set of (language, morpheme); the ancestor, if there is one, comes first and is the center. Of two members of one language the last is kept."""
-    named = ([proto] if proto else []) + members
-    if not named:
-        return []
-    sequences = [segments_of(form) for _, form in named]
-    rows = align_star(sequences, 0 if proto else center_of(sequences, cost), cost, gap)
-    return [{lang: row[c] for (lang, _), row in zip(named, rows, strict=True)} for c in range(len(rows[0]))]
-
-
-def members_of(rows: DataFrame) -> DataFrame:
-    """(skey, members: array<struct<lang, form>>): each set as one row, small as a set is, its members by language, then form."""
-    return rows.groupBy("skey").agg(F.array_sort(F.collect_list(F.struct("lang", "form"))).alias("members"))
+
+    @F.pandas_udf("double")
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(list(map(functools.cache(cost), a, b)), dtype=float)
+
+    forms = rows.groupBy("skey", "lang", "form").agg(F.count("*").alias("w")).withColumn("segs", segments(F.coalesce("form", F.lit(""))))
+    forms = kept(forms)
+    cells = forms.select("skey", "lang", "form", "w", F.posexplode("segs").alias("p", "seg"))
+    often = kept(cells.groupBy("skey", "p", "seg").agg(F.sum("w").alias("n")))
+    pairs = often.alias("a").join(often.alias("b"), same("skey", "p")).select("a.skey", "a.p", "a.seg", F.col("b.seg").alias("other"), "b.n")
+    each = pairs.withColumn("cost", apart("seg", "other") * F.col("n")).groupBy("skey", "p", "seg").agg(F.sum("cost").alias("cost"))
+    own = cells.alias("a").join(each.alias("b"), same("skey", "p", "seg")).groupBy("a.skey", "a.lang", "a.form").agg(F.sum("b.cost").alias("cost"))
+    sizes = forms.groupBy("skey", F.size("segs").alias("size")).agg(F.sum("w").alias("n"))
+    gaps = sizes.alias("a").join(sizes.alias("b"), same("skey")).groupBy("a.skey", "a.size").agg(F.sum(GAP * F.abs(F.col("a.size") - F.col("b.size")) * F.col("b.n")).alias("gaps"))
+    sized = forms.select("skey", "lang", "form", F.size("segs").alias("size"))
+    total = sized.alias("a").join(gaps.alias("b"), same("skey", "size")).select("a.*", "gaps")
+    total = total.alias("a").join(own.alias("b"), same("skey", "lang", "form"), "left").select("a.*", F.round(F.col("gaps") + F.coalesce("b.cost", F.lit(0.0)), 6).alias("total"))
+    return total.groupBy("skey").agg(F.min(F.struct("total", "lang", "form")).alias("x")).select("skey", "x.lang", "x.form")
+
+
+PLACED = "struct<own: array<string>, added: array<array<string>>>"
+
+
+def placed(center: list[str], sequence: list[str], cost: Cost, gap: float) -> tuple[list[str], list[list[str]]]:
+    """A sequence aligned to a center: what it has for each of the center's segments ('' for none), and what it has before each of them and behind the last."""
+    own: list[str] = []
+    added: list[list[str]] = [[] for _ in range(len(center) + 1)]
+    for x, y in align_pair(center, sequence, cost, gap):
+        if x:
+            own.append(y)
+        else:
+            added[len(own)].append(y)
+    return own, added
 
 
 def align_sets(rows: DataFrame, proto: str = "proto", cost: Cost = distance, gap: float = GAP) -> DataFrame:
-    """(skey, col, lang, seg) of all sets (skey, lang, form). Members go by language, then form, so of several forms of a language the last is kept, and of several ancestor forms too."""
-
-    @F.pandas_udf("array<struct<col: int, lang: string, seg: string>>")
-    def aligned(members: pd.Series) -> pd.Series:
+    """(skey, col, lang, seg) of all sets (skey, lang, form): each language's segments in columns, '' for a gap.
+
+    The center of a set is its ancestor form (that of the language proto; the last of several), or
+    the most central form (see centers). In the first step each form is aligned to its center, in its
+    own row. In the second the room before each of the center's segments, that of the longest
+    insertion there, is a maximum over the set's rows. In the third each row is spread over the
+    columns that result, insertions at the left of their room. So a set of any size is dealt over
+    many tasks. All forms of a language make room, and the last of them is shown. A null form counts
+    as empty; null keys are one set, null languages one language; repeated rows count once.
+    """
+    rows = kept(rows.select("skey", "lang", F.coalesce("form", F.lit("")).alias("form")))
+    ancestor = F.col("lang").eqNullSafe(F.lit(proto))
+    protos = rows.where(ancestor).groupBy("skey").agg(F.max("form").alias("form"))
+    members = rows.where(~ancestor)
+    without = members.alias("a").join(protos.alias("b"), same("skey"), "left_anti")
+    middles = protos.unionByName(centers(without, cost).select("skey", "form"))
+    named = members.distinct().unionByName(protos.withColumn("lang", F.lit(proto)))
+    both = named.alias("a").join(middles.alias("b"), same("skey")).select("a.*", segments(F.col("b.form")).alias("center"), segments(F.col("a.form")).alias("segs"))
+
+    @F.pandas_udf(PLACED)
+    def place(center: pd.Series, segs: pd.Series) -> pd.DataFrame:
+        # sets often share center and form
+        held: dict[tuple, tuple] = {}
         out = []
-        for held in members:
-            named = [(m["lang"], m["form"]) for m in held]
-            ancestor = [m for m in named if m[0] == proto]
-            columns = align_set([m for m in named if m[0] != proto], ancestor[-1] if ancestor else None, cost, gap)
-            out.append([{"col": c, "lang": lang, "seg": seg} for c, column in enumerate(columns) for lang, seg in column.items()])
-        return pd.Series(out)
-
-    return members_of(rows).select("skey", F.explode(aligned("members")).alias("x")).select("skey", "x.*")
-
-
-def centers(rows: DataFrame, cost: Cost = distance) -> DataFrame:
-    """(skey, lang, form): the most central form of each set."""
-
-    @F.pandas_udf("int")
-    def center(members: pd.Series) -> pd.Series:
-        return pd.Series([center_of([segments_of(m["form"]) for m in held], cost) for held in members], dtype="int32")
-
-    return members_of(rows).select("skey", F.get("members", center("members")).alias("x")).select("skey", "x.*")
+        for key in zip(map(tuple, center), map(tuple, segs), strict=True):
+            if key not in held:
+                held[key] = placed(list(key[0]), list(key[1]), cost, gap)
+            out.append(held[key])
+        return pd.DataFrame(out, columns=["own", "added"])
+
+    done = kept(both.select("skey", "lang", "form", place("center", "segs").alias("x")).select("skey", "lang", "form", "x.*"))
+    longest = done.select("skey", F.posexplode(F.transform("added", F.size)).alias("p", "n")).where("n > 0").groupBy("skey", "p").agg(F.max("n").alias("n"))
+    # one entry for each place of the center at most
+    room = longest.groupBy("skey").agg(F.map_from_entries(F.collect_list(F.struct("p", "n"))).alias("room"))
+    shown = done.groupBy("skey", "lang").agg(F.max(F.struct("form", "own", "added")).alias("x")).select("skey", "lang", "x.*")
+    wide = shown.alias("a").join(room.alias("b"), same("skey"), "left").select("a.*", "room")
+    # a place's room, and then the center's own segment there, but behind the last
+    space = lambda x, p: F.concat(x, F.array_repeat(F.lit(""), F.coalesce(F.try_element_at("room", p), F.lit(0)) - F.size(x)))
+    cells = F.flatten(F.transform("added", lambda x, p: F.concat(space(x, p), F.slice("own", p + 1, 1))))
+    return wide.select("skey", "lang", F.posexplode(cells).alias("col", "seg")).select("skey", "col", "lang", "seg")
 
 
 def batch_costs(a: list[list[str]], b: list[list[str]], cost: Cost, gap: float) -> np.ndarray:

@@ -6,15 +6,14 @@ As arrays in a fixed order of languages, the ancestor first, no data is null.
 
 from __future__ import annotations
 
-import heapq
-import itertools
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.kept import kept
+
 #: Sorts behind every segment.
 NO_DATA = "￿"
 
@@ -59,45 +58,129 @@ def exact_groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pattern").agg(F.count("*").alias("n"), F.min(F.struct("skey", "col")).alias("first"))
 
 
-def _first_turns(pattern: list[tuple], count: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(-blanks of i, blanks of j, -count of j, i, j) of compatible groups of which j is better, a row of pairs at a time."""
-    if not pattern:
-        return
-    names = {x: k for k, x in enumerate({x for p in pattern for x in p if x is not None})}
-    codes = np.array([[-1 if x is None else names[x] for x in p] for p in pattern], np.int64)
-    blanks, n = np.array([sum(not x for x in p) for p in pattern]), np.array(count)
-    for i in range(len(pattern)):
-        j = np.flatnonzero((blanks < blanks[i]) | ((blanks == blanks[i]) & (n > n[i])))
-        j = j[~((codes[j] != codes[i]) & (codes[j] >= 0) & (codes[i] >= 0)).any(1)]
-        yield from zip(itertools.repeat(-int(blanks[i])), blanks[j].tolist(), (-n[j]).tolist(), itertools.repeat(i), j.tolist())
+#: Between the segments of a pattern in a key: no segment has it.
+BETWEEN = "\x1f"
+
+
+def mask(pattern: Column) -> Column:
+    """Which languages have data, a character for each."""
+    return F.array_join(F.transform(pattern, lambda x: F.when(x.isNull(), "0").otherwise("1")), "")
+
+
+def _seen_by(pattern: Column, other: Column) -> Column:
+    """The segments of a pattern where another mask has data too, as a text: compatible patterns of two masks are those for which these are equal."""
+    return F.array_join(F.transform(pattern, lambda x, i: F.when(x.isNull() | (F.substring(other, i + 1, F.lit(1)) == "0"), F.lit(NO_DATA)).otherwise(x)), BETWEEN)
 
 
-def merge_group(groups: list[tuple[tuple, int]]) -> list[tuple[int, list[int], tuple]]:
-    """(root, members, pattern) of exact groups (pattern, count) in order of their first appearance.
+def _under_masks(groups: DataFrame, own: str, other: str, within: str) -> DataFrame:
+    """groups (pattern) once for each other mask that occurs within the same value of within, with both masks and what of the pattern the other one sees."""
+    named = groups.withColumn(own, mask(F.col("pattern")))
+    masks = named.select(within, F.col(own).alias(other)).distinct()
+    both = named.join(masks, within).where(F.col(own) != F.col(other))
+    return both.withColumn("_seen", _seen_by(F.col("pattern"), F.col(other)))
+
+
+def compatible_pairs(groups: DataFrame, left: list[str], right: list[str], within: str = "proto_seg") -> DataFrame:
+    """(within, left as a_..., right as b_...) of all ordered pairs of compatible patterns (pattern; each once) with one value of within.
+
+    A partial-match index: each pattern is put under every mask of languages with data that occurs,
+    cut to what both masks have, and patterns meet under equal cuts. So what meets is what is
+    compatible, none more: the work is the patterns times the masks, plus the pairs that are there.
+    Two patterns with one mask are compatible only if they are equal, so they need not meet.
+    """
+    a = _under_masks(groups, "_a", "_b", within).select(within, "_a", "_b", "_seen", *[F.col(c).alias(f"a_{c}") for c in left])
+    b = _under_masks(groups, "_b", "_a", within).select(within, "_a", "_b", "_seen", *[F.col(c).alias(f"b_{c}") for c in right])
+    return a.join(b, [within, "_a", "_b", "_seen"]).drop("_a", "_b", "_seen")
+
+
+def compatible_counts(groups: DataFrame, name: str, within: str = "proto_seg") -> DataFrame:
+    """(within, name, n, first, last): of each pattern that has any how many compatible ones there are, and the first and last of their names; without making the pairs, as each cut is counted before it is met."""
+    a = _under_masks(groups, "_a", "_b", within).select(within, "_a", "_b", "_seen", name)
+    b = _under_masks(groups, "_b", "_a", within).groupBy(within, "_a", "_b", "_seen").agg(F.count("*").alias("n"), F.min(name).alias("first"), F.max(name).alias("last"))
+    met = a.join(b, [within, "_a", "_b", "_seen"])
+    return met.groupBy(within, name).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+class Merging:
+    """Exact groups of one sound, in order of their first appearance, and what they have been merged into so far."""
+
+    def __init__(self) -> None:
+        self.patterns: list[tuple] = []
+        self.counts: list[int] = []
+        self.home: list[int] = []
+
+    def add(self, pattern: tuple, count: int) -> None:
+        self.home.append(len(self.patterns))
+        self.patterns.append(pattern)
+        self.counts.append(count)
+
+    def root(self, k: int) -> int:
+        while self.home[k] != k:
+            self.home[k] = self.home[self.home[k]]
+            k = self.home[k]
+        return k
+
+    def turn(self, i: int, j: int) -> None:
+        """Merges what i is in into what j is in, if they still fit and the latter is still better."""
+        a, b = self.root(i), self.root(j)
+        if a == b:
+            return
+        p, q = self.patterns[a], self.patterns[b]
+        if any(x is not None and y is not None and x != y for x, y in zip(p, q, strict=True)):
+            return
+        if (sum(not x for x in q), -self.counts[b]) < (sum(not x for x in p), -self.counts[a]):
+            self.patterns[b] = tuple(y if y is not None else x for x, y in zip(p, q, strict=True))
+            self.counts[b] += self.counts[a]
+            self.home[a] = b
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a sound: first its groups (j is null), by place, then the turns in their order. Only the groups are held; turns pass by."""
+
+    def packed(sound: str, held: Merging) -> pa.RecordBatch:
+        roots = [held.root(k) for k in range(len(held.home))]
+        columns = [[sound] * len(roots), range(len(roots)), roots, [list(held.patterns[r]) for r in roots]]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], ["proto_seg", "place", "root", "merged"])
+
+    sound, held = None, None
+    for batch in batches:
+        for now, i, j, pattern, n in zip(*(batch.column(c).to_pylist() for c in ("proto_seg", "i", "j", "pattern", "n")), strict=True):
+            if held is None or now != sound:
+                if held is not None:
+                    yield packed(sound, held)
+                sound, held = now, Merging()
+            if j is None:
+                held.add(tuple(pattern), n)
+            else:
+                held.turn(i, j)
+    if held is not None:
+        yield packed(sound, held)
+
+
+def merged_groups(exact: DataFrame) -> DataFrame:
+    """exact (proto_seg, pattern, n, first), with root (its pattern) and merged of the set that each group ends in.
 
     The emptiest group first looks for a compatible one with fewer blanks, or as many and a larger
-    count: the fullest, of these the most frequent, of these the first. The order is that of the
-    groups as they were at the start; whether a pair still fits is looked at when its turn comes.
+    count: the fullest, of these the most frequent, of these the first. These turns, in the order of
+    the groups as they were at the start, come from the partial-match index, sorted by Spark; each
+    sound's are read one by one, with its groups in memory, and whether a pair still fits is looked
+    at when its turn comes. Merging depends on what has been merged before, so a sound is one task.
     """
-    pattern = [g[0] for g in groups]
-    count = [g[1] for g in groups]
-    home = list(range(len(groups)))
-    members = [[k] for k in home]
-    blanks = lambda p: sum(not x for x in p)
-    fits = lambda a, b: all(x is None or y is None or x == y for x, y in zip(a, b, strict=True))
-    better = lambda j, i: (blanks(pattern[j]), -count[j]) < (blanks(pattern[i]), -count[i])
-    turns = list(_first_turns(pattern, count))
-    heapq.heapify(turns)
-    while turns:
-        *_, i, j = heapq.heappop(turns)
-        a, b = home[i], home[j]
-        if a != b and fits(pattern[a], pattern[b]) and better(b, a):
-            pattern[b] = tuple(y if y is not None else x for x, y in zip(pattern[a], pattern[b], strict=True))
-            count[b] += count[a]
-            members[b] += members[a]
-            for m in members[a]:
-                home[m] = b
-    return [(k, members[k], pattern[k]) for k in range(len(groups)) if home[k] == k]
+    place = F.row_number().over(Window.partitionBy("proto_seg").orderBy("first")) - 1
+    groups = kept(exact.withColumns({"i": place.cast("long"), "blanks": (F.size("pattern") - filled(F.col("pattern"))).cast("long")}))
+    turns = compatible_pairs(groups.select("proto_seg", "pattern", "i", "blanks", "n"), ["i", "blanks"], ["i", "blanks", "n"])
+    counts = groups.select("proto_seg", F.col("i").alias("a_i"), F.col("n").alias("a_n"))
+    better = (F.col("b_blanks") < F.col("a_blanks")) | ((F.col("b_blanks") == F.col("a_blanks")) & (F.col("b_n") > F.col("a_n")))
+    turns = turns.join(counts, ["proto_seg", "a_i"]).where(better)
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = groups.select("proto_seg", none("long").alias("order"), none("long").alias("b_blanks"), none("long").alias("b_n"), "i", none("long").alias("j"), "pattern", "n")
+    rows = rows.unionByName(turns.select("proto_seg", (-F.col("a_blanks")).alias("order"), "b_blanks", (-F.col("b_n")).alias("b_n"), F.col("a_i").alias("i"), F.col("b_i").alias("j"), none("array<string>").alias("pattern"), none("long").alias("n")))
+    # nulls, and so the groups, come first
+    rows = rows.repartition("proto_seg").sortWithinPartitions("proto_seg", "order", "b_blanks", "b_n", "i", "j")
+    links = rows.select("proto_seg", "i", "j", "pattern", "n").mapInArrow(_merge, "proto_seg string, place long, root long, merged array<string>")
+    links = links.select("proto_seg", F.col("place").alias("i"), "root", "merged")
+    roots = groups.select("proto_seg", F.col("i").alias("root"), F.col("pattern").alias("root_pattern"))
+    return groups.join(links, ["proto_seg", "i"]).join(roots, ["proto_seg", "root"]).select("proto_seg", "pattern", "n", "first", F.col("root_pattern").alias("root"), "merged")
 
 
 def correspondence_sets(rows: DataFrame) -> DataFrame:
@@ -108,18 +191,10 @@ def correspondence_sets(rows: DataFrame) -> DataFrame:
     than two segments go, unless there is one exact group in all. The columns of a set go by lower
     case gloss, a missing one first. rows are used twice: keep them if they are dear.
     """
-    exact = exact_groups(rows).withColumn("proto_seg", F.get("pattern", F.lit(0)))
+    exact = kept(exact_groups(rows).withColumn("proto_seg", F.get("pattern", F.lit(0))))
     groups = exact.agg(F.count("*").alias("groups"))
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("first", key=lambda s: s.map(lambda x: (x["skey"], x["col"])))
-        held = [tuple(p) for p in group["pattern"]]
-        out = []
-        for root, members, pattern in merge_group(list(zip(held, group["n"].tolist(), strict=True))):
-            out += [(list(held[m]), list(held[root]), list(pattern)) for m in members]
-        return pd.DataFrame(out, columns=["pattern", "root", "merged"])
-
-    links = exact.groupBy("proto_seg").applyInPandas(work, "pattern array<string>, root array<string>, merged array<string>")
+    links = merged_groups(exact)
     gloss = F.lower(F.coalesce("gloss", F.lit(""))) if "gloss" in rows.columns else F.lit("")
     keyed = rows.withColumn("key", sort_key(F.col("pattern"))).join(links.select(sort_key(F.col("pattern")).alias("key"), "root", "merged"), "key")
     columns = F.array_sort(F.collect_list(F.struct(gloss.alias("gloss"), "skey", "col"))).alias("columns")

@@ -135,9 +135,7 @@ def pattern_compat_pairs(spark, sf_dir):
     groups = correspond.exact_groups(correspond.patterns(positional(spark, sf_dir), LANGUAGES)).withColumn("proto_seg", F.get("pattern", F.lit(0))).where("proto_seg is not null")
     tail = F.slice(F.transform("pattern", lambda x: F.coalesce(x, F.lit("?"))), 2, 4)
     groups = kept(groups.select("proto_seg", F.array_join(tail, "").alias("name"), "pattern"))
-    sides = [groups.select("proto_seg", F.col("name").alias(n), F.col("pattern").alias(f"{n}_pattern")) for n in ("a", "b")]
-    both = sides[0].join(sides[1], "proto_seg").where("a <> b").where(correspond.compatible(F.col("a_pattern"), F.col("b_pattern")))
-    return both.groupBy("proto_seg", "a").agg(F.count("*").alias("n"), F.min("b").alias("first_b"), F.max("b").alias("last_b"))
+    return correspond.compatible_counts(groups, "name").select("proto_seg", F.col("name").alias("a"), "n", F.col("first").alias("first_b"), F.col("last").alias("last_b"))
 
 
 def sets_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

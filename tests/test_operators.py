@@ -27,36 +27,113 @@ def test_alignment_cost_and_rows(a, b):
     assert sum(x != y for x, y in pairs) == levenshtein(a, b) == align.cost_table(list(a), list(b), align.unit_cost, 1.0)[-1][-1] == align.batch_costs([list(a)], [list(b)], align.unit_cost, 1.0)[0]
 
 
-@given(st.lists(st.text("abct", max_size=6), min_size=1, max_size=5))
-@settings(max_examples=100, deadline=None)
-def test_star_keeps_all_segments(forms):
-    rows = align.align_star([list(f) for f in forms], align.center_of([list(f) for f in forms]))
-    assert len({len(r) for r in rows}) == 1
-    assert ["".join(r) for r in rows] == forms
-
-
-def test_set_alignment():
-    columns = align.align_set([("b", "pata"), ("c", "ata"), ("c", "ta")], ("p", "pata"))
-    assert [c["p"] for c in columns] == list("pata")
-    assert [c["c"] for c in columns] == ["", "", "t", "a"]  # the last of two forms of one language
-    assert align.align_set([], None) == []
-    assert align.align_set([("a", "pa")], None) == [{"a": "p"}, {"a": "a"}]
-
-
-def test_merging_by_ancestor_sound_is_the_same_as_at_once():
+def aligned_rows(spark, rows, **given):
+    """{skey: {lang: segments}} of align_sets."""
+    out = {}
+    for r in align.align_sets(spark.createDataFrame(rows, "skey string, lang string, form string"), **given).collect():
+        out.setdefault(r["skey"], {}).setdefault(r["lang"], {})[r["col"]] = r["seg"]
+    return {k: {lang: [cells[c] for c in range(len(cells))] for lang, cells in held.items()} for k, held in out.items()}
+
+
+def star_by_hand(members, proto, cost=align.distance, gap=align.GAP):
+    """{lang: segments} of one set, all at once."""
+    named = sorted(set(members), key=lambda m: (m[0] is not None, m[0] or "", m[1]))
+    if proto:
+        named = [("proto", proto), *named]
+        middle = list(proto)
+    else:
+        every = sorted(members, key=lambda m: (m[0] is not None, m[0] or "", m[1]))
+        apart = lambda a, b: sum(map(cost, a, b)) + align.GAP * abs(len(a) - len(b))
+        middle = list(min(every, key=lambda m: round(sum(apart(m[1], o[1]) for o in every), 6))[1])
+    blocks = [align.placed(middle, list(f), cost, gap) for _, f in named]
+    room = [max(len(added[p]) for _, added in blocks) for p in range(len(middle) + 1)]
+    out = {}
+    for (lang, _), (own, added) in zip(named, blocks, strict=True):
+        out[lang] = [x for p in range(len(middle) + 1) for x in [*added[p], *[""] * (room[p] - len(added[p])), *own[p : p + 1]]]
+    return {lang: cells for lang, cells in out.items() if cells}
+
+
+def test_sets_in_rows_are_aligned_as_at_once(spark):
+    """Random sets with and without an ancestor, several forms of a language, repeated rows, empty and null forms, null keys and languages."""
+    rng = random.Random(8)
+    rows, expected = [], {}
+    for k in [*range(60), None]:
+        members = [(rng.choice(["de", "en", "fr", None]), "".join(rng.choice("aitkps") for _ in range(rng.randint(0, 6)))) for _ in range(rng.randint(1, 7))]
+        proto = "".join(rng.choice("aitk") for _ in range(rng.randint(1, 6))) if rng.random() < 0.6 else None
+        skey = None if k is None else f"s{k}"
+        rows += [(skey, lang, form or rng.choice(["", None])) for lang, form in members]
+        rows += [(skey, "proto", proto), (skey, "proto", ""), (skey, "proto", proto)] if proto else []
+        expected[skey] = star_by_hand(members, proto)
+    got = aligned_rows(spark, rows)
+    assert got == {k: v for k, v in expected.items() if v}
+    assert aligned_rows(spark, []) == {}
+
+
+def test_set_alignment(spark):
+    got = aligned_rows(spark, [("s", "proto", "pata"), ("s", "b", "pata"), ("s", "c", "ata"), ("s", "c", "ta"), ("t", "a", "pa")])
+    assert got["s"] == {"proto": list("pata"), "b": list("pata"), "c": ["", "", "t", "a"]}  # the last of two forms of one language
+    assert got["t"] == {"a": ["p", "a"]}
+
+
+def test_a_large_set_is_dealt_over_tasks(spark):
+    """A set of 100,000 forms: no task has more than its share of them, and all rows have one length."""
+    letters = F.array(*map(F.lit, "aitkpsmn"))
+    form = F.concat(*[F.get(letters, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(8)).cast("int")) for k in range(3)])
+    rows = spark.range(100_000).select(F.lit("s").alias("skey"), F.concat(F.lit("l"), F.col("id")).alias("lang"), form.alias("form"))
+    rows = rows.unionByName(spark.createDataFrame([("s", "proto", "tak")], "skey string, lang string, form string"))
+    out = align.align_sets(rows).withColumn("task", F.spark_partition_id())
+    seen = out.groupBy("lang").agg(F.count("*").alias("cells"), F.concat_ws("", F.array_sort(F.collect_list(F.struct("col", "seg")))["seg"]).alias("form"), F.first("task").alias("task"))
+    cells, tasks, n = seen.agg(F.countDistinct("cells"), F.countDistinct("task"), F.count("*")).first()
+    assert (cells, n) == (1, 100_001) and tasks > 1
+    assert seen.join(rows.select("lang", F.col("form").alias("given")), "lang").where("form <> given").count() == 0
+
+
+def merged_at_once(groups):
+    """The sets of exact groups [(pattern, count)] by all pairs."""
+    held = correspond.Merging()
+    for p, n in groups:
+        held.add(p, n)
+    blanks = lambda p: sum(not x for x in p)
+    fits = lambda p, q: all(x is None or y is None or x == y for x, y in zip(p, q, strict=True))
+    turns = sorted((-blanks(p), blanks(q), -m, i, j) for i, (p, n) in enumerate(groups) for j, (q, m) in enumerate(groups) if i != j and fits(p, q) and (blanks(q), -m) < (blanks(p), -n))
+    for *_, i, j in turns:
+        held.turn(i, j)
+    return {p: (groups[held.root(k)][0], held.patterns[held.root(k)]) for k, (p, _) in enumerate(groups)}
+
+
+def random_patterns(rng, n, sounds="ab"):
+    found = {}
+    for _ in range(n):
+        p = (rng.choice(sounds), *(rng.choice([None, "", "x", "y"]) for _ in range(4)))
+        found[p] = found.get(p, 0) + rng.randint(1, 3)
+    return list(found.items())
+
+
+def test_merging_from_the_index_is_the_same_as_at_once(spark):
     rng = random.Random(3)
-    for _ in range(100):
-        found = {}
-        for _ in range(rng.randint(2, 14)):
-            p = (rng.choice("ab"), *(rng.choice([None, "", "x", "y"]) for _ in range(3)))
-            found[p] = found.get(p, 0) + rng.randint(1, 3)
-        groups = list(found.items())
-        whole = {(tuple(sorted(groups[m][0].__repr__() for m in members)), pattern) for _, members, pattern in correspond.merge_group(groups)}
-        parts = set()
-        for seg in "ab":
-            own = [g for g in groups if g[0][0] == seg]
-            parts |= {(tuple(sorted(own[m][0].__repr__() for m in members)), pattern) for _, members, pattern in correspond.merge_group(own)}
-        assert whole == parts
+    for n in (1, 4, 40, 400):
+        groups = random_patterns(rng, n)
+        df = spark.createDataFrame([(p[0], list(p), c, (f"{k:04d}", 0)) for k, (p, c) in enumerate(groups)], "proto_seg string, pattern array<string>, n long, first struct<skey: string, col: int>")
+        got = {tuple(r["pattern"]): (tuple(r["root"]), tuple(r["merged"])) for r in correspond.merged_groups(df).collect()}
+        # all sounds at once, and so in any order of sounds
+        assert got == merged_at_once(groups)
+    assert correspond.merged_groups(df.limit(0)).count() == 0
+
+
+def test_partial_matches(spark):
+    """What meets in the index is what is compatible, both ways, and nothing else; counts are those of the pairs."""
+    groups = random_patterns(random.Random(5), 300, "abc")
+    rows = [(p[0], "".join("?" if x is None else x or "-" for x in p[1:]), list(p)) for p, _ in groups]
+    df = spark.createDataFrame(rows, "proto_seg string, name string, pattern array<string>")
+    fits = lambda p, q: all(x is None or y is None or x == y for x, y in zip(p, q, strict=True))
+    expected = {(s, a, b) for s, a, p in rows for t, b, q in rows if s == t and a != b and fits(p, q)}
+    got = [tuple(r) for r in correspond.compatible_pairs(df, ["name"], ["name"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    counts = {(r["proto_seg"], r["name"]): (r["n"], r["first"], r["last"]) for r in correspond.compatible_counts(df, "name").collect()}
+    each = {}
+    for s, a, b in expected:
+        each.setdefault((s, a), []).append(b)
+    assert counts == {k: (len(v), min(v), max(v)) for k, v in each.items()}
 
 
 def test_correspondence_sets(spark):
@@ -209,26 +286,28 @@ def test_pattern_functions(spark):
     assert [r["i"] for r in got] == [True, False, False] and got[1]["m"] == ["a", "x", "", "b"]
 
 
-def test_room_for_the_longest_insertion():
-    rows = align.align_star([list("ta"), list("taxa"), list("tya")], 0, align.unit_cost, 0.4)
-    assert len({len(r) for r in rows}) == 1
-    middle = [k for k, x in enumerate(rows[0]) if x]
-    for row, form in zip(rows, ["ta", "taxa", "tya"], strict=True):
-        assert "".join(row) == form
-        for a, b in itertools.pairwise([-1, *middle, len(row)]):
-            gap = row[a + 1 : b]
+def test_room_for_the_longest_insertion(spark):
+    rows = aligned_rows(spark, [("s", "proto", "ta"), ("s", "a", "taxa"), ("s", "b", "tya")], cost=align.unit_cost, gap=0.4)["s"]
+    assert len({len(r) for r in rows.values()}) == 1
+    middle = [k for k, x in enumerate(rows["proto"]) if x]
+    for lang, form in [("proto", "ta"), ("a", "taxa"), ("b", "tya")]:
+        assert "".join(rows[lang]) == form
+        for a, b in itertools.pairwise([-1, *middle, len(rows[lang])]):
+            gap = rows[lang][a + 1 : b]
             assert gap == sorted(gap, key=lambda x: x == "")  # what is inserted starts at the left
-    assert align.align_star([["a"]], 0) == [["a"]]
 
 
-def test_central_form():
+def test_central_form(spark):
     apart = lambda a, b: sum(map(align.distance, a, b)) + align.GAP * abs(len(a) - len(b))
     rng = random.Random(4)
-    for _ in range(100):
-        forms = [[rng.choice("aitkps?") for _ in range(rng.randint(0, 5))] for _ in range(rng.randint(1, 8))]
-        totals = [sum(apart(a, b) for b in forms) for a in forms]
-        assert align.center_of(forms) == totals.index(min(totals))
-    assert align.center_of([]) == 0
+    rows, expected = [], {}
+    for k in range(100):
+        forms = [("abcdefgh"[i], "".join(rng.choice("aitkpsц") for _ in range(rng.randint(0, 5)))) for i in range(rng.randint(1, 8))]
+        totals = [round(sum(apart(a, b) for _, b in forms), 6) for _, a in forms]
+        expected[f"s{k}"] = forms[totals.index(min(totals))]
+        rows += [(f"s{k}", lang, form) for lang, form in forms]
+    got = align.centers(spark.createDataFrame(rows, "skey string, lang string, form string")).collect()
+    assert {r["skey"]: (r["lang"], r["form"]) for r in got} == expected
 
 
 @given(st.lists(st.tuples(st.lists(st.sampled_from("aitkv?"), max_size=6), st.lists(st.sampled_from("aitkw?"), max_size=6)), min_size=1, max_size=8))
