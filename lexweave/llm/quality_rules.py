@@ -14,7 +14,7 @@ entry for each bucket and fold, whatever the corpus.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,29 +45,19 @@ def _word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-@dataclass(frozen=True)
-class Ratios:
-    """table: for each bucket the log ratios of all folds, in hundredths, with commas between; threshold: the score, in thousandths, from which a text is kept (None: all are)."""
-
-    table: str
-    threshold: int | None = None
-
-    @property
-    def column(self) -> Column:
-        """The table as a constant array, which the optimizer makes of one string."""
-        return F.split(F.lit(self.table), ",").cast("array<int>")
-
-
 def fold_of(text: Column) -> Column:
     """The fold of a text, by its hash; copies are in one."""
     return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(FOLDS)).cast("int")
 
 
-def fit_table(docs: DataFrame, trusted: str, text_column: str = "text") -> str:
-    """The log ratios of target (rows whose column trusted is true) to raw (all rows). Spark sums the counts of all texts and puts the table together: BUCKETS rows, and one text for the driver. Without a target all ratios are zero."""
-    hashes = docs.select(fold_of(docs[text_column]).alias("fold"), F.coalesce(docs[trusted], F.lit(False)).cast("int").alias("t"), _word_hashes(words_column(docs[text_column])).alias("h"))
-    grams = hashes.select("fold", "t", F.explode(_pairs_and_words(F.col("h"))).alias("bucket"))
-    counts = grams.groupBy("bucket", "fold").agg(F.sum("t").alias("t"), F.count("*").alias("r"))
+def fit_ratios(docs: DataFrame, trusted: str, text_column: str = "text") -> list[str]:
+    """For each fold the log ratios of all buckets, in hundredths, with commas between: of target (rows whose column trusted is true) to raw (all rows), without the fold's own. Spark sums the counts of all texts and puts the tables together: BUCKETS rows, and one text a fold for the driver. Without a target all ratios are zero."""
+    fold, flag = fold_of(docs[text_column]), F.coalesce(docs[trusted], F.lit(False)).cast("int")
+    hashes = docs.select((2 * fold + flag).alias("part"), _word_hashes(words_column(docs[text_column])).alias("h"))
+    grams = hashes.select("part", F.explode(_pairs_and_words(F.col("h"))).alias("bucket"))
+    # bucket, fold and flag as one number, which is cheap to count by
+    counts = grams.groupBy((F.col("bucket") * (2 * FOLDS) + F.col("part")).alias("key")).count()
+    counts = counts.select(F.expr(f"key div {2 * FOLDS}").cast("int").alias("bucket"), F.expr(f"key % {2 * FOLDS} div 2").alias("fold"), (F.col("key") % 2 * F.col("count")).alias("t"), F.col("count").alias("r"))
     own = [F.coalesce(F.sum(F.when(F.col("fold") == k, F.col(x))), F.lit(0)).alias(f"{x}{k}") for k in range(FOLDS) for x in "tr"]
     counts = checkpointed(counts.groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("r").alias("r"), *own))
     sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns if c != "bucket"]).first()
@@ -77,16 +67,17 @@ def fit_table(docs: DataFrame, trusted: str, text_column: str = "text") -> str:
         return F.round(100 * F.log((F.col("t") - F.col(f"t{k}") + PRIOR) / (share * (F.col("r") - F.col(f"r{k}")) + PRIOR))).cast("int")
 
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
-    ratios = every.select(F.struct("bucket", F.array(*[F.coalesce(ratio(k), F.lit(0)) for k in range(FOLDS)]).alias("x")).alias("r"))
+    ratios = every.select(F.struct("bucket", *[F.coalesce(ratio(k), F.lit(0)).alias(f"x{k}") for k in range(FOLDS)]).alias("r"))
     table = ratios.agg(F.array_sort(F.collect_list("r")).alias("all"))
-    return table.select(F.array_join(F.flatten(F.transform("all", lambda r: r["x"])), ",")).first()[0]
+    return list(table.select(*[F.array_join(F.col("all")[f"x{k}"], ",") for k in range(FOLDS)]).first())
 
 
-def _score(words: Column, fold: Column, table: Column) -> Column:
-    """The mean log ratio of a text's n-grams; 0 without any."""
-    grams = let(_word_hashes(words), _pairs_and_words)
-    total = F.aggregate(grams, F.lit(0).cast("long"), lambda a, b: a + F.get(table, b * FOLDS + fold))
-    n = F.size(words)
+def _score(hashes: Column, fold: Column, ratios: list[str]) -> Column:
+    """The mean log ratio of a text's n-grams, given the hashes of its words; 0 without any."""
+    tables = [F.split(F.lit(t), ",").cast("array<int>") for t in ratios]
+    chosen = functools.reduce(lambda rest, k: F.when(fold == k, tables[k]).otherwise(rest), range(FOLDS - 1), tables[-1])
+    n = F.size(hashes)
+    total = let(chosen, lambda table: F.aggregate(_pairs_and_words(hashes), F.lit(0).cast("long"), lambda a, b: a + F.get(table, b)))
     return F.when(n > 0, total / F.greatest(2 * n - 1, F.lit(1)) / 100.0).otherwise(F.lit(0.0))
 
 
@@ -100,16 +91,18 @@ def low_quantile(counts: dict[int, int], share: float = MOST_LOST) -> int | None
     return None
 
 
-def fit_ratios(docs: DataFrame, trusted: str, text_column: str = "text", most_lost: float = MOST_LOST) -> Ratios:
-    """Ratios of docs, whose boolean column trusted marks the target, and the threshold that turns away at most a share of most_lost of it (of the texts of LEAST_WORDS words or more). No trusted text, no threshold."""
-    ratios = Ratios(fit_table(docs, trusted, text_column))
-    text = docs[text_column]
-    # bound, as the hash of a whole text would else be made for each of its n-grams
-    thousandths = let(words_column(text), lambda w: F.when(F.size(w) >= LEAST_WORDS, let(fold_of(text), lambda fold: F.floor(1000 * _score(w, fold, ratios.column)))))
-    scores = docs.where(docs[trusted]).select(thousandths.alias("s")).where("s is not null")
+def fit_threshold(judged: DataFrame, trusted: str, quality: str = "_quality", most_lost: float = MOST_LOST) -> int | None:
+    """The score, in thousandths, from which texts are kept, of rows that with_quality has judged: it turns away at most a share of most_lost of the trusted ones (of those of LEAST_WORDS words or more). None without any."""
+    of = F.col(quality)
+    scores = judged.where(F.col(trusted) & (of["n_words"] >= LEAST_WORDS)).select(F.floor(1000 * of["score"]).alias("s"))
     # whole numbers between the smallest and the largest log ratio
-    counts = {r["s"]: r["count"] for r in scores.groupBy("s").count().collect()}
-    return replace(ratios, threshold=low_quantile(counts, most_lost))
+    return low_quantile({r["s"]: r["count"] for r in scores.groupBy("s").count().collect()}, most_lost)
+
+
+def is_kept(quality: Column, threshold: int | None) -> Column:
+    """Whether a judged text passes the base rules and reaches the threshold, if there is one; ties with it stay."""
+    enough = F.lit(True) if threshold is None else quality["score"] * 1000 >= threshold
+    return ~quality["base_failed"] & enough
 
 
 def with_trusted(docs: DataFrame, labels: DataFrame, flag: str, id_column: str = "doc_id") -> DataFrame:
@@ -122,7 +115,7 @@ def with_trusted(docs: DataFrame, labels: DataFrame, flag: str, id_column: str =
 
 
 def window_hashes(words: Column, size: int = 5) -> Column:
-    """Hashes of all windows of size words."""
+    """Hashes of all windows of size words, given as texts or as hashes."""
     windows = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
     return F.when(F.size(words) >= size, windows).otherwise(F.expr("cast(array() as array<bigint>)"))
 
@@ -140,35 +133,31 @@ def repeated_words(windows: Column, size: int = 5) -> Column:
     return F.when(F.size(F.array_distinct(windows)) < F.size(windows), let(ordered, count)).otherwise(F.lit(0)).cast("long")
 
 
-def with_quality(docs: DataFrame, ratios: Ratios, text_column: str = "text", into: str = "_quality") -> DataFrame:
-    """docs with one more column into: struct<n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: long, base_failed, kept: boolean, score: double>.
+def with_quality(docs: DataFrame, ratios: list[str], text_column: str = "text", into: str = "_quality") -> DataFrame:
+    """docs with one more column into: struct<n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: long, score: double, base_failed: boolean>.
 
-    A null or blank text has no words, fails the base rules and is not kept. score is the mean log
-    ratio; a text without words has 0. Every row is judged by itself: repeated rows get equal
-    results, ties with the threshold stay, and further columns pass through (a column that is named
-    into is an error: take a free name). A very long text is one row's work, some dozen arrays of
-    its words. No rows give no rows.
+    A null or blank text has no words and fails the base rules. score is the mean log ratio by the
+    text's fold; a text without words has 0. Every row is judged by itself: repeated rows get equal
+    results, and further columns pass through (a column that is named into is an error: take a free
+    name). A very long text is one row's work, some dozen arrays of its words. No rows give no rows.
     """
     if into.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"the column {into} is taken")
     text = F.coalesce(docs[text_column], F.lit(""))
-    table = ratios.column
 
-    def judge(words: Column) -> Column:
+    def judge(words: Column, hashes: Column) -> Column:
         lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            let(window_hashes(words), lambda h: repeated_words(h)).alias("n_repeat_words"),
-            let(fold_of(text), lambda fold: _score(words, fold, table)).alias("score"),
+            let(window_hashes(hashes), lambda h: repeated_words(h)).alias("n_repeat_words"),
+            let(fold_of(text), lambda fold: _score(hashes, fold, ratios)).alias("score"),
         )
 
     def decide(q: Column) -> Column:
-        failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
-        enough = F.lit(True) if ratios.threshold is None else q["score"] * 1000 >= ratios.threshold
-        return q.withField("base_failed", failed).withField("kept", ~failed & enough)
+        return q.withField("base_failed", (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"]))
 
     # one expression, each part bound once: were its parts columns, a filter on the result would have them made anew for every word
-    return docs.withColumn(into, let(let(words_column(docs[text_column]), judge), decide))
+    return docs.withColumn(into, let(let(words_column(docs[text_column]), lambda w: let(_word_hashes(w), lambda h: judge(w, h))), decide))

@@ -9,9 +9,9 @@ from .bpe import bpe_encode_decode
 from .decontaminate import find_benchmark_passages
 from .language import fit_language, predict_language
 from .passages import fit_quality, score_quality
-from .quality_rules import fit_ratios, with_quality, with_trusted
+from .quality_rules import fit_ratios, fit_threshold, is_kept, with_quality, with_trusted
 from .secrets import fit_limits, spans_text, with_secrets
-from .shared import read
+from .shared import checkpointed, read
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
 from .spelling import runs_of_letters, spelling_variants
@@ -44,9 +44,9 @@ def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ratios = fit_ratios(with_trusted(docs, read(spark, sf_dir, "labels"), "trusted"), "trusted")
-    return with_quality(docs, ratios).select("doc_id", "_quality.*")
+    docs = with_trusted(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"), "trusted")
+    judged = checkpointed(with_quality(docs, fit_ratios(docs, "trusted")).select("doc_id", "trusted", "_quality"))
+    return judged.select("doc_id", "_quality.*", is_kept(F.col("_quality"), fit_threshold(judged, "trusted")).alias("kept"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

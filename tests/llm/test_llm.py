@@ -223,8 +223,10 @@ def test_hosts_are_listed_by_their_parts(spark):
 
 def test_quality_rules(spark, docs, empty):
     flagged = docs.withColumn("trusted", F.col("doc_id").isin(7, 8, 15))
-    ratios = quality_rules.fit_ratios(flagged, "trusted", most_lost=0.5)
-    got = {r["doc_id"]: r["_quality"] for r in quality_rules.with_quality(docs, ratios).collect() if r["doc_id"] is not None}
+    ratios = quality_rules.fit_ratios(flagged, "trusted")
+    judged = quality_rules.with_quality(flagged, ratios)
+    threshold = quality_rules.fit_threshold(judged, "trusted", most_lost=0.5)
+    got = {r["doc_id"]: r for r in judged.select("doc_id", "_quality.*", quality_rules.is_kept(F.col("_quality"), threshold).alias("kept")).collect() if r["doc_id"] is not None}
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def grams(text):
@@ -263,11 +265,12 @@ def test_quality_rules(spark, docs, empty):
         assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered))
         assert abs(scores[i] - q["score"]) < 1e-2
         assert q["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
-        assert q["kept"] == (not q["base_failed"] and q["score"] * 1000 >= ratios.threshold)
+        assert q["kept"] == (not q["base_failed"] and q["score"] * 1000 >= threshold)
     # of three trusted scores (one of its rows is there twice) half may be turned away
-    assert abs(ratios.threshold - 1000 * sorted([scores[7], scores[7], scores[8], scores[15]])[2]) < 10
-    nothing = quality_rules.fit_ratios(empty.withColumn("trusted", F.lit(True)), "trusted")
-    assert nothing.threshold is None and quality_rules.with_quality(empty, nothing).count() == 0
+    assert abs(threshold - 1000 * sorted([scores[7], scores[7], scores[8], scores[15]])[2]) < 10
+    nothing = empty.withColumn("trusted", F.lit(True))
+    nothing = quality_rules.with_quality(nothing, quality_rules.fit_ratios(nothing, "trusted"))
+    assert nothing.count() == 0 and quality_rules.fit_threshold(nothing, "trusted") is None
     clash = docs.withColumn("_quality", F.lit(1))
     assert quality_rules.with_quality(clash, ratios, into="_q").count() == docs.count()
     with pytest.raises(ValueError):
@@ -275,9 +278,13 @@ def test_quality_rules(spark, docs, empty):
 
 
 def test_no_trusted_text_keeps_what_passes_the_rules(spark, docs):
-    ratios = quality_rules.fit_ratios(docs.withColumn("trusted", F.lit(None).cast("boolean")), "trusted")
-    assert ratios.threshold is None and set(ratios.table.split(",")) == {"0"}
-    assert quality_rules.with_quality(docs, ratios).where("_quality.kept = _quality.base_failed").count() == 0
+    flagged = docs.withColumn("trusted", F.lit(None).cast("boolean"))
+    ratios = quality_rules.fit_ratios(flagged, "trusted")
+    assert len(ratios) == quality_rules.FOLDS and {x for t in ratios for x in t.split(",")} == {"0"}
+    judged = quality_rules.with_quality(flagged, ratios)
+    threshold = quality_rules.fit_threshold(judged, "trusted")
+    assert threshold is None
+    assert judged.where(quality_rules.is_kept(F.col("_quality"), threshold) == F.col("_quality.base_failed")).count() == 0
 
 
 def test_low_quantile():
@@ -293,11 +300,13 @@ def test_quality_rules_on_documents_outside_the_target(spark, scale):
     """Learnt from four fifths of the labels and judged on the others, of each language."""
     docs, labels = (spark.read.parquet(f"/root/testdata/{scale}/{t}.parquet") for t in ("documents", "labels"))
     others = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    ratios = quality_rules.fit_ratios(quality_rules.with_trusted(docs, labels.where(~others), "trusted"), "trusted")
-    judged = quality_rules.with_quality(docs, ratios).join(labels, "doc_id").where("toxic = 0 and not _quality.base_failed")
-    good = judged.where(others & (F.col("quality") == 1)).select("lang", "_quality.kept").collect()
+    flagged = quality_rules.with_trusted(docs, labels.where(~others), "trusted")
+    judged = quality_rules.with_quality(flagged, quality_rules.fit_ratios(flagged, "trusted"))
+    kept = quality_rules.is_kept(F.col("_quality"), quality_rules.fit_threshold(judged, "trusted"))
+    judged = judged.withColumn("kept", kept).join(labels, "doc_id").where("toxic = 0 and not _quality.base_failed")
+    good = judged.where(others & (F.col("quality") == 1)).select("lang", "kept").collect()
     assert len(good) > 10 and sum(not r["kept"] for r in good) <= 0.02 * len(good)
-    junk = judged.where("quality = 0").select("_quality.kept").collect()
+    junk = judged.where("quality = 0").select("kept").collect()
     assert sum(not r["kept"] for r in junk) >= 0.9 * len(junk)
 
 

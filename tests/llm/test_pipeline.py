@@ -10,8 +10,9 @@ def test_stages_chain(spark, sf_dir):
     kept = cp.quality_rules(spark, docs, sf_dir)
     assert kept.columns == docs.columns
     flagged = quality_rules.with_trusted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "trusted")
-    judged = quality_rules.with_quality(docs, quality_rules.fit_ratios(flagged, "trusted"))
-    assert {r[0] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in judged.collect() if r["_quality"]["kept"]}
+    judged = quality_rules.with_quality(flagged, quality_rules.fit_ratios(flagged, "trusted"))
+    passes = quality_rules.is_kept(F.col("_quality"), quality_rules.fit_threshold(judged, "trusted"))
+    assert {r[0] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in judged.where(passes).collect()}
     deduped = cp.near_dedup(spark, kept, sf_dir)
     texts = [r["text"] for r in deduped.collect()]
     assert deduped.columns == docs.columns and len(texts) == len(set(texts))
