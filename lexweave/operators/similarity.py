@@ -58,6 +58,16 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, alpha: float =
     if "kin" not in queries.columns:
         queries = queries.withColumn("kin", F.lit(None).cast("array<long>"))
     left, right = blocks_of(queries.select("refid", "langid", "p", "s", "kin"), corpus.select("refid", "langid", "p", "s"))
+    found = left.groupBy("bq", "bc").cogroup(right.groupBy("bq", "bc")).applyInPandas(nearest_in_blocks(k, alpha, exclude_language, penalty), FOUND)
+    return ranked(found, k)
+
+
+#: What comparing a block of queries with one of the corpus gives.
+FOUND = "q long, refid long, langid long, dist double"
+
+
+def nearest_in_blocks(k: int | None, alpha: float, exclude_language: bool, penalty: float):
+    """A function of a block of queries (refid, langid, p, s, kin) and one of the corpus (refid, langid, p, s): the k nearest of the block for each query."""
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = {"q": [], "refid": [], "langid": [], "dist": []}
@@ -78,9 +88,13 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, alpha: float =
                 out["dist"] += row[at].tolist()
         return pd.DataFrame(out)
 
-    found = left.groupBy("bq", "bc").cogroup(right.groupBy("bq", "bc")).applyInPandas(best, "q long, refid long, langid long, dist double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("dist", "refid")).cast("long"))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    return best
+
+
+def ranked(found: DataFrame, k: int | None) -> DataFrame:
+    """found (q, refid, dist) with rank, the k nearest of each query; ties go by refid."""
+    out = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("dist", "refid")).cast("long"))
+    return out if k is None else out.where(F.col("rank") <= k)
 
 
 def _units(rows: pd.Series) -> np.ndarray:

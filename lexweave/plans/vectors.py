@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import similarity as sim
+from ..operators import vector_index
+from ..sources.kept import shared_folder
 from ..sources.tables import WORDS_SQL, read, word_lexicon
 
 QUERIES, ORACLES = {}, {}
 ALPHA, K = 0.4, 10
+#: Rows for which the index of the embeddings has a part.
+PART = 128
 
 
 def query(sql: str | None = None):
@@ -60,6 +66,15 @@ def cosine_topk(spark, sf_dir):
     return _shown(sim.nearest(queries_of(rows), rows, K, ALPHA))
 
 
+@query(ranked_sql("dist", "qlang <> langid"))
+def cosine_topk_indexed(spark, sf_dir):
+    """The same by the kept index, which is built first."""
+    rows = corpus(spark, sf_dir)
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    vector_index.build(rows, path, PART)
+    return _shown(vector_index.VectorIndex(spark, path).search(queries_of(rows), K, ALPHA))
+
+
 @query(ranked_sql("dist + CASE WHEN EXISTS (SELECT 1 FROM ancestry x JOIN ancestry y USING (plangid) WHERE x.langid = qlang AND y.langid = d.langid) THEN 0 ELSE 1 END", "qlang <> langid"))
 def rank_cognates_penalty(spark, sf_dir):
     rows = corpus(spark, sf_dir)

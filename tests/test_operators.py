@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexweave.operators import align, correspond, edits, generalize, laws, search
 from lexweave.operators import similarity as sim
+from lexweave.operators import vector_index
 from lexweave.plans.words import SYSTEM
 from lexweave.sources import files
 
@@ -464,6 +465,53 @@ def test_nearest_beyond_the_first_ten(spark):
     assert [r["refid"] for r in sim.nearest(asked, ties, 7).orderBy("rank").collect()] == list(range(1, 8))
 
 
+def clustered(rng, n, clusters, spread):
+    """Vectors around random directions, some zero, some equal."""
+    middles = [([rng.gauss(0, 1) for _ in range(6)], [rng.gauss(0, 1) for _ in range(4)]) for _ in range(clusters)]
+    rows = []
+    for k in range(n):
+        p, s = rng.choice(middles)
+        near = lambda v: [x + rng.gauss(0, spread) for x in v]
+        rows.append((k, k % 5, *(([0.0] * 6, [0.0] * 4) if k % 97 == 5 else (p, s) if k % 13 == 0 else (near(p), near(s)))))
+    return rows
+
+
+@pytest.mark.parametrize("alpha, penalty", [(0.4, 0.0), (1.0, 0.0), (0.0, 0.7)])
+def test_index_finds_what_comparing_all_finds(spark, tmp_path, monkeypatch, alpha, penalty):
+    monkeypatch.setattr(vector_index, "CORPUS_BLOCK", 70)
+    monkeypatch.setattr(vector_index, "QUERY_BLOCK", 40)
+    df = spark.createDataFrame(clustered(random.Random(2), 3000, 30, 0.05), "refid long, langid long, p array<double>, s array<double>")
+    path = str(tmp_path / "index")
+    vector_index.build(df, path, 60)
+    index = vector_index.VectorIndex(spark, path)
+    assert sum(index.centers.n) == 3000 and index.rows([0]).select("part").distinct().count() == 1
+    asked = df.where("refid % 50 < 2").withColumn("kin", F.when(F.col("refid") % 2 == 0, F.array(F.lit(1).cast("long"))))
+    read = []
+    got = index.search(asked, 7, alpha, penalty=penalty, read=read).orderBy("q", "rank").collect()
+    expected = sim.nearest(asked, df, 7, alpha, penalty=penalty).orderBy("q", "rank").collect()
+    assert [(r["q"], r["refid"], r["langid"], r["rank"]) for r in got] == [(r["q"], r["refid"], r["langid"], r["rank"]) for r in expected]
+    assert [r["dist"] for r in got] == pytest.approx([r["dist"] for r in expected], abs=1e-8)
+    assert penalty or read[0] < 0.5 * read[1]  # most parts are never read
+
+
+def test_index_of_odd_tables(spark, tmp_path):
+    schema = "refid long, langid long, p array<double>, s array<double>"
+    path = str(tmp_path / "index")
+    vector_index.build(spark.createDataFrame([], schema), path)
+    one = spark.createDataFrame([(1, 1, [1.0], [1.0])], schema)
+    assert vector_index.VectorIndex(spark, path).search(one, 3).count() == 0
+    # a language that fills the first parts, more neighbours than there are, all of them, and a table rewritten in place
+    rows = [(k, 0 if k < 40 else 1, [1.0, 0.01 * k], [1.0, 0.0]) for k in range(50)]
+    df = spark.createDataFrame(rows, schema)
+    vector_index.build(df, path, 5)
+    index = vector_index.VectorIndex(spark, path)
+    asked = df.where("refid = 0")
+    for k in (3, 10, 20, None):
+        assert [tuple(r) for r in index.search(asked, k).orderBy("rank").collect()] == [tuple(r) for r in sim.nearest(asked, df, k).orderBy("rank").collect()]
+    with pytest.raises(ValueError):
+        index.search(asked, 3, penalty=-1.0)
+
+
 def test_similarity_of_all_pairs_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(sim, "QUERY_BLOCK", 3)
     monkeypatch.setattr(sim, "CORPUS_BLOCK", 4)
