@@ -175,27 +175,30 @@ def best_alpha(scores: DataFrame) -> DataFrame:
 def tfidf(grams: DataFrame, features: int | None = None) -> DataFrame:
     """(id, gram, weight) of (id, gram) rows: counts times ln((1 + n) / (1 + df)) + 1, of length 1 for each id. features: only so many grams, the most frequent (of equals the first); ids without any of them have no rows but count among all.
 
-    The counts are gathered once, by id; what is known of a gram comes from them by one more pass.
+    The counts are made once; what is known of a gram is joined to them, and a row's length is a sum
+    over its id's rows, which never stand in one array.
     """
-    counts = grams.groupBy("id", "gram").agg(F.count("*").alias("tf"))
-    by_id = kept(counts.groupBy("id").agg(F.collect_list(F.struct("gram", "tf")).alias("held")))
-    n = by_id.agg(F.count("*").alias("n"))
-    known = by_id.select(F.explode("held").alias("x")).groupBy("x.gram").agg(F.count("*").alias("df"), F.sum("x.tf").alias("total"))
+    counts = kept(grams.groupBy("id", "gram").agg(F.count("*").alias("tf")))
+    n = counts.select("id").distinct().agg(F.count("*").alias("n"))
+    known = counts.groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     if features is not None:
         known = known.orderBy(F.desc("total"), "gram").limit(features)
+    # the number of ids is one row
     idf = known.join(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = by_id.select("id", F.explode("held").alias("x")).select("id", "x.*").join(idf, "gram").select("id", "gram", (F.col("tf") * F.col("idf")).alias("w"))
-    held = raw.groupBy("id").agg(F.collect_list(F.struct("gram", "w")).alias("held")).withColumn("norm", F.sqrt(F.aggregate("held", F.lit(0.0), lambda t, x: t + x["w"] * x["w"])))
-    return held.select("id", "norm", F.explode("held").alias("x")).select("id", "x.gram", (F.col("x.w") / F.col("norm")).alias("weight"))
+    raw = counts.join(idf, "gram").select("id", "gram", (F.col("tf") * F.col("idf")).alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return raw.select("id", "gram", (F.col("w") / length).alias("weight"))
 
 
-def dense(weights: DataFrame, ids: DataFrame, features: int) -> DataFrame:
-    """(id, v): weights (id, gram, weight) as vectors of the grams in their order, features at most, for all ids; zeros for those without any."""
+def sparse_rows(weights: DataFrame, ids: DataFrame, features: int) -> DataFrame:
+    """(id, at: array<int>, w: array<double>) of weights (id, gram, weight) for all ids: the places of their grams among the first features in order, and the weights; empty for those without any."""
     known = weights.select("gram").distinct().orderBy("gram").limit(features)
-    place = known.agg(F.array_sort(F.collect_list("gram")).alias("grams"))  # features at most
-    held = weights.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("m"))
-    both = ids.select("id").distinct().join(held, "id", "left").join(F.broadcast(place))
-    return both.select("id", F.transform("grams", lambda g: F.coalesce(F.try_element_at("m", g), F.lit(0.0))).alias("v"))
+    # features rows at most
+    places = known.agg(F.array_sort(F.collect_list("gram")).alias("g")).select(F.posexplode("g").alias("place", "gram"))
+    held = weights.join(F.broadcast(places), "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("x"))
+    none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+    both = ids.select("id").distinct().join(held, "id", "left")
+    return both.select("id", F.coalesce(F.col("x")["place"], none("int")).alias("at"), F.coalesce(F.col("x")["weight"], none("double")).alias("w"))
 
 
 def char_ngrams(rows: DataFrame, text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -257,6 +260,83 @@ def whitened_pca(rows: DataFrame, dims: int) -> DataFrame:
     return rows.select("refid", "p").mapInPandas(project, "refid long, v array<double>")
 
 
+#: Directions beyond those that are wanted, and rounds, of the search for the strongest ones.
+SPARE, TURNS = 16, 8
+#: Places whose sums are made by one task.
+PLACES_TOGETHER = 64
+
+
+def _products(batch: pd.DataFrame, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sparse rows: the row, place and weight of each entry, and each row times turn."""
+    row = np.repeat(np.arange(len(batch)), batch["at"].map(len).to_numpy())
+    at = np.concatenate([np.zeros(0, int), *batch["at"]]).astype(int)
+    w = np.concatenate([np.zeros(0), *batch["w"]])
+    out = np.zeros((len(batch), turn.shape[1]))
+    np.add.at(out, row, w[:, None] * turn[at])
+    return row, at, w, out
+
+
+def whitened_sparse(rows: DataFrame, dims: int, features: int, seed: int = 7) -> DataFrame:
+    """(id, v): what whitened_pca gives for sparse rows (id, at, w), at below features; no row is ever made dense.
+
+    The strongest directions of the rows about their mean are found by subspace iteration from
+    random ones: in each round the tasks multiply their rows with the directions and back, Spark sums
+    what comes out for each place, and the driver makes the result orthogonal: features times dims
+    numbers, whatever the rows. Eigenvectors of the covariance within the last subspace are the
+    components. Equally strong directions may come out turned in their plane.
+    """
+    rows = kept(rows)
+    sums = rows.select(F.explode(F.arrays_zip("at", "w")).alias("x")).groupBy("x.at").agg(F.sum("x.w").alias("w")).collect()  # features at most
+    n, width = rows.count(), max((r["at"] for r in sums), default=-1) + 1
+    if not width:
+        return rows.select("id", F.expr("cast(array() as array<double>)").alias("v"))
+    mean = np.zeros(width)
+    for r in sums:
+        mean[r["at"]] = r["w"] / n
+    size = min(dims + SPARE, n, width)
+    turn = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, size)))[0]
+
+    def covariance_times(turn: np.ndarray) -> np.ndarray:
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((width, size))
+            for b in batches:
+                row, at, w, out = _products(b, turn)
+                np.add.at(total, at, w[:, None] * out[row])
+            used = np.flatnonzero(total.any(1))
+            yield pd.DataFrame({"part": used // PLACES_TOGETHER, "place": used, "x": total[used].tolist()})
+
+        def add(group: pd.DataFrame) -> pd.DataFrame:
+            place, at = np.unique(group["place"].to_numpy(), return_inverse=True)
+            total = np.zeros((len(place), size))
+            np.add.at(total, at, np.stack(group["x"].to_list()))
+            return pd.DataFrame({"place": place, "x": total.tolist()})
+
+        # a row for each task and place
+        made = rows.select("at", "w").mapInPandas(work, "part int, place int, x array<double>").groupBy("part").applyInPandas(add, "place int, x array<double>")
+        out = np.zeros((width, size))
+        for r in made.collect():
+            out[r["place"]] = r["x"]
+        return out / n - np.outer(mean, mean @ turn)
+
+    for _ in range(TURNS):
+        turn = np.linalg.qr(covariance_times(turn))[0]
+    small = turn.T @ covariance_times(turn)
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    order = np.argsort(-values, kind="stable")[: min(dims, n, width)]
+    vectors = turn @ vectors[:, order]
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(len(order))])
+    final = vectors / np.sqrt(np.maximum(values[order], 1e-12))
+    middle = mean @ final
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"id": b["id"], "v": (_products(b, final)[3] - middle).tolist()})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInPandas(project, f"id {kind}, v array<double>")
+
+
 def update_vectors(vectors: DataFrame, changed: DataFrame, gone: DataFrame) -> DataFrame:
     """Vectors (refid, ...) with rows added or replaced by changed, without those in gone."""
     return vectors.join(changed.select("refid"), "refid", "left_anti").unionByName(changed).join(gone.select("refid"), "refid", "left_anti")

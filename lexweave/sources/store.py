@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import gloss_or_unknown, segment_text
-from ..operators.similarity import char_ngrams, dense, tfidf, unit, whitened_pca, word_ngrams
+from ..operators.similarity import char_ngrams, sparse_rows, tfidf, unit, whitened_sparse, word_ngrams
 
 COLUMNS = {"refid": "bigint", "langid": "bigint", "p": "array<double>", "s": "array<double>"}
 
@@ -21,12 +21,11 @@ def hashed_vectors(weights: DataFrame, dims: int) -> DataFrame:
 
 
 def embed(reflexes: DataFrame, dims: int = 300, features: int = 1024) -> DataFrame:
-    """(refid, langid, p, s) of forms (refid, langid, ipaform, gloss): sound from character n-grams of the form's segments, meaning from words of the gloss and pairs of them, features n-grams at most, each brought to dims whitened components at most. Null forms count as empty, null and empty glosses as unknown."""
+    """(refid, langid, p, s) of forms (refid, langid, ipaform, gloss): sound from character n-grams of the form's segments, meaning from words of the gloss and pairs of them, features n-grams at most, each brought to dims whitened components at most, without a dense table. Null forms count as empty, null and empty glosses as unknown."""
     rows = reflexes.select(F.col("refid").alias("id"), "langid", segment_text(F.coalesce("ipaform", F.lit(""))).alias("form"), gloss_or_unknown(F.col("gloss")).alias("gloss"))
 
     def side(grams: DataFrame, name: str) -> DataFrame:
-        vectors = dense(tfidf(grams, features), rows, features)
-        return whitened_pca(vectors.select(F.col("id").alias("refid"), F.col("v").alias("p")), dims).select(F.col("refid").alias("id"), F.col("v").alias(name))
+        return whitened_sparse(sparse_rows(tfidf(grams, features), rows, features), dims, features).withColumnRenamed("v", name)
 
     joined = rows.join(side(char_ngrams(rows, F.col("form")), "p"), "id").join(side(word_ngrams(rows, F.col("gloss")), "s"), "id")
     return joined.select(F.col("id").alias("refid"), "langid", "p", "s")

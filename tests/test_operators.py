@@ -465,6 +465,31 @@ def test_nearest_beyond_the_first_ten(spark):
     assert [r["refid"] for r in sim.nearest(asked, ties, 7).orderBy("rank").collect()] == list(range(1, 8))
 
 
+def test_sparse_components_are_the_dense_ones(spark):
+    """Sparse rows, some empty and some equal, against the same rows made dense; up to sign where a weight is as large as another."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(400):
+        at = sorted(rng.sample(range(60), rng.randint(0, 6)))
+        rows.append((k, at, [rng.random() * (1 + 10 / (1 + j)) for j in at]))
+    df = spark.createDataFrame(rows + [(k + 400, *rows[k][1:]) for k in range(5)], "id long, at array<int>, w array<double>")
+    full = df.select(F.col("id").alias("refid"), F.transform(F.sequence(F.lit(0), F.lit(59)), lambda j: F.coalesce(F.try_element_at(F.map_from_arrays(F.col("at"), F.col("w")), j.cast("int")), F.lit(0.0))).alias("p"))
+    dense = {r["refid"]: r["v"] for r in sim.whitened_pca(full, 6).collect()}
+    got = {r["id"]: r["v"] for r in sim.whitened_sparse(df, 6, 60).collect()}
+    assert got.keys() == dense.keys()
+    for j in range(6):
+        sign = 1 if sum(got[k][j] * dense[k][j] for k in got) > 0 else -1
+        assert max(abs(sign * got[k][j] - dense[k][j]) for k in got) < 5e-3
+    assert sim.whitened_sparse(df.limit(0), 6, 60).count() == 0
+    assert {tuple(r["v"]) for r in sim.whitened_sparse(spark.createDataFrame([(1, [], []), (2, [], [])], df.schema), 6, 60).collect()} == {()}
+
+
+def test_rows_of_weights(spark):
+    weights = spark.createDataFrame([(1, "b", 0.5), (1, "a", 0.25), (2, "c", 1.0), (2, "d", 9.0)], "id long, gram string, weight double")
+    got = {r["id"]: (r["at"], r["w"]) for r in sim.sparse_rows(weights, spark.createDataFrame([(1,), (2,), (3,), (3,)], "id long"), 3).collect()}
+    assert got == {1: ([0, 1], [0.25, 0.5]), 2: ([2], [1.0]), 3: ([], [])}
+
+
 def clustered(rng, n, clusters, spread):
     """Vectors around random directions, some zero, some equal."""
     middles = [([rng.gauss(0, 1) for _ in range(6)], [rng.gauss(0, 1) for _ in range(4)]) for _ in range(clusters)]
