@@ -13,6 +13,7 @@ from .sources.tables import Lexicon
 
 
 def main(argv: list[str] | None = None) -> str:
+    """Prints a report, set by set, and returns its last part, the metrics; or prints and returns the list of systems."""
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("system", nargs="?", help="a YAML file, or the name of a system or a file in --folder")
     p.add_argument("--folder", default=".")
@@ -24,6 +25,7 @@ def main(argv: list[str] | None = None) -> str:
     p.add_argument("--laws-coeff", type=float, default=laws.LAW_COST)
     p.add_argument("--refs-coeff", type=float, default=laws.REFERENCE_COST)
     p.add_argument("--errors-only", action="store_true")
+    p.add_argument("--limit", type=int, help="so many sets at most; all of them if it isn't given")
     p.add_argument("--no-color", action="store_true")
     p.add_argument("--list", action="store_true")
     a = p.parse_args(argv)
@@ -47,9 +49,11 @@ def main(argv: list[str] | None = None) -> str:
             detail = laws.evaluate(sets.where(F.col("lang") == a.proto).select("skey", "form"), sets.where(F.col("lang") != a.proto), system)
     except (yaml.YAMLError, LookupError, ValueError) as e:
         p.error(f"{a.system}: {type(e).__name__}: {e}")
-    out = laws.report(detail, system, a.errors_only, not a.no_color, **costs)
-    print(out)
-    return out
+    parts = []
+    for part in laws.report_parts(detail, system, a.errors_only, not a.no_color, a.limit, **costs):
+        print(part, end="\n\n")
+        parts = [part]
+    return parts[0]
 
 
 if __name__ == "__main__":

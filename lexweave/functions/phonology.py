@@ -80,14 +80,26 @@ def distance(a: str, b: str) -> float:
     return sum(WEIGHTS[f] * abs(v - y[f]) for f, v in x) / 2
 
 
-def with_distance(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """pairs with the column cost: the distance of two segments."""
+def segment_vectors(pairs: DataFrame, *columns: str) -> DataFrame:
+    """(seg, v): the weighted features of the kinds of segments that the columns hold; none for unknown ones. There is a row for each kind of segment: the letters of the table with their marks."""
+
+    @F.pandas_udf("array<double>")
+    def weighted(segs: pd.Series) -> pd.Series:
+        return pd.Series([None if (held := features(canonical(s))) is None else [WEIGHTS[f] * v for f, v in held] for s in segs])
 
-    @F.pandas_udf("double")
-    def cost(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(list(map(distance, x, y)), dtype=float)
+    kinds = functools.reduce(DataFrame.union, [pairs.select(F.col(c).alias("seg")) for c in columns]).where("seg is not null").distinct()
+    return kinds.withColumn("v", weighted("seg")).where("v is not null")
 
-    return pairs.withColumn("cost", cost(a, b))
+
+def with_distance(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """pairs with the column cost: the distance of two segments, from the features of each kind of segment, which are looked up once and joined. A null segment is unknown."""
+    vectors = segment_vectors(pairs, a, b)
+    side = lambda n: vectors.select(F.col("seg").alias(f"_{n}"), F.col("v").alias(f"_v{n}"))
+    known = pairs.join(side("a"), F.col(a) == F.col("_a"), "left").join(side("b"), F.col(b) == F.col("_b"), "left")
+    same = lambda c: F.when(F.col(c) == "v", "w").when(F.col(c) == "ɹ", "r").otherwise(F.col(c))
+    apart = F.aggregate(F.zip_with("_va", "_vb", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda t, x: t + x) / 2
+    cost = F.when(same(a) == same(b), 0.0).otherwise(F.coalesce(apart, F.lit(UNKNOWN_COST)))
+    return known.select(*[pairs[c] for c in pairs.columns], cost.alias("cost"))
 
 
 def sonority(segment: str) -> int:

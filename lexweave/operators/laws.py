@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -17,6 +19,8 @@ from .search import language_identifiers
 
 ROOT, MISSING = "ROOT", "???"
 LAW_COST, REFERENCE_COST = 0.5, 2.5
+#: Laws that one expression applies.
+CHAIN = 16
 
 
 @dataclass(frozen=True)
@@ -88,22 +92,49 @@ class System:
         """Laws that are defined, and mentions of laws, defined or not."""
         return law_cost * len(self.laws) + reference_cost * self.references()
 
-    def columns(self, form: Column) -> dict[str, Column]:
-        """What form becomes at each leaf; laws that aren't defined are passed over."""
-        out = {}
-        for leaf, path in self.leaves().items():
-            column = form
-            for name in path:
-                if name in self.laws:
-                    column = self.laws[name].apply(column)
-            out[leaf] = column
-        return out
+    def steps(self) -> tuple[list[tuple[int, int, list[Law]]], dict[str, int]]:
+        """The tree as steps (form, form before it, laws between them), forms numbered from 0, the ancestor's, each after the one it is made from; and each leaf's form.
+
+        Leaves whose paths begin with the same laws share the forms of these: each law of the tree
+        stands in one step, however many leaves lie below it. Laws that aren't defined are passed
+        over. A step has at most CHAIN laws, so that no expression grows with a path's length.
+        """
+        paths = {leaf: [name for name in path if name in self.laws] for leaf, path in self.leaves().items()}
+        steps: list[tuple[int, int, list[Law]]] = []
+        forms: dict[str, int] = {}
+        todo = [(0, 0, list(paths))]
+        while todo:
+            form, depth, below = todo.pop()
+            branches: dict[str, list[str]] = {}
+            for leaf in below:
+                if len(paths[leaf]) == depth:
+                    forms[leaf] = form
+                else:
+                    branches.setdefault(paths[leaf][depth], []).append(leaf)
+            for name, leaves in branches.items():
+                run, at = [self.laws[name]], depth + 1
+                # on as long as all of these leaves go on alike
+                while len(run) < CHAIN and len({tuple(paths[leaf][at : at + 1]) for leaf in leaves}) == 1 and len(paths[leaves[0]]) > at:
+                    run.append(self.laws[paths[leaves[0]][at]])
+                    at += 1
+                steps.append((len(steps) + 1, form, run))
+                todo.append((len(steps), at, leaves))
+        return steps, forms
 
 
 def apply_laws(rows: DataFrame, system: System, form: str = "form") -> DataFrame:
-    """rows for each leaf, with the columns leaf and hypothesis."""
-    made = F.array(*[F.struct(F.lit(leaf).alias("leaf"), c.alias("hypothesis")) for leaf, c in system.columns(F.col(form)).items()])
-    return rows.withColumn("_x", F.explode(made)).select(*rows.columns, "_x.leaf", "_x.hypothesis")
+    """rows for each leaf, with the columns leaf and hypothesis. A node's form is made once for all leaves below it (System.steps): as a column of its own, which the optimizer leaves alone where several are made from it."""
+    steps, forms = system.steps()
+    clash = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in rows.columns), default=0))
+    name = lambda k: f"{clash}form{k}"
+    level = {0: 0}
+    for k, before, _ in steps:
+        level[k] = level[before] + 1
+    out = rows.withColumn(name(0), F.col(form))
+    for depth in range(1, max(level.values()) + 1):
+        out = out.withColumns({name(k): functools.reduce(lambda c, law: law.apply(c), laws, F.col(name(before))) for k, before, laws in steps if level[k] == depth})
+    made = F.array(*[F.struct(F.lit(leaf).alias("leaf"), F.col(name(k)).alias("hypothesis")) for leaf, k in forms.items()])
+    return out.withColumn(f"{clash}x", F.explode(made)).select(*rows.columns, f"{clash}x.leaf", f"{clash}x.hypothesis")
 
 
 def evaluate(protos: DataFrame, reflexes: DataFrame, system: System) -> DataFrame:
@@ -156,13 +187,21 @@ def metrics_report(m, name: str) -> str:
     return f"{name}: {m['n_errors']} errors in {m['n_comparisons']} comparisons of {m['n_sets']} sets, accuracy {m['accuracy']:.4f}, penalty {m['penalty']:.1f}, score {m['score']:.1f}"
 
 
-def report(detail: DataFrame, system: System, errors_only: bool = False, color: bool = True, limit: int = 50, **costs: float) -> str:
-    """The first sets with their results, or those with errors only, and the metrics, as text."""
+def report_parts(detail: DataFrame, system: System, errors_only: bool = False, color: bool = True, limit: int | None = None, **costs: float) -> Iterator[str]:
+    """The text of every set with its results, or of those with errors only, by set, and then the metrics. The driver holds one set after the other. limit: so many sets, and then how many there are more."""
     shown = with_errors(detail) if errors_only else detail
-    first = shown.select("skey").distinct().orderBy("skey").limit(limit)
-    rows = shown.join(first, "skey", "left_semi").orderBy("skey", "leaf").collect()
-    sets = [set_report(list(g), color) for _, g in itertools.groupby(rows, key=lambda r: r["skey"])]
-    return "\n\n".join([*sets, metrics_report(metrics(detail, system, **costs).first(), system.name)])
+    rows = shown.orderBy("skey", "leaf").toLocalIterator()
+    sets = itertools.groupby(rows, key=lambda r: r["skey"])
+    for _, held in itertools.islice(sets, limit):
+        yield set_report(list(held), color)
+    if limit is not None and (more := shown.select("skey").distinct().count() - limit) > 0:
+        yield f"{more} more sets"
+    yield metrics_report(metrics(detail, system, **costs).first(), system.name)
+
+
+def report(detail: DataFrame, system: System, errors_only: bool = False, color: bool = True, limit: int | None = None, **costs: float) -> str:
+    """report_parts as one text."""
+    return "\n\n".join(report_parts(detail, system, errors_only, color, limit, **costs))
 
 
 def resolve_proto(lexicon: Lexicon, langid: int | None = None, glottocode: str | None = None) -> int:
@@ -201,8 +240,8 @@ class Report:
     def metrics(self):
         return metrics(self.detail, self.system, **self.costs).first()
 
-    def text(self, errors_only: bool = False, color: bool = True) -> str:
-        return report(self.detail, self.system, errors_only, color, **self.costs)
+    def text(self, errors_only: bool = False, color: bool = True, limit: int | None = None) -> str:
+        return report(self.detail, self.system, errors_only, color, limit, **self.costs)
 
 
 def evaluate_yaml(text: str, lexicon: Lexicon, proto_langid: int | None = None, proto_glottocode: str | None = None, laws_coeff: float = LAW_COST, refs_coeff: float = REFERENCE_COST) -> Report:

@@ -56,6 +56,22 @@ def positional(spark, sf_dir) -> DataFrame:
     return last_forms(cognate_sets(spark, sf_dir)).select("skey", "lang", F.posexplode(letters).alias("col", "seg"))
 
 
+CANONICAL = "CASE seg WHEN 'v' THEN 'w' WHEN 'ɹ' THEN 'r' ELSE seg END"
+#: The letter whose features a segment has: without its marks, of which none here changes them.
+LETTER = f"CASE strip_accents({CANONICAL}) WHEN 'g' THEN 'ɡ' WHEN 'ß' THEN 's' ELSE strip_accents({CANONICAL}) END"
+
+
+@query(POSITIONAL + ", " + FEATURES_SQL + f""", named AS (SELECT *, {CANONICAL} AS c, {LETTER} AS letter FROM cells),
+d AS (SELECT a.seg AS a, b.seg AS b, sum(weight * abs(a.val - b.val)) / 2 AS cost FROM features a JOIN features b USING (feat) JOIN weights USING (feat) GROUP BY 1, 2)
+SELECT x.seg AS a, y.seg AS b, count(*) AS n, CAST(CASE WHEN x.c = y.c THEN 0 ELSE coalesce(any_value(d.cost), 100) END AS DOUBLE) AS cost FROM named x JOIN named y ON x.skey = y.skey AND x.col = y.col AND x.lang = 'proto' AND y.lang <> 'proto' LEFT JOIN d ON d.a = x.letter AND d.b = y.letter GROUP BY x.seg, y.seg, x.c, y.c""")
+def phoneme_distance_matrix(spark, sf_dir):
+    """Distances of all letters that stand for one another: each of an ancestor form, and what a daughter has in its place; how often."""
+    cells = kept(positional(spark, sf_dir))
+    here = cells.where("lang = 'proto'").select("skey", "col", F.col("seg").alias("a"))
+    pairs = cells.where("lang <> 'proto'").select("skey", "col", F.col("seg").alias("b")).join(here, ["skey", "col"])
+    return ph.with_distance(kept(pairs.groupBy("a", "b").agg(F.count("*").alias("n"))))
+
+
 def shown(pattern):
     return F.array_join(F.transform(pattern, lambda x: F.coalesce(x, F.lit("?"))), "")
 
@@ -71,16 +87,6 @@ def cognate_set_members(spark, sf_dir):
 CANONICAL = "CASE seg WHEN 'v' THEN 'w' WHEN 'ɹ' THEN 'r' ELSE seg END"
 
 
-@query("WITH " + FEATURES_SQL + f""", segs AS (SELECT seg, {CANONICAL} AS c FROM (SELECT DISTINCT seg FROM features UNION ALL SELECT '?')),
-d AS (SELECT a.seg AS a, b.seg AS b, sum(weight * abs(a.val - b.val)) / 2 AS cost FROM features a JOIN features b USING (feat) JOIN weights USING (feat) GROUP BY 1, 2)
-SELECT x.seg AS a, y.seg AS b, CAST(CASE WHEN x.c = y.c THEN 0 ELSE coalesce(d.cost, 100) END AS DOUBLE) AS cost FROM segs x, segs y LEFT JOIN d ON d.a = x.c AND d.b = y.c""")
-def phoneme_distance_matrix(spark, sf_dir):
-    """Distances of all segments, an unknown one among them."""
-    segs = F.array(*map(F.lit, [*SEGMENTS, "?"]))
-    pairs = spark.range(1).select(F.explode(segs).alias("a")).select("a", F.explode(segs).alias("b"))
-    return ph.with_distance(pairs)
-
-
 def _pairs(spark, sf_dir) -> DataFrame:
     sets = cognate_sets(spark, sf_dir)
     protos = sets.where("lang = 'proto'").select("skey", F.col("form").alias("proto"))

@@ -2,10 +2,12 @@ import itertools
 import random
 
 import pytest
+import yaml
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lexweave.functions import phonology
 from lexweave.operators import align, correspond, edits, generalize, laws, search
 from lexweave.operators import similarity as sim
 from lexweave.operators import vector_index
@@ -182,6 +184,59 @@ def test_laws(spark):
     assert "???" == laws.MISSING and "\033" in laws.colored_diff("abc", "abd")
 
 
+def test_a_tree_of_many_laws(spark):
+    """100 laws over nested nodes and 24 leaves, one of them with several parents and laws that aren't defined: each law stands in one step, and results are those of each path by itself."""
+    rng = random.Random(12)
+    letters = "abcdefgh"
+    known = {f"l{k}": [rng.choice(letters), rng.choice(letters + "x"), rng.choice(["", "", rng.choice(letters)]), rng.choice(["", "", rng.choice(letters), "\\Z"])] for k in range(100)}
+    names = iter(known)
+    tree = {"ROOT": [], "shared": [{"child": "deep", "laws": ["l3", "l1"]}]}
+    for i in range(4):
+        tree["ROOT"].append({"child": f"n{i}", "laws": [next(names) for _ in range(13)]})
+        tree[f"n{i}"] = [{"child": f"m{i}{j}", "laws": [next(names) for _ in range(4)]} for j in range(3)] + [{"child": "shared", "laws": []}]
+        for j in range(3):
+            tree[f"m{i}{j}"] = [{"child": f"leaf{i}{j}{k}", "laws": ["l0", "missing", f"l{k}"]} for k in range(2)]
+    system = laws.System.loads(yaml.safe_dump({"laws": known, "tree": tree}))
+    steps, forms = system.steps()
+    assert max(len(run) for *_, run in steps) <= laws.CHAIN and len(forms) == 25
+    # the laws of each edge once: 100 of the tree's own, and two for each of 24 leaves and for the shared one
+    assert sum(len(run) for *_, run in steps) <= 100 + 2 * 24 + 2
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 9))) for _ in range(60)] + [None]
+    df = spark.createDataFrame([(w, "kept") for w in words], "form string, _form0 string")
+    made = laws.apply_laws(df, system)
+    assert made.columns == ["form", "_form0", "leaf", "hypothesis"]
+    got = {(r["form"], r["leaf"]): r["hypothesis"] for r in made.collect()}
+    for leaf, path in system.leaves().items():
+        for w in words:
+            x = w
+            for name in path:
+                x = system.laws[name].apply_to(x) if name in system.laws and x is not None else x
+            assert got[w, leaf] == x
+    # the plan names each law as often as it has steps, not as it has leaves
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 100 + 2 * 24 + 2
+
+
+def test_reports_are_whole(spark):
+    system = laws.System.loads(SYSTEM)
+    protos = spark.createDataFrame([(f"k{k:03d}", "tota") for k in range(130)], "skey string, form string")
+    known = protos.select("skey", F.lit("de").alias("lang"), F.lit("nope").alias("form"))
+    detail = laws.evaluate(protos, known, system)
+    parts = list(laws.report_parts(detail, system))
+    assert len(parts) == 131 and "(k129)" in parts[129] and "130 errors" in parts[130]
+    assert [p for p in laws.report_parts(detail, system, limit=2)][2] == "128 more sets"
+    assert laws.report(detail, system, errors_only=True).count("wrong") == 130
+
+
+def test_distances_are_joined(spark):
+    segs = ["a", "p", "v", "w", "tʰ", "t͡s", "?", "g", "aː", None]
+    df = spark.createDataFrame([(x, y, 1) for x in segs for y in segs], "a string, b string, _a int")
+    got = {(r["a"], r["b"]): r["cost"] for r in phonology.with_distance(df.drop("_a")).collect()}
+    for (x, y), cost in got.items():
+        assert cost == pytest.approx(phonology.distance(x, y) if x and y else phonology.UNKNOWN_COST)
+    assert len(got) == len(segs) ** 2
+
+
 def test_law_report(spark, tmp_path):
     system = laws.System.loads(SYSTEM)
     protos = spark.createDataFrame([("k", "tota"), ("l", "tota"), ("m", None), ("n", "")], "skey string, form string")
