@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections import Counter
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.phonology import FEATURES, features
+from ..sources.kept import kept
 
 Spec = dict[str, int]
 #: A word's edge, as a context and as a specification.
@@ -90,49 +90,119 @@ def generalize(one: Occurrences, other: Occurrences) -> tuple[Spec | None, Spec
     return minimal_features(a, x), minimal_features(b, y)
 
 
-def _sets(group: pd.DataFrame) -> list[tuple[str, Occurrences]]:
-    group = group.astype(object).where(group.notna(), None)
-    return [(k, list(zip(g["left"], g["right"], strict=True))) for k, g in group.groupby("set_id", sort=True)]
+_BITS = {f: 1 << k for k, f in enumerate(FEATURES)}
+_PAIRS = [1 << i | 1 << j for i, j in itertools.combinations(range(len(FEATURES)), 2)]
 
 
-def pairwise(rows: DataFrame) -> DataFrame:
-    """(proto_seg, a, b, a_context, b_context) for each two sets of one ancestor segment; rows: (set_id, proto_seg, left, right), each context once. The sets of a segment are one group: as many as its patterns, whatever the words."""
+def segment_masks(rows: DataFrame, column: str) -> DataFrame:
+    """(seg, plus, minus) of the kinds of segments that the column holds: a bit for each feature that one has, and that it lacks; none for unknown ones."""
+
+    @F.pandas_udf("struct<plus: long, minus: long>")
+    def bits(segs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([masks(s) or (None, None) for s in segs], columns=["plus", "minus"], dtype="Int64")
+
+    kinds = rows.select(F.col(column).alias("seg")).where("seg is not null").distinct()
+    return kinds.select("seg", bits("seg").alias("m")).select("seg", "m.*").where("plus is not null")
+
+
+def _longs(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _without(bits: Column, other: Column) -> Column:
+    return bits.bitwiseAND(F.bitwise_not(other))
+
+
+def least_features(own: Column, edge: Column, kinds: Column) -> Column:
+    """minimal_features as a column: struct<edge: boolean, bits: long>, or null. own: a side of a set (see sides_of); edge, kinds: whether an edge is among the negative ones, and the masks of those that are known."""
+    zero = F.lit(0).cast("long")
+    common = own["plus"].bitwiseOR(own["minus"])
+
+    def chosen(shared: Column) -> Column:
+        # a choice tells a negative segment apart unless that one shares all of it
+        apart = lambda bits: F.forall(shared, lambda x: _without(bits, x) != zero)
+        among = lambda choices: F.get(F.filter(_longs(choices), lambda b: (_without(b, common) == zero) & apart(b)), F.lit(0))
+        return F.coalesce(among(list(_BITS.values())), among(_PAIRS), F.when((common != zero) & apart(common), common))
 
-    def work(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        held = [(s, *sides(own)) for s, own in _sets(group)]
-        out = []
-        for (a, left, right), (b, x, y) in itertools.combinations(held, 2):
-            out.append((key[0], a, b, describe(minimal_features(left, x), minimal_features(right, y)), describe(minimal_features(x, left), minimal_features(y, right))))
-        return pd.DataFrame(out, columns=["proto_seg", "a", "b", "a_context", "b_context"])
+    shared = F.transform(kinds, lambda x: x["plus"].bitwiseAND(own["plus"]).bitwiseOR(x["minus"].bitwiseAND(own["minus"])))
+    bits = F.get(F.transform(F.array(shared), chosen), F.lit(0))
+    spec = lambda edge, bits: F.struct(edge.alias("edge"), bits.alias("bits"))
+    return F.when(own["edge"] & ~edge, spec(F.lit(True), zero)).when(own["known"] & bits.isNotNull(), spec(F.lit(False), bits))
 
+
+def described(left: Column, right: Column, own_left: Column, own_right: Column) -> Column:
+    """describe as a column: specifications by least_features, and the sides that they are of."""
+    names = F.array(*[F.struct(F.lit(f).alias("name"), F.lit(_BITS[f]).cast("long").alias("bit")) for f in sorted(FEATURES)])
+
+    def side(spec: Column, own: Column, edge: str, place: str) -> Column:
+        has = lambda bits, f: bits.bitwiseAND(f["bit"]) != F.lit(0).cast("long")
+        held = F.transform(F.filter(names, lambda f: has(spec["bits"], f)), lambda f: F.concat(F.when(has(own["plus"], f), "+").otherwise("-"), f["name"]))
+        return F.when(spec.isNotNull(), F.when(spec["edge"], edge).otherwise(F.concat(F.lit(f"{place} ["), F.array_join(held, ", "), F.lit("]"))))
+
+    parts = F.array_compact(F.array(side(left, own_left, "word-initially", "after"), side(right, own_right, "word-finally", "before")))
+    return F.when(F.size(parts) > 0, F.array_join(parts, " and ")).otherwise("no distinguishing context")
+
+
+def sides_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (set_id, proto_seg, left, right): (proto_seg, set_id, contexts, l, r), where contexts is how many there are and a side is struct<edge, known: boolean, plus, minus: long, kinds: array<struct<plus, minus>>, segs>: the features that all its segments share, by bit_and, the masks of its segments and their names; and (proto_seg, side, seg, n, plus, minus): in how many sets a segment is. A side has as many entries as there are kinds of segments."""
     distinct = rows.select("set_id", "proto_seg", "left", "right").distinct()
-    return distinct.groupBy("proto_seg").applyInPandas(work, "proto_seg string, a string, b string, a_context string, b_context string")
+    pair = lambda side, seg: F.struct(F.lit(side).alias("side"), F.col(seg).alias("seg"))
+    each = distinct.select("proto_seg", "set_id", F.explode(F.array(pair(0, "left"), pair(1, "right"))).alias("x")).select("proto_seg", "set_id", "x.*").distinct()
+    each = kept(each.join(segment_masks(each, "seg"), "seg", "left"))
+    mask = F.when(F.col("plus").isNotNull(), F.struct("plus", "minus"))
+    # bit_and and collect_set pass over nulls
+    side = each.groupBy("proto_seg", "set_id", "side").agg(F.max(F.col("seg").isNull()).alias("edge"), (F.count("plus") > 0).alias("known"), F.bit_and("plus").alias("plus"), F.bit_and("minus").alias("minus"), F.collect_set(mask).alias("kinds"), F.collect_set(F.coalesce("seg", F.lit(EDGE))).alias("segs"))
+    own = F.struct("edge", "known", "plus", "minus", "kinds", "segs")
+    both = side.groupBy("proto_seg", "set_id").agg(*[F.first(F.when(F.col("side") == k, own), ignorenulls=True).alias(n) for k, n in ((0, "l"), (1, "r"))])
+    sizes = distinct.groupBy("proto_seg", "set_id").agg(F.count("*").alias("contexts"))
+    often = each.groupBy("proto_seg", "side", "seg").agg(F.count("*").alias("n"), F.max("plus").alias("plus"), F.max("minus").alias("minus"))
+    return sizes.join(both, ["proto_seg", "set_id"]), often
+
+
+def _told(a: str, b: str) -> Column:
+    """What sets a apart from b, in words; both are names of structs with l and r."""
+    of = lambda x, k: F.col(x)[k]
+    specs = [least_features(of(a, k), of(b, k)["edge"], of(b, k)["kinds"]) for k in ("l", "r")]
+    return described(*specs, of(a, "l"), of(a, "r"))
+
+
+def pairwise(rows: DataFrame) -> DataFrame:
+    """(proto_seg, a, b, a_context, b_context) for each two sets of one ancestor segment; rows: (set_id, proto_seg, left, right), each context once. The pairs are the result; each is a row of built-in expressions over the bits of its two sets."""
+    sets, _ = sides_of(rows)
+    sets = kept(sets.select("proto_seg", "set_id", F.struct("l", "r").alias("x")))
+    one, other = (sets.select("proto_seg", F.col("set_id").alias(n), F.col("x").alias(f"x{n}")) for n in ("a", "b"))
+    pairs = one.join(other, "proto_seg").where("a < b")
+    return pairs.select("proto_seg", "a", "b", _told("xa", "xb").alias("a_context"), _told("xb", "xa").alias("b_context"))
 
 
 def default_and_conditioned(rows: DataFrame) -> DataFrame:
     """(proto_seg, set_id, is_default, score, context): the least restricted set of each ancestor segment, and what sets the others apart from it.
 
     A set's score is the number of features that tell it from all others, less a tenth for each
-    different context it has; the lowest is the default, the first of equals.
+    different context it has; the lowest is the default, the first of equals. What stands beside
+    other sets is all that stands beside more sets than this one: the segments of a sound are
+    counted once, and each set is compared with these counts, not with each other set.
     """
-    size = lambda spec: sum(f != EDGE for f in spec or ())
-
-    def work(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        sets = _sets(group)
-        held = [sides(own) for _, own in sets]
-        often = [Counter(x for h in held for x in h[k]) for k in (0, 1)]
-        scores = []
-        for own, contexts in zip(held, (c for _, c in sets), strict=True):
-            # what stands beside other sets: all that is seen beside more sets than this one
-            others = [[x for x, n in often[k].items() if n > (x in own[k])] for k in (0, 1)]
-            specs = [minimal_features(own[k], others[k]) if len(sets) > 1 else None for k in (0, 1)]
-            scores.append(sum(map(size, specs)) - 0.1 * len(set(contexts)))
-        best = scores.index(min(scores))
-        out = [(key[0], s, k == best, round(scores[k], 6), "default" if k == best else describe(*(minimal_features(held[k][j], held[best][j]) for j in (0, 1)))) for k, (s, _) in enumerate(sets)]
-        return pd.DataFrame(out, columns=["proto_seg", "set_id", "is_default", "score", "context"])
-
-    distinct = rows.select("set_id", "proto_seg", "left", "right").distinct()
-    return distinct.groupBy("proto_seg").applyInPandas(work, "proto_seg string, set_id string, is_default boolean, score double, context string")
+    sets, often = sides_of(rows)
+    sets = kept(sets)
+    entry = F.struct("seg", "n", "plus", "minus")
+    # an entry for each kind of segment
+    around = often.groupBy("proto_seg").agg(*[F.collect_list(F.when(F.col("side") == k, entry)).alias(f"all_{n}") for k, n in ((0, "l"), (1, "r"))])
+    many = sets.groupBy("proto_seg").agg(F.count("*").alias("sets"))
+    both = sets.join(around, "proto_seg").join(many, "proto_seg")
+
+    def size(n: str) -> Column:
+        own = F.col(n)
+        others = F.filter(F.col(f"all_{n}"), lambda x: x["n"] > F.array_contains(own["segs"], F.coalesce(x["seg"], F.lit(EDGE))).cast("int"))
+        kinds = F.transform(F.filter(others, lambda x: x["plus"].isNotNull()), lambda x: F.struct(x["plus"].alias("plus"), x["minus"].alias("minus")))
+        spec = least_features(own, F.exists(others, lambda x: x["seg"].isNull()), kinds)
+        return F.when(F.col("sets") > 1, F.coalesce(F.bit_count(spec["bits"]), F.lit(0))).otherwise(0)
+
+    scored = kept(both.select("proto_seg", "set_id", F.struct("l", "r").alias("own"), (size("l") + size("r") - F.lit(0.1) * F.col("contexts")).alias("raw")))
+    best = scored.groupBy("proto_seg").agg(F.min(F.struct("raw", "set_id", "own")).alias("x")).select("proto_seg", F.col("x.set_id").alias("first"), F.col("x.own").alias("best"))
+    is_default = F.col("set_id") == F.col("first")
+    context = F.when(is_default, "default").otherwise(_told("own", "best"))
+    return scored.join(best, "proto_seg").select("proto_seg", "set_id", is_default.alias("is_default"), F.round("raw", 6).alias("score"), context.alias("context"))
 
 
 def analyse_phoneme(found: DataFrame, phoneme: str) -> dict:

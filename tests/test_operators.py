@@ -184,6 +184,37 @@ def test_laws(spark):
     assert "???" == laws.MISSING and "\033" in laws.colored_diff("abc", "abd")
 
 
+def test_features_by_bits_are_those_of_the_search(spark):
+    """Random contexts of many sounds, with edges and unknown segments, each two sets against the search over all choices."""
+    rng = random.Random(21)
+    kinds = ["a", "e", "i", "u", "p", "t", "k", "s", "m", "n", "tʰ", "aː", "?", "ц", None]
+    rows, held = [], {}
+    for sound in range(40):
+        few = rng.sample(kinds, rng.randint(2, 9))
+        for k in range(rng.randint(1, 5)):
+            own = {(rng.choice(few), rng.choice(few)) for _ in range(rng.randint(1, 6))}
+            held[f"p{sound}", f"s{k}"] = list(own)
+            rows += [(f"s{k}", f"p{sound}", a, b) for a, b in own]
+    df = spark.createDataFrame(rows + rows[:50], "set_id string, proto_seg string, left string, right string")
+    told = lambda one, other: generalize.describe(*generalize.generalize(one, other))
+    got = {(r["proto_seg"], r["a"], r["b"]): (r["a_context"], r["b_context"]) for r in generalize.pairwise(df).collect()}
+    assert got == {(p, a, b): (told(x, y), told(y, x)) for (p, a), x in held.items() for (q, b), y in held.items() if p == q and a < b}
+    found = {(r["proto_seg"], r["set_id"]): r for r in generalize.default_and_conditioned(df).collect()}
+    assert found.keys() == held.keys()
+    for p in {p for p, _ in held}:
+        sets = {s: own for (q, s), own in held.items() if q == p}
+        scores = {}
+        for s, own in sets.items():
+            others = [c for o, cs in sets.items() if o != s for c in cs]
+            specs = generalize.generalize(own, others) if others else (None, None)
+            scores[s] = sum(f != generalize.EDGE for spec in specs for f in spec or ()) - 0.1 * len(own)
+        default = min(sorted(scores), key=lambda s: scores[s])
+        for s in sets:
+            r = found[p, s]
+            assert (r["is_default"], r["score"]) == (s == default, pytest.approx(scores[s]))
+            assert r["context"] == ("default" if s == default else told(sets[s], sets[default]))
+
+
 def test_a_tree_of_many_laws(spark):
     """100 laws over nested nodes and 24 leaves, one of them with several parents and laws that aren't defined: each law stands in one step, and results are those of each path by itself."""
     rng = random.Random(12)
