@@ -34,11 +34,14 @@ MOST_SENT = 2_000_000
 SYMBOLS = r"[#*$%&|<>]+"
 
 
-def _pairs_and_words(hashes: Column) -> Column:
-    """Buckets of all words and of all pairs of neighbours."""
-    n = F.size(hashes)
-    pairs = F.zip_with(F.slice(hashes, 1, F.greatest(n - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))
-    return F.concat(F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")), pairs)
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
+
+
+def _pair_buckets(hashes: Column) -> Column:
+    """Buckets of all pairs of neighbours."""
+    n = F.greatest(F.size(hashes) - 1, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), lambda a, b: _bucket(F.xxhash64(a, b)))
 
 
 def _word_hashes(words: Column) -> Column:
@@ -54,7 +57,7 @@ def fit_ratios(docs: DataFrame, trusted: str, text_column: str = "text") -> list
     """For each fold the log ratios of all buckets, in hundredths, with commas between: of target (rows whose column trusted is true) to raw (all rows), without the fold's own. Spark sums the counts of all texts and puts the tables together: BUCKETS rows, and one text a fold for the driver. Without a target all ratios are zero."""
     fold, flag = fold_of(docs[text_column]), F.coalesce(docs[trusted], F.lit(False)).cast("int")
     hashes = docs.select((2 * fold + flag).alias("part"), _word_hashes(words_column(docs[text_column])).alias("h"))
-    grams = hashes.select("part", F.explode(_pairs_and_words(F.col("h"))).alias("bucket"))
+    grams = hashes.select("part", F.explode(F.concat(F.transform("h", _bucket), _pair_buckets(F.col("h")))).alias("bucket"))
     # bucket, fold and flag as one number, which is cheap to count by
     counts = grams.groupBy((F.col("bucket") * (2 * FOLDS) + F.col("part")).alias("key")).count()
     counts = counts.select(F.expr(f"key div {2 * FOLDS}").cast("int").alias("bucket"), F.expr(f"key % {2 * FOLDS} div 2").alias("fold"), (F.col("key") % 2 * F.col("count")).alias("t"), F.col("count").alias("r"))
@@ -77,7 +80,13 @@ def _score(hashes: Column, fold: Column, ratios: list[str]) -> Column:
     tables = [F.split(F.lit(t), ",").cast("array<int>") for t in ratios]
     chosen = functools.reduce(lambda rest, k: F.when(fold == k, tables[k]).otherwise(rest), range(FOLDS - 1), tables[-1])
     n = F.size(hashes)
-    total = let(chosen, lambda table: F.aggregate(_pairs_and_words(hashes), F.lit(0).cast("long"), lambda a, b: a + F.get(table, b)))
+    ratio = lambda table, bucket: F.get(table, bucket.cast("int"))
+
+    def total_by(table: Column) -> Column:
+        words = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + ratio(table, _bucket(h)))
+        return F.aggregate(_pair_buckets(hashes), words, lambda a, b: a + ratio(table, b))
+
+    total = let(chosen, total_by)
     return F.when(n > 0, total / F.greatest(2 * n - 1, F.lit(1)) / 100.0).otherwise(F.lit(0.0))
 
 
