@@ -105,6 +105,11 @@ def segment_masks(rows: DataFrame, column: str) -> DataFrame:
     return kinds.select("seg", bits("seg").alias("m")).select("seg", "m.*").where("plus is not null")
 
 
+def _once(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _longs(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
@@ -125,9 +130,9 @@ def least_features(own: Column, edge: Column, kinds: Column) -> Column:
         return F.coalesce(among(list(_BITS.values())), among(_PAIRS), F.when((common != zero) & apart(common), common))
 
     shared = F.transform(kinds, lambda x: x["plus"].bitwiseAND(own["plus"]).bitwiseOR(x["minus"].bitwiseAND(own["minus"])))
-    bits = F.get(F.transform(F.array(shared), chosen), F.lit(0))
     spec = lambda edge, bits: F.struct(edge.alias("edge"), bits.alias("bits"))
-    return F.when(own["edge"] & ~edge, spec(F.lit(True), zero)).when(own["known"] & bits.isNotNull(), spec(F.lit(False), bits))
+    found = _once(_once(shared, chosen), lambda bits: F.when(bits.isNotNull(), spec(F.lit(False), bits)))
+    return F.when(own["edge"] & ~edge, spec(F.lit(True), zero)).when(own["known"], found)
 
 
 def described(left: Column, right: Column, own_left: Column, own_right: Column) -> Column:
@@ -139,8 +144,10 @@ def described(left: Column, right: Column, own_left: Column, own_right: Column)
         held = F.transform(F.filter(names, lambda f: has(spec["bits"], f)), lambda f: F.concat(F.when(has(own["plus"], f), "+").otherwise("-"), f["name"]))
         return F.when(spec.isNotNull(), F.when(spec["edge"], edge).otherwise(F.concat(F.lit(f"{place} ["), F.array_join(held, ", "), F.lit("]"))))
 
-    parts = F.array_compact(F.array(side(left, own_left, "word-initially", "after"), side(right, own_right, "word-finally", "before")))
-    return F.when(F.size(parts) > 0, F.array_join(parts, " and ")).otherwise("no distinguishing context")
+    one = _once(left, lambda x: side(x, own_left, "word-initially", "after"))
+    other = _once(right, lambda x: side(x, own_right, "word-finally", "before"))
+    said = _once(F.array_compact(F.array(one, other)), lambda parts: F.when(F.size(parts) > 0, F.array_join(parts, " and ")))
+    return F.coalesce(said, F.lit("no distinguishing context"))
 
 
 def sides_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
