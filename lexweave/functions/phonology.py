@@ -16,7 +16,7 @@ GAP, UNKNOWN_COST = 3.0, 100.0
 
 #: Segment classes: features that hold and (after a slash) that don't apply; all others are -1.
 _CLASSES = {
-    "syl son cont voi": {"i": "hi", "y": "hi round lab", "e": "", "ø": "round lab", "ɛ": "", "œ": "round lab", "a": "lo", "æ": "lo", "ɐ": "lo", "ə": "", "ɨ": "hi back", "ɯ": "hi back", "u": "hi back round lab", "o": "back round lab", "ɔ": "back round lab", "ʌ": "back", "ɑ": "lo back", "ɪ": "hi", "ʊ": "hi back round lab"},
+    "syl son cont voi": {"i": "hi", "y": "hi round lab", "e": "", "ø": "round lab", "ɛ": "", "œ": "round lab", "a": "lo", "æ": "lo", "ɐ": "lo", "ə": "", "ɨ": "hi back", "ɯ": "hi back", "u": "hi back round lab", "o": "back round lab", "ɔ": "back round lab", "ʌ": "back", "ɑ": "lo back", "ɪ": "hi", "ʊ": "hi back round lab", "ʉ": "hi round lab", "ʏ": "hi round lab", "ɘ": "", "ɵ": "round lab", "ɤ": "back", "ɜ": "", "ɞ": "round lab", "ɶ": "lo round lab", "ɒ": "lo back round lab"},
     "cons": {"p": "ant lab", "t": "ant cor", "ʈ": "cor", "c": "hi", "k": "hi back", "q": "back", "ʔ": "lo"},
     "cons voi": {"b": "ant lab", "d": "ant cor", "ɖ": "cor", "ɟ": "hi", "ɡ": "hi back", "ɢ": "back"},
     "cons cont": {"f": "ant lab strid", "θ": "ant cor", "s": "ant cor strid", "ʂ": "cor strid", "ʃ": "cor strid hi", "ɕ": "cor strid hi ant", "x": "hi back", "h": "sg", "ɬ": "ant cor lat", "ç": "hi"},
@@ -63,6 +63,24 @@ def features(segment: str) -> tuple[tuple[str, int], ...] | None:
     return tuple(out.items())
 
 
+def is_vowel(letter: str) -> bool:
+    """Whether the table has the letter as the peak of a syllable."""
+    held = features(letter)
+    return held is not None and dict(held)["syl"] == 1
+
+
+def is_consonant(letter: str) -> bool:
+    """Any other letter: one that the table doesn't have counts too."""
+    return unicodedata.category(letter).startswith("L") and not is_vowel(letter)
+
+
+@functools.cache
+def inventory() -> str:
+    """All single letters that the table has features for: its own, other spellings of them, and lower-case letters with marks that are built on one."""
+    marked = (c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c.islower() and features(c) is not None)
+    return "".join(dict.fromkeys([*BASE, *ALIASES, *marked]))
+
+
 def canonical(segment: str) -> str:
     """v counts as w, and ɹ as r."""
     return {"v": "w", "ɹ": "r"}.get(segment, segment)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .phonology import inventory, is_vowel
+
 TIE, LONG, ASPIRATED = "͡", "ː", "ʰ"
 #: Combining tone marks, tone digits, retroflex letters and affricates.
 TONE_MARKS = "̀́̂̌̄̋̏᷄᷅᷈"
@@ -17,12 +19,11 @@ UNDERDOT, RETROFLEX = "̣", {"t": "ʈ", "d": "ɖ", "s": "ʂ", "z": "ʐ", "n": "
 AFFRICATES = ["ts", "dz", "tʃ", "dʒ", "tɕ", "dʑ", "tθ", "dð", "pf", "bv", "kx", "ɡɣ", "tɬ", "dɮ"]
 #: Letters that h aspirates, and second parts of affricates that it does behind a tie.
 ASPIRABLE, AFFRICATE_ENDS = "pbtdkgɡcɟqɢʔʈɖ", "szʃʒɕʑθðfvxɣɬɮ"
-#: Vowel letters; letters with marks count as the letter they are built on.
-PLAIN_VOWELS = "aeiouyɨʉɯɪʏʊøɘɵɤəɛœɜɞʌɔæɐɶɑɒ"
-MARKED_VOWELS = "".join(c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c.islower() and len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0] in PLAIN_VOWELS)
-VOWELS = PLAIN_VOWELS + MARKED_VOWELS
+#: Vowel letters, by the table of features; letters with marks count as the letter they are built on.
+VOWELS = "".join(c for c in inventory() if is_vowel(c))
 CONSONANT = rf"[\p{{L}}&&[^{VOWELS}]]"
-SEGMENT = rf"(?:\p{{L}}{TIE})?\p{{L}}[{ASPIRATED}{LONG}\p{{M}}]*"
+#: The longest run that is one segment: a letter of the inventory, or two with a tie, with its marks. Other characters are passed over.
+SEGMENT = rf"(?:[{inventory()}]{TIE})?[{inventory()}][{ASPIRATED}{LONG}\p{{M}}]*"
 
 
 def strip_marks(text: str) -> str:
@@ -121,6 +122,7 @@ def strong(form: Column, index: Column) -> Column:
 
 
 def segments(form: Column) -> Column:
+    """The segments of a form, by the inventory; what it doesn't have is dropped."""
     return F.regexp_extract_all(form, F.lit(SEGMENT), F.lit(0))
 
 

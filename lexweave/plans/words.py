@@ -104,7 +104,11 @@ def morph_split_raw(spark, sf_dir):
     return _applied(spark, sf_dir, lambda c: F.array_join(tx.raw_morphs(F.replace(c, F.lit("e"), F.lit("- "))), "/"))
 
 
-@query(WORDS_SQL + r"""SELECT lang, form, CAST(k - 1 AS INTEGER) AS place, s[k] AS seg FROM (SELECT lang, form, regexp_extract_all(form, '(?:\p{L}\x{0361})?\p{L}[\x{02B0}\x{02D0}\p{M}]*') AS s FROM words), range(1, 200) r(k) WHERE k <= len(s)""")
+#: The letters of the inventory as a table, and the letters of a form one by one: words of texts have no other marks than those of their letters.
+INVENTORY_SQL = "inventory AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}')" for c in ph.inventory()) + ") t(letter))"
+
+
+@query(WORDS_SQL.rstrip() + f", {INVENTORY_SQL}, letters AS (SELECT lang, form, i, substr(form, i, 1) AS letter FROM words, range(1, 400) r(i) WHERE i <= length(form)) SELECT lang, form, CAST(row_number() OVER (PARTITION BY lang, form ORDER BY i) - 1 AS INTEGER) AS place, letter AS seg FROM letters SEMI JOIN inventory USING (letter)")
 def segments_exploded(spark, sf_dir):
     return word_lexicon(spark, sf_dir).select("lang", "form", F.posexplode(tx.segments(F.col("form"))).alias("place", "seg"))
 

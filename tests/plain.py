@@ -14,17 +14,21 @@ TONES = set("̀́̂̌̄̋̏᷄᷅᷈")
 VOWEL_BASES = set("aeiouyɨʉɯɪʏʊøɘɵɤəɛœɜɞʌɔæɐɶɑɒ")
 
 
+def known(letter):
+    """A letter of the inventory: lower case, in the table by itself or by what it is built on."""
+    return letter in ph.BASE or letter in "gß" or (letter.islower() and regex.match(r"\p{Ll}", letter) is not None and (0xC0 <= ord(letter) < 0x250 or 0x1E00 <= ord(letter) < 0x1F00) and unicodedata.normalize("NFD", letter)[0] in {*ph.BASE, "g"})
+
+
 def segments(form):
     out, k = [], 0
     letters = list(form or "")
     while k < len(letters):
-        if not regex.match(r"\p{L}", letters[k]):
+        if not known(letters[k]):
             k += 1
             continue
-        # a modifier letter is a letter too, where it has nothing to modify
         cluster = letters[k]
         k += 1
-        if k + 1 < len(letters) and letters[k] == TIE and regex.match(r"\p{L}", letters[k + 1]):
+        if k + 1 < len(letters) and letters[k] == TIE and known(letters[k + 1]):
             cluster += letters[k] + letters[k + 1]
             k += 2
         while k < len(letters) and (letters[k] in "ʰː" or regex.match(r"\p{M}", letters[k])):

@@ -48,3 +48,12 @@ def test_syllables(word, parts):
 def test_parse_syllable():
     assert ph.parse_syllable(list("tran")) == ("tr", "a", "n")
     assert ph.parse_syllable([]) == ("", "", "")
+
+
+def test_inventory():
+    from lexweave.functions import phonology as ph
+    from lexweave.functions import text as tx
+
+    assert all(ph.features(c) is not None for c in ph.inventory()) and {*"aptgßéñçɒʔ"} <= {*ph.inventory()} and not {*"AцʰʼͰ"} & {*ph.inventory()}
+    assert all(ph.is_vowel(c) for c in tx.VOWELS) and {*"aeiouyéüɒʉ"} <= {*tx.VOWELS} and not {*"ptnjwgц"} & {*tx.VOWELS}
+    assert ph.is_consonant("p") and ph.is_consonant("ц") and not ph.is_consonant("a") and not ph.is_consonant("1")

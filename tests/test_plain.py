@@ -141,7 +141,7 @@ def test_words_in_normal_form_and_syllables(spark, sf_dir):
     assert {(r["lang"], r["syllable"]) for r in rows(spark, sf_dir, "syllable_inventory")} == inventory
 
 
-ODD = ["ḍa ṭha-ṣoo", "ṭá", "d͡zhya", "tshya-ky ay", "ngaa ngg", "ǘǜ", "yy y-y", "pʰh", "ñå", "ḷ̤a", "  x ", "-", "ts͡h", "aaaa", "ÿÿ", "h", "ʈhɖh", "ɡɣh", "kxhy"]
+ODD = ["ḍa ṭha-ṣoo", "ṭá", "d͡zhya", "tshya-ky ay", "ngaa ngg", "ǘǜ", "yy y-y", "pʰh", "ñå", "ḷ̤a", "  x ", "-", "ts͡h", "aaaa", "ÿÿ", "h", "ʈhɖh", "ɡɣh", "kxhy", "цaʰ漢", "t͡ц", "ц͡ta", "ʰa", "aBc", "ɒʉ", "ßg", "ṩə", "x̌ː1"]
 
 
 def test_odd_forms(spark):
