@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.kept import kept
 from .align import best_morpheme_by_features
 
 UPLOAD, CREATED = -1, -2
@@ -123,6 +125,18 @@ def backfill(reflexes: DataFrame, normal: Normal) -> tuple[DataFrame, dict]:
     return out, {"total": total, "missing": missing, "remaining": out.agg(empty(F.col("ipaform"))).first()[0] if missing else 0, "samples": [tuple(r) for r in samples]}
 
 
+def numbered(rows: DataFrame, *order: str, first: int = 0) -> DataFrame:
+    """rows with the column number, from first on in the order of the columns, which equal rows share in any way. Rows are sorted by range and numbered within each range; how many stand before a range is a number for each task."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # a partition's rows have the numbers from its own times 2 ** 33 on
+    placed = kept(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = sorted((r["part"], r["count"]) for r in placed.groupBy(part.alias("part")).count().collect())
+    before = dict(zip((p for p, _ in sizes), itertools.accumulate((n for _, n in sizes), initial=first), strict=False))
+    starts = rows.sparkSession.createDataFrame(list(before.items()), "_part long, _before long")
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("number"))
+
+
 def upload(reflexes: DataFrame, languages: DataFrame, ancestry: DataFrame, entries: DataFrame, name: str, plangids: list[str], first_refid: int, normal) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables with the entries (gloss, form) of one language, which is found by its name or added; ids that aren't whole numbers are skipped."""
     spark = reflexes.sparkSession
@@ -134,7 +148,6 @@ def upload(reflexes: DataFrame, languages: DataFrame, ancestry: DataFrame, entri
     if edges:
         new = spark.createDataFrame(edges, "langid long, plangid long").distinct()
         ancestry = ancestry.unionByName(new.join(ancestry, ["langid", "plangid"], "left_anti"), allowMissingColumns=True)
-    # by a total order, so that a repeated run gives the same numbers; an upload is one file
-    number = F.row_number().over(Window.orderBy("gloss", "form")) - 1 + first_refid
-    rows = entries.select(number.cast("long").alias("refid"), F.lit(langid).cast("long").alias("langid"), F.lit(UPLOAD).cast("long").alias("sourceid"), "form", "gloss", normal(F.col("form")).alias("ipaform"))
+    # by a total order, so that a repeated run gives the same numbers
+    rows = numbered(entries, "gloss", "form", first=first_refid).select(F.col("number").alias("refid"), F.lit(langid).cast("long").alias("langid"), F.lit(UPLOAD).cast("long").alias("sourceid"), "form", "gloss", normal(F.col("form")).alias("ipaform"))
     return reflexes.unionByName(rows, allowMissingColumns=True), languages, ancestry

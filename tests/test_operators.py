@@ -520,6 +520,39 @@ def test_lexicon_files(spark, tmp_path):
     assert lines == " a\n\tb\nc\nd,\ne"
 
 
+def test_large_files_are_read_by_several_tasks(spark, tmp_path):
+    """Files of some megabytes in blocks of a quarter: one with a byte beyond UTF-8 in its last line, one without, one with commas after many blank lines and Windows line ends."""
+    line = "gloss {0}\tfóo{0}\n"
+    body = "".join(line.format(k) for k in range(60_000)).encode()
+    (tmp_path / "utf.tsv").write_bytes(body)
+    (tmp_path / "latin.tsv").write_bytes(body.decode().encode("latin-1")[:-1] + b"\xff\n")
+    (tmp_path / "comma.csv").write_bytes(b"\r\n \r\n" * 100_000 + "a,b\r\nc,é\te\r\nd, \r\n".encode())
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in before:
+            spark.conf.set(c, str(1 << 18))
+        found = files.read_lexicon(spark, str(tmp_path)).withColumn("name", F.substring_index("path", "/", -1)).withColumn("task", F.spark_partition_id())
+        seen = {r["name"]: r for r in found.groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("form").alias("forms"), F.max("form").alias("last"), F.collect_set(F.substring("form", 1, 3)).alias("heads")).collect()}
+        assert (seen["utf.tsv"]["n"], seen["utf.tsv"]["forms"], seen["utf.tsv"]["heads"]) == (60_000, 60_000, ["fóo"])
+        assert (seen["latin.tsv"]["n"], seen["latin.tsv"]["heads"]) == (60_000, ["fóo"])
+        assert found.where("name = 'latin.tsv' and gloss = 'gloss 59999'").first()["form"].endswith("ÿ")
+        assert {(r["gloss"], r["form"]) for r in found.where("name = 'comma.csv'").collect()} == {("a", "b"), ("c", "é\te")}
+        assert spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions() > 10
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_numbers_in_order(spark):
+    rng = random.Random(17)
+    rows = [(rng.choice("abcdef"), rng.choice(["x", "y", None])) for _ in range(500)]
+    df = spark.createDataFrame(rows, "gloss string, form string").repartition(7)
+    got = sorted((r["number"], r["gloss"], r["form"]) for r in edits.numbered(df, "gloss", "form", first=40).collect())
+    assert [n for n, *_ in got] == list(range(40, 540))
+    assert [g for _, *g in got] == [list(x) for x in sorted(rows, key=lambda x: (x[0], x[1] is not None, x[1] or ""))]
+    assert edits.numbered(df.limit(0), "gloss").count() == 0
+
+
 def test_rankings_and_pages(spark, tmp_path):
     first, second = (spark.createDataFrame([(k, 0.5)], "refid long, sim double") for k in (1, 2))
     files.write_ranking(first, str(tmp_path / "r"))
