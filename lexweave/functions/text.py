@@ -22,8 +22,10 @@ ASPIRABLE, AFFRICATE_ENDS = "pbtdkgɡcɟqɢʔʈɖ", "szʃʒɕʑθðfvxɣɬɮ"
 #: Vowel letters, by the table of features; letters with marks count as the letter they are built on.
 VOWELS = "".join(c for c in inventory() if is_vowel(c))
 CONSONANT = rf"[\p{{L}}&&[^{VOWELS}]]"
-#: The longest run that is one segment: a letter of the inventory, or two with a tie, with its marks. Other characters are passed over.
-SEGMENT = rf"(?:[{inventory()}]{TIE})?[{inventory()}][{ASPIRATED}{LONG}\p{{M}}]*"
+#: Letters of the inventory, and their capitals, which forms that aren't transcribed have: segments without features.
+LETTERS = inventory() + "".join(dict.fromkeys(c.upper() for c in inventory() if len(c.upper()) == 1 and c.upper() != c))
+#: The longest run that is one segment: a letter, or two with a tie, with its marks. Other characters are passed over.
+SEGMENT = rf"(?:[{LETTERS}]{TIE})?[{LETTERS}][{ASPIRATED}{LONG}\p{{M}}]*"
 
 
 def strip_marks(text: str) -> str:

@@ -279,11 +279,12 @@ def _products(batch: pd.DataFrame, turn: np.ndarray) -> tuple[np.ndarray, np.nda
 def whitened_sparse(rows: DataFrame, dims: int, features: int, seed: int = 7) -> DataFrame:
     """(id, v): what whitened_pca gives for sparse rows (id, at, w), at below features; no row is ever made dense.
 
-    The strongest directions of the rows about their mean are found by subspace iteration from
-    random ones: in each round the tasks multiply their rows with the directions and back, Spark sums
-    what comes out for each place, and the driver makes the result orthogonal: features times dims
-    numbers, whatever the rows. Eigenvectors of the covariance within the last subspace are the
-    components. Equally strong directions may come out turned in their plane.
+    The strongest directions of the rows about their mean are sought in the space that random ones
+    and their products with the covariance span (a block Krylov space). In each round the tasks
+    multiply their rows with the last directions and back, Spark sums what comes out for each place,
+    and the driver makes the result orthogonal to what it has: features times the directions so far,
+    whatever the rows. Eigenvectors of the covariance within that space are the components; where it
+    is the whole space they are exact. Equally strong directions may come out turned in their plane.
     """
     rows = kept(rows)
     sums = rows.select(F.explode(F.arrays_zip("at", "w")).alias("x")).groupBy("x.at").agg(F.sum("x.w").alias("w")).collect()  # features at most
@@ -298,7 +299,7 @@ def whitened_sparse(rows: DataFrame, dims: int, features: int, seed: int = 7) ->
 
     def covariance_times(turn: np.ndarray) -> np.ndarray:
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((width, size))
+            total = np.zeros(turn.shape)
             for b in batches:
                 row, at, w, out = _products(b, turn)
                 np.add.at(total, at, w[:, None] * out[row])
@@ -307,23 +308,33 @@ def whitened_sparse(rows: DataFrame, dims: int, features: int, seed: int = 7) ->
 
         def add(group: pd.DataFrame) -> pd.DataFrame:
             place, at = np.unique(group["place"].to_numpy(), return_inverse=True)
-            total = np.zeros((len(place), size))
+            total = np.zeros((len(place), turn.shape[1]))
             np.add.at(total, at, np.stack(group["x"].to_list()))
             return pd.DataFrame({"place": place, "x": total.tolist()})
 
         # a row for each task and place
         made = rows.select("at", "w").mapInPandas(work, "part int, place int, x array<double>").groupBy("part").applyInPandas(add, "place int, x array<double>")
-        out = np.zeros((width, size))
+        out = np.zeros(turn.shape)
         for r in made.collect():
             out[r["place"]] = r["x"]
         return out / n - np.outer(mean, mean @ turn)
 
-    for _ in range(TURNS):
-        turn = np.linalg.qr(covariance_times(turn))[0]
-    small = turn.T @ covariance_times(turn)
+    blocks, products = [turn], []
+    while len(products) < TURNS and len(products) < len(blocks):
+        products.append(covariance_times(blocks[-1]))
+        basis = np.hstack(blocks)
+        rest = products[-1]
+        for _ in range(2):  # twice, for rounding
+            rest = rest - basis @ (basis.T @ rest)
+        new, strength, _ = np.linalg.svd(rest, full_matrices=False)
+        new = new[:, strength > 1e-12 * max(np.linalg.norm(products[-1]), 1e-300)][:, : width - basis.shape[1]]
+        if new.shape[1]:
+            blocks.append(new)
+    basis, made = np.hstack(blocks[: len(products)]), np.hstack(products)
+    small = basis.T @ made
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-values, kind="stable")[: min(dims, n, width)]
-    vectors = turn @ vectors[:, order]
+    vectors = basis @ vectors[:, order]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(len(order))])
     final = vectors / np.sqrt(np.maximum(values[order], 1e-12))
     middle = mean @ final

@@ -15,7 +15,11 @@ VOWEL_BASES = set("aeiouyɨʉɯɪʏʊøɘɵɤəɛœɜɞʌɔæɐɶɑɒ")
 
 
 def known(letter):
-    """A letter of the inventory: lower case, in the table by itself or by what it is built on."""
+    """A letter of the inventory, or the capital of one: in the table by itself or by what it is built on."""
+    return known_small(letter) or any(known_small(c) and c.upper() == letter for c in (letter.lower(), *{"ʔ"}) if len(c) == 1)
+
+
+def known_small(letter):
     return letter in ph.BASE or letter in "gß" or (letter.islower() and regex.match(r"\p{Ll}", letter) is not None and (0xC0 <= ord(letter) < 0x250 or 0x1E00 <= ord(letter) < 0x1F00) and unicodedata.normalize("NFD", letter)[0] in {*ph.BASE, "g"})
 
 
