@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,15 +46,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and written as a Parquet table in the shared checkpoint folder, which is smaller than a checkpoint for whole texts."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder from whatever file system holds it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
