@@ -17,7 +17,7 @@ from lexweave.llm.bpe import bpe_encode_decode
 from lexweave.llm.decontaminate import find_benchmark_passages
 from lexweave.llm.quality_rules import fit_ratios, fit_threshold, is_kept, with_quality, with_trusted
 from lexweave.llm.secrets import fit_limits, redact
-from lexweave.llm.shared import delete, ensure_checkpoint_dir, free_name, read, stored
+from lexweave.llm.shared import checkpointed, delete, ensure_checkpoint_dir, free_name, read
 from lexweave.llm.simhash import drop_near_duplicates
 
 
@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the base rules or the n-gram ratio reject go: among them those without words. Ties with the threshold stay."""
     trusted, quality = free_name("_trusted", *docs.columns), free_name("_quality", *docs.columns)
     flagged = with_trusted(docs, read(spark, sf_dir, "labels"), trusted)
-    judged = stored(with_quality(flagged, fit_ratios(flagged, trusted), into=quality))
+    judged = checkpointed(with_quality(flagged, fit_ratios(flagged, trusted), into=quality))
     return judged.where(is_kept(F.col(quality), fit_threshold(judged, trusted, quality))).select(*docs.columns)
 
 
