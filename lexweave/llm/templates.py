@@ -59,6 +59,8 @@ _ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 #: A page's own number in a class or id, which doesn't tell elements of a template apart.
 _NUMBER = re.compile(r"\d{3,}")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: What a class says that an element stands beside, not that it is it.
+_BESIDE = re.compile(r"\b(?:with|without|has|no|show|hide)[-_][a-z]+(?:[-_](?:open|visible|hidden|active|left|right))?|\b[a-z]+[-_](?:open|visible|active)\b")
 
 
 class Element(NamedTuple):
@@ -89,8 +91,8 @@ class Page(NamedTuple):
 
 
 @functools.lru_cache(maxsize=4096)
-def _key_and_role(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """An element's part of a path; whether its text is prose; whether it is a header of its page, which an article's own isn't."""
+def _key_and_role(name: str, attributes: str, by_class: bool) -> tuple[str, bool, bool]:
+    """An element's part of a path; whether its text is prose, by its name and roles and, if asked, its class; whether it is a header of its page, which an article's own isn't."""
     held = {}
     for k, a, b, c, flag in _ATTRIBUTE.findall(attributes):
         held.setdefault((k or flag).lower(), html.unescape(a or b or c))
@@ -101,8 +103,8 @@ def _key_and_role(name: str, attributes: str) -> tuple[str, bool, bool]:
         key += "@" + _NUMBER.sub("#", held["id"]) if held.get("id") else ""
     if held.get("role", "").lower() == "main" and name not in ("main", "article"):
         key += "[main]"
-    words = _CAMEL.sub("-", names).lower()
-    if name in ("html", "body", "main"):
+    words = _BESIDE.sub(" ", _CAMEL.sub("-", names).lower())
+    if name in ("html", "body", "main") or not by_class:
         hinted = False
     elif name == "article":
         hinted = bool(COMMENT_HINTS.search(words))
@@ -114,8 +116,13 @@ def _key_and_role(name: str, attributes: str) -> tuple[str, bool, bool]:
     return key.replace("/", ""), not no_prose, name == "header"
 
 
-def parse(source: str) -> Page:
-    """The blocks and elements of a page. Tags that are missing, doubled or crossed are taken as browsers take them, as far as blocks go."""
+def parse(source: str, by_class: bool = True) -> Page:
+    """The blocks and elements of a page. Tags that are missing, doubled or crossed are taken as browsers take them, as far as blocks go. A page whose classes leave no prose is taken without them."""
+    page = _parse(source, by_class)
+    return page if page.blocks or not by_class else _parse(source, False)
+
+
+def _parse(source: str, by_class: bool) -> Page:
     stack = [Element("", True, "", True, "")]
     blocks: list[Block] = []
     elements: list[tuple[str, bool, str]] = []
@@ -182,9 +189,11 @@ def parse(source: str) -> Page:
             close_open(closed.split(), scope)
         if block:
             end_block()
-        key, prose, header = _key_and_role(name, m.group(3))
+        key, prose, header = _key_and_role(name, m.group(3), by_class)
         over = stack[-1]
-        prose = over.prose and prose and not (header and not over.inside)
+        # an article in a menu or header, or a main part anywhere but in code, is there since a tag hasn't been closed
+        astray = not over.prose and (name == "main" or (name == "article" and next(e.name for e in stack if not e.prose) in ("nav", "header", "menu")))
+        prose = (over.prose or astray) and prose and not (header and not over.inside)
         path = f"{over.path}/{key}" if block else over.path
         inside = over.inside or (path if prose and block and (name in ("article", "main") or key.endswith("[main]")) else "")
         if name in RAW:

@@ -978,6 +978,10 @@ def test_odd_pages(spark, monkeypatch, sent):
         7: ("http://c.example/", "<script>never closed <p>x", ""), 8: ("http://c.example/", "<!-- never closed <p>x", ""),
         9: ("http://d.example/", "<div hidden><p>gone</p></div><p style='display: none'>gone</p><p>" + "long " * 200_000 + "</p>", ("long " * 200_000).strip()),
         10: ("http://e.example/", "<H1>Big</H1><P CLASS=Intro>text<HR>after</P><section id=Comments><article class=comment><p>me too</p></article></section>", "Big\ntext\nafter"),
+        12: ("http://g.example/", "<body class='nav-open'><nav><ul><li>never closed<article class='post has-comments no-sidebar'><h1>T</h1><p>kept</article><div class='with-sidebar'><p>so is this beside it</div>", "T\nkept"),
+        13: ("http://h.example/", "<div class='widget'><p>all of it is in one widget</p><form>but no form</form></div>", "all of it is in one widget"),
+        14: ("http://i.example/", "<header><h1>Site</h1><main><p>main part</main></header><section class=comments><article><p>said</article></section>", "main part"),
+        15: ("http://j.example/", "<div class='page with-sidebar menu-visible'><div class='content no-sidebar'><p>in two columns</p></div><div class=sidebar><p>beside</p></div></div>", "in two columns"),
         11: ("http://f.example/", "a < b and c > d <3 &unknown; &amp", "a < b and c > d <3 &unknown; &"),
     }
     rows = [(k, u, h, "x", None) for k, (u, h, _) in odd.items()]
