@@ -24,8 +24,23 @@ VOWELS = "".join(c for c in inventory() if is_vowel(c))
 CONSONANT = rf"[\p{{L}}&&[^{VOWELS}]]"
 #: Letters of the inventory, and their capitals, which forms that aren't transcribed have: segments without features.
 LETTERS = inventory() + "".join(dict.fromkeys(c.upper() for c in inventory() if len(c.upper()) == 1 and c.upper() != c))
+
+
+def as_ranges(letters: str) -> str:
+    """letters as ranges for a class of a pattern: matching is much quicker than with each by itself."""
+    out: list[list[int]] = []
+    for c in sorted(set(map(ord, letters))):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+#: One of LETTERS; those of ASCII are looked for first.
+LETTER = f"(?:[a-zA-Z]|[{as_ranges(LETTERS)}])"
 #: The longest run that is one segment: a letter, or two with a tie, with its marks. Other characters are passed over.
-SEGMENT = rf"(?:[{LETTERS}]{TIE})?[{LETTERS}][{ASPIRATED}{LONG}\p{{M}}]*"
+SEGMENT = rf"(?:{LETTER}{TIE})?{LETTER}[{ASPIRATED}{LONG}\p{{M}}]*"
 
 
 def strip_marks(text: str) -> str:

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.phonology import GAP, distance, features
 from ..functions.text import SEGMENT, segments
-from ..sources.kept import kept
+from ..sources.kept import kept, spread
 
 _SEGMENT = regex.compile(SEGMENT)
 Cost = Callable[[str, str], float]
@@ -36,9 +37,15 @@ def cost_table(a: list[str], b: list[str], cost: Cost, gap: float) -> list[list[
     for i, x in enumerate(a, 1):
         above, last = table[-1], gap * i
         row = [last]
-        for j, y in enumerate(b):
-            last = min(above[j] + cost(x, y), above[j + 1] + gap, last + gap)
-            row.append(last)
+        # compared one by one, which is much quicker than min in this innermost loop
+        for j, c in enumerate([cost(x, y) for y in b]):
+            best = above[j] + c
+            if (other := above[j + 1] + gap) < best:
+                best = other
+            if (other := last + gap) < best:
+                best = other
+            last = best
+            row.append(best)
         table.append(row)
     return table
 
@@ -91,9 +98,6 @@ def centers(rows: DataFrame, cost: Cost = distance) -> DataFrame:
     return total.groupBy("skey").agg(F.min(F.struct("total", "lang", "form")).alias("x")).select("skey", "x.lang", "x.form")
 
 
-PLACED = "struct<own: array<string>, added: array<array<string>>>"
-
-
 def placed(center: list[str], sequence: list[str], cost: Cost, gap: float) -> tuple[list[str], list[list[str]]]:
     """A sequence aligned to a center: what it has for each of the center's segments ('' for none), and what it has before each of them and behind the last."""
     own: list[str] = []
@@ -126,18 +130,22 @@ def align_sets(rows: DataFrame, proto: str = "proto", cost: Cost = distance, gap
     named = members.distinct().unionByName(protos.withColumn("lang", F.lit(proto)))
     both = named.alias("a").join(middles.alias("b"), same("skey")).select("a.*", segments(F.col("b.form")).alias("center"), segments(F.col("a.form")).alias("segs"))
 
-    @F.pandas_udf(PLACED)
-    def place(center: pd.Series, segs: pd.Series) -> pd.DataFrame:
-        # sets often share center and form
-        held: dict[tuple, tuple] = {}
-        out = []
-        for key in zip(map(tuple, center), map(tuple, segs), strict=True):
-            if key not in held:
-                held[key] = placed(list(key[0]), list(key[1]), cost, gap)
-            out.append(held[key])
-        return pd.DataFrame(out, columns=["own", "added"])
-
-    done = kept(both.select("skey", "lang", "form", place("center", "segs").alias("x")).select("skey", "lang", "form", "x.*"))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # sets often share center and form
+            held: dict[tuple, tuple] = {}
+            out = []
+            for key in zip(*(map(tuple, batch.column(c).to_pylist()) for c in ("center", "segs")), strict=True):
+                if key not in held:
+                    held[key] = placed(list(key[0]), list(key[1]), cost, gap)
+                out.append(held[key])
+            lists = pa.list_(pa.string())
+            made = [pa.array([x[0] for x in out], lists), pa.array([x[1] for x in out], pa.list_(lists))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["skey", "lang", "form", "own", "added"])
+
+    kinds = ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in ("skey", "lang", "form"))
+    dealt = spread(both, "skey", "lang", "form").select("skey", "lang", "form", "center", "segs")
+    done = kept(dealt.mapInArrow(place, f"{kinds}, own array<string>, added array<array<string>>"))
     longest = done.select("skey", F.posexplode(F.transform("added", F.size)).alias("p", "n")).where("n > 0").groupBy("skey", "p").agg(F.max("n").alias("n"))
     # one entry for each place of the center at most
     room = longest.groupBy("skey").agg(F.map_from_entries(F.collect_list(F.struct("p", "n"))).alias("room"))

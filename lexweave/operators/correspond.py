@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.kept import kept
+from ..sources.kept import kept, spread
 
 #: Sorts behind every segment.
 NO_DATA = "￿"
@@ -176,7 +176,7 @@ def merged_groups(exact: DataFrame) -> DataFrame:
     rows = groups.select("proto_seg", none("long").alias("order"), none("long").alias("b_blanks"), none("long").alias("b_n"), "i", none("long").alias("j"), "pattern", "n")
     rows = rows.unionByName(turns.select("proto_seg", (-F.col("a_blanks")).alias("order"), "b_blanks", (-F.col("b_n")).alias("b_n"), F.col("a_i").alias("i"), F.col("b_i").alias("j"), none("array<string>").alias("pattern"), none("long").alias("n")))
     # nulls, and so the groups, come first
-    rows = rows.repartition("proto_seg").sortWithinPartitions("proto_seg", "order", "b_blanks", "b_n", "i", "j")
+    rows = spread(rows, "proto_seg").sortWithinPartitions("proto_seg", "order", "b_blanks", "b_n", "i", "j")
     links = rows.select("proto_seg", "i", "j", "pattern", "n").mapInArrow(_merge, "proto_seg string, place long, root long, merged array<string>")
     links = links.select("proto_seg", F.col("place").alias("i"), "root", "merged")
     roots = groups.select("proto_seg", F.col("i").alias("root"), F.col("pattern").alias("root_pattern"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.phonology import FEATURES, features
-from ..sources.kept import kept
+from ..sources.kept import kept, spread
 
 Spec = dict[str, int]
 #: A word's edge, as a context and as a specification.
@@ -196,7 +196,7 @@ def default_and_conditioned(rows: DataFrame) -> DataFrame:
     # an entry for each kind of segment
     around = often.groupBy("proto_seg").agg(*[F.collect_list(F.when(F.col("side") == k, entry)).alias(f"all_{n}") for k, n in ((0, "l"), (1, "r"))])
     many = sets.groupBy("proto_seg").agg(F.count("*").alias("sets"))
-    both = sets.join(around, "proto_seg").join(many, "proto_seg")
+    both = spread(sets.join(around, "proto_seg").join(many, "proto_seg"), "proto_seg", "set_id")
 
     def size(n: str) -> Column:
         own = F.col(n)
@@ -209,7 +209,7 @@ def default_and_conditioned(rows: DataFrame) -> DataFrame:
     best = scored.groupBy("proto_seg").agg(F.min(F.struct("raw", "set_id", "own")).alias("x")).select("proto_seg", F.col("x.set_id").alias("first"), F.col("x.own").alias("best"))
     is_default = F.col("set_id") == F.col("first")
     context = F.when(is_default, "default").otherwise(_told("own", "best"))
-    return scored.join(best, "proto_seg").select("proto_seg", "set_id", is_default.alias("is_default"), F.round("raw", 6).alias("score"), context.alias("context"))
+    return spread(scored.join(best, "proto_seg"), "proto_seg", "set_id").select("proto_seg", "set_id", is_default.alias("is_default"), F.round("raw", 6).alias("score"), context.alias("context"))
 
 
 def analyse_phoneme(found: DataFrame, phoneme: str) -> dict:

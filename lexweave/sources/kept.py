@@ -27,3 +27,10 @@ def kept(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by columns over as many tasks as a shuffle has or the cluster runs at once: for steps whose work is large for their bytes, which adaptive execution would otherwise give to one task."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *by)
