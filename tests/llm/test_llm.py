@@ -198,6 +198,13 @@ def test_url_rules(spark, sf_dir):
     check(spark, sf_dir, queries.QUERIES["op3_url_cascade"], queries.ORACLES["op3_url_cascade"])
 
 
+def test_url_rules_are_the_contract_s(spark, tmp_path):
+    given = {"http://a.org/es/1": ("org/es/", "block"), "http://a.net/de/1": ("net/de/", "allow"), "http://spam-farm.net/de/1": ("net/de/", "allow"), "http://m.example.net/de/81": ("example.net/de/8", "block"), "http://example.net/de/7": ("net/de/", "allow"), "http://com/en/": ("com/en/", "block"), "http://x.example.com/en/71": ("example.com/en/7", "allow"), "http://example.com/en/8": ("com/en/", "block"), "http://spam-farm.net/fr/1": (None, "block"), "http://a.net/fr/1": (None, "allow")}
+    spark.createDataFrame(list(enumerate(given)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in queries.QUERIES["op3_url_cascade"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(given.values()))
+
+
 def test_cascade_is_exact(spark, monkeypatch):
     monkeypatch.setattr(urls, "BITS_PER_KEY", 2)
     keys = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), (F.col("id") % 7 == 0).alias("listed"))
