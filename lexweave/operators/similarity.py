@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from .search import sharing_ancestor
 
 #: Rows of a block of queries or of the corpus: what one group compares.
 QUERY_BLOCK, CORPUS_BLOCK = 2048, 16384
+#: Queries of a block that are compared at once: 16 MB for a matrix of their distances.
+TOGETHER = 128
 #: Decimal places of distances: what is equal in them is a tie.
 PLACES = 9
 
@@ -70,23 +73,28 @@ def nearest_in_blocks(k: int | None, alpha: float, exclude_language: bool, penal
     """A function of a block of queries (refid, langid, p, s, kin) and one of the corpus (refid, langid, p, s): the k nearest of the block for each query."""
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = {"q": [], "refid": [], "langid": [], "dist": []}
+        out = []
         if len(q) and len(c):
-            d = 1 - (alpha * _units(q["p"]) @ _units(c["p"]).T + (1 - alpha) * _units(q["s"]) @ _units(c["s"]).T)
             ids, langs = c["refid"].to_numpy(), c["langid"].to_numpy()
-            for row, query, lang, kin in zip(d, q["refid"], q["langid"], q["kin"], strict=True):
-                if kin is not None:
-                    row = row + penalty * ~np.isin(langs, list(kin))
-                row = np.round(row, PLACES)
-                at = np.flatnonzero(langs != lang) if exclude_language else np.arange(len(row))
-                if k is not None and k < len(at):
-                    at = at[row[at] <= np.partition(row[at], k - 1)[k - 1]]
-                at = at[np.lexsort((ids[at], row[at]))][:k]
-                out["q"] += [query] * len(at)
-                out["refid"] += ids[at].tolist()
-                out["langid"] += langs[at].tolist()
-                out["dist"] += row[at].tolist()
-        return pd.DataFrame(out)
+            cp, cs = _units(c["p"]), _units(c["s"])
+            # the same few languages and kins come again with each query
+            rows_for = functools.cache(lambda lang: np.flatnonzero(langs != lang) if exclude_language else np.arange(len(c)))
+            further = functools.cache(lambda kin: penalty * ~np.isin(langs, kin))
+            for start in range(0, len(q), TOGETHER):
+                piece = q.iloc[start : start + TOGETHER]
+                d = 1 - (alpha * _units(piece["p"]) @ cp.T + (1 - alpha) * _units(piece["s"]) @ cs.T)
+                for row, query, lang, kin in zip(d, piece["refid"], piece["langid"], piece["kin"], strict=True):
+                    if kin is not None:
+                        row += further(tuple(sorted(kin)))
+                    at = rows_for(lang)
+                    near = row[at]
+                    if k is not None and k < len(at):
+                        few = near <= np.partition(near, k - 1)[k - 1] + 2 * 10.0**-PLACES
+                        at, near = at[few], near[few]
+                    near = np.round(near, PLACES)
+                    order = np.lexsort((ids[at], near))[:k]
+                    out.append((np.full(len(order), query), ids[at[order]], langs[at[order]], near[order]))
+        return pd.DataFrame({n: np.concatenate(x) for n, x in zip(("q", "refid", "langid", "dist"), zip(*out, strict=True), strict=True)} if out else {"q": [], "refid": [], "langid": [], "dist": []})
 
     return best
 

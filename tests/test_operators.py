@@ -1,6 +1,9 @@
 import itertools
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 import yaml
 from hypothesis import given, settings
@@ -667,6 +670,23 @@ def test_similarity_of_all_pairs_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in sim.with_all(left, right).collect()} == {(a, 2 * a, b, 2 * b) for a in range(8) for b in range(11)}
 
 
+def test_blocks_are_compared_piece_by_piece():
+    rng = np.random.default_rng(3)
+    table = lambda n: pd.DataFrame({"refid": np.arange(n), "langid": rng.integers(0, 9, n), "p": list(rng.standard_normal((n, 4)).round(1)), "s": list(rng.standard_normal((n, 4)).round(1))})
+    queries, corpus = table(1500).assign(kin=[np.array([1, 2]) if i % 2 else None for i in range(1500)]), table(4096)
+    tracemalloc.start()
+    got = sim.nearest_in_blocks(7, 0.4, True, 1.0)(queries, corpus)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e7  # a matrix of all distances has 49 MB, and the sum is made of several
+    d = 1 - (0.4 * sim._units(queries["p"]) @ sim._units(corpus["p"]).T + 0.6 * sim._units(queries["s"]) @ sim._units(corpus["s"]).T)
+    d = np.round(d + ((corpus["langid"].to_numpy() > 2) | (corpus["langid"].to_numpy() == 0)) * (np.arange(1500) % 2)[:, None], sim.PLACES)
+    for i, found in got.groupby("q"):
+        at = np.flatnonzero(corpus["langid"] != queries["langid"][i])
+        assert found["refid"].tolist() == at[np.lexsort((at, d[i][at]))][:7].tolist()
+    assert len(got) == 1500 * 7
+
+
 def test_vectors_are_updated(spark):
     rows = spark.createDataFrame([(k, k) for k in range(5)], "refid long, v long")
     got = sim.update_vectors(rows, spark.createDataFrame([(1, 10), (9, 90)], rows.schema), spark.createDataFrame([(2,), (9,)], "refid long"))
