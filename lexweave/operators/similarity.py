@@ -312,7 +312,8 @@ def whitened_sparse(rows: DataFrame, dims: int, features: int, seed: int = 7) ->
                 row, at, w, out = _products(b, turn)
                 np.add.at(total, at, w[:, None] * out[row])
             used = np.flatnonzero(total.any(1))
-            yield pd.DataFrame({"part": used // PLACES_TOGETHER, "place": used, "x": total[used].tolist()})
+            if len(used):  # a table without rows has no arrays, which Spark refuses
+                yield pd.DataFrame({"part": used // PLACES_TOGETHER, "place": used, "x": total[used].tolist()})
 
         def add(group: pd.DataFrame) -> pd.DataFrame:
             place, at = np.unique(group["place"].to_numpy(), return_inverse=True)

@@ -25,6 +25,10 @@ from .similarity import CORPUS_BLOCK, FOUND, PLACES, QUERY_BLOCK, nearest_in_blo
 ROWS, MOST_PARTS = 2048, 4096
 #: How often centers are moved to the middle of their parts.
 ROUNDS = 3
+#: Groups of neighbouring parts at most: a query is sent to groups, at most so many times.
+MOST_GROUPS = 256
+#: Rows that _asked hands on at once.
+BATCH = 8192
 #: The first parts that a query reads have so many times k rows at least.
 FIRST = 4
 #: What rounding may change in a bound.
@@ -81,7 +85,8 @@ def _middles(assigned: DataFrame, p: np.ndarray, s: np.ndarray) -> tuple[np.ndar
                 n += np.bincount(at, minlength=len(p))
                 np.add.at(total, at, np.hstack(_both(b)))
         at = np.flatnonzero(n)
-        yield pd.DataFrame({"part": at, "n": n[at], "total": total[at].tolist()})
+        if len(at):  # a table without rows has no arrays, which Spark refuses
+            yield pd.DataFrame({"part": at, "n": n[at], "total": total[at].tolist()})
 
     partial = assigned.select("part", "p", "s").mapInPandas(sums, "part int, n double, total array<double>")
     places = partial.select("part", "n", F.posexplode("total").alias("place", "x")).groupBy("part", "place").agg((F.sum("x") / F.sum("n")).alias("x"))
@@ -109,11 +114,13 @@ def build(vectors: DataFrame, path: str, rows_per_part: int = ROWS) -> None:
         placed = _assign(rows, p, s)
     else:
         p, s, placed = np.zeros((0, 0)), np.zeros((0, 0)), rows.selectExpr("*", "0 as part", "0d as dp", "0d as ds")
-    placed.repartition("part", F.pmod(F.xxhash64("refid"), F.lit(8))).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
-    written = rows.sparkSession.read.schema("refid long, dp double, ds double, part int").parquet(f"{path}/rows")
+    placed = kept(placed)
+    sized = placed.groupBy("part").agg(F.count("*").alias("n"), F.max("dp").alias("rp"), F.max("ds").alias("rs"))
+    # a part has a file for each block of its rows
+    pieces = placed.join(F.broadcast(sized.select("part", F.ceil(F.col("n") / CORPUS_BLOCK).alias("pieces"))), "part")
+    pieces.repartition("part", F.pmod(F.xxhash64("refid"), F.col("pieces"))).select(*placed.columns).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
     held = pd.DataFrame({"part": np.arange(len(p)), "p": p.tolist(), "s": s.tolist()})
     places = rows.sparkSession.createDataFrame(held, "part int, p array<double>, s array<double>") if len(held) else rows.sparkSession.createDataFrame([], "part int, p array<double>, s array<double>")
-    sized = written.groupBy("part").agg(F.count("*").alias("n"), F.max("dp").alias("rp"), F.max("ds").alias("rs"))
     places.join(sized, "part").coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
 
 
@@ -125,6 +132,17 @@ class VectorIndex:
         self.path, self.spark = path, spark
         p, s = _both(held) if len(held) else (np.zeros((0, 0)), np.zeros((0, 0)))
         self.centers = Centers(held["part"].to_numpy(), p, s, held["n"].to_numpy(), held["rp"].to_numpy(), held["rs"].to_numpy())
+        self.group = self._groups()
+
+    def _groups(self) -> np.ndarray:
+        """The group of each part: neighbours along the direction in which the centers spread most, so many rows together that there are MOST_GROUPS at most."""
+        n, places = self.centers.n, np.hstack([self.centers.p, self.centers.s])
+        out = np.zeros(len(n), int)
+        if len(n):
+            places = places - places.mean(0)
+            order = np.argsort(places @ np.linalg.eigh(places.T @ places)[1][:, -1], kind="stable")
+            out[order] = np.unique((np.cumsum(n[order]) - n[order]) // -(-n.sum() // MOST_GROUPS), return_inverse=True)[1]
+        return out
 
     def rows(self, parts: list[int]) -> DataFrame:
         """(refid, langid, p, s, part) of some parts; others' files are not opened."""
@@ -132,8 +150,9 @@ class VectorIndex:
         return found.where(F.col("part").isin(parts))
 
     def _asked(self, queries: DataFrame, k: int | None, alpha: float, second: bool) -> DataFrame:
-        """queries once for each part to be read: the first ones, or, given the k-th distance so far (kth), all others that it leaves open."""
-        centers = self.centers
+        """queries once for each group of parts to be read, as part: those of the first parts, or, given the k-th distance so far (kth), all others with a part that it leaves open."""
+        centers, group = self.centers, self.group
+        grouped = lambda parts: np.stack([parts[:, group == g].any(1) for g in range(group.max() + 1)], axis=1)
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -144,26 +163,29 @@ class VectorIndex:
                     before = np.cumsum(centers.n[order], axis=1) - centers.n[order]
                     first = np.zeros(bounds.shape, bool)
                     np.put_along_axis(first, order, before < (np.inf if k is None else FIRST * k), axis=1)
+                    wanted = grouped(first)
                     if second:
                         kth = piece["kth"].to_numpy(float)[:, None]
-                        wanted = ~first & (np.isnan(kth) | (bounds <= kth + SLACK))
-                    else:
-                        wanted = first
+                        wanted = ~wanted & grouped(np.isnan(kth) | (bounds <= kth + SLACK))
                     i, j = np.nonzero(wanted)
-                    yield piece.iloc[i].assign(part=centers.part[j])[["refid", "langid", "p", "s", "kin", "part"]]
+                    for at in range(0, len(i), BATCH):
+                        yield piece.iloc[i[at : at + BATCH]].assign(part=j[at : at + BATCH])[["refid", "langid", "p", "s", "kin", "part"]]
 
         return queries.mapInPandas(work, QUERY + ", part int")
 
     def _scan(self, asked: DataFrame, k: int | None, alpha: float, exclude_language: bool, penalty: float) -> DataFrame:
-        """The k nearest of each part for each query that asks for it. Parts, and the queries of one, are dealt into blocks of bounded size."""
-        sizes = asked.groupBy("part").agg(F.count("*").alias("asks")).collect()  # a row for each part
-        blocks = {int(p): -(-int(n) // CORPUS_BLOCK) for p, n in zip(self.centers.part, self.centers.n, strict=True)}
+        """The k nearest of each group of parts for each query that asks for it. Groups, and the queries of one, are dealt into blocks of bounded size."""
+        sizes = asked.groupBy("part").agg(F.count("*").alias("asks")).collect()  # a row for each group
+        wanted = {r["part"] for r in sizes}
+        places = [(int(p), int(g)) for p, g in zip(self.centers.part, self.group, strict=True) if g in wanted]
+        blocks = {int(g): -(-int(n) // CORPUS_BLOCK) for g, n in enumerate(np.bincount(self.group, self.centers.n))}
         dealt = self.spark.createDataFrame([(r["part"], -(-r["asks"] // QUERY_BLOCK), blocks[r["part"]]) for r in sizes], "part int, n_q int, n_c int")
         mine = lambda n: F.pmod(F.xxhash64("refid"), F.col(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         columns = ["refid", "langid", "p", "s"]
         left = asked.join(F.broadcast(dealt), "part").select(*columns, "kin", "part", mine("n_q").alias("bq"), each("n_c").alias("bc"))
-        right = self.rows([r["part"] for r in sizes]).join(F.broadcast(dealt), "part").select(*columns, "part", mine("n_c").alias("bc"), each("n_q").alias("bq"))
+        rows = self.rows([p for p, _ in places]).join(F.broadcast(self.spark.createDataFrame(places, "part int, g int")), "part").withColumn("part", F.col("g"))
+        right = rows.join(F.broadcast(dealt), "part").select(*columns, "part", mine("n_c").alias("bc"), each("n_q").alias("bq"))
         keys = ["part", "bq", "bc"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest_in_blocks(k, alpha, exclude_language, penalty), FOUND)
 
@@ -189,5 +211,7 @@ class VectorIndex:
             more = kept(self._asked(queries.join(kth, "refid", "left"), k, alpha, True))
             found = found.unionByName(self._scan(more, k, alpha, exclude_language, penalty))
             if read is not None:
-                read += [asked.count() + more.count(), queries.count() * len(self.centers.part)]
+                sizes = self.spark.createDataFrame([(g, int(n)) for g, n in enumerate(np.bincount(self.group))], "part int, parts int")
+                both = asked.select("part").union(more.select("part")).join(F.broadcast(sizes), "part")
+                read += [both.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0], queries.count() * len(self.centers.part)]
         return ranked(found, k)

@@ -670,6 +670,17 @@ def test_similarity_of_all_pairs_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in sim.with_all(left, right).collect()} == {(a, 2 * a, b, 2 * b) for a in range(8) for b in range(11)}
 
 
+def test_index_of_tables_with_empty_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_index, "MOST_GROUPS", 3)
+    vector = lambda n: F.array(*[F.sin(F.col("id") * n + k) for k in range(3)])
+    df = spark.range(0, 400, 1, 8).where("id < 60").select(F.col("id").alias("refid"), (F.col("id") % 3).alias("langid"), vector(1.3).alias("p"), vector(2.1).alias("s"))
+    vector_index.build(df, str(tmp_path / "index"), 5)
+    index = vector_index.VectorIndex(spark, str(tmp_path / "index"))
+    assert len(index.centers.part) > 3 and len(set(index.group)) <= 3
+    asked = df.where("refid < 9")
+    assert sorted(map(tuple, index.search(asked, 4).collect())) == sorted(map(tuple, sim.nearest(asked, df, 4).collect()))
+
+
 def test_blocks_are_compared_piece_by_piece():
     rng = np.random.default_rng(3)
     table = lambda n: pd.DataFrame({"refid": np.arange(n), "langid": rng.integers(0, 9, n), "p": list(rng.standard_normal((n, 4)).round(1)), "s": list(rng.standard_normal((n, 4)).round(1))})
