@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.kept import kept
+from ..sources.kept import kept, spread
 from .search import sharing_ancestor
 
 #: Rows of a block of queries or of the corpus: what one group compares.
@@ -37,9 +38,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def blocks_of(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+def blocks_of(queries: DataFrame, corpus: DataFrame, query_block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Both tables dealt into blocks of bounded size: each row once for every block of the other side, with the columns bq and bc. Rows of one pair of blocks are what one group compares."""
-    n_q, n_c = (max(1, -(-t.count() // size)) for t, size in ((queries, QUERY_BLOCK), (corpus, CORPUS_BLOCK)))
+    n_q, n_c = (max(1, -(-t.count() // size)) for t, size in ((queries, query_block or QUERY_BLOCK), (corpus, CORPUS_BLOCK)))
 
     def dealt(rows: DataFrame, own: str, n: int, other: str, n_other: int) -> DataFrame:
         # new names: a cogroup tells the two sides apart by their columns' identity
@@ -370,3 +371,33 @@ def with_all(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Every query beside every row of the corpus (its columns with c_ before them), block by block."""
     left, right = blocks_of(queries, corpus)
     return left.join(right.select("bq", "bc", *[F.col(c).alias(f"c_{c}") for c in corpus.columns]), ["bq", "bc"]).drop("bq", "bc")
+
+
+#: Queries of a block of which every pair is handed on: four million pairs with the rows of the corpus.
+PAIR_QUERIES = 256
+
+
+def cosines_with_all(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(q, refid, cosine) of the vectors s of every query and every row of the corpus (refid, s), 0 if either is zero or missing. Each pair of blocks is one matrix product; the pairs are the result, so the work is the queries times the corpus."""
+
+    def matrix(rows: pa.Table) -> np.ndarray:
+        vectors = rows["s"].to_pandas()
+        width = vectors.dropna().map(len).max()
+        return np.stack([np.zeros(0 if np.isnan(width) else int(width)) if v is None else v for v in vectors]).astype(float)
+
+    def compare(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not len(q) or not len(c):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["q", "refid", "cosine"])
+        a, b = matrix(q), matrix(c)
+        if a.shape[1] and b.shape[1]:
+            norm = np.sqrt(np.outer((a * a).sum(1), (b * b).sum(1)))
+            value = np.divide(a @ b.T, norm, out=np.zeros(norm.shape), where=norm > 0)
+        else:
+            value = np.zeros((len(a), len(b)))
+        ids = [q["refid"].to_numpy().repeat(len(b)), np.tile(c["refid"].to_numpy(), len(a))]
+        return pa.table([*ids, value.ravel()], names=["q", "refid", "cosine"])
+
+    left, right = blocks_of(queries.select("refid", "s"), corpus.select("refid", "s"), PAIR_QUERIES)
+    # the pairs of blocks are few bytes and much work
+    left, right = spread(left, "bq", "bc"), spread(right, "bq", "bc")
+    return left.groupBy("bq", "bc").cogroup(right.groupBy("bq", "bc")).applyInArrow(compare, "q long, refid long, cosine double")

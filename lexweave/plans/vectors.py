@@ -172,9 +172,9 @@ def lexicon_vectors(spark, sf_dir):
 def pair_similarity(spark, sf_dir):
     """Every query beside every row."""
     rows = corpus(spark, sf_dir)
-    both = sim.with_all(queries_of(rows).select("refid", "s"), rows.select("refid", "s"))
-    value = sim.pair_similarity(F.col("s"), F.col("c_s"), F.levenshtein(F.col("refid").cast("string"), F.col("c_refid").cast("string")))
-    return both.select(F.col("refid").alias("q"), F.col("c_refid").alias("refid"), F.round(value, 6).alias("similarity"))
+    both = sim.cosines_with_all(queries_of(rows), rows)
+    value = F.col("cosine") / (F.levenshtein(F.col("q").cast("string"), F.col("refid").cast("string")) + 1)
+    return both.select("q", "refid", F.round(value, 6).alias("similarity"))
 
 
 @query("WITH v AS (SELECT vec_id AS refid, label FROM embeddings) SELECT refid, CAST(CASE WHEN refid % 7 = 0 THEN -1 ELSE label END AS INTEGER) AS label FROM v WHERE label <> 9")

@@ -681,6 +681,16 @@ def test_index_of_tables_with_empty_tasks(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, index.search(asked, 4).collect())) == sorted(map(tuple, sim.nearest(asked, df, 4).collect()))
 
 
+def test_cosines_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(sim, "PAIR_QUERIES", 2)
+    monkeypatch.setattr(sim, "CORPUS_BLOCK", 4)
+    vectors = [[1.0, 0.0], [0.0, 0.0], None, [3.0, 4.0], [-1.0, -1.0], [1.0, 0.0], [0.5, 2.0]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "refid long, s array<double>")
+    got = {(r["q"], r["refid"]): r["cosine"] for r in sim.cosines_with_all(df.where("refid % 2 = 0"), df).collect()}
+    plain = df.alias("a").where("refid % 2 = 0").crossJoin(df.alias("b")).select("a.refid", "b.refid", sim.cosine(F.col("a.s"), F.col("b.s"))).collect()
+    assert len(got) == len(plain) == 28 and all(abs(got[a, b] - x) < 1e-12 for a, b, x in plain)
+
+
 def test_blocks_are_compared_piece_by_piece():
     rng = np.random.default_rng(3)
     table = lambda n: pd.DataFrame({"refid": np.arange(n), "langid": rng.integers(0, 9, n), "p": list(rng.standard_normal((n, 4)).round(1)), "s": list(rng.standard_normal((n, 4)).round(1))})
