@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.kept import kept, spread
+from ..sources.kept import dealt, kept, spread
 from .search import sharing_ancestor
 
 #: Rows of a block of queries or of the corpus: what one group compares.
@@ -181,6 +181,10 @@ def best_alpha(scores: DataFrame) -> DataFrame:
     return found.select(F.coalesce(-F.col("x.a"), F.lit(0.5)).alias("alpha"), F.coalesce("x.mrr", F.lit(0.0)).alias("mrr"))
 
 
+#: Texts whose n-grams one task makes and counts, and counts that one task sorts.
+TEXTS, COUNTS = 8192, 1_000_000
+
+
 def tfidf(grams: DataFrame, features: int | None = None) -> DataFrame:
     """(id, gram, weight) of (id, gram) rows: counts times ln((1 + n) / (1 + df)) + 1, of length 1 for each id. features: only so many grams, the most frequent (of equals the first); ids without any of them have no rows but count among all.
 
@@ -195,6 +199,7 @@ def tfidf(grams: DataFrame, features: int | None = None) -> DataFrame:
     # the number of ids is one row
     idf = known.join(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = counts.join(idf, "gram").select("id", "gram", (F.col("tf") * F.col("idf")).alias("w"))
+    raw = dealt(raw, counts.count(), COUNTS, "id")
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return raw.select("id", "gram", (F.col("w") / length).alias("weight"))
 
@@ -210,9 +215,15 @@ def sparse_rows(weights: DataFrame, ids: DataFrame, features: int) -> DataFrame:
     return both.select("id", F.coalesce(F.col("x")["place"], none("int")).alias("at"), F.coalesce(F.col("x")["weight"], none("double")).alias("w"))
 
 
+def _texts(rows: DataFrame, text: Column) -> DataFrame:
+    """(id, _text) in tasks of bounded size: short texts have many n-grams, whose counts are a task's memory."""
+    rows = kept(rows.select("id", F.lower(text).alias("_text")))
+    return dealt(rows, rows.count(), TEXTS, "id")
+
+
 def char_ngrams(rows: DataFrame, text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(id, gram): character n-grams of lower-cased texts."""
-    low = F.lower(text)
+    rows, low = _texts(rows, text), F.col("_text")
     grams = []
     for n in sizes:
         made = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), _sub(low, n))
@@ -226,7 +237,8 @@ def _sub(text: Column, n: int):
 
 def word_ngrams(rows: DataFrame, text: Column) -> DataFrame:
     """(id, gram): words of two characters or more, and pairs of neighbours."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    rows = _texts(rows, text)
+    words = F.regexp_extract_all(F.col("_text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     return rows.select("id", F.explode(F.concat(words, pairs)).alias("gram"))
 

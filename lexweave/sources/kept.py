@@ -29,6 +29,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, rows: int, together: int, *by: str) -> DataFrame:
+    """df dealt by columns over as many tasks as spread has, or more if it has rows in all and a task is to have together of them: for steps whose memory grows with a task's rows."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-rows // together)), *by)
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """df dealt by columns over as many tasks as a shuffle has or the cluster runs at once: for steps whose work is large for their bytes, which adaptive execution would otherwise give to one task."""
     spark = df.sparkSession

@@ -691,6 +691,15 @@ def test_cosines_of_all_pairs(spark, monkeypatch):
     assert len(got) == len(plain) == 28 and all(abs(got[a, b] - x) < 1e-12 for a, b, x in plain)
 
 
+def test_ngrams_are_made_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sim, "TEXTS", 10)
+    df = spark.range(200).select("id", F.concat(F.lit("Ab"), F.col("id").cast("string")).alias("text")).coalesce(1)
+    for grams in (sim.char_ngrams(df, F.col("text")), sim.word_ngrams(df, F.col("text"))):
+        assert grams.rdd.getNumPartitions() == 20
+        assert grams.select("id").distinct().count() == 200
+    assert {r["gram"] for r in sim.char_ngrams(df.where("id = 7"), F.col("text")).collect()} == {"a", "b", "7", "ab", "b7", "ab7"}
+
+
 def test_blocks_are_compared_piece_by_piece():
     rng = np.random.default_rng(3)
     table = lambda n: pd.DataFrame({"refid": np.arange(n), "langid": rng.integers(0, 9, n), "p": list(rng.standard_normal((n, 4)).round(1)), "s": list(rng.standard_normal((n, 4)).round(1))})
