@@ -16,8 +16,8 @@ from .search import sharing_ancestor
 
 #: Rows of a block of queries or of the corpus: what one group compares.
 QUERY_BLOCK, CORPUS_BLOCK = 2048, 16384
-#: Queries of a block that are compared at once: 16 MB for a matrix of their distances.
-TOGETHER = 128
+#: Queries of a block that are compared at once: 4 MB for a matrix of their distances.
+TOGETHER = 32
 #: Decimal places of distances: what is equal in them is a tie.
 PLACES = 9
 
@@ -27,9 +27,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """v with length 1; a zero vector stays."""
-    length = F.sqrt(dot(v, v))
-    return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v)
+    """v with length 1; a zero vector stays. Lambdas keep v and its length from being made anew for each place."""
+    scaled = lambda x: F.when(x["length"] > 0, F.transform(x["v"], lambda y: y / x["length"])).otherwise(x["v"])
+    sized = F.transform(F.array(v), lambda v: F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("length")))
+    return F.get(F.transform(sized, scaled), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -61,13 +62,30 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, alpha: float =
     """
     if "kin" not in queries.columns:
         queries = queries.withColumn("kin", F.lit(None).cast("array<long>"))
-    left, right = blocks_of(queries.select("refid", "langid", "p", "s", "kin"), corpus.select("refid", "langid", "p", "s"))
+    used = [name for name, _ in weights_of(alpha)]
+    left, right = blocks_of(queries.select("refid", "langid", *used, "kin"), corpus.select("refid", "langid", *used))
     found = left.groupBy("bq", "bc").cogroup(right.groupBy("bq", "bc")).applyInPandas(nearest_in_blocks(k, alpha, exclude_language, penalty), FOUND)
     return ranked(found, k)
 
 
 #: What comparing a block of queries with one of the corpus gives.
 FOUND = "q long, refid long, langid long, dist double"
+#: Runs of a row of distances of which the least value each bounds the nearest.
+RUNS = 64
+
+
+def weights_of(alpha: float) -> list[tuple[str, float]]:
+    """The columns that count in a distance, and their weights."""
+    return [(name, w) for name, w in (("p", alpha), ("s", 1 - alpha)) if w]
+
+
+def few_nearest(row: np.ndarray, k: int) -> np.ndarray:
+    """Places of a row of distances among which are its k least, all that equal them in PLACES too. The k-th least of the least of parts of the row is no less than its k-th least, and to find it costs little."""
+    if len(row) <= k:
+        return np.arange(len(row))
+    parts = len(row) // RUNS
+    least = row[: parts * RUNS].reshape(RUNS, parts).min(0) if parts >= k else row
+    return np.flatnonzero(row <= np.partition(least, k - 1)[k - 1] + 2 * 10.0**-PLACES)
 
 
 def nearest_in_blocks(k: int | None, alpha: float, exclude_language: bool, penalty: float):
@@ -76,23 +94,26 @@ def nearest_in_blocks(k: int | None, alpha: float, exclude_language: bool, penal
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(c):
+            # a language's rows stand together
+            c = c.iloc[np.argsort(c["langid"].to_numpy(), kind="stable")]
             ids, langs = c["refid"].to_numpy(), c["langid"].to_numpy()
-            cp, cs = _units(c["p"]), _units(c["s"])
+            across = np.hstack([_units(c[name]) for name, _ in weights_of(alpha)]).T
+            held = np.empty((min(TOGETHER, len(q)), len(c)))  # one piece of memory for all matrices
             # the same few languages and kins come again with each query
-            rows_for = functools.cache(lambda lang: np.flatnonzero(langs != lang) if exclude_language else np.arange(len(c)))
+            own = functools.cache(lambda lang: slice(np.searchsorted(langs, lang), np.searchsorted(langs, lang, "right")))
             further = functools.cache(lambda kin: penalty * ~np.isin(langs, kin))
             for start in range(0, len(q), TOGETHER):
                 piece = q.iloc[start : start + TOGETHER]
-                d = 1 - (alpha * _units(piece["p"]) @ cp.T + (1 - alpha) * _units(piece["s"]) @ cs.T)
+                d = np.matmul(np.hstack([w * _units(piece[name]) for name, w in weights_of(alpha)]), across, out=held[: len(piece)])
+                np.subtract(1, d, out=d)
                 for row, query, lang, kin in zip(d, piece["refid"], piece["langid"], piece["kin"], strict=True):
                     if kin is not None:
                         row += further(tuple(sorted(kin)))
-                    at = rows_for(lang)
-                    near = row[at]
-                    if k is not None and k < len(at):
-                        few = near <= np.partition(near, k - 1)[k - 1] + 2 * 10.0**-PLACES
-                        at, near = at[few], near[few]
-                    near = np.round(near, PLACES)
+                    if exclude_language:
+                        row[own(lang)] = np.inf
+                    at = np.arange(len(row)) if k is None else few_nearest(row, k)
+                    at = at[row[at] < np.inf]
+                    near = np.round(row[at], PLACES)
                     order = np.lexsort((ids[at], near))[:k]
                     out.append((np.full(len(order), query), ids[at[order]], langs[at[order]], near[order]))
         return pd.DataFrame({n: np.concatenate(x) for n, x in zip(("q", "refid", "langid", "dist"), zip(*out, strict=True), strict=True)} if out else {"q": [], "refid": [], "langid": [], "dist": []})

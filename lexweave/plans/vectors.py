@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import similarity as sim
 from ..operators import vector_index
-from ..sources.kept import shared_folder
+from ..sources.kept import kept, shared_folder
 from ..sources.tables import WORDS_SQL, read, word_lexicon
 
 QUERIES, ORACLES = {}, {}
@@ -140,10 +140,11 @@ def related_words(spark, sf_dir):
     from ..sources.tables import words_of
 
     key = F.xxhash64("lang", "form")
-    words = word_lexicon(spark, sf_dir)
+    words = kept(word_lexicon(spark, sf_dir))
     asked = words_of(read(spark, sf_dir, "benchmark"), "item_id").select("form").distinct()
     code = F.expr("crc32(cast(lang as binary))")
-    rows = build_vectors(words.select(key.alias("refid"), code.alias("langid"), F.col("form").alias("ipaform"), F.col("form").alias("gloss")), 32)
+    # meaning doesn't count here
+    rows = kept(build_vectors(words.select(key.alias("refid"), code.alias("langid"), F.col("form").alias("ipaform"), F.col("form").alias("gloss")), 32, "p"))
     wanted = words.join(asked, "form", "left_semi").select(key.alias("refid"))
     best = sim.nearest(rows.join(wanted, "refid", "left_semi"), rows, 5, 1.0)
     named = words.select(key.alias("id"), "lang", "form")

@@ -15,9 +15,10 @@ def hashed_vectors(weights: DataFrame, dims: int) -> DataFrame:
     """(id, v): weights (id, gram, weight) summed into dims places by hash, with length 1."""
     place = F.pmod(F.xxhash64("gram"), F.lit(dims)).cast("int")
     sign = F.when(F.pmod(F.xxhash64("gram", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    sums = weights.groupBy("id", place.alias("place")).agg(F.sum(F.col("weight") * sign).alias("w"))
-    held = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "w"))).alias("m"))
-    return held.select("id", unit(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))).alias("v"))
+    held = weights.select("id", place.alias("place"), (F.col("weight") * sign).alias("w"))
+    # a sum for each place: an id's weights never stand in one collection
+    sums = held.groupBy("id").agg(*[F.coalesce(F.sum(F.when(F.col("place") == k, F.col("w"))), F.lit(0.0)).alias(f"_{k}") for k in range(dims)])
+    return sums.select("id", unit(F.array(*[f"_{k}" for k in range(dims)])).alias("v"))
 
 
 def embed(reflexes: DataFrame, dims: int = 300, features: int = 1024) -> DataFrame:
@@ -31,14 +32,15 @@ def embed(reflexes: DataFrame, dims: int = 300, features: int = 1024) -> DataFra
     return joined.select(F.col("id").alias("refid"), "langid", "p", "s")
 
 
-def build_vectors(reflexes: DataFrame, dims: int = 64) -> DataFrame:
-    """(refid, langid, p, s) of forms (refid, langid, ipaform, gloss), without dense tables, for lexicons of any size: sound from character n-grams of the form, meaning from words of the gloss. Null and empty glosses count as unknown, null forms as empty."""
+def build_vectors(reflexes: DataFrame, dims: int = 64, sides: str = "ps") -> DataFrame:
+    """(refid, langid, p, s) of forms (refid, langid, ipaform, gloss), without dense tables, for lexicons of any size: sound from character n-grams of the form, meaning from words of the gloss; sides: only one of them, if not both are needed. Null and empty glosses count as unknown, null forms as empty."""
     rows = reflexes.select(F.col("refid").alias("id"), "langid", F.coalesce("ipaform", F.lit("")).alias("form"), gloss_or_unknown(F.col("gloss")).alias("gloss"))
-    sound = hashed_vectors(tfidf(char_ngrams(rows, F.col("form"))), dims).withColumnRenamed("v", "p")
-    meaning = hashed_vectors(tfidf(word_ngrams(rows, F.col("gloss"))), dims).withColumnRenamed("v", "s")
+    grams = {"p": lambda: char_ngrams(rows, F.col("form")), "s": lambda: word_ngrams(rows, F.col("gloss"))}
+    joined = rows
+    for name in sides:
+        joined = joined.join(hashed_vectors(tfidf(grams[name]()), dims).withColumnRenamed("v", name), "id", "left")
     zero = F.array_repeat(F.lit(0.0), dims)
-    joined = rows.join(sound, "id", "left").join(meaning, "id", "left")
-    return joined.select(F.col("id").alias("refid"), "langid", F.coalesce("p", zero).alias("p"), F.coalesce("s", zero).alias("s"))
+    return joined.select(F.col("id").alias("refid"), "langid", *[F.coalesce(name, zero).alias(name) for name in sides])
 
 
 def save_vectors(vectors: DataFrame, path: str) -> None:

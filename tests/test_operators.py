@@ -784,3 +784,21 @@ def test_every_benchmark_word_is_looked_up(spark, sf_dir):
     found = entry.QUERIES["related_words"](spark, sf_dir)
     assert {r[0] for r in found.select("query").distinct().collect()} == {r[0] for r in wanted.select("form").distinct().collect()}
     assert wanted.where("lang <> 'es'").count() > 0
+
+
+def test_a_side_without_weight_is_not_needed(spark):
+    from lexweave.sources.store import build_vectors
+
+    rows = spark.createDataFrame([(k, k % 3, w, None) for k, w in enumerate(["pata", "pate", "pota", "miso", "mise", ""])], "refid long, langid long, ipaform string, gloss string")
+    both, sound = build_vectors(rows, 16), build_vectors(rows, 16, "p")
+    assert sound.columns == ["refid", "langid", "p"]
+    ranked = lambda v: sorted((r["q"], r["rank"], r["refid"], r["dist"]) for r in sim.nearest(v, v, 3, 1.0).collect())
+    assert ranked(sound) == ranked(both)
+
+
+def test_few_nearest_hold_all_ties():
+    rng = np.random.default_rng(5)
+    for n, k in ((3, 5), (64, 2), (700, 5), (20000, 10), (20000, 400)):
+        for row in (rng.random(n), rng.integers(0, 4, n) / 4, np.where(rng.random(n) < 0.99, np.inf, rng.random(n))):
+            assert set(np.flatnonzero(row <= np.sort(row)[min(k, n) - 1])) <= set(sim.few_nearest(row, k))
+    assert len(sim.few_nearest(rng.random(20000), 10)) < 100
