@@ -6,8 +6,9 @@ As arrays in a fixed order of languages, the ancestor first, no data is null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,58 +102,95 @@ def compatible_counts(groups: DataFrame, name: str, within: str = "proto_seg") -
     return met.groupBy(within, name).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
+#: Turns that are looked at together, at least and at most.
+FEWEST, MOST = 32, 8192
+
+
 class Merging:
-    """Exact groups of one sound, in order of their first appearance, and what they have been merged into so far."""
+    """Exact groups of one sound, in order of their first appearance, and what they have been merged into so far: segments are numbers, 0 for a gap and -1 for no data."""
 
     def __init__(self) -> None:
-        self.patterns: list[tuple] = []
-        self.counts: list[int] = []
-        self.home: list[int] = []
-
-    def add(self, pattern: tuple, count: int) -> None:
-        self.home.append(len(self.patterns))
-        self.patterns.append(pattern)
-        self.counts.append(count)
+        self.code: dict[str | None, int] = {"": 0, None: -1}
+        self.added: list[tuple[list[int], int]] = []
+
+    def add(self, pattern: Iterable[str | None], count: int) -> None:
+        """One more group; all come before the first turn."""
+        self.added.append(([self.code.setdefault(x, len(self.code) - 1) for x in pattern], count))
+
+    def ready(self) -> None:
+        if len(self.added):
+            self.names = {k: x for x, k in self.code.items()}
+            self.codes = np.array([p for p, _ in self.added], np.int32)
+            self.counts = np.array([n for _, n in self.added], np.int64)
+            self.blanks = (self.codes <= 0).sum(1)
+            self.roots = np.arange(len(self.added))
+            self.added = []
 
     def root(self, k: int) -> int:
-        while self.home[k] != k:
-            self.home[k] = self.home[self.home[k]]
-            k = self.home[k]
-        return k
+        self.ready()
+        return int(self.roots[k])
+
+    @property
+    def patterns(self) -> list[tuple[str | None, ...]]:
+        self.ready()
+        return [tuple(self.names[x] for x in p) for p in self.codes.tolist()]
 
     def turn(self, i: int, j: int) -> None:
-        """Merges what i is in into what j is in, if they still fit and the latter is still better."""
-        a, b = self.root(i), self.root(j)
-        if a == b:
-            return
-        p, q = self.patterns[a], self.patterns[b]
-        if any(x is not None and y is not None and x != y for x, y in zip(p, q, strict=True)):
-            return
-        if (sum(not x for x in q), -self.counts[b]) < (sum(not x for x in p), -self.counts[a]):
-            self.patterns[b] = tuple(y if y is not None else x for x, y in zip(p, q, strict=True))
-            self.counts[b] += self.counts[a]
-            self.home[a] = b
+        self.turns(np.array([i]), np.array([j]))
+
+    def turns(self, i: np.ndarray, j: np.ndarray) -> None:
+        """One turn after the other: merges what i is in into what j is in, if they still fit and the latter is still better.
+
+        Few turns merge anything: many are looked at together as things stand, and those behind the first that merges are looked at again.
+        """
+        self.ready()
+        at, step = 0, FEWEST
+        while at < len(i):
+            a, b = self.roots[i[at : at + step]], self.roots[j[at : at + step]]
+            better = (self.blanks[b] < self.blanks[a]) | ((self.blanks[b] == self.blanks[a]) & (self.counts[b] > self.counts[a]))
+            some = np.flatnonzero(better & (a != b))
+            p, q = self.codes[a[some]], self.codes[b[some]]
+            fit = some[~((p != q) & (p >= 0) & (q >= 0)).any(1)]
+            if len(fit):
+                self.merge(a[fit[0]], b[fit[0]])
+                at, step = at + fit[0] + 1, max(FEWEST, step // 2)
+            else:
+                at, step = at + step, min(MOST, step * 2)
+
+    def merge(self, a: int, b: int) -> None:
+        self.codes[b] = np.where(self.codes[b] >= 0, self.codes[b], self.codes[a])
+        self.counts[b] += self.counts[a]
+        self.blanks[b] = (self.codes[b] <= 0).sum()
+        self.roots[self.roots == a] = b
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a sound: first its groups (j is null), by place, then the turns in their order. Only the groups are held; turns pass by."""
 
     def packed(sound: str, held: Merging) -> pa.RecordBatch:
-        roots = [held.root(k) for k in range(len(held.home))]
-        columns = [[sound] * len(roots), range(len(roots)), roots, [list(held.patterns[r]) for r in roots]]
+        patterns = held.patterns
+        roots = held.roots.tolist()
+        columns = [[sound] * len(roots), range(len(roots)), roots, [patterns[r] for r in roots]]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], ["proto_seg", "place", "root", "merged"])
 
     sound, held = None, None
     for batch in batches:
-        for now, i, j, pattern, n in zip(*(batch.column(c).to_pylist() for c in ("proto_seg", "i", "j", "pattern", "n")), strict=True):
+        kinds = batch.column("proto_seg").dictionary_encode()
+        code = kinds.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        listed = batch.column("j").is_null().to_numpy(zero_copy_only=False)
+        # stretches of one sound, and of its groups or its turns
+        starts = np.flatnonzero(np.r_[len(code) > 0, (code[1:] != code[:-1]) | (listed[1:] != listed[:-1])])
+        for start, end in zip(starts, [*starts[1:], len(code)], strict=True):
+            now, part = kinds[int(start)].as_py(), batch.slice(start, end - start)
             if held is None or now != sound:
                 if held is not None:
                     yield packed(sound, held)
                 sound, held = now, Merging()
-            if j is None:
-                held.add(tuple(pattern), n)
+            if listed[start]:
+                for text, n in zip(part.column("pattern").to_pylist(), part.column("n").to_pylist(), strict=True):
+                    held.add([None if x == NO_DATA else x for x in text.split(BETWEEN)], n)
             else:
-                held.turn(i, j)
+                held.turns(part.column("i").to_numpy(), part.column("j").to_numpy())
     if held is not None:
         yield packed(sound, held)
 
@@ -173,8 +211,10 @@ def merged_groups(exact: DataFrame) -> DataFrame:
     better = (F.col("b_blanks") < F.col("a_blanks")) | ((F.col("b_blanks") == F.col("a_blanks")) & (F.col("b_n") > F.col("a_n")))
     turns = turns.join(counts, ["proto_seg", "a_i"]).where(better)
     none = lambda kind: F.lit(None).cast(kind)
-    rows = groups.select("proto_seg", none("long").alias("order"), none("long").alias("b_blanks"), none("long").alias("b_n"), "i", none("long").alias("j"), "pattern", "n")
-    rows = rows.unionByName(turns.select("proto_seg", (-F.col("a_blanks")).alias("order"), "b_blanks", (-F.col("b_n")).alias("b_n"), F.col("a_i").alias("i"), F.col("b_i").alias("j"), none("array<string>").alias("pattern"), none("long").alias("n")))
+    # as a text: Spark hands on a column of arrays many times more slowly, even one of nulls
+    text = F.array_join(sort_key(F.col("pattern")), BETWEEN).alias("pattern")
+    rows = groups.select("proto_seg", none("long").alias("order"), none("long").alias("b_blanks"), none("long").alias("b_n"), "i", none("long").alias("j"), text, "n")
+    rows = rows.unionByName(turns.select("proto_seg", (-F.col("a_blanks")).alias("order"), "b_blanks", (-F.col("b_n")).alias("b_n"), F.col("a_i").alias("i"), F.col("b_i").alias("j"), none("string").alias("pattern"), none("long").alias("n")))
     # nulls, and so the groups, come first
     rows = spread(rows, "proto_seg").sortWithinPartitions("proto_seg", "order", "b_blanks", "b_n", "i", "j")
     links = rows.select("proto_seg", "i", "j", "pattern", "n").mapInArrow(_merge, "proto_seg string, place long, root long, merged array<string>")

@@ -802,3 +802,18 @@ def test_few_nearest_hold_all_ties():
         for row in (rng.random(n), rng.integers(0, 4, n) / 4, np.where(rng.random(n) < 0.99, np.inf, rng.random(n))):
             assert set(np.flatnonzero(row <= np.sort(row)[min(k, n) - 1])) <= set(sim.few_nearest(row, k))
     assert len(sim.few_nearest(rng.random(20000), 10)) < 100
+
+
+def test_turns_together_are_the_same_as_one_by_one():
+    rng = random.Random(7)
+    for n in (1, 40, 900):
+        groups = random_patterns(rng, n, "a")
+        one, many = correspond.Merging(), correspond.Merging()
+        for p, count in groups:
+            one.add(p, count)
+            many.add(p, count)
+        turns = [(rng.randrange(len(groups)), rng.randrange(len(groups))) for _ in range(4 * n)]
+        for i, j in turns:
+            one.turn(i, j)
+        many.turns(*np.array(turns).T)
+        assert (one.roots.tolist(), one.patterns, one.counts.tolist()) == (many.roots.tolist(), many.patterns, many.counts.tolist())
