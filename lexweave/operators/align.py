@@ -177,39 +177,51 @@ def batch_costs(a: list[list[str]], b: list[list[str]], cost: Cost, gap: float)
     return out
 
 
+def costs_in_pieces(a: list[list[str]], b: list[list[str]], cost: Cost, gap: float) -> np.ndarray:
+    """batch_costs of any number of pairs: those of like length together, in pieces of bounded size."""
+    order = np.lexsort(([len(x) for x in b], [len(x) for x in a]))
+    out = np.zeros(len(a))
+    for k in range(0, len(order), PIECE):
+        at = order[k : k + PIECE]
+        out[at] = batch_costs([a[i] for i in at], [b[i] for i in at], cost, gap)
+    return out
+
+
 def pair_costs(rows: DataFrame, cost: Cost = distance, gap: float = GAP) -> DataFrame:
     """rows with the column cost: that of aligning a and b, arrays of segments."""
 
     @F.pandas_udf("double")
     def total(a: pd.Series, b: pd.Series) -> pd.Series:
-        # pairs of like length together, in pieces of bounded size
-        order = np.lexsort((b.map(len).to_numpy(), a.map(len).to_numpy()))
-        out = np.zeros(len(a))
-        for k in range(0, len(order), PIECE):
-            at = order[k : k + PIECE]
-            out[at] = batch_costs([list(a.iloc[i]) for i in at], [list(b.iloc[i]) for i in at], cost, gap)
-        return pd.Series(out)
+        return pd.Series(costs_in_pieces(list(map(list, a)), list(map(list, b)), cost, gap))
 
     return rows.withColumn("cost", total("a", "b"))
 
 
+def feature_errors(pairs: list[tuple[str, str]]) -> list[float | None]:
+    """Of each form and ancestor form what aligning them costs, for each of the ancestor's segments; None if either has none that are known."""
+    segs = {x: segments_of(x) for pair in pairs for x in pair}
+    known = {x: any(map(features, s)) for x, s in segs.items()}
+    held = [(x, y) for x, y in pairs if known[x] and known[y]]
+    costs = costs_in_pieces([segs[x] for x, _ in held], [segs[y] for _, y in held], distance, GAP)
+    found = {(x, y): float(c) / len(segs[y]) for (x, y), c in zip(held, costs, strict=True)}
+    return [found.get(pair) for pair in pairs]
+
+
 def feature_error(form: str | None, proto: str | None) -> float | None:
-    """What aligning a form with its ancestor costs, for each of the ancestor's segments; None if either has none that are known."""
-    a, b = segments_of(form), segments_of(proto)
-    if not any(map(features, a)) or not any(map(features, b)):
-        return None
-    return float(batch_costs([a], [b], distance, GAP)[0]) / len(b)
+    return feature_errors([(form or "", proto or "")])[0]
 
 
 def best_morpheme_by_features(forms: DataFrame, proto: str = "proto_form") -> DataFrame:
-    """morph_index: the part of form with the smallest feature_error; the first of equals, and 0 for a single part or if either form is missing. Parts without known segments are passed over."""
+    """morph_index: the part of form with the smallest feature_error; the first of equals, and 0 for a single part or if either form is missing. Parts without known segments are passed over. The different pairs of a batch are aligned all at once."""
 
     @F.pandas_udf("int")
     def best(form: pd.Series, ancestor: pd.Series) -> pd.Series:
+        parts = [re.split(" |-", x) if x and y else [] for x, y in zip(form, ancestor, strict=True)]
+        pairs = list(dict.fromkeys((part, y) for own, y in zip(parts, ancestor, strict=True) if len(own) > 1 for part in own))
+        error = dict(zip(pairs, feature_errors(pairs), strict=True))
         out = []
-        for x, y in zip(form, ancestor, strict=True):
-            parts = re.split(" |-", x) if x and y else []
-            found = [(e, i) for i, part in enumerate(parts) if len(parts) > 1 and (e := feature_error(part, y)) is not None]
+        for own, y in zip(parts, ancestor, strict=True):
+            found = [(e, i) for i, part in enumerate(own) if len(own) > 1 and (e := error[part, y]) is not None]
             out.append(min(found)[1] if found else 0)
         return pd.Series(out, dtype="int32")
 

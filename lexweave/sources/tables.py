@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import form_or_fallback, gloss_or_unknown, morpheme
+from .kept import kept
 
 #: Where ids of ancestor forms and of ancestor languages begin.
 PROTO_FORM, PROTO_LANGUAGE = 10_000_000, 1000
@@ -76,7 +77,8 @@ def set_key(form):
 
 def cognate_sets(spark: SparkSession, folder: str) -> DataFrame:
     """(skey, lang, form): all words of all languages, and for each key one ancestor form as proto: the first benchmark word with that key, or else the first word."""
-    words = word_lexicon(spark, folder).select(set_key("form").alias("skey"), "lang", "form")
+    # all texts are read for them, and they are used twice at least
+    words = kept(word_lexicon(spark, folder)).select(set_key("form").alias("skey"), "lang", "form")
     listed = words_of(read(spark, folder, "benchmark")).select(set_key("form").alias("skey"), F.lit("").alias("lang"), "form")
     rank = F.struct(F.col("lang") != "", "form")
     both = words.unionByName(listed).groupBy("skey").agg(F.min(rank).alias("first"), F.max(F.col("lang") != "").alias("has"))

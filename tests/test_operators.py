@@ -817,3 +817,17 @@ def test_turns_together_are_the_same_as_one_by_one():
             one.turn(i, j)
         many.turns(*np.array(turns).T)
         assert (one.roots.tolist(), one.patterns, one.counts.tolist()) == (many.roots.tolist(), many.patterns, many.counts.tolist())
+
+
+def test_morphemes_of_a_batch_are_aligned_together(monkeypatch):
+    calls, whole = [], align.batch_costs
+    monkeypatch.setattr(align, "batch_costs", lambda a, b, *rest: calls.append(len(a)) or whole(a, b, *rest))
+    pairs = [(a, b) for a in ("ta", "pi", "", "?", "stra") for b in ("tapa", "i", "?")]
+    together = align.feature_errors(pairs)
+    assert calls == [6] and together == [align.feature_error(a, b) for a, b in pairs] and together[2] is None
+
+
+def test_texts_are_read_once_for_cognate_sets(spark, sf_dir):
+    from lexweave.sources.tables import cognate_sets
+
+    assert not any("documents" in f for f in cognate_sets(spark, sf_dir).inputFiles())
