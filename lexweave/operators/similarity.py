@@ -204,22 +204,29 @@ def best_alpha(scores: DataFrame) -> DataFrame:
 
 #: Texts whose n-grams one task makes and counts, and counts that one task sorts.
 TEXTS, COUNTS = 8192, 1_000_000
+#: Counts that one task puts together to sparse rows.
+ENTRIES_DEALT = 250_000
 
 
-def tfidf(grams: DataFrame, features: int | None = None) -> DataFrame:
-    """(id, gram, weight) of (id, gram) rows: counts times ln((1 + n) / (1 + df)) + 1, of length 1 for each id. features: only so many grams, the most frequent (of equals the first); ids without any of them have no rows but count among all.
-
-    The counts are made once; what is known of a gram is joined to them, and a row's length is a sum
-    over its id's rows, which never stand in one array.
-    """
+def _counted(grams: DataFrame, features: int | None) -> tuple[DataFrame, DataFrame]:
+    """(id, gram, tf), made once, and (gram, idf) of all grams or of the features most frequent ones."""
     counts = kept(grams.groupBy("id", "gram").agg(F.count("*").alias("tf")))
     n = counts.select("id").distinct().agg(F.count("*").alias("n"))
     known = counts.groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     if features is not None:
         known = known.orderBy(F.desc("total"), "gram").limit(features)
     # the number of ids is one row
-    idf = known.join(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(idf, "gram").select("id", "gram", (F.col("tf") * F.col("idf")).alias("w"))
+    return counts, known.join(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def tfidf(grams: DataFrame, features: int | None = None) -> DataFrame:
+    """(id, gram, weight) of (id, gram) rows: counts times ln((1 + n) / (1 + df)) + 1, of length 1 for each id. features: only so many grams, the most frequent (of equals the first); ids without any of them have no rows but count among all.
+
+    The counts are made once; what is known of a gram is joined to them, and a row's length is a sum
+    over its id's rows, which never stand in one array.
+    """
+    counts, idf = _counted(grams, features)
+    raw = counts.join(idf if features is None else F.broadcast(idf), "gram").select("id", "gram", (F.col("tf") * F.col("idf")).alias("w"))
     raw = dealt(raw, counts.count(), COUNTS, "id")
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return raw.select("id", "gram", (F.col("w") / length).alias("weight"))
@@ -236,6 +243,23 @@ def sparse_rows(weights: DataFrame, ids: DataFrame, features: int) -> DataFrame:
     return both.select("id", F.coalesce(F.col("x")["place"], none("int")).alias("at"), F.coalesce(F.col("x")["weight"], none("double")).alias("w"))
 
 
+def tfidf_rows(grams: DataFrame, ids: DataFrame, features: int) -> DataFrame:
+    """(id, at: array<int>, w: array<double>) of (id, gram) rows for all ids: the places of their grams among the features most frequent ones in order, and their weights as tfidf has them; empty for those without any.
+
+    Counts stay where they are until those of frequent grams are dealt by id, so many to a task; no
+    gram's rows meet anywhere, and ids without grams come by a row of their own instead of a join.
+    """
+    counts, idf = _counted(grams, features)
+    # features rows at most
+    places = kept(idf.agg(F.array_sort(F.collect_list(F.struct("gram", "idf"))).alias("g")).select(F.posexplode("g").alias("place", "g")).select("place", "g.gram", "g.idf"))
+    raw = counts.join(F.broadcast(places), "gram").select("id", F.struct("place", (F.col("tf") * F.col("idf")).alias("w")).alias("e"))
+    every = raw.unionByName(ids.select("id", F.lit(None).cast(raw.schema["e"].dataType).alias("e")))
+    # collect_list passes over nulls
+    held = dealt(every, counts.count(), ENTRIES_DEALT, "id").groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("x"))
+    sized = held.select("id", "x", F.sqrt(F.aggregate("x", F.lit(0.0), lambda t, e: t + e["w"] * e["w"])).alias("length"))
+    return sized.select("id", F.col("x")["place"].alias("at"), F.transform("x", lambda e: e["w"] / F.col("length")).alias("w"))
+
+
 def _texts(rows: DataFrame, text: Column) -> DataFrame:
     """(id, _text) in tasks of bounded size: short texts have many n-grams, whose counts are a task's memory."""
     rows = kept(rows.select("id", F.lower(text).alias("_text")))
@@ -305,16 +329,28 @@ def whitened_pca(rows: DataFrame, dims: int) -> DataFrame:
 #: Directions beyond those that are wanted, and rounds, of the search for the strongest ones.
 SPARE, TURNS = 16, 8
 #: Places whose sums are made by one task.
-PLACES_TOGETHER = 64
+PLACES_TOGETHER = 16
+#: Entries of sparse rows that are multiplied at once: 25 MB for 32 directions.
+ENTRIES = 100_000
+
+
+def _pieces(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch of sparse rows in pieces of bounded size."""
+    sizes = batch["at"].map(len).astype(int)
+    for _, piece in batch.groupby((sizes.cumsum() - sizes) // ENTRIES):
+        yield piece
 
 
 def _products(batch: pd.DataFrame, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of sparse rows: the row, place and weight of each entry, and each row times turn."""
-    row = np.repeat(np.arange(len(batch)), batch["at"].map(len).to_numpy())
+    sizes = batch["at"].map(len).to_numpy(int)
+    row = np.repeat(np.arange(len(batch)), sizes)
     at = np.concatenate([np.zeros(0, int), *batch["at"]]).astype(int)
     w = np.concatenate([np.zeros(0), *batch["w"]])
     out = np.zeros((len(batch), turn.shape[1]))
-    np.add.at(out, row, w[:, None] * turn[at])
+    if len(at):
+        some = sizes > 0
+        out[some] = np.add.reduceat(w[:, None] * turn[at], (np.cumsum(sizes) - sizes)[some])
     return row, at, w, out
 
 
@@ -343,8 +379,12 @@ def whitened_sparse(rows: DataFrame, dims: int, features: int, seed: int = 7) ->
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(turn.shape)
             for b in batches:
-                row, at, w, out = _products(b, turn)
-                np.add.at(total, at, w[:, None] * out[row])
+                for piece in _pieces(b):
+                    row, at, w, out = _products(piece, turn)
+                    if len(at):
+                        order = np.argsort(at, kind="stable")
+                        place, first = np.unique(at[order], return_index=True)
+                        total[place] += np.add.reduceat(w[order, None] * out[row[order]], first)
             used = np.flatnonzero(total.any(1))
             if len(used):  # a table without rows has no arrays, which Spark refuses
                 yield pd.DataFrame({"part": used // PLACES_TOGETHER, "place": used, "x": total[used].tolist()})
@@ -384,8 +424,8 @@ def whitened_sparse(rows: DataFrame, dims: int, features: int, seed: int = 7) ->
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                yield pd.DataFrame({"id": b["id"], "v": (_products(b, final)[3] - middle).tolist()})
+            for piece in _pieces(b):
+                yield pd.DataFrame({"id": piece["id"], "v": (_products(piece, final)[3] - middle).tolist()})
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInPandas(project, f"id {kind}, v array<double>")

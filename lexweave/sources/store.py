@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import gloss_or_unknown, segment_text
-from ..operators.similarity import char_ngrams, sparse_rows, tfidf, unit, whitened_sparse, word_ngrams
+from ..operators.similarity import char_ngrams, tfidf, tfidf_rows, unit, whitened_sparse, word_ngrams
+from .kept import dealt
 
+#: Vectors that one task joins.
+ROWS = 65_536
 COLUMNS = {"refid": "bigint", "langid": "bigint", "p": "array<double>", "s": "array<double>"}
 
 
@@ -26,10 +29,13 @@ def embed(reflexes: DataFrame, dims: int = 300, features: int = 1024) -> DataFra
     rows = reflexes.select(F.col("refid").alias("id"), "langid", segment_text(F.coalesce("ipaform", F.lit(""))).alias("form"), gloss_or_unknown(F.col("gloss")).alias("gloss"))
 
     def side(grams: DataFrame, name: str) -> DataFrame:
-        return whitened_sparse(sparse_rows(tfidf(grams, features), rows, features), dims, features).withColumnRenamed("v", name)
+        return whitened_sparse(tfidf_rows(grams, rows, features), dims, features).withColumnRenamed("v", name)
 
-    joined = rows.join(side(char_ngrams(rows, F.col("form")), "p"), "id").join(side(word_ngrams(rows, F.col("gloss")), "s"), "id")
-    return joined.select(F.col("id").alias("refid"), "langid", "p", "s")
+    # equal vectors are packed to few bytes, which tell adaptive execution little of the rows that a task sorts
+    n = rows.count()
+    tables = [rows.select("id", "langid"), side(char_ngrams(rows, F.col("form")), "p"), side(word_ngrams(rows, F.col("gloss")), "s")]
+    forms, p, s = (dealt(t, n, ROWS, "id") for t in tables)
+    return forms.join(p, "id").join(s, "id").select(F.col("id").alias("refid"), "langid", "p", "s")
 
 
 def build_vectors(reflexes: DataFrame, dims: int = 64, sides: str = "ps") -> DataFrame:

@@ -1,6 +1,7 @@
 import itertools
 import random
 import tracemalloc
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -222,6 +223,28 @@ def test_features_by_bits_are_those_of_the_search(spark):
             assert r["context"] == ("default" if s == default else told(sets[s], sets[default]))
 
 
+def test_the_task_of_a_lexicon_vector_step_stays_bounded(spark, monkeypatch):
+    """tfidf_rows are tfidf's weights in order, no gram's rows meet in one task, and rows and products come in pieces of bounded size."""
+    monkeypatch.setattr(sim, "ENTRIES_DEALT", 40)
+    monkeypatch.setattr(sim, "ENTRIES", 7)
+    grams = spark.createDataFrame([(k, g) for k in range(60) for g in ["all", "all", f"g{k % 4}", f"g{k % 3}"]] + [(70, "seldom")], "id long, gram string")
+    ids = spark.createDataFrame([(k,) for k in [*range(60), 70, 71, 71]], "id long")
+    weights = defaultdict(dict)
+    for r in sim.tfidf(grams, 4).collect():
+        weights[r["id"]][r["gram"]] = r["weight"]
+    names = sorted({g for w in weights.values() for g in w})
+    rows = sim.tfidf_rows(grams, ids, 4)
+    assert len(names) == 4 and rows.rdd.getNumPartitions() >= 181 // 40
+    got = {r["id"]: (r["at"], r["w"]) for r in rows.collect()}
+    assert rows.count() == len(got) == 62 and got[70] == got[71] == ([], [])
+    for k, (at, w) in got.items():
+        assert at == sorted(at) and dict(zip((names[j] for j in at), w, strict=True)) == pytest.approx(weights[k])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [gram" in plan and "hashpartitioning(gram" not in plan
+    held = rows.toPandas()
+    assert max(sum(map(len, x["at"])) for x in sim._pieces(held)) < 7 + 4 and sum(map(len, sim._pieces(held))) == 62
+
+
 def test_a_tree_of_many_laws(spark):
     """100 laws over nested nodes and 24 leaves, one of them with several parents and laws that aren't defined: each law stands in one step, and results are those of each path by itself."""
     rng = random.Random(12)
