@@ -6,7 +6,9 @@ import functools
 import itertools
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,13 +175,111 @@ def _told(a: str, b: str) -> Column:
     return described(*specs, of(a, "l"), of(a, "r"))
 
 
+#: Sets of a block: what one group compares with another block.
+BLOCK = 256
+#: Choices of features in the order in which they are tried.
+_CHOICES = np.array([*_BITS.values(), *_PAIRS], np.int64)
+#: What a choice of none is, and one of an edge.
+NONE, AT_EDGE = -1, -2
+
+
+def _least(own: tuple, edges: np.ndarray, kinds: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """least_features of one side (edge, known, plus, minus) against many: bits, NONE or AT_EDGE for each. edges: whether they have an edge; kinds: masks (plus, minus) that any of them has; has: which of these each has."""
+    edge, known, plus, minus = own
+    out = np.full(len(edges), NONE, np.int64)
+    common = plus | minus
+    if known and common:
+        shared = kinds[:, 0] & plus | kinds[:, 1] & minus
+        choices = np.append(_CHOICES[_CHOICES & ~common == 0], common)
+        # a choice fails where a kind that is there shares all of it
+        alike = (choices[:, None] & ~shared == 0).astype(np.float32)
+        fits = has @ alike.T == 0
+        found = fits.any(1)
+        out[found] = choices[fits.argmax(1)[found]]
+    if edge:
+        out[~edges] = AT_EDGE
+    return out
+
+
+def _spec(bits: int, plus: int) -> Spec | None:
+    return None if bits == NONE else EDGE_SPEC if bits == AT_EDGE else {f: 1 if plus & b else -1 for f, b in _BITS.items() if bits & b}
+
+
+def _numbered(values: list) -> tuple[np.ndarray, list]:
+    """The number of each value, and the different ones."""
+    at: dict = {}
+    return np.array([at.setdefault(v, len(at)) for v in values], np.int64), list(at)
+
+
+def _specs(one: list[dict], other: list[dict], label) -> tuple[np.ndarray, list[Spec | None]]:
+    """Of each of one and each of other the number of the specification that sets the former apart, and these. Equal sides are looked at once."""
+    a, own = _numbered([(x["edge"], x["known"], x["plus"], x["minus"]) for x in one])
+    b, across = _numbered([(x["edge"], frozenset((k["plus"], k["minus"]) for k in x["kinds"])) for x in other])
+    kinds = sorted({k for _, held in across for k in held})
+    place = {k: i for i, k in enumerate(kinds)}
+    has = np.zeros((len(across), len(kinds)), np.float32)
+    for i, (_, held) in enumerate(across):
+        has[i, [place[k] for k in held]] = 1
+    known = np.array(kinds, np.int64).reshape(-1, 2)
+    edges = np.array([edge for edge, _ in across])
+    names: dict = {}
+    table = np.empty((len(own), len(across)), np.int64)
+    for i, x in enumerate(own):
+        bits, at = np.unique(_least((x[0], x[1], x[2] or 0, x[3] or 0), edges, known, has), return_inverse=True)
+        table[i] = np.array([names.setdefault(label(_spec(int(v), x[2] or 0)), len(names)) for v in bits])[at]
+    return table[a][:, b], list(names)
+
+
+def _told_in_blocks(one: list[dict], other: list[dict]) -> tuple[np.ndarray, list[str]]:
+    """Of each of one and each of other (with l and r) the number of the text that says what sets the former apart, and the texts."""
+    held = lambda spec: spec and tuple(spec.items())
+    (left, lefts), (right, rights) = (_specs([x[k] for x in one], [x[k] for x in other], held) for k in ("l", "r"))
+    both, at = np.unique(left * len(rights) + right, return_inverse=True)
+    spec = lambda x: x and dict(x)
+    return at.reshape(left.shape), [describe(spec(lefts[k // len(rights)]), spec(rights[k % len(rights)])) for k in both.tolist()]
+
+
+def _pairs_of_blocks(one: pa.Table, other: pa.Table) -> pa.Table:
+    """Each two sets of two blocks of a sound, or of one block; the smaller name first."""
+    kind = pa.schema([(n, pa.string()) for n in ("proto_seg", "a", "b", "a_context", "b_context")])
+    if not len(one) or not len(other):
+        return kind.empty_table()
+    x, y = one.to_pylist(), other.to_pylist()
+    names = sorted({r["set_id"] for r in x} | {r["set_id"] for r in y})
+    rank = {n: k for k, n in enumerate(names)}
+    i, j = (np.array([rank[r["set_id"]] for r in side]) for side in (x, y))
+    forth, forths = _told_in_blocks(x, y)
+    back, backs = _told_in_blocks(y, x)
+    # within a block each two sets meet twice
+    wanted = i[:, None] < j[None, :] if x[0]["bi"] == x[0]["bj"] else np.ones(forth.shape, bool)
+    p, q = np.nonzero(wanted)
+    ahead = i[p] < j[q]
+    texts, forth, back = pa.array(forths + backs, pa.string()), forth[p, q], back[q, p] + len(forths)
+    first, last = np.minimum(i[p], j[q]), np.maximum(i[p], j[q])
+    named = pa.array(names, pa.string())
+    columns = [pa.array([x[0]["proto_seg"]], pa.string()).take(pa.array(np.zeros(len(p), np.int64))), named.take(pa.array(first)), named.take(pa.array(last)), texts.take(pa.array(np.where(ahead, forth, back))), texts.take(pa.array(np.where(ahead, back, forth)))]
+    return pa.table(columns, schema=kind)
+
+
 def pairwise(rows: DataFrame) -> DataFrame:
-    """(proto_seg, a, b, a_context, b_context) for each two sets of one ancestor segment; rows: (set_id, proto_seg, left, right), each context once. The pairs are the result; each is a row of built-in expressions over the bits of its two sets."""
+    """(proto_seg, a, b, a_context, b_context) for each two sets of one ancestor segment; rows: (set_id, proto_seg, left, right), each context once.
+
+    The pairs are the result, so the work is the square of a sound's sets. These are dealt into
+    blocks of bounded size, each two blocks are a group of their own, over all tasks, and in a group
+    what sets two sides apart is sought once for all sets with equal sides.
+    """
     sets, _ = sides_of(rows)
-    sets = kept(sets.select("proto_seg", "set_id", F.struct("l", "r").alias("x")))
-    one, other = (sets.select("proto_seg", F.col("set_id").alias(n), F.col("x").alias(f"x{n}")) for n in ("a", "b"))
-    pairs = one.join(other, "proto_seg").where("a < b")
-    return pairs.select("proto_seg", "a", "b", _told("xa", "xb").alias("a_context"), _told("xb", "xa").alias("b_context"))
+    side = lambda k: F.struct(*[F.col(k)[c].alias(c) for c in ("edge", "known", "plus", "minus", "kinds")]).alias(k)
+    sets = kept(sets.where("proto_seg is not null and set_id is not null").select("proto_seg", "set_id", side("l"), side("r")))
+    blocks = sets.groupBy("proto_seg").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = sets.join(blocks, "proto_seg").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    columns = ["proto_seg", "set_id", "l", "r"]
+    one = own.select(*columns, F.col("own").alias("bi"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("bj"))
+    other = own.select(*[F.col(c).alias(c) for c in columns], F.explode(F.sequence(F.lit(0), "own")).alias("bi"), F.col("own").alias("bj"))
+    # blocks are few bytes and much work
+    one, other = (spread(x, "proto_seg", "bi", "bj") for x in (one, other))
+    keys = ["proto_seg", "bi", "bj"]
+    return one.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInArrow(_pairs_of_blocks, "proto_seg string, a string, b string, a_context string, b_context string")
 
 
 def default_and_conditioned(rows: DataFrame) -> DataFrame:

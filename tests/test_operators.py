@@ -223,6 +223,20 @@ def test_features_by_bits_are_those_of_the_search(spark):
             assert r["context"] == ("default" if s == default else told(sets[s], sets[default]))
 
 
+def test_pairs_of_sets_are_dealt_over_tasks(spark, monkeypatch):
+    """One sound with many sets: its pairs come from several tasks, each pair once, as the search over all choices has it."""
+    monkeypatch.setattr(generalize, "BLOCK", 8)
+    rng = random.Random(5)
+    kinds = ["a", "e", "p", "t", "k", "s", "m", "?", None]
+    held = {f"s{k:02}": list({(rng.choice(kinds), rng.choice(kinds)) for _ in range(rng.randint(1, 4))}) for k in range(40)}
+    df = spark.createDataFrame([(s, "x", a, b) for s, own in held.items() for a, b in own], "set_id string, proto_seg string, left string, right string")
+    told = lambda one, other: generalize.describe(*generalize.generalize(one, other))
+    found = generalize.pairwise(df).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in found}) > 1
+    got = {(r["a"], r["b"]): (r["a_context"], r["b_context"]) for r in found}
+    assert len(got) == len(found) and got == {(a, b): (told(x, y), told(y, x)) for a, x in held.items() for b, y in held.items() if a < b}
+
+
 def test_the_task_of_a_lexicon_vector_step_stays_bounded(spark, monkeypatch):
     """tfidf_rows are tfidf's weights in order, no gram's rows meet in one task, and rows and products come in pieces of bounded size."""
     monkeypatch.setattr(sim, "ENTRIES_DEALT", 40)
