@@ -172,10 +172,8 @@ def lexicon_vectors(spark, sf_dir):
 @query(VECTORS + "SELECT q.refid AS q, c.refid, round(list_cosine_similarity(q.s, c.s) / (levenshtein(CAST(q.refid AS VARCHAR), CAST(c.refid AS VARCHAR)) + 1), 6) AS similarity FROM v q, v c WHERE q.refid % 50 = 0")
 def pair_similarity(spark, sf_dir):
     """Every query beside every row."""
-    rows = corpus(spark, sf_dir)
-    both = sim.cosines_with_all(queries_of(rows), rows)
-    value = F.col("cosine") / (F.levenshtein(F.col("q").cast("string"), F.col("refid").cast("string")) + 1)
-    return both.select("q", "refid", F.round(value, 6).alias("similarity"))
+    rows = corpus(spark, sf_dir).withColumn("form", F.col("refid").cast("string"))
+    return sim.similarities_with_all(queries_of(rows), rows)
 
 
 @query("WITH v AS (SELECT vec_id AS refid, label FROM embeddings) SELECT refid, CAST(CASE WHEN refid % 7 = 0 THEN -1 ELSE label END AS INTEGER) AS label FROM v WHERE label <> 9")

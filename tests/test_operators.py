@@ -728,6 +728,47 @@ def test_cosines_of_all_pairs(spark, monkeypatch):
     assert len(got) == len(plain) == 28 and all(abs(got[a, b] - x) < 1e-12 for a, b, x in plain)
 
 
+def test_all_pairs_shuffle_each_row_once(spark, monkeypatch):
+    monkeypatch.setattr(sim, "PAIR_QUERIES", 2)
+    monkeypatch.setattr(sim, "CORPUS_BLOCK", 4)
+    monkeypatch.setattr(sim, "PAIR_CORPUS", 4, raising=False)
+    df = spark.range(0, 60, 1, 2).select(F.col("id").alias("refid"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("s"))
+    found = sim.cosines_with_all(df.where("refid % 5 = 0"), df)
+    assert found.count() == found.distinct().count() == 12 * 60
+    rows = found.toPandas()
+    plan = found._jdf.queryExecution().executedPlan().finalPhysicalPlan()
+    written = 0
+    leaves = plan.collectLeaves()
+    for k in range(leaves.length()):
+        written += leaves.apply(k).plan().metrics().apply("shuffleRecordsWritten").value()
+    assert len(rows) == 12 * 60 and written == 12 + 60
+
+
+def test_similarities_of_all_pairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sim, "PAIR_QUERIES", 3)
+    monkeypatch.setattr(sim, "PAIR_CORPUS", 5)
+    monkeypatch.setattr(sim, "PAIRS", 7)
+    monkeypatch.setattr(sim, "HANDED", 2)
+    monkeypatch.setattr(sim, "CELLS", 9)
+    vectors = [[1.0, 0.0], [0.0, 0.0], None, [3.0, 4.0], [-1.0, -1.0], [1.0, 0.0], [0.5, 2.0], [-1e-8, 1.0]]
+    forms = ["", "a", "abc", "tʰa", "𝄞a", None, "a" * 300, "ab"]
+    df = spark.createDataFrame([(k, forms[k % 8], vectors[k // 2 % 8]) for k in range(16)], "refid long, form string, s array<double>")
+    both = df.alias("a").where("refid % 3 = 0").crossJoin(df.alias("b"))
+    plain = both.select("a.refid", "b.refid", F.round(sim.pair_similarity(F.col("a.s"), F.col("b.s"), F.levenshtein("a.form", "b.form")), 6))
+    found = sim.similarities_with_all(df.where("refid % 3 = 0"), df)
+    assert found.dtypes == [("q", "bigint"), ("refid", "bigint"), ("similarity", "double")]
+    assert sorted(map(repr, map(tuple, found.replace(-0.0, 0.0).collect()))) == sorted(map(repr, map(tuple, plain.collect())))
+    assert sim.similarities_with_all(df.limit(0), df).count() == sim.similarities_with_all(df, df.limit(0)).count() == 0
+    # the values of two blocks come in order, so that a file has equal ones together
+    monkeypatch.setattr(sim, "PAIRS", 100)
+    for part in sim.similarities_with_all(df.where("form is not null"), df.where("form is not null")).rdd.glom().collect():
+        values = [r["similarity"] for r in part]
+        assert values == sorted(values)
+    # as SQL has it, a small negative value is a negative zero
+    zero = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [-1e-8, 1.0])], "refid long, form string, s array<double>")
+    assert str(sim.similarities_with_all(zero, zero).where("q = 1 and refid = 2").first()["similarity"]) == "-0.0"
+
+
 def test_ngrams_are_made_in_bounded_tasks(spark, monkeypatch):
     monkeypatch.setattr(sim, "TEXTS", 10)
     df = spark.range(200).select("id", F.concat(F.lit("Ab"), F.col("id").cast("string")).alias("text")).coalesce(1)
